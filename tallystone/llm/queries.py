@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, line_dedup, quality_rules, sharding, simhash
+from tallystone.llm import bpe, decontamination, line_dedup, pii, quality_rules, sharding, simhash, toxicity, warc, wrapper
 from tallystone.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"), n_shards=16)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.rewrite(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -80,8 +85,37 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_sharding, op5_line_dedup, op8_simhash)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_bpe, op3_sharding, op4_toxicity, op5_line_dedup, op6_decontamination,
+        op7_pii, op8_simhash, op9_wrapper, op10_warc,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
