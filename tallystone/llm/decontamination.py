@@ -2,8 +2,8 @@
 
 A seed is a fixed mask over consecutive tokens; positions outside the mask are ignored, so a seed
 still hits where those tokens were substituted. Seeds of benchmark items are joined with seeds at
-every token position of every document; around each hit the item is laid over the document and
-equal tokens are counted, which tolerates substitutions.
+every token position of every document; at each shift that a hit names, the item is laid over the
+document and equal tokens are counted, which tolerates substitutions.
 
 The benchmark is the broadcast side, and its size is checked: beyond ``most_seeds`` it is dealt
 into blocks by item, each under the bound, and the documents are read once per block.
@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.llm.common import shared_dir, written
+
 #: Token positions that each mask reads. The masks leave free every third, fourth and fifth
 #: position in turn, so that regular substitutions at those distances still leave hits.
 MASKS = ((0, 1, 3, 4, 6, 7, 9), (0, 1, 2, 4, 5, 6, 8), (0, 1, 3, 5, 6, 8, 10))
@@ -35,45 +37,53 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: str, at: str) -> Column:
-    """The hashes of all masks at a position of an array of token hashes."""
-    return F.array(*(F.expr(f"xxhash64({n}, " + ", ".join(f"{tokens}[{at} + {p}]" for p in mask) + ")") for n, mask in enumerate(MASKS)))
+def _seeds(tokens: str) -> str:
+    """SQL: the hashes of each mask at all positions where the longest one fits, mask after mask."""
+    last = f"size({tokens}) - {SPAN}"
+    at = lambda n, mask: f"xxhash64({n}, " + ", ".join(f"{tokens}[i + {p}]" for p in mask) + ")"
+    each = ", ".join(f"transform(sequence(0, {last}), i -> {at(n, mask)})" for n, mask in enumerate(MASKS))
+    return f"if(size({tokens}) >= {SPAN}, concat({each}), array())"
 
 
-def _positions(tokens: str) -> Column:
-    """Every position at which the longest mask fits; none for short arrays."""
-    return F.expr(f"explode(if(size({tokens}) >= {SPAN}, sequence(0, size({tokens}) - {SPAN}), array()))")
+def _placed(rows: DataFrame, ident: str, place: str) -> DataFrame:
+    """ident, place and seed, one row per seed of rows (ident, tokens). No row carries the tokens."""
+    n = f"(size(tokens) - {SPAN - 1})"
+    seeds = rows.select(ident, F.expr(n).alias("_n"), F.posexplode(F.expr(_seeds("tokens"))).alias("_pos", "seed"))
+    return seeds.select(ident, F.expr("_pos % _n").alias(place), "seed")
 
 
-def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """item_id, item (token hashes), pos and seed of every seed of benchmark (item_id, text)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text").cast("string")).alias("item"))
-    placed = items.select("item_id", "item", _positions("item").alias("pos"))
-    return placed.select("item_id", "item", "pos", F.explode(_seeds("item", "pos")).alias("seed"))
+def _tokenised(rows: DataFrame, ident: str) -> DataFrame:
+    return rows.select(F.col(ident).cast("long").alias(ident), token_hashes(F.col("text").cast("string")).alias("tokens"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 25, least_share: float = 0.8, most_seeds: int = 400_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 25, least_share: float = 0.8, most_seeds: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, n_equal and n_window per contaminated document and item it overlaps.
 
-    A hit counts if at least least_share of the min(window, item length) item tokens around it
-    equal the document's tokens at the same distance. most_seeds bounds the broadcast rows.
+    A hit names a document, an item and a shift between them. At that shift some min(window, item
+    length) consecutive item tokens, of which at least least_share equal the document's tokens
+    opposite, make the document contaminated. most_seeds bounds the broadcast rows (24 bytes each).
     """
-    n_seeds = benchmark.select(F.sum(F.greatest(F.lit(0), F.size(token_hashes(F.col("text").cast("string"))) - SPAN + 1) * len(MASKS))).first()[0] or 0
+    folder = shared_dir(docs.sparkSession)
+    items = _tokenised(benchmark, "item_id")
+    n_seeds = items.select(F.sum(F.greatest(F.lit(0), F.size("tokens") - SPAN + 1) * len(MASKS))).first()[0] or 0
     blocks = max(1, -(-n_seeds // most_seeds))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text").cast("string")).alias("doc"))
-    at = rows.select("doc_id", "doc", _positions("doc").alias("at"))
-    seeded = at.select("doc_id", "doc", "at", F.explode(_seeds("doc", "at")).alias("seed"))
-    out = []
+    seeded = _placed(_tokenised(docs, "doc_id"), "doc_id", "at")
+    hits = []
     for n in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        hits = seeded.join(F.broadcast(benchmark_seeds(part)), "seed")
-        width = f"least({window}, size(item))"
-        start = f"greatest(0, least(pos - ({width} - {SPAN}) div 2, size(item) - {width}))"
-        hits = hits.select("doc_id", "doc", "item_id", "item", F.expr(width).alias("n_window"), F.expr(start).alias("start"), F.expr("at - pos").alias("shift"))
-        inside = hits.filter("shift + start >= 0 AND shift + start + n_window <= size(doc)")
-        equal = F.expr("aggregate(zip_with(slice(doc, cast(shift + start + 1 AS int), n_window), slice(item, start + 1, n_window), (a, b) -> if(a = b, 1, 0)), 0, (s, x) -> s + x)")
-        out.append(inside.select("doc_id", "item_id", "n_window", equal.alias("n_equal")).filter(F.col("n_equal") >= F.lit(least_share) * F.col("n_window")))
-    found = reduce(DataFrame.unionByName, out)
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(blocks)) == n)
+        hits.append(seeded.join(F.broadcast(_placed(part, "item_id", "pos")), "seed").select("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift")))
+    shifts = written(reduce(DataFrame.unionByName, hits).distinct(), f"{folder}/shifts")
+    # Texts of documents with hits only: their ids are a small table by then, of known size.
+    touched = docs.join(shifts.select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_semi")
+    beside = shifts.join(items.withColumnRenamed("tokens", "item").withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).withColumnRenamed("doc_id", "_doc")
+    pairs = beside.join(_tokenised(touched, "doc_id"), F.col("_doc").eqNullSafe(F.col("doc_id")))
+    equal = "transform(sequence(0, size(item) - 1), q -> if(shift + q >= 0 AND shift + q < size(tokens) AND try_element_at(tokens, cast(greatest(shift + q, 0) + 1 AS int)) = item[q], 1, 0))"
+    inside = "filter(sequence(0, size(item) - n_window), s -> shift + s >= 0 AND shift + s + n_window <= size(tokens))"
+    sums = f"array_max(transform({inside}, s -> aggregate(slice(equal, s + 1, n_window), 0, (t, x) -> t + x)))"
+    scored = pairs.select("doc_id", "item_id", "shift", "tokens", "item", F.expr(f"least({window}, size(item))").alias("n_window"), F.expr(equal).alias("equal")).select(
+        "doc_id", "item_id", "n_window", F.expr(sums).alias("n_equal")
+    )
+    found = scored.filter(F.col("n_equal") >= F.lit(least_share) * F.col("n_window"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", "n_window")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.n_equal").cast("long").alias("n_equal"), F.col("best.n_window").cast("long").alias("n_window"))
 

@@ -1,7 +1,7 @@
 """Toxicity by a learned lexicon, matched with Levenshtein automata and scored in context.
 
-The lexicon is learned from labelled documents: words that toxic documents use and clean ones do
-not. It is held as a trie; the Levenshtein automata of its terms, intersected with the trie, are
+The lexicon is learned from labelled documents: words and word beginnings that toxic documents use
+and clean ones do not. It is held as a trie; the Levenshtein automata of its terms, intersected with the trie, are
 run as one automaton whose states are sets of (trie node, edits), made when first reached. So a
 word costs one step per letter however long the lexicon is. A hit counts fully in plain speech,
 and less inside quotation marks or after words of reporting within a window around it.
@@ -29,6 +29,8 @@ _quote = re.compile(r"[\"“”„«»‹›]")
 _report = re.compile(r"(?i)\b(?:said|says|quote[sd]?|called|wrote|sagte|schrieb|nannte|dijo|dice|llamó|disait|appelé)\b")
 WINDOW = 48
 QUOTED = 0.35
+#: Lengths of the word beginnings that are tried as stems.
+STEM_LETTERS = (5, 6, 7)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -37,30 +39,36 @@ def held_out(doc_id: Column) -> Column:
 
 
 class FuzzyLexicon:
-    """Terms with weights; finds the best term within the edits that a word's length allows."""
+    """Weighted terms and stems; finds the best one within the edits that its length allows.
 
-    def __init__(self, weights: dict[str, float], allowed: set[str], long_word: int = 6, discount: float = 0.6, most_states: int = 200_000) -> None:
-        self.weights, self.allowed, self.long_word, self.discount, self.most_states = weights, allowed, long_word, discount, most_states
+    A term is a whole word; a stem matches any word that begins with it. Those of at least
+    long_word letters also match with one edit, at a discount.
+    """
+
+    def __init__(self, weights: dict[str, float], stems: dict[str, float], allowed: set[str], long_word: int = 7, discount: float = 0.5, most_states: int = 200_000) -> None:
+        self.weights, self.allowed, self.most_states = weights, allowed, most_states
         self.next: list[dict[str, int]] = [{}]
-        self.best: list[float] = [0.0]  # weight of the term that ends at a node
-        for term in sorted(weights):
-            if len(term) < long_word:
-                continue
+        self.best: list[tuple[float, float]] = [(0.0, 0.0)]  # weight of what ends at a node, without and with an edit
+        self.stays: list[bool] = [False]  # whether a stem ends here, so that any letters may follow
+        for entry, is_stem in sorted([(t, False) for t in weights] + [(t, True) for t in stems]):
             at = 0
-            for c in term:
+            for c in entry:
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
-                    self.best.append(0.0)
+                    self.best.append((0.0, 0.0))
+                    self.stays.append(False)
                 at = self.next[at][c]
-            self.best[at] = weights[term]
+            w = stems[entry] if is_stem else weights[entry]
+            self.best[at] = max(w, self.best[at][0]), max(w * discount if len(entry) >= long_word else 0.0, self.best[at][1])
+            self.stays[at] |= is_stem
         self._reset()
 
     def _reset(self) -> None:
         self._sets: list[frozenset[tuple[int, int]]] = []
         self._number: dict[frozenset[tuple[int, int]], int] = {}
         self._steps: list[dict[str, int]] = []
-        self._ends: list[float] = []
+        self._ends: list[tuple[float, bool]] = []
         self._add(self._closed({(0, 0)}))
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
@@ -79,7 +87,8 @@ class FuzzyLexicon:
             self._number[states] = len(self._sets)
             self._sets.append(states)
             self._steps.append({})
-            self._ends.append(max((self.best[n] * (1 if e == 0 else self.discount) for n, e in states), default=0.0))
+            plain = max((self.best[n][0] for n, e in states if e == 0), default=0.0)
+            self._ends.append((plain, False) if plain else (max((self.best[n][1] for n, e in states if e == 1), default=0.0), True))
         return self._number[states]
 
     def _step(self, state: int, c: str) -> int:
@@ -87,18 +96,20 @@ class FuzzyLexicon:
         for node, e in self._sets[state]:
             if c in self.next[node]:
                 new.add((self.next[node][c], e))
+            if self.stays[node]:
+                new.add((node, e))
             if e == 0:
                 new.add((node, 1))  # a letter too many
                 new.update((child, 1) for x, child in self.next[node].items() if x != c)  # another letter
         to = self._steps[state][c] = self._add(self._closed(new))
         return to
 
-    def weight(self, word: str) -> float:
-        """The word's own weight, or the discounted one of a term an edit away; else 0."""
+    def weight(self, word: str) -> tuple[float, bool]:
+        """The word's own weight, or that of its stem or of a term an edit away (then True); else 0."""
         if word in self.weights:
-            return self.weights[word]
-        if word in self.allowed or len(word) < self.long_word:
-            return 0.0
+            return self.weights[word], False
+        if word in self.allowed:
+            return 0.0, False
         if len(self._sets) > self.most_states:
             self._reset()
         at = 0
@@ -106,7 +117,7 @@ class FuzzyLexicon:
             known = self._steps[at].get(c)
             at = self._step(at, c) if known is None else known
             if not self._sets[at]:
-                return 0.0
+                return 0.0, False
         return self._ends[at]
 
 
@@ -115,10 +126,10 @@ class Scorer:
 
     def __init__(self, lexicon: FuzzyLexicon, cache_size: int = 300_000) -> None:
         self.lexicon, self.cache_size = lexicon, cache_size
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[float, bool]] = {}
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Log of the summed context-weighted hits, and of their density."""
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Logs of the summed context-weighted hits: exact ones, misspelled ones, exact ones per 100 words."""
         text = (text or "").lower()
         words = _word.findall(text)
         if len(self.known) > self.cache_size:
@@ -128,33 +139,37 @@ class Scorer:
             x = self.known.get(w)
             if x is None:
                 x = self.known[w] = self.lexicon.weight(w)
-            if x:
+            if x[0]:
                 found[w] = x
-        total = 0.0
+        total = [0.0, 0.0]
         if found:
             for m in _word.finditer(text):
                 if x := found.get(m[0]):
                     before, after = text[max(0, m.start() - WINDOW) : m.start()], text[m.end() : m.end() + WINDOW]
                     quoted = len(_quote.findall(before)) % 2 == 1 and _quote.search(after) or _report.search(before)
-                    total += x * (QUOTED if quoted else 1.0)
-        return math.log1p(total), math.log1p(100 * total / max(1, len(words)))
+                    total[x[1]] += x[0] * (QUOTED if quoted else 1.0)
+        return math.log1p(total[0]), math.log1p(total[1]), math.log1p(100 * total[0] / max(1, len(words)))
 
 
 @dataclass
 class Model:
     weights: dict[str, float]
+    stems: dict[str, float]
     allowed: set[str]
-    coefficients: tuple[float, float, float]
+    coefficients: tuple[float, float, float, float]
     base_rate: float
 
-    def score(self, features: tuple[float, float]) -> float:
+    def lexicon(self) -> FuzzyLexicon:
+        return FuzzyLexicon(self.weights, self.stems, self.allowed)
+
+    def score(self, features: tuple[float, float, float]) -> float:
         if not any(features):
             return min(self.base_rate, 0.05)
         z = self.coefficients[0] + sum(c * x for c, x in zip(self.coefficients[1:], features, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 50) -> np.ndarray:
     """Newton steps of a ridge-penalised logistic regression, first coefficient free."""
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
@@ -185,39 +200,52 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
     rows = rows.filter("text IS NOT NULL")
     words = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))  # copies count once
     split = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1)))
-    counts = words.select("toxic", F.explode(split).alias("word")).groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
-    ).filter(F.col("bad") >= least_docs)
-    totals = words.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
-    bad, good = max(1, totals.bad or 0), max(1, totals.good or 0)
-    ratio = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
-    terms = counts.withColumn("lift", ratio).filter("lift > 3 AND good * 20 < bad").orderBy(F.desc("lift"), "word").limit(most_terms).collect()
-    weights = {r.word: round(min(r.lift / 4, 2.0), 6) for r in terms}
-    # Words a letter away from a term that clean documents use are not misspellings of it.
+    stems_of = F.flatten(F.transform(split, lambda w: F.transform(F.filter(F.array(*map(F.lit, STEM_LETTERS)), lambda k: F.char_length(w) > k), lambda k: F.concat(F.substr(w, F.lit(1), k), F.lit("*")))))
+    entries = F.array_distinct(F.concat(split, stems_of))
+    halved = words.withColumn("half", F.pmod("copy", F.lit(2)) == 1)
+    tally = [F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.sum(F.when(~F.col("half"), F.col("toxic"))).alias("first_bad"), F.sum(F.when(~F.col("half"), 1 - F.col("toxic"))).alias("first_good")]
+    counts = halved.select("toxic", "half", F.explode(entries).alias("entry")).groupBy("entry").agg(*tally).filter(F.col("bad") >= least_docs).na.fill(0)
+    totals = halved.agg(*tally).na.fill(0).first()
+    rows_of = counts.filter("good * 20 < bad OR first_good * 20 < first_bad").orderBy(F.desc("bad"), "entry").limit(most_terms).collect()
+
+    def lexicon_of(bad_name: str, good_name: str, least: int) -> tuple[dict[str, float], dict[str, float]]:
+        all_bad, all_good = max(1, totals[bad_name]), max(1, totals[good_name])
+        lifts = {r.entry: math.log((r[bad_name] + 0.5) / all_bad) - math.log((r[good_name] + 0.5) / all_good) for r in rows_of if r[bad_name] >= least and 20 * r[good_name] < r[bad_name]}
+        support = {r.entry: r[bad_name] / (r[bad_name] + 20) for r in rows_of}  # rare entries count for less
+        found = {e: round(x / 2 * support[e], 6) for e, x in lifts.items() if x > 3}
+        return {e: w for e, w in found.items() if not e.endswith("*")}, {e[:-1]: w for e, w in found.items() if e.endswith("*")}
+
+    weights, stems = lexicon_of("bad", "good", least_docs)
+    bad, good = totals.bad, totals.good
+
     def clean_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = FuzzyLexicon(weights, set())
+        lexicon = FuzzyLexicon(weights, stems, set())
         for b in batches:
-            hits: set[str] = set()
-            for t in b.column(0).to_pylist():
-                hits.update(w for w in set(_word.findall(t.lower())) if w not in lexicon.weights and lexicon.weight(w))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(hits), pa.string())], ["word"])
-
-    seen = words.filter("toxic = 0").select("text").mapInArrow(clean_neighbours, "word string").distinct().orderBy("word").limit(10 * most_terms).collect()
-    allowed = {r.word for r in seen}
-    model = Model(weights, allowed, (0.0, 0.0, 0.0), bad / (bad + good) if n else 0.0)
+            hits: set[tuple[str, bool]] = set()
+            for t, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hits.update((w, half) for w in set(_word.findall(t.lower())) if w not in weights and lexicon.weight(w)[0])
+            rows = sorted(hits)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["word", "half"])
+
+    # Words that clean documents use are no misspellings of the terms they are near to. What hits
+    # are worth is learned from half of the sample, with terms and such words from the other half.
+    near = halved.filter("toxic = 0").select("text", "half").mapInArrow(clean_neighbours, "word string, half boolean")
+    seen = near.groupBy("word").agg(F.bool_or(~F.col("half")).alias("first_half")).orderBy("word").limit(10 * most_terms).collect()
+    first = Model(*lexicon_of("first_bad", "first_good", (least_docs + 1) // 2), {r.word for r in seen if r.first_half}, (0.0,) * 4, 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(FuzzyLexicon(weights, allowed))
+        scorer = Scorer(first.lexicon())
         for b in batches:
             x = [scorer.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.float64()), pa.array([r[1] for r in x], pa.float64()), b.column(1)], ["hits", "density", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in x], pa.float64()) for k in range(3)), b.column(1)], ["exact", "fuzzy", "density", "toxic"])
 
-    table = np.array([tuple(r) for r in rows.mapInArrow(features, "hits double, density double, toxic int").collect()], float).reshape(-1, 3)
-    if len(set(table[:, 2])) == 2:
+    table = np.array([tuple(r) for r in halved.filter("half").select("text", "toxic").mapInArrow(features, "exact double, fuzzy double, density double, toxic int").collect()], float).reshape(-1, 4)
+    model = Model(weights, stems, {r.word for r in seen}, (-30.0, 0.0, 0.0, 0.0), bad / (bad + good) if bad else 0.0)
+    if len(set(table[:, 3])) == 2:
         order = np.lexsort(table.T)
-        model.coefficients = tuple(_logistic(table[order, :2], table[order, 2]))
-    elif not n:
-        model.coefficients = (-30.0, 0.0, 0.0)
+        model.coefficients = tuple(float(c) for c in _logistic(table[order, :3], table[order, 3]))
+    elif weights or stems:
+        model.coefficients = (-2.0, 4.0, 0.0, 0.0)  # too few rows to learn from: one plain hit decides
     return model
 
 
@@ -227,7 +255,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        scorer = Scorer(FuzzyLexicon(m.weights, m.allowed))
+        scorer = Scorer(m.lexicon())
         for b in batches:
             scores = [m.score(scorer.features(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -243,7 +271,7 @@ def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        scorer = Scorer(FuzzyLexicon(m.weights, m.allowed))
+        scorer = Scorer(m.lexicon())
         for b in batches:
             yield b.filter(pa.array([m.score(scorer.features(t)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
