@@ -1,6 +1,670 @@
-"""Registry of the library's own queries."""
+"""The library's queries on the driver's tables, each with its DuckDB twin where SQL has one."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallystone.functions import dates, html, text, urls, versions
+from tallystone.operators import coverage, evidence, facets, grouping, identity, incremental, recommend, sizing
+from tallystone.sources.sinks import fingerprint
+from tallystone.sources.tables import table
+from tallystone.streaming import states
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Selection per family
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", F.to_date("l_shipdate").cast("string").alias("ship_date"))
+
+
+@query("""
+SELECT l_partkey, p_brand, l_shipdate::DATE::VARCHAR AS ship_date, l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey
+QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1
+""")
+def latest_per_family(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d).select("l_partkey", "ship_date", "l_orderkey", "l_linenumber")
+    best = grouping.last_wins(lines, ["l_partkey"], ["ship_date", "l_orderkey", "l_linenumber"])
+    part = table(spark, d, "part", F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return best.join(part, "l_partkey").select("l_partkey", "p_brand", "ship_date", "l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE::VARCHAR AS ship_date, l_returnflag = 'A' AS ok FROM lineitem),
+s AS (SELECT l_partkey, l_suppkey, min(ship_date) AS lo, max(ship_date) AS hi FROM l WHERE ok GROUP BY ALL)
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.ship_date, coalesce(ok AND lo < hi AND ship_date = hi, false) AS newest
+FROM l LEFT JOIN s USING (l_partkey, l_suppkey)
+""")
+def newest_flag(spark: SparkSession, d: str) -> DataFrame:
+    rows = recommend.newest_flag(_lines(spark, d), ["l_partkey", "l_suppkey"], "ship_date", F.col("l_returnflag") == "A")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ship_date", "newest")
+
+
+@query("""
+WITH l AS (SELECT l_partkey, l_returnflag, l_shipdate::DATE::VARCHAR AS ship_date, l_orderkey, l_linenumber FROM lineitem),
+b AS (SELECT l_partkey, ship_date AS base FROM l WHERE l_returnflag = 'A'
+      QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY ship_date DESC, l_orderkey, l_linenumber) = 1)
+SELECT l_partkey, count(*) AS n_updates, min(ship_date) AS first_update FROM l JOIN b USING (l_partkey)
+WHERE l_returnflag = 'R' AND ship_date > base GROUP BY l_partkey
+""")
+def updates_over_base(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d)
+    base = recommend.best_per_family(lines.filter("l_returnflag = 'A'"), ["l_partkey"], [F.desc("ship_date"), F.asc("l_orderkey"), F.asc("l_linenumber")])
+    newer = recommend.updates_over_base(base, lines.filter("l_returnflag = 'R'"), ["l_partkey"], "ship_date")
+    return newer.groupBy("l_partkey").agg(F.count("*").alias("n_updates"), F.min("ship_date").alias("first_update"))
+
+
+# Facets, search, order, pages
+
+
+@query("""
+SELECT o_orderkey, count(*) AS n_releases FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE o_orderstatus = 'F' AND l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY o_orderkey
+""")
+def facet_filter(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders", "o_orderkey", "o_orderstatus").filter("o_orderstatus = 'F'")
+    releases = facets.facet_filter(_lines(spark, d), "l_orderkey", (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
+    return releases.join(orders, releases["l_orderkey"] == orders["o_orderkey"]).select("o_orderkey", "n_releases")
+
+
+@query("""
+SELECT lang, count(*) FILTER (WHERE quality IS NULL OR toxic = 1) AS n_unknown, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS n_high
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
+""")
+def facet_unknown_bucket(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
+    kind, conflict = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low"), F.col("toxic") == 1
+    facet = lambda w: F.count_if(facets.kind_facet(kind, conflict, ["high", "low"], w))
+    return rows.groupBy("lang").agg(facet("unknown").alias("n_unknown"), facet("high").alias("n_high"))
+
+
+@query("""
+SELECT 'part' AS kind, p_partkey AS id, p_name AS name FROM part WHERE lower(concat_ws(' ', p_name, p_brand, p_type)) LIKE '%bolt brand#1%'
+UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE lower(s_name) LIKE '%bolt brand#1%' OR lower(s_name) LIKE '%00007%'
+""")
+def text_search(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").filter(facets.search([F.col("p_name"), F.col("p_brand"), F.col("p_type")], " Bolt Brand#1"))
+    hits = facets.search([F.col("s_name")], "bolt brand#1") | facets.search([F.col("s_name")], "00007 ")
+    supplier = table(spark, d, "supplier").filter(hits)
+    return part.select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).unionByName(
+        supplier.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    )
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality ASC NULLS LAST, doc_id LIMIT 200")
+def sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id").join(table(spark, d, "labels", "doc_id", "quality"), "doc_id", "left")
+    return rows.orderBy(facets.unknown_last("quality", descending=False), "doc_id").limit(200)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 150 LIMIT 50")
+def paginate(spark: SparkSession, d: str) -> DataFrame:
+    return facets.paginate(table(spark, d, "orders", "o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], page=3, size=50)
+
+
+@query("""
+SELECT CASE WHEN regexp_matches(upper(left(trim(p_name), 1)), '^[A-Z]$') THEN upper(left(trim(p_name), 1)) ELSE '#' END AS section, count(*) AS n
+FROM part GROUP BY 1
+""")
+def section_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part", "p_name").groupBy(text.section_key(F.col("p_name")).alias("section")).agg(F.count("*").alias("n"))
+
+
+# Union, dedupe, upsert, groups
+
+
+@query("""
+WITH u AS (SELECT c_nationkey AS nation, c_name AS name, c_custkey AS pos, 0 AS source_ord FROM customer
+  UNION ALL SELECT s_nationkey, s_name, s_suppkey, 1 FROM supplier)
+SELECT nation, name, source_ord FROM u QUALIFY row_number() OVER (PARTITION BY nation ORDER BY source_ord, pos) = 1
+""")
+def union_sources(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda t, p, k: table(spark, d, t, F.col(f"{p}_nationkey").alias("nation"), F.col(f"{p}_name").alias("name"), F.col(k).alias("pos"))
+    both = grouping.union_sources([pick("customer", "c", "c_custkey"), pick("supplier", "s", "s_suppkey")])
+    return grouping.first_wins(both, ["nation"], ["source_ord", "pos"]).select("nation", "name", "source_ord")
+
+
+_CANONICAL = r"""
+  CASE WHEN regexp_matches(url, '^https?://[A-Za-z0-9.-]+([/?#]|$)') THEN
+  regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')
+  || CASE WHEN len(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))) > 0
+     THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&')
+     ELSE '' END END
+"""
+
+
+@query(f"SELECT {_CANONICAL} AS key, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1")
+def first_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages", "page_id", "url").groupBy(urls.canonical_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT user_id, event_type, event_id, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
+""")
+def last_wins_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events", "user_id", "event_type", "ts", "event_id", "value")
+    return grouping.last_wins(rows, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""
+SELECT l_partkey::VARCHAR AS l_partkey, l_returnflag, l_linestatus, count(*) AS n_assets, min(l_orderkey) AS first_pos,
+  string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_orderkey, l_suppkey) AS suppliers FROM lineitem GROUP BY ALL
+""")
+def release_grouping(spark: SparkSession, d: str) -> DataFrame:
+    rows = grouping.release_groups(_lines(spark, d), ["l_partkey", "l_returnflag", "l_linestatus"], "l_orderkey", "l_suppkey")
+    return rows.select("l_partkey", "l_returnflag", "l_linestatus", "n_assets", "first_pos", F.array_join(F.col("assets").cast("array<string>"), ",").alias("suppliers"))
+
+
+@query("""
+SELECT ordinal, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS ordinal FROM lineitem)
+GROUP BY ordinal
+""")
+def mirror_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    rows = grouping.label_ordinals(_lines(spark, d), ["l_partkey", "l_returnflag"], ["l_orderkey", "l_linenumber"])
+    return rows.groupBy("ordinal").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g') || ' and co' AS key, CASE WHEN p_partkey % 3 <> 0 THEN p_size % 4 END AS ref FROM part),
+o AS (SELECT key, arg_min(ref, p_partkey) AS owner FROM p WHERE ref IS NOT NULL GROUP BY key)
+SELECT p_partkey, CASE WHEN ref IS NULL OR ref = owner THEN key ELSE key || '|' || ref END AS entity_key FROM p LEFT JOIN o USING (key)
+""")
+def entity_grouping(spark: SparkSession, d: str) -> DataFrame:
+    title = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " & Co PKG").otherwise(" & Co pkg Download"))
+    rows = table(spark, d, "part", "p_partkey", text.group_key(title).alias("key"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") % 4).alias("ref"))
+    return grouping.entity_groups(rows, "key", "ref", ["p_partkey"]).select("p_partkey", "entity_key")
+
+
+@query("""
+SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1
+""")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+@query("""
+SELECT n_nationkey, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0) AND n_nationkey IN (SELECT s_nationkey FROM supplier) AS in_both,
+  n_nationkey NOT IN (SELECT s_nationkey FROM supplier) AS no_supplier FROM nation
+""")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation", "n_nationkey")
+    debtors = table(spark, d, "customer", "c_nationkey", "c_acctbal").filter("c_acctbal < 0").select("c_nationkey")
+    suppliers = table(spark, d, "supplier", "s_nationkey")
+    both = debtors.intersect(suppliers).select(F.col("c_nationkey").alias("n_nationkey"), F.lit(True).alias("in_both"))
+    none = nation.subtract(suppliers).withColumn("no_supplier", F.lit(True))
+    return nation.join(both, "n_nationkey", "left").join(none, "n_nationkey", "left").na.fill(False, ["in_both", "no_supplier"])
+
+
+# Evidence
+
+
+@query("""
+SELECT l_orderkey, min(l_returnflag || '/' || l_linestatus) <> max(l_returnflag || '/' || l_linestatus) AS conflict,
+  CASE WHEN min(l_returnflag || '/' || l_linestatus) = max(l_returnflag || '/' || l_linestatus) THEN max(l_returnflag) END AS l_returnflag,
+  CASE WHEN min(l_returnflag || '/' || l_linestatus) = max(l_returnflag || '/' || l_linestatus) THEN max(l_linestatus) END AS l_linestatus
+FROM lineitem GROUP BY l_orderkey
+""")
+def label_conflict(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.label_conflict(_lines(spark, d), "l_orderkey", ["l_returnflag", "l_linestatus"], ["l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("""
+SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN max(l_returnflag) END AS returnflag,
+  CASE WHEN count(DISTINCT l_suppkey) = 1 THEN max(l_suppkey) END AS suppkey FROM lineitem GROUP BY l_orderkey
+""")
+def unique_or_null(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).groupBy("l_orderkey").agg(evidence.unique_or_null(F.col("l_returnflag")).alias("returnflag"), evidence.unique_or_null(F.col("l_suppkey")).alias("suppkey"))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT c_mktsegment AS key, 'c' AS source, n_name AS code FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000
+  UNION SELECT DISTINCT p_type, 's', n_name FROM (SELECT unnest(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY']) AS p_type), supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000),
+n AS (SELECT key, count(DISTINCT source) AS n_sources FROM e GROUP BY key),
+c AS (SELECT key, code, count(*) AS k FROM e GROUP BY ALL),
+g AS (SELECT key, max(n_sources) AS n_sources, list_sort(list(code) FILTER (WHERE k = n_sources)) AS codes FROM c JOIN n USING (key) GROUP BY key)
+SELECT key, n_sources, coalesce(array_to_string(codes, ' / '), '') AS codes,
+  CASE WHEN coalesce(len(codes), 0) = 0 AND n_sources > 1 THEN 'conflict' WHEN len(codes) > 1 THEN 'multiple' WHEN len(codes) = 1 THEN 'identified' ELSE 'unknown' END AS status FROM g
+""")
+def evidence_intersection(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation", "n_nationkey", F.col("n_name").alias("code"))
+    rich = table(spark, d, "customer").filter("c_acctbal > 9000").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("key"), F.lit("c").alias("source"), "code").distinct()
+    segments = F.explode(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))))
+    supplied = table(spark, d, "supplier").filter("s_acctbal > 5000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("code").distinct().select(segments.alias("key"), F.lit("s").alias("source"), "code")
+    return evidence.intersect_grouped(rich.unionByName(supplied), "key", "source", "code")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN max(l_linestatus) END AS line FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN line IS NULL OR line = nullif(o_orderstatus, 'P') OR o_orderstatus = 'P' THEN coalesce(nullif(o_orderstatus, 'P'), line) END AS status,
+  coalesce(nullif(o_orderstatus, 'P') <> line, false) AS conflict, coalesce(CASE WHEN o_orderpriority LIKE '1%' THEN o_orderpriority END, c_mktsegment, 'none') AS label
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey
+""")
+def layered_merge(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(evidence.unique_or_null(F.col("l_linestatus")).alias("line"))
+    customer = table(spark, d, "customer", F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    rows = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").join(lines, "o_orderkey", "left").join(customer, "o_custkey", "left")
+    status, conflict = evidence.null_on_conflict(F.nullif(F.col("o_orderstatus"), F.lit("P")), F.col("line"))
+    label = evidence.layered(F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")), F.col("c_mktsegment"), F.lit("none"))
+    return rows.select("o_orderkey", status.alias("status"), conflict.alias("conflict"), label.alias("label"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, md5(text) AS digest, sum((role = 'system' OR turn % 5 = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS scope FROM conversations)
+SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN digest END IGNORE NULLS) OVER (PARTITION BY conv_id, scope ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context FROM c
+""")
+def carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations", "conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
+    resets = (F.col("role") == "system") | (F.col("turn") % 5 == 0)
+    return evidence.carry_forward(rows, "conv_id", ["turn"], resets, F.when(F.col("role") == "user", F.col("digest"))).select("conv_id", "turn", "context")
+
+
+@query("""
+SELECT conv_id, turn, value FROM (SELECT conv_id, turn, role, md5(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS value FROM conversations) WHERE role = 'user'
+""")
+def lookahead_value(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations", "conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return evidence.value_after_label(rows, "conv_id", ["turn"], F.col("role") == "user", F.col("digest")).select("conv_id", "turn", "value")
+
+
+# Identity
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def anti_missing(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer", "c_custkey").join(table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("""
+SELECT p_partkey AS name, CASE WHEN p_partkey % 3 <> 0 THEN p_size WHEN p_size > 25 THEN p_partkey + 1 END AS ref_id,
+  CASE WHEN p_partkey % 3 <> 0 THEN 'unreviewed' WHEN p_size > 25 THEN 'override' ELSE 'review' END AS status FROM part
+""")
+def override_guard(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part", F.col("p_partkey").alias("name"), "p_brand", "p_type", "p_size")
+    entries = part.select("name", F.array("p_brand", "p_type").alias("sources"), F.col("p_size").cast("bigint").alias("ref_id"))
+    overrides = part.filter("name % 3 = 0").select("name", F.array(F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise("moved")).alias("sources"), (F.col("name") + 1).alias("ref_id"))
+    return identity.guarded_override(entries, overrides)
+
+
+@query("""
+WITH a AS (SELECT p_name || p_brand AS key, count(DISTINCT p_partkey) AS n, min(p_partkey) AS ref FROM part WHERE p_partkey % 4 = 0 GROUP BY 1)
+SELECT p_partkey AS name_id, CASE WHEN n = 1 THEN ref END AS ref_id, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status
+FROM part LEFT JOIN a ON key = p_name || p_brand
+""")
+def alias_unique_match(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part", F.col("p_partkey").alias("name_id"), F.concat("p_name", "p_brand").alias("key"))
+    return identity.unique_match(part, part.filter("name_id % 4 = 0").select("key", F.col("name_id").alias("ref_id")))
+
+
+_TIERS = """
+WITH p AS (SELECT p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_type) AS k1, lower(p_name || p_brand) AS k2, p_size % 3 = 0 AS codes, p_size % 2 = 0 AS plat, p_partkey - p_partkey % 8 AS root FROM part),
+r AS (SELECT * FROM p WHERE p_partkey % 4 = 0),
+c AS (SELECT p.p_partkey AS name_id, p.codes, 1 AS tier, r.p_partkey AS ref, r.root, r.plat FROM p JOIN r ON p.k1 = r.k1
+  UNION ALL SELECT p.p_partkey, p.codes, 2, r.p_partkey, r.root, r.plat FROM p JOIN r ON p.k2 = r.k2),
+f AS (SELECT * FROM c QUALIFY tier = min(tier) OVER (PARTITION BY name_id)),
+g AS (SELECT name_id, min(tier) AS tier, count(DISTINCT root) AS n_roots, coalesce(min(ref) FILTER (WHERE ref = root), min(ref)) AS pick, bool_or(codes) AS codes,
+  count(DISTINCT root) FILTER (WHERE plat) AS p_roots, min(ref) FILTER (WHERE plat) AS p_ref FROM f GROUP BY name_id),
+t AS (SELECT p_partkey AS name_id, tier, CASE WHEN n_roots = 1 THEN pick WHEN g.codes AND p_roots = 1 THEN p_ref END AS ref_id, n_roots FROM p LEFT JOIN g ON name_id = p_partkey),
+m AS (SELECT name_id, tier, ref_id, CASE WHEN n_roots IS NULL THEN 'unmatched' WHEN ref_id IS NULL THEN 'ambiguous' ELSE 'matched' END AS status FROM t)
+"""
+
+
+@query(_TIERS + "SELECT * FROM m")
+def tiered_match(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    keys = part.select(
+        F.col("p_partkey").alias("name_id"), F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("strict"), F.lower(F.concat("p_name", "p_brand")).alias("relaxed"),
+        (F.col("p_size") % 3 == 0).alias("has_codes"), (F.col("p_size") % 2 == 0).alias("on_platform"), (F.col("p_partkey") - F.col("p_partkey") % 8).alias("root_id"),
+    )
+    reference = keys.filter("name_id % 4 = 0").withColumnRenamed("name_id", "ref_id")
+    return identity.tiered_match(keys.select("name_id", "strict", "relaxed", "has_codes"), [(k, identity.candidate_index(reference, k)) for k in ("strict", "relaxed")])
+
+
+@query(_TIERS + """
+SELECT count(*) AS listings, count(DISTINCT ref_id) AS unique_ids, count(*) FILTER (WHERE status = 'matched') AS matched,
+  count(*) FILTER (WHERE status = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE status = 'unmatched') AS unmatched,
+  count(*) FILTER (WHERE status = 'matched') - count(DISTINCT ref_id) AS duplicates FROM m
+""")
+def identity_summary(spark: SparkSession, d: str) -> DataFrame:
+    return identity.identity_summary(tiered_match(spark, d))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 40 = 39 THEN p_partkey - 1 WHEN p_partkey % 40 = 38 THEN p_partkey + 1
+    WHEN p_partkey % 31 = 30 THEN -5 WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey // 2 END AS parent FROM part),
+w AS (SELECT node, node AS place, parent AS up, 0 AS n FROM e UNION ALL SELECT w.node, e.node, e.parent, n + 1 FROM w JOIN e ON e.node = w.up WHERE n < 45)
+SELECT e.node, r.root FROM e LEFT JOIN (SELECT node, place AS root FROM w WHERE up IS NULL) r USING (node)
+""")
+def hierarchy_root(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    parent = F.when(k % 40 == 39, k - 1).when(k % 40 == 38, k + 1).when(k % 31 == 30, F.lit(-5)).when(k % 7 == 0, F.lit(None)).otherwise(F.floor(k / 2))
+    return identity.hierarchy_roots(table(spark, d, "part", k.alias("node"), parent.cast("bigint").alias("parent")))
+
+
+@query("""
+WITH l AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'view') AS seen, max(ts) AS last_ts FROM events GROUP BY 1)
+SELECT user_id, last_ts >= TIMESTAMP '2024-01-30 00:00:00' AS recent, coalesce(seen >= last_ts - INTERVAL 1 DAY, false) AS fresh FROM l
+""")
+def freshness_join(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "events", "user_id", "event_type", "ts").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("seen"), F.max("ts").alias("last_ts"))
+    return seen.select("user_id", F.expr("last_ts >= TIMESTAMP_NTZ '2024-01-30 00:00:00'").alias("recent"), F.expr("coalesce(seen >= last_ts - INTERVAL 1 DAY, false)").alias("fresh"))
+
+
+@query("""
+SELECT p_partkey AS name, p_size % 5 < 3 AND p_size % 2 = 0 AS fresh FROM part
+""")
+def identity_freshness(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part", F.col("p_partkey").alias("name"), "p_size", "p_brand", "p_type")
+    listings = part.select("name", F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("ref_id"), F.array("p_brand", "p_type").alias("sources"))
+    made = part.select("name", F.when(F.col("p_size") % 5 >= 3, F.lit(-1)).when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("input_id"), F.array(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("gone")).alias("sources"))
+    return identity.fresh_identity(listings, made, "name").select("name", "fresh")
+
+
+# Coverage
+
+
+def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    reference = table(spark, d, "customer", F.col("c_custkey").alias("key"))
+    key = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey") + 10_000_000).otherwise(F.col("o_custkey"))
+    return reference, table(spark, d, "orders", key.alias("key"))
+
+
+_RECONCILED = """
+WITH c AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS key, count(*) AS n FROM orders GROUP BY 1),
+r AS (SELECT coalesce(c_custkey, key) AS key, CASE WHEN c_custkey IS NULL THEN 'outside' WHEN n IS NULL THEN 'gap' ELSE 'matched' END AS state, coalesce(n, 0) AS n_entries
+  FROM customer FULL OUTER JOIN c ON c_custkey = key)
+"""
+
+
+@query(_RECONCILED + "SELECT * FROM r")
+def reconcile_full(spark: SparkSession, d: str) -> DataFrame:
+    return coverage.reconcile(*_catalogue(spark, d), "key")
+
+
+@query(_RECONCILED + """
+SELECT count(*) FILTER (WHERE state = 'matched') AS matched, count(*) FILTER (WHERE state = 'gap') AS gaps, count(*) FILTER (WHERE state = 'outside') AS outside,
+  0::BIGINT AS local_difference, 0::BIGINT AS reference_difference FROM r
+""")
+def reconcile_invariant(spark: SparkSession, d: str) -> DataFrame:
+    reference, catalogue = _catalogue(spark, d)
+    return coverage.invariant(coverage.reconcile(reference, catalogue, "key"), reference, catalogue, "key")
+
+
+@query("""
+SELECT CASE WHEN c_custkey IS NULL THEN 'unknown customer' WHEN c_acctbal < 0 THEN 'in debt' WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_totalprice < 50000 THEN 'small' ELSE 'kept' END AS reason, count(*) AS n
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1
+""")
+def exclusion_reasons(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    reason = coverage.first_reason([("unknown customer", F.col("c_custkey").isNull()), ("in debt", F.col("c_acctbal") < 0), ("pending", F.col("o_orderstatus") == "P"), ("small", F.col("o_totalprice") < 50000)])
+    return rows.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT r_name AS region, count(DISTINCT l_orderkey) AS n_links, count(DISTINCT l_partkey) AS n_listings, count(DISTINCT l_suppkey) AS n_entities,
+  count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS n_base_entities
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1
+""")
+def region_rollup(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
+    supplier = table(spark, d, "supplier", "s_suppkey", "s_nationkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "region")
+    links = _lines(spark, d).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return coverage.region_rollup(links, "region", "l_orderkey", "l_partkey", "l_suppkey", F.col("l_returnflag") == "R")
+
+
+# Sizes, versions, requirements, dates
+
+
+@query("""
+WITH f AS (SELECT CASE WHEN n_chars % 3 <> 0 THEN sha256(text) || ':' || n_chars ELSE 'doc-' || doc_id END AS id, doc_id,
+  CASE WHEN n_chars % 7 <> 0 THEN n_chars END AS size, CASE WHEN n_chars % 7 = 0 THEN NULL WHEN n_chars % 2 = 0 THEN 'exact' ELSE 'estimated' END AS precision FROM documents),
+o AS (SELECT id, arg_min(coalesce(size, -1), doc_id) AS size, arg_min(coalesce(precision, ''), doc_id) AS precision, count(*) AS n FROM f GROUP BY id)
+SELECT sum(size) FILTER (WHERE size >= 0)::BIGINT AS known_bytes, count(*) FILTER (WHERE size >= 0) AS known, count(*) FILTER (WHERE size < 0) AS unknown,
+  count(*) FILTER (WHERE precision = 'estimated') AS estimated, sum(n - 1)::BIGINT AS duplicates FROM o
+""")
+def dedup_bytes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    files = table(spark, d, "documents").select(
+        "doc_id", F.when(n % 3 != 0, F.concat(F.sha2("text", 256), F.lit(":"), n.cast("string"))).alias("checksum_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("key"),
+        F.when(n % 7 != 0, n).alias("size_bytes"), F.when(n % 7 == 0, F.lit(None)).when(n % 2 == 0, "exact").otherwise("estimated").alias("precision"),
+    )
+    return sizing.deduplicated_bytes(files, ["doc_id"])
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN n_chars WHEN 1 THEN n_chars * 1000 + 500 WHEN 2 THEN n_chars * 1048576 END AS bytes,
+  CASE doc_id % 4 WHEN 0 THEN 'exact' WHEN 3 THEN NULL ELSE 'estimated' END AS precision FROM documents
+""")
+def size_parse(spark: SparkSession, d: str) -> DataFrame:
+    n, k = F.col("n_chars").cast("string"), F.col("doc_id") % 4
+    shown = F.when(k == 0, F.concat(n, F.lit(" bytes"))).when(k == 1, F.concat(n, F.lit(".5 KB"))).when(k == 2, F.concat(n, F.lit(" MiB"))).otherwise(F.concat(F.lit("about "), n, F.lit(" MB")))
+    size, precision = versions.parse_size(shown)
+    return table(spark, d, "documents", "doc_id", "n_chars").select("doc_id", size.alias("bytes"), precision.alias("precision"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN n_chars < 1000 THEN n_chars || ' B' ELSE regexp_replace(round(n_chars * 0.001, 2)::DECIMAL(18, 2)::VARCHAR, '\\.?0+$', '') || ' KB' END AS shown FROM documents WHERE n_chars < 900000
+""")
+def size_format(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "n_chars").filter("n_chars < 900000").select("doc_id", versions.format_size(F.col("n_chars")).alias("shown"))
+
+
+@query("""
+WITH v AS (SELECT DISTINCT l_linenumber AS a1, l_quantity::INT AS a2, (l_tax * 100)::INT AS b1 FROM lineitem)
+SELECT a1 || '.' || a2 AS a, b1 || '.' || a2 || '.0' AS b, CASE WHEN a1 < b1 THEN -1 WHEN a1 > b1 THEN 1 ELSE 0 END AS sign FROM v
+""")
+def version_compare(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem", F.col("l_linenumber").cast("string").alias("a1"), F.col("l_quantity").cast("int").cast("string").alias("a2"), F.round(F.col("l_tax") * 100).cast("int").cast("string").alias("b1")).distinct()
+    a, b = F.concat_ws(".", "a1", "a2"), F.concat_ws(".", "b1", "a2", F.lit("0"))
+    return rows.select(a.alias("a"), b.alias("b"), versions.compare_versions(a, b).alias("sign"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size % 6 AS k, CASE p_size % 6 WHEN 0 THEN '5.05/6.72/7.xx' WHEN 1 THEN '5.05+' WHEN 2 THEN '9.00' WHEN 3 THEN '5.05-9.00' WHEN 4 THEN NULL ELSE '9.xx+' END AS label,
+  CASE p_partkey % 5 WHEN 0 THEN '7.55' WHEN 1 THEN '9.00' WHEN 2 THEN '5.05' WHEN 3 THEN '' ELSE '9' END AS target FROM part)
+SELECT p_partkey, target, label, CASE WHEN target = '' THEN 'unchecked' WHEN target = '9' THEN 'invalid' WHEN k IN (3, 4, 5) THEN 'unknown'
+  WHEN k = 0 AND target IN ('7.55', '5.05') THEN 'fits' WHEN k = 1 THEN 'fits' WHEN k = 2 AND target = '9.00' THEN 'fits' ELSE 'not-listed' END AS state FROM p
+""")
+def requirement_state(spark: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("p_size") % 6, F.col("p_partkey") % 5
+    label = F.when(k == 0, "5.05/6.72/7.xx").when(k == 1, "5.05+").when(k == 2, "9.00").when(k == 3, "5.05-9.00").when(k == 5, "9.xx+")
+    target = F.when(t == 0, "7.55").when(t == 1, "9.00").when(t == 2, "5.05").when(t == 3, "").otherwise("9")
+    rows = table(spark, d, "part", "p_partkey", target.alias("target"), label.alias("label"))
+    return rows.withColumn("state", versions.requirement_state(F.col("target"), F.col("label"), F.lit(None).cast("string"), F.lit(False)))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, year(o_orderdate)::INT AS y, CASE WHEN o_orderkey % 4 <> 0 THEN month(o_orderdate)::INT + (o_orderkey % 11 = 0)::INT * 12 END AS m,
+  CASE WHEN o_orderkey % 4 > 1 THEN day(o_orderdate)::INT END AS d FROM orders),
+s AS (SELECT o_orderkey, m, d, y, try_cast(printf('%04d-%02d-%02d', y, coalesce(m, 1), coalesce(d, 1)) AS DATE) AS date FROM o)
+SELECT o_orderkey, CASE WHEN date <= DATE '2000-06-30' THEN date::VARCHAR END AS date,
+  CASE WHEN date <= DATE '2000-06-30' THEN CASE WHEN m IS NULL THEN printf('%04d', y) WHEN d IS NULL THEN printf('%04d-%02d', y, m) ELSE printf('%04d-%02d-%02d', y, m, d) END END AS label FROM s
+""")
+def partial_date_start(spark: SparkSession, d: str) -> DataFrame:
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    month = F.when(k % 4 != 0, F.month(at) + F.when(k % 11 == 0, 12).otherwise(0))
+    date, label = dates.start_of_period(F.col("y"), F.col("m"), F.col("d"), F.lit("2000-06-30").cast("date"))
+    rows = table(spark, d, "orders", "o_orderkey", F.year(at).alias("y"), month.alias("m"), F.when(k % 4 > 1, F.day(at)).alias("d"))
+    return rows.select("o_orderkey", date.cast("string").alias("date"), label.alias("label"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderdate::DATE AS d FROM orders),
+e AS (SELECT o_orderkey, CASE k WHEN 0 THEN d WHEN 1 THEN last_day(make_date(year(d), ((month(d) + 2) // 3) * 3, 1)) WHEN 2 THEN make_date(year(d), 12, 31) WHEN 3 THEN last_day(d) ELSE NULL END AS date FROM o)
+SELECT o_orderkey, CASE WHEN date <= DATE '2000-06-30' AND date >= DATE '1996-01-01' THEN date::VARCHAR END AS date FROM e
+""")
+def partial_date_end(spark: SparkSession, d: str) -> DataFrame:
+    k, at = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    year = F.year(at)
+    human = F.when(k == 0, F.date_format(at, "MMM d, yyyy")).when(k == 1, F.concat(F.lit("Q"), F.ceil(F.month(at) / 3).cast("string"), F.lit(" "), year.cast("string"))).when(k == 2, year.cast("string")).when(k == 4, "TBD")
+    rows = table(spark, d, "orders", "o_orderkey", human.alias("human"), year.alias("y"), F.month(at).alias("m"))
+    date = dates.end_of_period(F.col("human"), F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.col("y"), F.col("m"), F.lit("2000-06-30").cast("date"), first_year=1996)
+    return rows.select("o_orderkey", date.cast("string").alias("date"))
+
+
+# Incremental state
+
+
+@query("SELECT event_type, CASE WHEN value > 20 THEN 'high' ELSE 'pending' END AS state, count(*) AS n FROM events GROUP BY ALL")
+def status_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.status_histogram(table(spark, d, "events", "event_type", "value"), ["event_type"], F.when(F.col("value") > 20, "high"))
+
+
+@query("""
+WITH m AS (SELECT *, event_type = 'error' AS failed, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)
+SELECT user_id, min(ts) AS run_start, count(*) AS n_failures FROM m WHERE failed GROUP BY user_id, run HAVING count(*) >= 3
+""")
+def breaker_runs(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.breaker_runs(table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+
+
+_DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '')"
+
+
+@query(f"SELECT page_id, {_DOMAIN} AS domain, turn FROM (SELECT page_id, url, row_number() OVER (PARTITION BY {_DOMAIN} ORDER BY page_id) AS turn FROM pages) WHERE turn <= 20")
+def round_robin(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages", "page_id", urls.domain(F.col("url")).alias("domain"))
+    return incremental.round_robin(rows, "domain", ["page_id"], budget=20)
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 100")
+def queue_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderdate")
+    return incremental.queue_order(rows, [F.asc("o_orderpriority"), F.asc("o_orderdate"), F.asc("o_orderkey")], 100).drop("o_orderdate")
+
+
+_STICKY = """
+WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_attempt, max((ts, event_id)) FILTER (WHERE event_type = 'error') AS stuck,
+  max((ts, event_id)) FILTER (WHERE event_type = 'signup') AS freed FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN stuck IS NOT NULL AND (freed IS NULL OR stuck > freed) THEN 'error' ELSE last_attempt END AS state, last_attempt FROM l
+"""
+
+
+@query(_STICKY)
+def sticky_status(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.sticky_fold(table(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type", sticky="error", releases="signup")
+
+
+@query(_STICKY)
+def sticky_status_stream(spark: SparkSession, d: str) -> DataFrame:
+    return states.sticky_from_files(spark, f"{d}/events.parquet")
+
+
+@query("""
+WITH s AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1), c AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 1 AND event_type = 'view' GROUP BY 1)
+SELECT user_id, coalesce(c.n, s.n) AS n FROM s FULL OUTER JOIN c USING (user_id) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')
+""")
+def state_upsert(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events", "event_id", "user_id", "event_type")
+    count = lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    merged = incremental.upsert(count(events.filter("event_id % 3 = 0")), count(events.filter("event_id % 3 = 1 AND event_type = 'view'")), "user_id")
+    return incremental.retain(merged, events.filter("event_type = 'purchase'"), "user_id")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events GROUP BY 1")
+def availability_window(spark: SparkSession, d: str) -> DataFrame:
+    return states.availability(table(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# URLs, HTML, JSON, labels
+
+
+@query(f"""
+SELECT {_DOMAIN} AS domain, count(*) AS n, count(*) FILTER (WHERE {_DOMAIN} = 'example.com' OR {_DOMAIN} LIKE '%.example.com') AS n_com,
+  count(*) FILTER (WHERE regexp_matches(url, '^https?://[A-Za-z0-9.-]+([/?#]|$)')) AS n_valid FROM pages GROUP BY 1
+""")
+def url_domain_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages", "url", urls.domain(F.col("url")).alias("domain"))
+    return rows.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(urls.in_domain(F.col("domain"), "example.com")).alias("n_com"), F.count_if(urls.is_valid(F.col("url"))).alias("n_valid"))
+
+
+@query()
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    return html.visible_text(table(spark, d, "pages"))
+
+
+@query()
+def html_links(spark: SparkSession, d: str) -> DataFrame:
+    return html.links(table(spark, d, "pages"))
+
+
+@query("SELECT event_type, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY 1")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events", "event_type", html.embedded_json(F.col("props"), "$.k").cast("bigint").alias("k"))
+    return rows.groupBy("event_type").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'USA' WHEN 1 THEN 'EUR/USA' WHEN 2 THEN '' WHEN 3 THEN 'JPN' ELSE 'KOR' END AS listed,
+  CASE p_partkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN '' ELSE 'ASIA/JPN' END AS tagged FROM part
+""")
+def region_codes(spark: SparkSession, d: str) -> DataFrame:
+    k, t = F.col("p_size") % 5, F.col("p_partkey") % 3
+    listed = F.when(k == 0, "United States, US").when(k == 1, "Europe/usa + EU").when(k == 2, "Atlantis").when(k == 3, "japan").otherwise("South_Korea;KR")
+    tagged = F.when(t == 0, "The Last of Us EUR disc").when(t == 1, "all of us, in asia").otherwise("name [Asia/JP] v1")
+    join = lambda c: F.array_join(c, "/")
+    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", join(text.parse_regions(listed)).alias("listed"), join(text.region_tokens(tagged)).alias("tagged"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'base' WHEN 1 THEN 'update' WHEN 2 THEN 'bundle' WHEN 3 THEN 'dlc' WHEN 4 THEN 'fix' END AS kind,
+  CASE WHEN p_partkey % 6 IN (1, 2) THEN '1.' || (p_size + 10) END AS version, CASE p_partkey % 6 WHEN 1 THEN '5.05/6.72' WHEN 4 THEN '9.00+' END AS requirement,
+  CASE WHEN p_partkey % 6 = 4 THEN 'Backport / fix' END AS variant FROM part
+""")
+def label_details(spark: SparkSession, d: str) -> DataFrame:
+    k, v = F.col("p_partkey") % 6, (F.col("p_size") + 10).cast("string")
+    label = (
+        F.when(k == 0, F.lit("Game_base")).when(k == 1, F.concat(F.lit("Update v1."), v, F.lit(" (5.05 / 6.72)"))).when(k == 2, F.concat(F.lit("Base game + update 1."), v))
+        .when(k == 3, F.lit("DLCs pack")).when(k == 4, F.lit("Backport fix 5 (fw 9.00+)")).otherwise(F.lit("readme v2.0 and v3.0"))
+    )
+    rows = table(spark, d, "part", "p_partkey", label.alias("label"))
+    found = text.label_details(F.col("label"))
+    return rows.select("p_partkey", *(c.alias(n) for n, c in found.items()))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'limited' WHEN p_partkey % 7 = 1 THEN 'restricted' WHEN p_partkey % 7 = 2 THEN 'unknown' WHEN p_partkey % 7 = 3 THEN 'missing' WHEN p_partkey % 7 = 4 THEN 'present' WHEN p_partkey % 7 = 5 THEN 'unknown' ELSE 'restricted' END AS state FROM part
+""")
+def response_states(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 7
+    code = F.when(k == 0, 429).when(k == 1, 403).when(k == 2, 404).when(k.isin(3, 4, 6), 200).otherwise(503)
+    body = F.when(k == 3, "File not found").when(k == 6, "Captcha: file deleted").when(k == 4, "Download").otherwise("")
+    return table(spark, d, "part", "p_partkey").select("p_partkey", html.response_state(code, body).alias("state"))
+
+
+@query("SELECT p_partkey, 'archive' AS grp, (p_size)::INT AS part FROM part")
+def multipart_names(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 2
+    url = F.concat(F.lit("https://files.example.org/d/archive"), F.when(k == 0, F.format_string(".part%02d.rar", "p_size")).otherwise(F.format_string(".7z.%03d", "p_size")), F.lit("?ref=x"))
+    name = urls.file_name(F.regexp_replace(url, r"\.7z\.(\d+)", ".7z.$1"), "rar|\\d{3}")
+    grp, number = urls.multipart(name)
+    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", grp.alias("grp"), number.alias("part"))
+
+
+@query()
+def title_keys(spark: SparkSession, d: str) -> DataFrame:
+    title = F.concat(F.lit("Él&#39;Dorado "), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " II FPKG").otherwise(" & Straße"))
+    return table(spark, d, "part", "p_partkey", title.alias("title")).select("p_partkey", text.import_key("title").alias("import_key"), text.strict_key("title").alias("strict_key"), text.relaxed_key("title").alias("relaxed_key"), text.slug(F.col("title")).alias("slug"))
+
+
+@query()
+def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprint(table(spark, d, "orders"))
