@@ -63,7 +63,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 25, least_shar
     length) consecutive item tokens, of which at least least_share equal the document's tokens
     opposite, make the document contaminated. most_seeds bounds the broadcast rows (24 bytes each).
     """
-    folder = shared_dir(docs.sparkSession)
+    folder, docs = shared_dir(docs.sparkSession), docs.select("doc_id", "text")
     items = _tokenised(benchmark, "item_id")
     n_seeds = items.select(F.sum(F.greatest(F.lit(0), F.size("tokens") - SPAN + 1) * len(MASKS))).first()[0] or 0
     blocks = max(1, -(-n_seeds // most_seeds))

@@ -8,7 +8,8 @@ number; entities whose surrogates collide, with one another or with a real entit
 try until none do. Only those few have a try number other than 0, kept in a table.
 
 Defined cases: null texts stay null and empty texts empty. A text without entities is unchanged.
-Null doc_ids are kept, and repeated rows are changed alike. Extra input columns are kept.
+Null doc_ids are kept, and repeated rows are changed alike. Extra input columns are kept, except
+that a column n_entities is replaced.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ def _surrogate(entity: Column, kind: Column, draw: Column) -> Column:
     digest = draw["digest"]
     head = F.regexp_extract(entity, r"^(?i:(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*\"?)", 0)
     secret = F.concat(head, _masked(F.substr(entity, F.char_length(head) + 1), draw))
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    mail = F.concat(_masked(F.lower(local), draw), F.lit("@"), _masked(F.regexp_extract(domain, r"^([^.]+)", 1), draw, 64), F.lit(".example."), F.regexp_extract(domain, r"([^.]+)$", 1))
+    local, domain = F.substring_index(F.lower(entity), "@", 1), F.substring_index(F.lower(entity), "@", -1)
+    mail = F.concat(_masked(local, draw), F.lit("@"), _masked(F.regexp_extract(domain, r"^([^.]+)", 1), draw, 64), F.lit(".example."), F.regexp_extract(domain, r"([^.]+)$", 1))
     octet = lambda i: F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int")
     ip = F.concat_ws(".", (1 + octet(0) % 223).cast("string"), *((octet(i) % 256).cast("string") for i in (1, 2, 3)))
     # A card keeps its first digit. The last one is set so that a valid number stays valid and
@@ -175,17 +176,17 @@ def replace_entities(docs: DataFrame, key: str = "tallystone") -> DataFrame:
     hinted = docs.filter(F.col("text").rlike(HINT))
     known = written(entities(hinted.select("text")), f"{folder}/entities")
     moved = collisions(known, key, folder)
-    rows = docs.withColumn("_found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))))
+    rows = docs.withColumn("__found", F.when(F.col("text").rlike(HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))))
     tries = None
     if moved is not None:
         # Documents that hold a moved entity get a map of try numbers; others are not joined to any.
         spelled = known.join(moved, "id").select("entity", "tries")
-        held = hinted.select(F.col("doc_id").alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))).alias("entity")).join(spelled, "entity").select("_id", "entity", "tries").distinct()
-        maps = held.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "tries"))).alias("_tries"))
-        rows = rows.join(maps, rows["doc_id"].eqNullSafe(maps["_id"]), "left").drop("_id")
-        tries = F.col("_tries")
-    made = surrogates(F.col("_found"), key, lambda e: F.lit(0) if tries is None else F.coalesce(F.try_element_at(tries, e), F.lit(0)))
+        held = hinted.select(F.col("doc_id").alias("__id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))).alias("entity")).join(spelled, "entity").select("__id", "entity", "tries").distinct()
+        maps = held.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "tries"))).alias("__tries"))
+        rows = rows.join(maps, rows["doc_id"].eqNullSafe(maps["__id"]), "left").drop("__id")
+        tries = F.col("__tries")
+    made = surrogates(F.col("__found"), key, lambda e: F.lit(0) if tries is None else F.coalesce(F.try_element_at(tries, e), F.lit(0)))
     parts = F.split(F.col("text"), ANY, -1)
     woven = F.array_join(F.zip_with(parts, made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    has = F.size("_found") > 0
-    return rows.withColumns({"n_entities": F.when(has, F.size("_found")).otherwise(0).cast("long"), "text": F.when(has, woven).otherwise(F.col("text"))}).drop("_found", "_tries")
+    has = F.size("__found") > 0
+    return rows.withColumns({"n_entities": F.when(has, F.size("__found")).otherwise(0).cast("long"), "text": F.when(has, woven).otherwise(F.col("text"))}).drop("__found", "__tries")

@@ -88,7 +88,8 @@ class FuzzyLexicon:
             self._sets.append(states)
             self._steps.append({})
             plain = max((self.best[n][0] for n, e in states if e == 0), default=0.0)
-            self._ends.append((plain, False) if plain else (max((self.best[n][1] for n, e in states if e == 1), default=0.0), True))
+            edited = max((self.best[n][1] for n, e in states if e == 1), default=0.0)
+            self._ends.append((plain, False) if plain else (edited, edited > 0))
         return self._number[states]
 
     def _step(self, state: int, c: str) -> int:
