@@ -76,6 +76,49 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, pos int, url string, label string")
 
 
+class _Events(HTMLParser):
+    """Headings, separators and links in page order, from which context is carried to links."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.events: list[list[str]] = []
+        self.into: list[str] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if re.fullmatch("h[1-6]", tag):
+            self.into = ["heading", ""]
+            self.events.append(self.into)
+        elif tag == "hr":
+            self.events.append(["break", ""])
+        elif tag == "a" and (href := dict(attrs).get("href")):
+            self.events.append(["link", href])
+
+    def handle_endtag(self, tag: str) -> None:
+        if re.fullmatch("h[1-6]", tag):
+            self.into = None
+
+    def handle_data(self, data: str) -> None:
+        if self.into:
+            self.into[1] += data
+
+
+def events(pages: DataFrame) -> DataFrame:
+    """page_id, pos, kind (heading, break or link) and value, in page order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for page_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                reader = _Events()
+                reader.feed(text or "")
+                reader.close()
+                rows += [(page_id, n, kind, re.sub(r"\s+", " ", value).strip()) for n, (kind, value) in enumerate(reader.events)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["page_id", "pos", "kind", "value"])
+
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, pos int, kind string, value string")
+
+
 def response_state(code: Column, body: Column) -> Column:
     """present, missing, restricted, limited or unknown. A bare 404 says nothing; restriction beats missing."""
     text = F.lower(F.coalesce(body, F.lit("")))

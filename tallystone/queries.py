@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import dates, html, text, urls, versions
-from tallystone.operators import coverage, evidence, facets, grouping, identity, incremental, recommend, sizing
+from tallystone.operators import coverage, evidence, facets, grouping, identity, incremental, links, recommend, sizing
 from tallystone.sources.sinks import fingerprint
 from tallystone.sources.tables import table
 from tallystone.streaming import states
@@ -659,6 +659,100 @@ def multipart_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", grp.alias("grp"), number.alias("part"))
 
 
+@query(f"""
+SELECT page_id, CASE WHEN {_DOMAIN} = 'example.com' OR {_DOMAIN} LIKE '%.example.com' THEN 'commercial' WHEN {_DOMAIN} LIKE '%.example.org' THEN 'community' ELSE 'Other' END AS label,
+  CASE WHEN {_DOMAIN} LIKE '%.example.com' OR {_DOMAIN} LIKE '%.example.org' THEN 'main' ELSE 'other' END AS grp,
+  {_DOMAIN} LIKE '%.example.net' AS allowed FROM pages
+""")
+def link_classes(spark: SparkSession, d: str) -> DataFrame:
+    url = F.col("url")
+    label, grp = links.classify(url, [("example.com", "commercial", "main"), ("example.org", "community", "main")], ("Other", "other"))
+    return table(spark, d, "pages", "page_id", "url").select("page_id", label.alias("label"), grp.alias("grp"), links.allowed(url, ["example.net"]).alias("allowed"))
+
+
+@query("""
+SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09)
+  AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 3) AND o_custkey % 7 <> 0
+""")
+def surviving_links(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_discount", "l_quantity")
+    orders = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    return links.surviving(orders, "o_orderkey", [lines.filter("l_discount > 0.09"), lines.filter("l_quantity < 3")], orders.filter("o_custkey % 7 = 0")).select("o_orderkey")
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS n_missing FROM lineitem WHERE l_discount > 0.09 OR l_quantity < 3")
+def missing_keys(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_discount", "l_quantity")
+    return links.distinct_keys([lines.filter("l_discount > 0.09"), lines.filter("l_quantity < 3")], "l_orderkey").agg(F.count("*").alias("n_missing"))
+
+
+@query("""
+SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, c_mktsegment) AS kind, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END, c_nationkey::VARCHAR) AS region
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+""")
+def metadata_fallback(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    own = table(spark, d, "orders", k, "o_custkey", F.when(k % 3 == 0, F.col("o_orderpriority")).alias("kind"), F.when(k % 5 == 0, F.col("o_orderstatus")).alias("region"))
+    details = table(spark, d, "customer", F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").cast("string").alias("region"))
+    return links.with_fallback(own, details, "o_custkey", ["kind", "region"]).select("o_orderkey", "kind", "region")
+
+
+@query("""
+WITH f AS (SELECT l_orderkey, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT o_orderkey, concat_ws(',', 'page', s) AS links FROM orders LEFT JOIN f ON l_orderkey = o_orderkey
+""")
+def append_links(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "lineitem", F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").cast("string").alias("url"), "l_returnflag").filter("l_returnflag = 'R'").withColumn("pos", F.col("url"))
+    rows = table(spark, d, "orders", "o_orderkey").withColumn("links", F.array(F.lit("page")))
+    return links.append_links(rows, found, "o_orderkey", "links", "pos").select("o_orderkey", F.array_join("links", ",").alias("links"))
+
+
+@query("""
+SELECT p_partkey, coalesce(CASE WHEN p_size IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 3000) OR p_size + 1 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 3000) THEN 'changed' END, 'old') AS status FROM part
+""")
+def membership_update(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part", "p_partkey", F.array(F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")).alias("links")).withColumn("status", F.lit("old"))
+    changes = table(spark, d, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").cast("string").alias("url"), F.lit("changed").alias("status"))
+    return links.update_by_membership(rows, "p_partkey", "links", changes, "status").select("p_partkey", "status")
+
+
+@query("""
+WITH l AS (SELECT l_partkey, l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'base' WHEN 'R' THEN 'update' ELSE 'extra' END AS kind, l_discount > 0.08 AS suggested FROM lineitem)
+SELECT l_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY suggested DESC, CASE kind WHEN 'base' THEN 0 WHEN 'update' THEN 1 ELSE 6 END, l_linenumber DESC, l_orderkey) AS place FROM l
+""")
+def release_order(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "A", "base").when(F.col("l_returnflag") == "R", "update").otherwise("extra")
+    order = links.release_order(kind, F.col("l_discount") > 0.08, versions.version_key(F.col("l_linenumber").cast("string")), "l_orderkey")
+    rows = table(spark, d, "lineitem", "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_discount")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("l_partkey").orderBy(*order))).select("l_partkey", "l_orderkey", "l_linenumber", "place")
+
+
+@query(f"""
+SELECT {_DOMAIN} AS domain, arg_min(page_id, (CASE WHEN length(html) % 3 = 0 THEN 1 ELSE 0 END, length(html), page_id)) AS page_id FROM pages GROUP BY 1
+""")
+def domain_sample(spark: SparkSession, d: str) -> DataFrame:
+    n = F.char_length("html")
+    rows = table(spark, d, "pages", "page_id", urls.domain(F.col("url")).alias("domain"), F.when(n % 3 == 0, 1).otherwise(0).alias("unknown"), n.alias("size"))
+    return grouping.first_wins(rows, ["domain"], ["unknown", "size", "page_id"]).select("domain", "page_id")
+
+
+@query("""
+SELECT lang, count(*) FILTER (WHERE quality IS NOT NULL) AS n_evidence, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS n_conflict, bool_or(toxic = 1) AS any_toxic,
+  count(*) FILTER (WHERE quality IS NULL AND source <> 'src0') AS pending FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
+""")
+def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents", "doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.groupBy("lang").agg(
+        F.count_if(F.col("quality").isNotNull()).alias("n_evidence"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("n_conflict"),
+        F.bool_or(F.col("toxic") == 1).alias("any_toxic"), F.count_if(F.col("quality").isNull() & (F.col("source") != "src0")).alias("pending"),
+    )
+
+
+@query()
+def html_context(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.carry_forward(html.events(table(spark, d, "pages")), "page_id", ["pos"], F.col("kind") == "break", F.when(F.col("kind") == "heading", F.col("value"))).filter("kind = 'link'").select("page_id", "pos", "value", "context")
+
+
 @query()
 def title_keys(spark: SparkSession, d: str) -> DataFrame:
     title = F.concat(F.lit("Él&#39;Dorado "), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " II FPKG").otherwise(" & Straße"))
