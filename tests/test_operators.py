@@ -31,8 +31,8 @@ def test_entity_grouping_equals_the_sequential_rule(spark):
 
 def test_evidence(spark):
     one = lambda *a: F.array(*map(F.lit, a)) if a else F.array().cast("array<string>")
-    cases = {(): ([], "unknown"), (one("A"),): (["A"], "identified"), (one("A", "B"), one()): (["A", "B"], "multiple"), (one("A", "B"), one("B")): (["B"], "identified"), (one("A"), one("B")): ([], "conflict")}
-    for sources, want in cases.items():
+    cases = [((), ([], "unknown")), ((one("A"),), (["A"], "identified")), ((one("A", "B"), one()), (["A", "B"], "multiple")), ((one("A", "B"), one("B")), (["B"], "identified")), ((one("A"), one("B")), ([], "conflict"))]
+    for sources, want in cases:
         codes, status = evidence.intersect_evidence(list(sources) or [one()])
         row = spark.range(1).select(codes.alias("c"), status.alias("s")).first()
         assert (row.c, row.s) == want
