@@ -58,6 +58,24 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"), n_shards=16)
 
 
+#: The checksum's table and steps are written out, since DuckDB has no CRC-32.
+OP3_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM d, tab),
+j AS (
+  SELECT doc_id, doc_id::UHUGEINT AS k, 0::BIGINT AS j, -1::BIGINT AS b16, -1::BIGINT AS b17 FROM documents
+  UNION ALL
+  SELECT doc_id, k2, floor((j + 1) * (2147483648::DOUBLE / ((k2 // 8589934592)::DOUBLE + 1)))::BIGINT, CASE WHEN j < 16 THEN j ELSE b16 END, j
+  FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616::UHUGEINT AS k2 FROM j) WHERE j < 17),
+s AS (SELECT doc_id, max(b16) AS shard, max(b17) AS grown_shard FROM j GROUP BY doc_id),
+r AS (SELECT *, ((doc_id % 2147483648) * 2654435761 + text_crc32) % 1024 AS bucket FROM crc JOIN s USING (doc_id))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard::INT AS grown_shard FROM r
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
@@ -119,4 +137,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op3_sharding": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
