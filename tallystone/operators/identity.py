@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.sources.tables import working_dir, written
+
 def unique_match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """name_id, ref_id, status: matched only if a key has exactly one candidate id.
 
@@ -68,9 +70,12 @@ def hierarchy_roots(edges: DataFrame, most_depth: int = 40) -> DataFrame:
 
     Pointer doubling: each round replaces a node's pointer by its pointer's pointer, so a chain of
     length n takes log2(n) joins. Roots point at themselves; a dangling parent or a cycle gives null.
+    Each round joins a table with itself, so it is written first; else plans would double too.
     """
+    folder = working_dir(edges.sparkSession)
     step = edges.select("node", F.coalesce("parent", "node").alias("up"))
-    for _ in range(max(1, (most_depth - 1).bit_length())):
+    for n in range(max(1, (most_depth - 1).bit_length())):
+        step = written(step, f"{folder}/pointers-{n}")
         above = step.select(F.col("node").alias("up"), F.col("up").alias("next"))
         # A dangling pointer has no row and becomes null; a null stays null.
         step = step.join(above, "up", "left").select("node", F.col("next").alias("up"))

@@ -27,6 +27,12 @@ def working_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallystone-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Cuts lineage: writes df at a shared path and rereads it with its schema."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str = LISTING) -> DataFrame:
     """A JSON array of records; a file that is no array of objects fails."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
