@@ -143,6 +143,8 @@ def marked(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     ).withColumn("payload_digest", F.sha2("payload", 256))
     large = rows.filter(F.octet_length("payload") >= least_bytes)
     copies = large.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id")).filter("n > 1").select("payload_digest", "first_id")
+    # Written first: its size is then known, and a join that shuffles can split a hot digest's rows.
+    copies = written(copies, f"{shared_dir(pages.sparkSession)}/copies")
     joined = rows.join(copies, "payload_digest", "left")
     refers = F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     return joined.select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
