@@ -187,7 +187,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 5
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_docs: int = 4, most_terms: int = 20_000) -> Model:
     """Learns from about sample_rows labelled rows outside the held-out third (all if there are fewer).
 
-    The sample is a hash threshold on the id, so it is the same however the table is split.
+    The sample is a hash threshold on the id, so it is the same however the table is split, and
+    sample_rows bounds the (id, label) pairs that are broadcast to pick the texts without a shuffle.
     Word counts are made on the executors; at most most_terms terms and one feature pair per
     sampled row reach the driver.
     """
@@ -197,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
     n = usable.count()
     share = min(1.0, sample_rows / max(1, n))
     picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
     rows = rows.filter("text IS NOT NULL")
     words = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))  # copies count once
     split = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1)))
