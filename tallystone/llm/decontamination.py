@@ -3,13 +3,13 @@
 A seed is a fixed mask over consecutive tokens; positions outside the mask are ignored, so a seed
 still hits where those tokens were substituted. Seeds of benchmark items are joined with seeds at
 every token position of every document; at each shift that a hit names, the item is laid over the
-document and equal tokens are counted, which tolerates substitutions.
+document and equal tokens are counted, which tolerates substitutions. The masks are chosen by an
+item's length so that no qualifying overlap is without a hit, wherever its substitutions are.
 
 The benchmark is the broadcast side, and its size is checked: beyond ``most_seeds`` it is dealt
 into blocks by item, each under the bound, and the documents are read once per block.
 
-Defined cases: null and empty texts have no tokens and no overlap. Items with fewer tokens than the
-longest mask (11) have no seeds and are not searched. Several rows with one doc_id or item_id are
+Defined cases: null and empty texts have no tokens and no overlap. Several rows with one doc_id or item_id are
 one document or item in the result, at their best overlap; null ids are kept. Extra input columns
 are not read.
 """
@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.common import shared_dir, written
 
-#: Token positions that each mask reads. The masks leave free every third, fourth and fifth
-#: position in turn, so that regular substitutions at those distances still leave hits.
-MASKS = ((0, 1, 3, 4, 6, 7, 9), (0, 1, 2, 4, 5, 6, 8), (0, 1, 3, 5, 6, 8, 10))
-SPAN = 11
+#: Token positions that each mask reads. However 2 of 10 or 3 of 15 tokens are substituted, one of
+#: MASKS still fits between them. As any window of 10 or more tokens can be dealt into blocks of 10
+#: and 15 (and a rest), and one block holds no more than its fifth of the substitutions, this proves
+#: all windows from 10 tokens with up to a fifth substituted. SHORT_MASKS do it for 1 of 5 to 9.
+MASKS = ((0, 1, 3, 4, 5), (0, 1, 5, 7, 8), (0, 1, 2, 3, 4))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+#: Tokens that an item needs to be searched.
+SPAN = 1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,19 +41,33 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: str) -> str:
-    """SQL: the hashes of each mask at all positions where the longest one fits, mask after mask."""
-    last = f"size({tokens}) - {SPAN}"
-    at = lambda n, mask: f"xxhash64({n}, " + ", ".join(f"{tokens}[i + {p}]" for p in mask) + ")"
-    each = ", ".join(f"transform(sequence(0, {last}), i -> {at(n, mask)})" for n, mask in enumerate(MASKS))
-    return f"if(size({tokens}) >= {SPAN}, concat({each}), array())"
+def masks_for(window: int, least_share: float) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one hits in any window of that many tokens with at least least_share equal."""
+    free = max(k for k in range(window + 1) if window - k >= least_share * window or k == 0)
+    if 1 <= free <= window // 5:
+        return MASKS if window >= 10 else SHORT_MASKS
+    run = max(1, -(-(window - free) // (free + 1)))  # some run between substitutions is that long
+    return (tuple(range(min(run, 5))),)
 
 
-def _placed(rows: DataFrame, ident: str, place: str) -> DataFrame:
-    """ident, place and seed, one row per seed of rows (ident, tokens). No row carries the tokens."""
-    n = f"(size(tokens) - {SPAN - 1})"
-    seeds = rows.select(ident, F.expr(n).alias("_n"), F.posexplode(F.expr(_seeds("tokens"))).alias("_pos", "seed"))
-    return seeds.select(ident, F.expr("_pos % _n").alias(place), "seed")
+def _placed(rows: DataFrame, ident: str, place: str, masks: dict[tuple[int, ...], list[int] | None], window: int) -> DataFrame:
+    """ident, place and seed, one row per seed of rows (ident, tokens). No row carries the tokens.
+
+    Each mask is placed wherever its own span fits. The values of masks are the window lengths of
+    the items that it is for; None places it in all rows.
+    """
+    steps = range(max((m[-1] for m in masks), default=0) + 1)
+    beside = F.arrays_zip(*(F.slice("tokens", p + 1, F.size("tokens")).alias(f"t{p}") for p in steps))
+    # Not in lambdas, which Spark interprets: a row per position with the tokens from there on.
+    at = rows.select(ident, F.least(F.lit(window), F.size("tokens")).alias("_w"), F.posexplode(beside).alias(place, "_t"))
+
+    def seed(mask: tuple[int, ...], lengths: list[int] | None) -> Column:
+        fits = F.col(f"_t.t{mask[-1]}").isNotNull()
+        fits = fits if lengths is None else fits & F.col("_w").isin(lengths)
+        return F.when(fits, F.xxhash64(F.lit(",".join(map(str, mask))), *(F.col(f"_t.t{p}") for p in mask)))
+
+    seeds = F.array(*(seed(m, n) for m, n in masks.items())) if masks else F.array().cast("array<bigint>")
+    return at.select(ident, place, F.explode(seeds).alias("seed")).filter("seed IS NOT NULL")
 
 
 def _tokenised(rows: DataFrame, ident: str) -> DataFrame:
@@ -65,13 +83,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 25, least_shar
     """
     folder, docs = shared_dir(docs.sparkSession), docs.select("doc_id", "text")
     items = _tokenised(benchmark, "item_id")
-    n_seeds = items.select(F.sum(F.greatest(F.lit(0), F.size("tokens") - SPAN + 1) * len(MASKS))).first()[0] or 0
+    # At most one row per window length.
+    lengths = items.groupBy(F.least(F.lit(window), F.size("tokens")).alias("w")).agg(F.sum(F.size("tokens")).alias("n")).filter(F.col("w") >= SPAN).collect()
+    masks: dict[tuple[int, ...], list[int]] = {}
+    for r in lengths:
+        for mask in masks_for(r.w, least_share):
+            masks.setdefault(mask, []).append(r.w)
+    n_seeds = sum(r.n * len(masks_for(r.w, least_share)) for r in lengths)
     blocks = max(1, -(-n_seeds // most_seeds))
-    seeded = _placed(_tokenised(docs, "doc_id"), "doc_id", "at")
+    seeded = _placed(_tokenised(docs, "doc_id"), "doc_id", "at", dict.fromkeys(masks), window)
     hits = []
     for n in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(blocks)) == n)
-        hits.append(seeded.join(F.broadcast(_placed(part, "item_id", "pos")), "seed").select("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift")))
+        hits.append(seeded.join(F.broadcast(_placed(part, "item_id", "pos", masks, window)), "seed").select("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("shift")))
     shifts = written(reduce(DataFrame.unionByName, hits).distinct(), f"{folder}/shifts")
     # Texts of documents with hits only: their ids are a small table by then, of known size.
     touched = docs.join(shifts.select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")), "left_semi")

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import pyarrow.parquet as pq
@@ -273,6 +274,32 @@ def test_decontamination(spark, empty):
     assert decontamination.overlaps(empty, b).count() == 0 and decontamination.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_masks_are_proven():
+    """Wherever a fifth of the tokens is substituted, a mask fits between; 20 and 25 follow from 10 and 15."""
+    for w, k in [(5, 1), (6, 1), (9, 1), (10, 2), (15, 3), (20, 4)]:
+        placed = [sum(1 << p + at for p in m) for m in decontamination.masks_for(w, 0.8) for at in range(w - m[-1])]
+        assert all(any(not x & lost for x in placed) for lost in (sum(1 << p for p in c) for c in combinations(range(w), k)))
+
+
+def test_decontamination_at_random_places(spark):
+    """Every item length from 1 to 30 with as many substitutions as the rule allows, anywhere in its window."""
+    rng, data, items = random.Random(7), [], []
+    for n in range(1, 31):
+        item = [f"i{n}w{p}" for p in range(n)]
+        items.append((n, " ".join(item)))
+        for copy in range(20):
+            w = min(25, n)
+            start = rng.randrange(n - w + 1)
+            part, lost = item[start : start + w], set(rng.sample(range(w), w // 5))
+            around = [[f"d{rng.random()}" for _ in range(rng.randint(0, 9))] for _ in range(2)]
+            data.append((100 * n + copy, " ".join(around[0] + ["zz" if p in lost else x for p, x in enumerate(part)] + around[1])))
+            if w // 5 < w - 1:  # one more substitution than allowed
+                lost |= {next(p for p in range(w) if p not in lost)}
+                data.append((10_000 + 100 * n + copy, " ".join("zz" if p in lost else x for p, x in enumerate(part))))
+    got = decontamination.overlaps(spark.createDataFrame(data, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i // 100) for i, _ in data if i < 10_000}
+
+
 # 7 PII
 
 
