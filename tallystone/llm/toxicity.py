@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,11 @@ WINDOW = 48
 QUOTED = 0.35
 #: Lengths of the word beginnings that are tried as stems.
 STEM_LETTERS = (5, 6, 7)
+#: Letters from which a learned term or stem is found with one edit, and a term with two.
+ONE_EDIT, TWO_EDITS = 4, 9
+#: A term or stem that misspells more words of clean documents than this lies among the plain words
+#: of a language: edits of it are told from those by no list, so it is found as spelled only.
+MOST_NEAR = 24
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,71 +48,90 @@ class FuzzyLexicon:
     """Weighted terms and stems; finds the best one within the edits that its length allows.
 
     A term is a whole word; a stem matches any word that begins with it. Those of at least
-    long_word letters also match with one edit, at a discount.
+    long_word letters also match with one edit, at a discount, and terms of at least two_edits
+    letters with two, at the discount's square. With swaps, two letters exchanged are one edit.
+    Entries in as_spelled (stems end in *) match without edits.
     """
 
-    def __init__(self, weights: dict[str, float], stems: dict[str, float], allowed: set[str], long_word: int = 7, discount: float = 0.5, most_states: int = 200_000) -> None:
-        self.weights, self.allowed, self.most_states = weights, allowed, most_states
+    def __init__(self, weights: dict[str, float], stems: dict[str, float], allowed: set[str], long_word: int = 7, discount: float = 0.5, most_states: int = 200_000, two_edits: float = math.inf, swaps: bool = False, as_spelled: frozenset[str] = frozenset()) -> None:
+        self.weights, self.allowed, self.most_states, self.swaps = weights, allowed, most_states, swaps
         self.next: list[dict[str, int]] = [{}]
-        self.best: list[tuple[float, float]] = [(0.0, 0.0)]  # weight of what ends at a node, without and with an edit
+        self.best: list[tuple[float, ...]] = [(0.0, 0.0, 0.0)]  # weight of what ends at a node, with no, one and two edits
+        self.entry: list[str] = [""]
+        self.most: list[int] = [0]  # edits that any entry through a node allows
         self.stays: list[bool] = [False]  # whether a stem ends here, so that any letters may follow
         for entry, is_stem in sorted([(t, False) for t in weights] + [(t, True) for t in stems]):
-            at = 0
+            at, edits = 0, 0 if len(entry) < long_word or entry + "*" * is_stem in as_spelled else 1 if is_stem or len(entry) < two_edits else 2
+            self.most[0] = max(edits, self.most[0])
             for c in entry:
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
-                    self.best.append((0.0, 0.0))
+                    self.best.append((0.0, 0.0, 0.0))
+                    self.most.append(0)
+                    self.entry.append(self.entry[at] + c)
                     self.stays.append(False)
                 at = self.next[at][c]
+                self.most[at] = max(edits, self.most[at])
             w = stems[entry] if is_stem else weights[entry]
-            self.best[at] = max(w, self.best[at][0]), max(w * discount if len(entry) >= long_word else 0.0, self.best[at][1])
+            self.best[at] = tuple(max(w * discount**e if e <= edits else 0.0, x) for e, x in enumerate(self.best[at]))
             self.stays[at] |= is_stem
         self._reset()
 
     def _reset(self) -> None:
-        self._sets: list[frozenset[tuple[int, int]]] = []
-        self._number: dict[frozenset[tuple[int, int]], int] = {}
+        self._sets: list[frozenset[tuple[int, str, int]]] = []
+        self._number: dict[frozenset[tuple[int, str, int]], int] = {}
         self._steps: list[dict[str, int]] = []
         self._ends: list[tuple[float, bool]] = []
-        self._add(self._closed({(0, 0)}))
+        self._add(self._closed({(0, "", 0)}))
 
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
+    def _closed(self, states: set[tuple[int, str, int]]) -> frozenset[tuple[int, str, int]]:
         """With the states that one more letter of the term (missing from the word) reaches."""
-        least: dict[int, int] = {}
-        for node, e in states:
-            least[node] = min(e, least.get(node, 2))
-        for node, e in list(least.items()):
-            if e == 0:
-                for child in self.next[node].values():
-                    least.setdefault(child, 1)
-        return frozenset(least.items())
-
-    def _add(self, states: frozenset[tuple[int, int]]) -> int:
+        least: dict[tuple[int, str], int] = {}
+        for node, due, e in states:
+            if e <= self.most[node]:
+                least[node, due] = min(e, least.get((node, due), e))
+        todo = [(node, e) for (node, due), e in least.items() if not due]
+        while todo:
+            node, e = todo.pop()
+            for child in self.next[node].values():
+                if e < self.most[child] and e + 1 < least.get((child, ""), 3):
+                    least[child, ""] = e + 1
+                    todo.append((child, e + 1))
+        return frozenset((node, due, e) for (node, due), e in least.items())
+
+    def _add(self, states: frozenset[tuple[int, str, int]]) -> int:
         if states not in self._number:
             self._number[states] = len(self._sets)
             self._sets.append(states)
             self._steps.append({})
-            plain = max((self.best[n][0] for n, e in states if e == 0), default=0.0)
-            edited = max((self.best[n][1] for n, e in states if e == 1), default=0.0)
+            plain = max((self.best[n][0] for n, due, e in states if e == 0 and not due), default=0.0)
+            edited = max((self.best[n][e] for n, due, e in states if e and not due), default=0.0)
             self._ends.append((plain, False) if plain else (edited, edited > 0))
         return self._number[states]
 
     def _step(self, state: int, c: str) -> int:
-        new: set[tuple[int, int]] = set()
-        for node, e in self._sets[state]:
+        """States are (trie node, letter due, edits): a letter is due in the middle of a swap."""
+        new: set[tuple[int, str, int]] = set()
+        for node, due, e in self._sets[state]:
+            if due:
+                if c == due:
+                    new.add((node, "", e))
+                continue
             if c in self.next[node]:
-                new.add((self.next[node][c], e))
+                new.add((self.next[node][c], "", e))
             if self.stays[node]:
-                new.add((node, e))
-            if e == 0:
-                new.add((node, 1))  # a letter too many
-                new.update((child, 1) for x, child in self.next[node].items() if x != c)  # another letter
+                new.add((node, "", e))
+            if e < self.most[node]:
+                new.add((node, "", e + 1))  # a letter too many
+                new.update((child, "", e + 1) for x, child in self.next[node].items() if x != c)  # another letter
+                if self.swaps:
+                    new.update((self.next[child][c], x, e + 1) for x, child in self.next[node].items() if x != c and c in self.next[child])
         to = self._steps[state][c] = self._add(self._closed(new))
         return to
 
     def weight(self, word: str) -> tuple[float, bool]:
-        """The word's own weight, or that of its stem or of a term an edit away (then True); else 0."""
+        """The word's own weight, or that of its stem or of a term some edits away (then True); else 0."""
         if word in self.weights:
             return self.weights[word], False
         if word in self.allowed:
@@ -122,6 +147,15 @@ class FuzzyLexicon:
         return self._ends[at]
 
 
+    def near(self, word: str) -> set[str]:
+        """The terms, and the stems with *, that the word matches with edits."""
+        at = 0
+        for c in word:
+            known = self._steps[at].get(c)
+            at = self._step(at, c) if known is None else known
+        return {self.entry[n] + "*" * self.stays[n] for n, due, e in self._sets[at] if e and not due and self.best[n][e]}
+
+
 class Scorer:
     """Hit features of a text; one per Python worker, as it caches words."""
 
@@ -159,9 +193,10 @@ class Model:
     allowed: set[str]
     coefficients: tuple[float, float, float, float]
     base_rate: float
+    as_spelled: frozenset[str] = frozenset()
 
     def lexicon(self) -> FuzzyLexicon:
-        return FuzzyLexicon(self.weights, self.stems, self.allowed)
+        return FuzzyLexicon(self.weights, self.stems, self.allowed, ONE_EDIT, two_edits=TWO_EDITS, swaps=True, as_spelled=self.as_spelled)
 
     def score(self, features: tuple[float, float, float]) -> float:
         if not any(features):
@@ -221,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
     bad, good = totals.bad, totals.good
 
     def clean_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = FuzzyLexicon(weights, stems, set())
+        lexicon = Model(weights, stems, set(), (0.0,) * 4, 0.0).lexicon()
         for b in batches:
             hits: set[tuple[str, bool]] = set()
             for t, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -231,9 +266,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
 
     # Words that clean documents use are no misspellings of the terms they are near to. What hits
     # are worth is learned from half of the sample, with terms and such words from the other half.
+    # Entries among many such words get no edits.
     near = halved.filter("toxic = 0").select("text", "half").mapInArrow(clean_neighbours, "word string, half boolean")
     seen = near.groupBy("word").agg(F.bool_or(~F.col("half")).alias("first_half")).orderBy("word").limit(10 * most_terms).collect()
-    first = Model(*lexicon_of("first_bad", "first_good", (least_docs + 1) // 2), {r.word for r in seen if r.first_half}, (0.0,) * 4, 0.0)
+    whole = Model(weights, stems, set(), (0.0,) * 4, 0.0).lexicon()
+    close = [(r, e) for r in seen for e in whole.near(r.word)]
+    crowded = lambda n: frozenset(e for e, k in n.items() if k > MOST_NEAR)
+    first_crowded = crowded(Counter(e for r, e in close if r.first_half))
+    first = Model(*lexicon_of("first_bad", "first_good", (least_docs + 1) // 2), {r.word for r in seen if r.first_half}, (0.0,) * 4, 0.0, first_crowded)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(first.lexicon())
@@ -242,7 +282,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in x], pa.float64()) for k in range(3)), b.column(1)], ["exact", "fuzzy", "density", "toxic"])
 
     table = np.array([tuple(r) for r in halved.filter("half").select("text", "toxic").mapInArrow(features, "exact double, fuzzy double, density double, toxic int").collect()], float).reshape(-1, 4)
-    model = Model(weights, stems, {r.word for r in seen}, (-30.0, 0.0, 0.0, 0.0), bad / (bad + good) if bad else 0.0)
+    # Labelled rows may hold few misspellings, so each row counts once more with its exact hits misspelled.
+    misspelled = np.column_stack([0 * table[:, 0], np.log1p(np.expm1(table[:, 1]) + 0.5 * np.expm1(table[:, 0])), 0 * table[:, 2], table[:, 3]])
+    table = np.concatenate([table, misspelled])
+    model = Model(weights, stems, {r.word for r in seen}, (-30.0, 0.0, 0.0, 0.0), bad / (bad + good) if bad else 0.0, crowded(Counter(e for _, e in close)))
     if len(set(table[:, 3])) == 2:
         order = np.lexsort(table.T)
         model.coefficients = tuple(float(c) for c in _logistic(table[order, :3], table[order, 3]))

@@ -182,6 +182,45 @@ def test_levenshtein_automaton():
     assert lex.weight("worthles") == (0.0, False) and lex.weight("pathetically") == (3.0, False) and lex.weight("") == (0.0, False)
 
 
+def edits_with_swaps(a, b):
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i > 1 and j > 1 and a[i - 2 : i] == y + b[j - 2] and x != y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_short_misspelled_terms():
+    terms = {"worthless": 1.0, "stupid": 2.0, "idiot": 1.5, "scum": 1.0, "ass": 3.0, "clown": 2.5}
+    lex = toxicity.Model(terms, {"pathet": 3.0}, {"crown"}, (0.0,) * 4, 0.0, frozenset({"clown"})).lexicon()
+    rng = random.Random(6)
+    free = lambda t: 0 if len(t) < 4 or t == "clown" else 1 if len(t) < 9 else 2
+    for term in terms:
+        for _ in range(400):
+            w = list(term)
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(w) - 1)
+                w[k : k + 2] = rng.choice(("x" + w[k + 1], w[k] + "s" + w[k + 1], w[k + 1], w[k + 1] + w[k]))
+            word = "".join(w)
+            n = {t: edits_with_swaps(word, t) for t in terms}
+            assert lex.weight(word)[0] == (terms.get(word) or max((v * 0.5 ** n[t] for t, v in terms.items() if n[t] <= free(t)), default=0.0)), word
+    assert all(lex.weight(w)[1] for w in ("stupd", "idoit", "scvm", "worhtles", "pahtetically")) and lex.weight("crown")[0] == lex.weight("clwon")[0] == 0
+    assert lex.near("stupd") == {"stupid"} and lex.near("pahtetically") == {"pathet*"}
+
+
+def test_toxicity_finds_misspelled_abuse(spark):
+    rng = random.Random(8)
+    plain = [f"word{chr(97 + k)}{chr(98 + k)}{chr(99 + k)}" for k in range(20)]
+    abuse = ("stupid", "idiot", "clown", "loser")
+    data = [(i, " ".join(rng.sample(plain, 8) + (rng.sample(abuse, 2) if i % 3 == 0 else []))) for i in range(400)]
+    docs = spark.createDataFrame(data, DOC)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in data], "doc_id long, toxic int"))
+    found = toxicity.score(spark.createDataFrame([(1, "worda you stupd idoit"), (2, "you cl0wn and lozer"), (3, "wordabc wordbcd")], DOC), model)
+    assert {r.doc_id: r.predicted for r in found.collect()} == {1: 1, 2: 1, 3: 0}
+
+
 def test_toxicity_odd_input(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (99, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
