@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session that names no folder which all executors see."""
+
+
 def working_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallystone-")
+    """A new folder's path under spark.checkpoint.dir, which driver and executors share.
+
+    Only a local session that names none (as in tests) gets a local one; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tallystone-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tallystone-{uuid.uuid4().hex}"
 
 
