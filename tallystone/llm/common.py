@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tallystone.sources.tables import working_dir
+
 #: White space of the contracts, as the body of a character class.
 SPACE = r"\x20\x09-\x0D"
 #: A word is a longest run of other characters.
@@ -21,15 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (as in tests) is a local one set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tallystone-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tallystone-{uuid.uuid4().hex}"
+    """A new folder's path under spark.checkpoint.dir, which driver and executors share."""
+    return working_dir(spark)
 
 
 def written(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

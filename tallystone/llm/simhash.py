@@ -110,55 +110,61 @@ def _signed(x: int) -> int:
 def _keyed(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
     """Each fingerprint once under each (t, mask)."""
     keys = F.array(*(F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for t, m in masks))
-    return fps.select("fp", "rep", F.explode(keys).alias("k")).select("k.t", "k.key", "fp", "rep")
+    return fps.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
+
+
+def _runs(columns: list[np.ndarray]) -> Iterator[tuple[tuple, int, int]]:
+    """Each key and where its rows start and stop, in rows sorted by the key columns."""
+    changes = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        changes |= c[1:] != c[:-1]
+    cuts = np.flatnonzero(changes) + 1
+    starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(columns[0])]])
+    matter = stops - starts > 1  # a key with one row here matters only if its run may go on in another batch
+    matter[[0, -1]] = True
+    for lo, hi in zip(starts[matter].tolist(), stops[matter].tolist(), strict=True):
+        yield tuple(int(c[lo]) for c in columns), lo, hi
 
 
 def _link_groups(keyed: DataFrame, max_distance: int, max_group: int) -> DataFrame:
-    """Rows (a, b, again): links between representatives, or a fingerprint of an oversized key.
+    """Rows (a, b, again): links between fingerprints, or in a the fingerprint of an oversized key.
 
     Rows are dealt out and sorted by key; a task reads its run of a key as a stream and holds at
     most max_group + 1 of them.
     """
 
-    def close(t: int, fps: list[np.ndarray], reps: list[np.ndarray], out: list) -> None:
-        fp, rep = np.concatenate(fps), np.concatenate(reps)
+    def close(parts: list[np.ndarray], out: list) -> None:
+        fp = np.concatenate(parts)
         if len(fp) > 1:
-            out += [(int(rep[i]), int(rep[j]), -1) for i, j in spanning_links(fp.view(np.uint64), max_distance)]
+            out += [(int(fp[i]), int(fp[j]), -1) for i, j in spanning_links(fp.view(np.uint64), max_distance)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
-        fps: list[np.ndarray] = []
-        reps: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         held = 0
         out: list[tuple[int, int, int]] = []
         for b in batches:
-            t, key, fp, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if not len(t):
+            if not b.num_rows:
                 continue
-            cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(t)]])
-            matter = stops - starts > 1  # a key with one row here matters only if its run may go on in another batch
-            matter[[0, -1]] = True
-            for lo, hi in zip(starts[matter].tolist(), stops[matter].tolist(), strict=True):
-                this = int(t[lo]), int(key[lo])
+            t, key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for this, lo, hi in _runs([t, key]):
                 if this != now:
                     if 1 < held <= max_group:
-                        close(now[0], fps, reps, out)
-                    now, fps, reps, held = this, [], [], 0
+                        close(parts, out)
+                    now, parts, held = this, [], 0
                 before, held = held, held + hi - lo
                 if held <= max_group:
-                    fps.append(fp[lo:hi])
-                    reps.append(rep[lo:hi])
+                    parts.append(fp[lo:hi])
                 else:  # too many under one key: all of them go on to finer masks
                     if before <= max_group:
-                        out += [(int(x), int(y), this[0]) for f, r in zip(fps, reps, strict=True) for x, y in zip(f, r, strict=True)]
-                        fps, reps = [], []
-                    out += [(int(x), int(y), this[0]) for x, y in zip(fp[lo:hi], rep[lo:hi], strict=True)]
+                        out += [(int(x), 0, this[0]) for p in parts for x in p]
+                        parts = []
+                    out += [(int(x), 0, this[0]) for x in fp[lo:hi]]
             if len(out) > 50_000:
                 yield _links(out)
                 out = []
         if 1 < held <= max_group:
-            close(now[0], fps, reps, out)
+            close(parts, out)
         yield _links(out)
 
     return keyed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long, again int")
@@ -170,7 +176,7 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def fingerprint_links(fps: DataFrame, folder: str, max_distance: int = 3, blocks: int = 6, max_group: int = 40_000) -> DataFrame:
-    """Links (a, b) between representatives of fps (fp, rep; one row per fingerprint).
+    """Links (a, b) between the fingerprints fp of fps, each of which is one row.
 
     Any two fingerprints within max_distance are connected by the links. More blocks mean longer
     keys and more copies of each row: blocks is a trade of shuffle against candidates, not of recall.
@@ -178,11 +184,11 @@ def fingerprint_links(fps: DataFrame, folder: str, max_distance: int = 3, blocks
     masks = block_masks(blocks, max_distance)
     first = written(_link_groups(_keyed(fps, list(enumerate(masks))), max_distance, max_group), f"{folder}/links")
     links = first.filter("again < 0").select("a", "b")
-    over = first.filter("again >= 0").select(F.col("a").alias("fp"), F.col("b").alias("rep"), "again")
+    over = first.filter("again >= 0").select(F.col("a").alias("fp"), "again")
     hot = [r[0] for r in over.select("again").distinct().collect()]  # numbers of masks, len(masks) at most
     for n, t in enumerate(hot):
         finer = list(enumerate(finer_masks(masks[t], max_distance)))
-        members = over.filter(F.col("again") == t).select("fp", "rep").distinct()
+        members = over.filter(F.col("again") == t).select("fp").distinct()
         # A finer key leaves at most 2 ** 12 fingerprints, so this round has no oversized keys.
         links = links.unionByName(written(_link_groups(_keyed(members, finer), max_distance, 1 << 16), f"{folder}/links-{n}").select("a", "b"))
     return links
@@ -218,19 +224,232 @@ def components(links: DataFrame, folder: str, most_rounds: int = 60) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int = 3, blocks: int = 6, max_group: int = 40_000) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every row of docs (doc_id, text)."""
+    """doc_id, fp and component_id (smallest doc_id reachable) of every row of docs (doc_id, text).
+
+    The nodes are fingerprints, so that rows without a doc_id bridge others like any; only a group
+    in which no row has one gets a null component_id.
+    """
     folder = shared_dir(docs.sparkSession)
     rows = written(fingerprints(docs, shingle_words), f"{folder}/fingerprints")
     reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{folder}/reps")
-    found = components(fingerprint_links(reps.filter("rep IS NOT NULL"), folder, max_distance, blocks, max_group), folder)
-    by_fp = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = components(fingerprint_links(reps.select("fp"), folder, max_distance, blocks, max_group), folder)
+    grouped = reps.join(found, reps.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_fp = grouped.join(least, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs whose document is the smallest of its group; all columns stay.
+# Similar texts: wide fingerprints find candidates, five-word shingles decide
+
+#: 64-bit lanes of a wide fingerprint, and odd numbers that spread a hash over them (fixed).
+LANES = 4
+_SPREAD = (np.arange(1, 2 * LANES, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Bits of a block. A wide fingerprint has 16 such blocks, each of them a key.
+BLOCK_BITS = 16
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Scrambles 64-bit numbers (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WideHasher:
+    """Wide SimHash over word pairs; one per Python worker, as it keeps the hashes of words."""
+
+    def __init__(self, most_words: int = 500_000) -> None:
+        self.most_words = most_words
+        self.known: dict[str, int] = {}
+
+    def _word(self, word: str) -> int:
+        h = self.known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+        return h
+
+    def read(self, text: str | None) -> tuple[bytes, np.ndarray]:
+        """A 128-bit digest of the lower-cased words, and the lanes of their fingerprint."""
+        words = shingle_source(text)
+        digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+        if len(self.known) > self.most_words:
+            self.known.clear()
+        known = self.known.get
+        h = np.array([known(w) or self._word(w) for w in words], np.uint64)
+        with np.errstate(over="ignore"):
+            pairs = _mixed(h[:-1] * np.uint64(31) + h[1:]) if len(h) > 1 else h
+            ones = np.zeros(64 * LANES, np.int64)
+            for at in range(0, len(pairs), _BATCH):
+                lanes = _mixed(pairs[at : at + _BATCH, None] * _SPREAD[None, :])
+                ones += np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(-1, 8 * LANES), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        return digest, np.packbits(2 * ones > len(pairs), bitorder="little").view("<u8")
+
+
+def shingle_source(text: str | None) -> list[str]:
+    return _word.findall((text or "").translate(_lower))
+
+
+def shingles(text: str | None, n_words: int) -> set[tuple[str, ...]]:
+    """The distinct runs of n_words words; the whole sequence if there are fewer; none without words."""
+    words = shingle_source(text)
+    return set(zip(*(words[i:] for i in range(n_words)), strict=False)) if len(words) >= n_words else {tuple(words)} - {()}
+
+
+def nearest_links(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """The minimum spanning tree by Hamming distance (Prim), without links longer than radius.
+
+    Whatever threshold a later check sets, closest texts are linked first, so that cutting links
+    there leaves the groups that the threshold gives.
+    """
+    rest = np.arange(1, len(lanes))
+    best = np.bitwise_count(lanes[rest] ^ lanes[0]).sum(1, dtype=np.int32)
+    parent = np.zeros(len(rest), np.int64)
+    links = []
+    while len(rest):
+        k = int(best.argmin())
+        at = int(rest[k])
+        if best[k] <= radius:
+            links.append((int(parent[k]), at))
+        keep = np.ones(len(rest), bool)
+        keep[k] = False
+        rest, best, parent = rest[keep], best[keep], parent[keep]
+        d = np.bitwise_count(lanes[rest] ^ lanes[at]).sum(1, dtype=np.int32)
+        nearer = d < best
+        best[nearer], parent[nearer] = d[nearer], at
+    return links
+
+
+_WIDE = "node binary, " + ", ".join(f"w{i} long" for i in range(LANES))
+
 
+def wide_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, node (digest of the words) and the lanes w0.. of every row of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WideHasher()
+        for b in batches:
+            read = [hasher.read(t) for t in b.column(1).to_pylist()]
+            lanes = np.array([x[1] for x in read], np.uint64).reshape(-1, LANES)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([x[0] for x in read], pa.binary()), *(pa.array(np.ascontiguousarray(lanes[:, i]).view(np.int64)) for i in range(LANES))], ["doc_id", "node", *(f"w{i}" for i in range(LANES))]
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {_WIDE}")
+
+
+def _linked_runs(keyed: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Links (a, b) within each run of the key columns, whose sizes the keys bound."""
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        nodes: list[list] = []
+        lanes: list[np.ndarray] = []
+        a: list[bytes] = []
+        b: list[bytes] = []
+
+        def close() -> None:
+            held = [x for part in nodes for x in part.to_pylist()]
+            if len(held) > 1:
+                for i, j in nearest_links(np.concatenate(lanes), radius):
+                    a.append(held[i])
+                    b.append(held[j])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)]
+            wide = np.column_stack([batch.column(n + 1 + i).to_numpy(zero_copy_only=False) for i in range(LANES)]).view(np.uint64)
+            for this, lo, hi in _runs(columns):
+                if this != now:
+                    close()
+                    now, nodes, lanes = this, [], []
+                nodes.append(batch.column(n).slice(lo, hi - lo))
+                lanes.append(wide[lo:hi])
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                a, b = [], []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+
+
+def wide_links(prints: DataFrame, folder: str, radius: int, max_group: int = 4096) -> DataFrame:
+    """Links (a, b) between nodes of prints (node and lanes; one row per node) that share a block.
+
+    Each of the 16 blocks is a key. A key with more than max_group nodes is cut into parts, and
+    each pair of parts meets in a task of its own: the trees of all pairs together hold the tree of
+    the whole key, so nothing is lost and no task holds more than two parts.
+    """
+    blocks = [F.shiftrightunsigned(f"w{i}", BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for i in range(LANES) for k in range(64 // BLOCK_BITS)]
+    keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), c.alias("key")) for t, c in enumerate(blocks)))).alias("k")
+    wide = ["node", *(f"w{i}" for i in range(LANES))]
+    keyed = prints.select(keys, *wide).select("k.t", "k.key", *wide)
+    sizes = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > max_group), f"{folder}/sizes")
+    # A prints table of n rows has at most 16 * n / max_group such keys.
+    parts = sizes.select("t", "key", F.ceil(F.col("n") / max_group).cast("int").alias("parts"))
+    dealt = keyed.join(F.broadcast(parts) if sizes.count() <= 100_000 else parts, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi")))
+    spread = dealt.select("t", "key", F.explode(pair).alias("p"), *wide).select("t", "key", "p.lo", "p.hi", *wide)
+    return written(_linked_runs(spread, ["t", "key", "lo", "hi"], radius).distinct(), f"{folder}/candidates")
+
+
+def similar(links: DataFrame, texts: DataFrame, n_words: int, least: float) -> DataFrame:
+    """The links (a, b) whose texts (node, text) have that share of their n_words-word shingles in common."""
+    from_a = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = from_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, set] | None = None
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if last is None or last[0] != y:
+                    last = y, shingles(y, n_words)
+                one, two = shingles(x, n_words), last[1]
+                shared = len(one & two)
+                ok.append(shared >= least * (len(one) + len(two) - shared))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def keep_one(docs: DataFrame, n_words: int = 5, least: float = 0.8, radius: int = 36, most_bytes: int = 16_000_000) -> DataFrame:
+    """The rows of docs whose document is the smallest of its group of similar texts; all columns stay.
+
+    Texts are linked if they share at least least of their distinct n_words-word shingles, which is
+    checked on the whole texts. Candidates are pairs of wide fingerprints (256 bits over word
+    pairs) that share one of 16 blocks and differ in at most radius bits: all pairs with up to 15
+    differing bits do, and of pairs at a similarity of 0.8 (21 bits on average) about 99 in 100.
     Rows that repeat a doc_id stay together; rows without a doc_id stay.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), **options).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    folder = shared_dir(docs.sparkSession)
+    rows = written(wide_prints(docs.filter("doc_id IS NOT NULL")), f"{folder}/prints")
+    lanes = [f"w{i}" for i in range(LANES)]
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(w).alias(w) for w in lanes)), f"{folder}/nodes")
+    links = wide_links(nodes, folder, radius)
+    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = written(nodes.join(wanted, "node").select("node", F.col("rep").alias("doc_id")), f"{folder}/wanted")
+    n_bytes = 24 * ids.count()
+    # Rows that repeat a doc_id with another text are told apart by their node.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if n_bytes <= most_bytes else ids, "doc_id")
+    texts = written(_of_node(found), f"{folder}/texts")
+    groups = components(written(similar(links, texts, n_words, least), f"{folder}/similar"), folder)
+    grouped = nodes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    first = grouped.groupBy("component").agg(F.min("rep").alias("first_id"))
+    placed = rows.select("doc_id", "node").join(grouped.join(first, "component").select("node", "first_id"), "node")
+    stays = placed.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("first_id")).alias("stays"))
+    gone = written(stays.filter("NOT stays").select(F.col("doc_id").alias("__gone")), f"{folder}/gone")
+    small = F.broadcast(gone) if 8 * gone.count() <= most_bytes else gone
+    return docs.join(small, docs["doc_id"].cast("long") == small["__gone"], "left_anti")
+
+
+def _of_node(rows: DataFrame) -> DataFrame:
+    """node and text of the rows (doc_id, text, node) whose words have the node's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [xxhash.xxh3_128_digest(" ".join(shingle_source(t)).encode("utf-8", "surrogatepass")) == n for t, n in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return rows.select("node", "text").mapInArrow(run, "node binary, text string")
