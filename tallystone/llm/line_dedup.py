@@ -1,26 +1,32 @@
 """Line dedup over levelled sorted runs.
 
-A run is a table of line keys (a 128-bit hash, how many documents hold it, the largest doc_id
-holding it, whether the batch brought it first), hash-partitioned and sorted by key on disk. Each batch of documents is reduced to its
-own keys and merge-anti-joined with the runs, which tells new lines from known ones, and is added
-as a run of level 0. When a level has ``fanout`` runs they are compacted into one of the next.
-All state is in the shared folder, and each run is written once.
+A run is a table of line keys: a 128-bit hash, how many documents of its batches hold it, and the
+owner, which is the largest doc_id holding it. Runs are bucketed and sorted by key, all into the
+same buckets, so that joins between runs are merge joins without a shuffle.
+
+Batches of documents come in falling ranges of doc_id. Each batch is reduced to its own keys and
+merge-anti-joined with the runs: keys that no run holds are first sightings, and the batch's largest
+doc_id is their owner for good, since later batches have smaller ids only. Known keys add counts
+and no owner. When a level has ``fanout`` runs they are merged into one of the next level. All
+state is in the shared folder; a run is written once and removed after it was merged.
 
 Defined cases: a null or empty text is one empty line. A document counts once for each key,
 however often it repeats the line. Rows that repeat a doc_id count each, and are cut alike. Rows
-without a doc_id count, never own a line unless no row has an id, and are cut like others. Extra
-input columns are kept by ``rewrite`` and not read otherwise.
+without a doc_id come last, count, never own a line unless no row has an id, and are cut like others.
+Extra input columns are kept by ``rewrite`` and not read otherwise.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import SPACE_CHARS, delete_path, shared_dir, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RUN_SCHEMA = "key binary, n_docs long, last_doc long, is_new boolean"
 
 
 def lines_of(text: Column) -> Column:
@@ -34,87 +40,116 @@ def line_key(line: Column, min_chars: int) -> Column:
 
 
 def document_keys(docs: DataFrame, min_chars: int = 40) -> DataFrame:
-    """doc_id and key, once for each row of docs (doc_id, text) and distinct key in it."""
+    """doc_id, part and key, once for each row of docs (doc_id, text) and distinct key in it.
+
+    part is 0 for rows with an id; rows without one are dealt into many parts by their text, so
+    that no later grouping by document gathers all of them.
+    """
     keys = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("text")), lambda x: line_key(x, min_chars))))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(keys).alias("key"))
+    part = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), F.explode(keys).alias("key"))
+
 
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    """Runs, oldest first, as one: counts add up, and a key's owner is in the oldest run that holds it."""
 
-def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.bool_or("is_new").alias("is_new"))
+    def two(a: DataFrame, b: DataFrame) -> DataFrame:
+        both = a.alias("a").join(b.hint("merge").alias("b"), F.col("a.key") == F.col("b.key"), "full_outer")
+        n = F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))
+        return both.select(F.coalesce("a.key", "b.key").alias("key"), n.alias("n_docs"), F.coalesce("a.owner", "b.owner").alias("owner"))
+
+    return reduce(two, runs)
 
 
 class LineRuns:
-    """The levelled runs of one corpus, in a folder that all executors share."""
+    """The levelled runs of one corpus, as bucketed tables whose files are in a shared folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = 4) -> None:
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = 2, buckets: int | None = None) -> None:
         self.spark, self.folder, self.fanout = spark, folder, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self._made = 0
+        self._prefix, self._made = f"line_run_{uuid.uuid4().hex}", 0
 
     def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.folder}/run-{level}-{self._made}"
+        """run is dealt by key into the buckets already, so that a bucket is written by one or two tasks."""
+        name = f"{self._prefix}_{self._made}"
         self._made += 1
-        run.repartition("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+        run.write.mode("overwrite").format("parquet").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete_path(self.spark, f"{self.folder}/{name}")
 
-    def read(self) -> DataFrame:
-        """All runs, newest last; a key may be in several until they are compacted."""
-        paths = [p for level in reversed(self.levels) for p in level]
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
+    def runs(self) -> list[DataFrame]:
+        """The runs, oldest first."""
+        return [self.spark.table(name) for level in reversed(self.levels) for name in level]
 
     def merged(self) -> DataFrame:
-        """One row per key: the counts of all runs together."""
-        return _merged(self.read())
+        """One row per key: the counts of all runs together, and its owner."""
+        return _merged(self.runs()) if any(self.levels) else self.spark.createDataFrame([], "key binary, n_docs long, owner long")
 
     def add(self, keys: DataFrame) -> None:
-        """Adds a batch (doc_id, key) as a run of level 0 and compacts full levels.
+        """Adds a batch (doc_id, key) as a run of level 0 and merges full levels.
 
-        A merge anti join with the runs finds the keys that no earlier batch held; they are marked
-        new, so that a stream which keeps first sightings can read them off the run.
+        Batches must come in falling order of doc_id: the merge anti join with the runs decides
+        which keys are new, and only these get an owner from this batch.
         """
-        own = keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if any(self.levels):
-            held = self.read().select("key").hint("merge")
-            fresh = own.join(held, "key", "left_anti").withColumn("is_new", F.lit(True))
-            own = fresh.unionByName(own.join(held, "key", "left_semi").withColumn("is_new", F.lit(False)))
-        else:
-            own = own.withColumn("is_new", F.lit(True))
+        own = keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner"))
+        own = own.repartition(self.buckets, "key")
+        held = self.runs()
+        if held:
+            fresh = reduce(lambda left, run: left.join(run.select("key").hint("merge"), "key", "left_anti"), held, own)
+            known = own.join(fresh.select("key").hint("merge"), "key", "left_anti").withColumn("owner", F.lit(None).cast("long"))
+            own = fresh.unionByName(known)
         self._write(own, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            full = self.levels[level]
-            self.levels[level] = []
-            self._write(_merged(self.spark.read.schema(RUN_SCHEMA).parquet(*full)), level + 1)
-            for path in full:
-                delete_path(self.spark, path)
+            full, self.levels[level] = self.levels[level], []
+            self._write(_merged([self.spark.table(name) for name in full]), level + 1)
+            self._drop(full)
             level += 1
 
+    def close(self) -> None:
+        """Removes the runs."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = [[]]
 
-def dropped_keys(runs: LineRuns, keys: DataFrame, min_docs: int = 5) -> DataFrame:
-    """doc_id and drop (its keys that min_docs documents hold and a larger doc_id owns)."""
-    # Written first: its size is then known, and a join that shuffles can split a common line's rows.
-    common = written(runs.merged().filter(F.col("n_docs") >= min_docs).select("key", "last_doc"), f"{runs.folder}/common")
-    lost = keys.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
 
+def falling_batches(doc_id: Column, bounds: list[int]) -> Column:
+    """Number of the batch of a doc_id: 0 above the largest bound, and so on down; rows without an id are in the last."""
+    out = F.when(doc_id.isNull(), F.lit(len(bounds)))
+    for n, bound in enumerate(sorted(bounds, reverse=True)):
+        out = out.when(doc_id > bound, F.lit(n))
+    return out.otherwise(F.lit(len(bounds))).cast("int")
 
-def rewrite(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 2, into: str = "__line_dedup") -> DataFrame:
+
+def rewrite(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, into: str = "__line_dedup") -> DataFrame:
     """docs with a struct column ``into`` added: n_lines, n_dropped and kept_text.
 
-    The corpus arrives in batches, dealt by a hash of the id: their keys are written once, split
-    by batch, and added to the runs in turn.
+    Keys that min_docs documents hold are dropped everywhere but in their owner. The keys of all
+    batches are written once, split by batch, and added to the runs in turn.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    keyed = document_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    shares = [n / batches for n in range(1, batches)]
+    bounds = (docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, F.lit(1000))).first()[0] or []) if shares else []
+    keyed = document_keys(docs, min_chars).withColumn("batch", falling_batches(F.col("doc_id"), bounds))
     keys = written(keyed, f"{folder}/keys", ("batch",))
     runs = LineRuns(spark, folder)
-    for n in range(batches):
+    for n in range(len(bounds) + 1):
         runs.add(keys.filter(F.col("batch") == n).select("doc_id", "key"))
-    lost = dropped_keys(runs, keys, min_docs).withColumnsRenamed({"doc_id": "__lost_id", "drop": "__lost"})
-    joined = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["__lost_id"]), "left")
+    # Written first: its size is then known, and a join that shuffles can split a common line's rows.
+    common = written(runs.merged().filter(F.col("n_docs") >= min_docs).select("key", "owner"), f"{folder}/common")
+    runs.close()
+    lost = keys.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("doc_id", "part").agg(F.collect_set("key").alias("__lost"))
+    lost = lost.withColumnsRenamed({"doc_id": "__lost_id", "part": "__lost_part"})
+    part = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
+    joined = docs.withColumn("__part", part).join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__lost_id")) & (F.col("__part") == F.col("__lost_part")), "left")
     gone = lambda x: F.coalesce(F.array_contains(F.col("__lost"), line_key(x, min_chars)), F.lit(False))
     lines = lines_of(F.col("text"))
     # Texts that lose no line are not taken apart again.
@@ -125,4 +160,4 @@ def rewrite(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: in
         F.coalesce(n_lines - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join("__kept", "\n"), F.col("text"), F.lit("")).alias("kept_text"),
     )
-    return joined.withColumn("__kept", kept).withColumn(into, result).drop("__kept", "__lost", "__lost_id")
+    return joined.withColumn("__kept", kept).withColumn(into, result).drop("__kept", "__lost", "__lost_id", "__lost_part", "__part")
