@@ -1,122 +1,215 @@
-"""Links and visible text of HTML, and classification of responses."""
+"""Pages read once into a tree: text, links, events, embedded JSON, stated sizes; and classification of responses."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import parse_qs, urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.functions.versions import parse_size
 
-class _Reader(HTMLParser):
-    """Text outside script and style, and anchors with their text."""
+#: Elements that never hold others, and those that close an open paragraph.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CLOSE_PARAGRAPH = frozenset("p div table h1 h2 h3 h4 ul ol blockquote".split())
+#: Elements whose text is not seen.
+UNSEEN = frozenset(("script", "style"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Types of structured data that describe one file.
+FILE_TYPES = ("MediaObject", "DigitalDocument", "DataDownload", "SoftwareApplication")
 
-    def __init__(self) -> None:
+
+class Page(HTMLParser):
+    """One pass over a page, with the tree's rules kept on a stack of open elements.
+
+    Void elements are never open, a block closes an open paragraph with all in it, and end tags
+    without an open element are ignored. Kept are texts with the path of elements around them,
+    links with their texts, headings and separators, and the raw JSON of data scripts.
+    """
+
+    def __init__(self, html: str | None) -> None:
         super().__init__(convert_charrefs=True)
-        self.hidden, self.text, self.links, self.open = 0, [], [], None
+        self.open: list[str] = []
+        self.count: dict[str, int] = {}
+        self.texts: list[tuple[str, str]] = []  # the innermost element and its text
+        self.links: list[tuple[str, list[str]]] = []
+        self.events: list[list[str]] = []
+        self.data: list[str] = []
+        self.title = ""
+        self.classes: set[str] = set()
+        self._link: list[str] | None = None
+        self._heading: list[str] | None = None
+        self._is_data = False
+        self.feed(html or "")
+        self.close()
+
+    def _leave(self, depth: int) -> None:
+        for tag in self.open[depth:]:
+            self.count[tag] -= 1
+            if tag == "a":
+                self._link = None
+            elif tag in HEADINGS:
+                self._heading = None
+        del self.open[depth:]
+
+    def _depth(self, tag: str) -> int:
+        """Where the innermost open element of that name stands; -1 if none is open."""
+        return len(self.open) - 1 - self.open[::-1].index(tag) if self.count.get(tag) else -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
-            self.hidden += 1
-        elif tag == "a" and (href := dict(attrs).get("href")):
-            self.open = (href, [])
-            self.links.append(self.open)
+        if tag in CLOSE_PARAGRAPH and (depth := self._depth("p")) >= 0:
+            self._leave(depth)
+        named = dict(attrs)
+        self.classes.update((named.get("class") or "").split())
+        if tag in HEADINGS:
+            self._heading = ["heading", ""]
+            self.events.append(self._heading)
+        elif tag == "hr":
+            self.events.append(["break", ""])
+        elif tag == "a" and named.get("href"):
+            self._link = []
+            self.links.append((named["href"], self._link))
+            self.events.append(["link", named["href"]])
+        self._is_data = tag == "script" and (named.get("type") or "").lower() == "application/ld+json"
+        if tag not in VOID:
+            self.open.append(tag)
+            self.count[tag] = self.count.get(tag, 0) + 1
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "a":
-            self.open = None
+        if (depth := self._depth(tag)) >= 0:
+            self._leave(depth)
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.text.append(data)
-            if self.open:
-                self.open[1].append(data)
+        if any(self.count.get(tag) for tag in UNSEEN):
+            if self._is_data and self.open[-1:] == ["script"]:
+                self.data.append(data)
+            return
+        inside = self.open[-1] if self.open else ""
+        self.texts.append((inside, data))
+        if inside == "title":
+            self.title += data
+        if self._link is not None:
+            self._link.append(data)
+        if self._heading is not None:
+            self._heading[1] += data
 
+    def lines(self) -> list[str]:
+        """Texts with white space collapsed, without empty ones."""
+        return [line for _, t in self.texts if (line := squeeze(t))]
 
-def read_page(html: str | None) -> _Reader:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    return reader
 
+def squeeze(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
 
-def visible_text(pages: DataFrame) -> DataFrame:
-    """page_id and the collapsed text outside script and style."""
+
+def _rows(pages: DataFrame, columns: list[str], schema: str, make: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """Rows that make gives for each page; the first column named is the page's html."""
+    types = [pa.field(f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in pages.sparkSession.createDataFrame([], schema).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [re.sub(r"\s+", " ", " ".join(read_page(h).text)).strip() for h in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
+            rows = [row for html, *rest in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True) for row in make(Page(html), *rest)]
+            cells = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cells, types, strict=True)], [t.name for t in types])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, text string")
+    return pages.select(*columns).mapInArrow(run, schema)
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, url (resolved against the page) and label of each distinct link, in page order."""
+def visible_text(pages: DataFrame) -> DataFrame:
+    """page_id and the collapsed text outside script and style."""
+    return _rows(pages, ["html", "page_id"], "page_id long, text string", lambda page, i: [(i, squeeze(" ".join(t for _, t in page.texts)))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for page_id, base, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                seen: set[str] = set()
-                for href, label in read_page(html).links:
-                    url = urljoin(base or "", href)
-                    if url.startswith(("http://", "https://")) and url not in seen:
-                        seen.add(url)
-                        rows.append((page_id, len(seen) - 1, url, re.sub(r"\s+", " ", "".join(label)).strip()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["page_id", "pos", "url", "label"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, pos int, url string, label string")
+#: Parameters in which redirect addresses carry where they lead.
+REDIRECT = ("url", "u", "to", "target", "dest", "link")
 
 
-class _Events(HTMLParser):
-    """Headings, separators and links in page order, from which context is carried to links."""
+def target(base: str | None, href: str) -> str:
+    """A link resolved against its page; of a redirect address on the page's own host, where it leads."""
+    try:
+        url = urljoin(base or "", href.strip())
+        parts = urlsplit(url)
+        if parts.hostname and parts.hostname == urlsplit(base or "").hostname:
+            for name in REDIRECT:
+                for value in parse_qs(parts.query).get(name, ()):
+                    if value.startswith(("http://", "https://")):
+                        return value
+        return url
+    except ValueError:
+        return ""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.events: list[list[str]] = []
-        self.into: list[str] | None = None
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if re.fullmatch("h[1-6]", tag):
-            self.into = ["heading", ""]
-            self.events.append(self.into)
-        elif tag == "hr":
-            self.events.append(["break", ""])
-        elif tag == "a" and (href := dict(attrs).get("href")):
-            self.events.append(["link", href])
+def links(pages: DataFrame) -> DataFrame:
+    """page_id, pos, url (resolved against the page, redirects followed in their text) and label of each distinct link, in page order."""
 
-    def handle_endtag(self, tag: str) -> None:
-        if re.fullmatch("h[1-6]", tag):
-            self.into = None
+    def make(page: Page, page_id: int, base: str | None) -> Iterator[tuple]:
+        seen: set[str] = set()
+        for href, label in page.links:
+            url = target(base, href)
+            if url.startswith(("http://", "https://")) and url not in seen:
+                seen.add(url)
+                yield page_id, len(seen) - 1, url, squeeze("".join(label))
 
-    def handle_data(self, data: str) -> None:
-        if self.into:
-            self.into[1] += data
+    return _rows(pages, ["html", "page_id", "url"], "page_id long, pos int, url string, label string", make)
 
 
 def events(pages: DataFrame) -> DataFrame:
     """page_id, pos, kind (heading, break or link) and value, in page order."""
+    return _rows(pages, ["html", "page_id"], "page_id long, pos int, kind string, value string", lambda page, i: [(i, n, kind, squeeze(value)) for n, (kind, value) in enumerate(page.events)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for page_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                reader = _Events()
-                reader.feed(text or "")
-                reader.close()
-                rows += [(page_id, n, kind, re.sub(r"\s+", " ", value).strip()) for n, (kind, value) in enumerate(reader.events)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["page_id", "pos", "kind", "value"])
-
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, pos int, kind string, value string")
+
+def text_lines(pages: DataFrame) -> DataFrame:
+    """page_id, pos and line: the visible texts in page order."""
+    return _rows(pages, ["html", "page_id"], "page_id long, pos int, line string", lambda page, i: [(i, n, line) for n, line in enumerate(page.lines())])
+
+
+def data_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, pos and json: the texts of JSON data scripts, as they stand."""
+    return _rows(pages, ["html", "page_id"], "page_id long, pos int, json string", lambda page, i: [(i, n, block) for n, block in enumerate(page.data)])
+
+
+def access_errors(pages: DataFrame, article_class: str = "entry-content") -> DataFrame:
+    """page_id and is_error: the title says so, or the text does on a page without an article, which might quote it."""
+    says = lambda t: any(x in t.lower() for x in ACCESS_ERRORS)
+    return _rows(
+        pages, ["html", "page_id"], "page_id long, is_error boolean",
+        lambda page, i: [(i, says(squeeze(page.title)) or article_class not in page.classes and says(squeeze(" ".join(t for _, t in page.texts))))],
+    )
+
+
+#: What pages say instead of their content.
+ACCESS_ERRORS = ("checking your browser", "verify you are human", "too many requests", "site unavailable", "just a moment")
+
+
+def described_files(blocks: DataFrame) -> DataFrame:
+    """page_id, name and size text of data blocks (page_id, json) whose type is a file; invalid JSON is passed over."""
+    typed = blocks.withColumn("_v", F.try_parse_json("json"))
+    get = lambda path: F.try_variant_get(F.col("_v"), path, "string")
+    return typed.filter(get("$['@type']").isin(*FILE_TYPES)).select("page_id", get("$.name").alias("name"), get("$.contentSize").alias("size"))
+
+
+def labelled_sizes(lines: DataFrame) -> DataFrame:
+    """page_id, size_bytes and precision of pages whose lines (page_id, pos, line) state one size after File size.
+
+    The size stands after the label or on the next line. A page that states differing sizes has none.
+    """
+    label = r"(?i)^file\s*size\s*:?\s*(.*)$"
+    after = Window.partitionBy("page_id").orderBy("pos")
+    stated = lines.withColumn("_next", F.lead("line").over(after)).filter(F.col("line").rlike(label))
+    value = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract("line", label, 1), F.lit("")), F.col("_next")), "^[: ]+", "")
+    size, precision = parse_size(value)
+    sizes = stated.select("page_id", size.alias("n"), precision.alias("p")).filter("n IS NOT NULL")
+    one = sizes.groupBy("page_id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("p").alias("precision"))
+    return one.filter("lo = hi").select("page_id", F.col("lo").alias("size_bytes"), "precision")
 
 
 def response_state(code: Column, body: Column) -> Column:

@@ -1,21 +1,23 @@
-"""Title keys, whitespace, slugs and region codes. Three title keys exist and differ on purpose."""
+"""Title keys, whitespace, slugs, region codes and what a label states. Three title keys exist and differ on purpose."""
 
 from __future__ import annotations
 
 import html
-import re
 import unicodedata
-from functools import reduce
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Packaging words that may end a title.
-PACKAGING = r"\s+(?:ps4|fpkg|pkg)(?:\s+(?:ps4|fpkg|pkg|download))*\s*$"
+#: Packaging words that may end a title, and the word that may follow them.
+PACKAGING = ("ps4", "fpkg", "pkg")
+AFTER_PACKAGING = "download"
 #: Roman numerals that a relaxed key reads as digits; v and x are left alone.
 ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "xi": "11", "xii": "12", "xiii": "13"}
+#: Characters that a strict or relaxed key drops inside words.
+DROPPED = "'’‘`​﻿"
 #: Spellings of region codes.
 REGIONS = {
     "US": "USA", "USA": "USA", "NORTH AMERICA": "USA", "NORTH AMERICAN": "USA", "UNITED STATES": "USA",
@@ -24,41 +26,79 @@ REGIONS = {
     "CN": "CHN", "CHN": "CHN", "CHINA": "CHN", "AU": "AUS", "AUS": "AUS", "AUSTRALIA": "AUS",
     "NZ": "NZL", "NZL": "NZL", "NEW ZEALAND": "NZL", "UK": "UK", "UNITED KINGDOM": "UK", "WORLD": "WORLD", "WORLDWIDE": "WORLD",
 }
-
-_packaging = re.compile(PACKAGING)
-_between = re.compile(r"[^\w]+")
+#: Codes that count in running text, and those that a label may state.
+PLAIN_CODES = ("USA", "EUR", "JPN", "ASIA", "KOR", "CHN", "AUS", "NZL")
+LABEL_CODES = ("EUR", "USA", "JPN", "ASIA", "KOR", "UK", "EU", "US", "JP")
 
 
 def group_key(title: Column) -> Column:
-    """Key that groups listings: native, keeps letters from U+00C0 up, drops packaging words."""
-    bare = F.trim(F.regexp_replace(title, "(?i)" + PACKAGING, ""))
+    """Key that groups listings: native, keeps letters from U+00C0 up, drops packaging words at the end."""
+    packaging = "|".join(PACKAGING)
+    bare = F.trim(F.regexp_replace(title, rf"(?i)\s+(?:{packaging})(?:\s+(?:{packaging}|{AFTER_PACKAGING}))*\s*$", ""))
     return F.trim(F.regexp_replace(F.replace(F.lower(bare), F.lit("&"), F.lit(" and ")), r"[^a-z0-9\x{c0}-\x{10ffff}]+", " "))
 
 
-def fold_title(value: str | None, relaxed: bool = False, strict: bool = True) -> str | None:
-    """Case-folded title without accents or packaging. strict also drops apostrophes; relaxed joins words and reads roman numerals."""
-    if value is None:
-        return None
-    text = _packaging.sub("", html.unescape(value).casefold()).replace("&", " and ")
-    if strict or relaxed:
-        text = re.sub("['’‘`\u200b\ufeff]", "", text.replace("×", "x"))
-    words = _between.sub(" ", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))).split()
-    return "".join(ROMAN.get(w, w) for w in words) if relaxed else " ".join(words)
+def _without_packaging(text: str) -> list[str]:
+    """The words of a text but for packaging words at its end. A title keeps its first word."""
+    words = text.split()
+    last = len(words)
+    while last > (0 if text[:1].isspace() else 1) and words[last - 1] in (*PACKAGING, AFTER_PACKAGING):
+        last -= 1
+    while last < len(words) and words[last] == AFTER_PACKAGING:  # belongs to the title unless packaging precedes it
+        last += 1
+    return words[:last]
+
+
+def _plain_words(text: str, dropped: str) -> Iterator[str]:
+    """Runs of letters and digits without accents; an ampersand is a word of its own."""
+    word = ""
+    for c in unicodedata.normalize("NFKD", text):
+        if c.isalnum() or c == "_":
+            word += c
+        elif c == "×" and dropped:
+            word += "x"
+        elif not unicodedata.combining(c) and c not in dropped:
+            if word:
+                yield word
+            if c == "&":
+                yield "and"
+            word = ""
+    if word:
+        yield word
+
+
+def title_words(title: str, dropped: str = "") -> list[str]:
+    """The words of a title that its keys are made of, case folded."""
+    return [w for part in _without_packaging(html.unescape(title).casefold()) for w in _plain_words(part, dropped)]
+
+
+def import_title(title: str | None) -> str | None:
+    return None if title is None else " ".join(title_words(title))
+
+
+def strict_title(title: str | None) -> str | None:
+    """As the import key, but apostrophes do not part words, and × is an x."""
+    return None if title is None else " ".join(title_words(title, DROPPED))
+
+
+def relaxed_title(title: str | None) -> str | None:
+    """As the strict key, with roman numerals read as digits and no spaces."""
+    return None if title is None else "".join(ROMAN.get(w, w) for w in title_words(title, DROPPED))
 
 
 @F.pandas_udf(StringType())
 def import_key(titles: pd.Series) -> pd.Series:
-    return titles.map(lambda t: fold_title(t, strict=False))
+    return titles.map(import_title)
 
 
 @F.pandas_udf(StringType())
 def strict_key(titles: pd.Series) -> pd.Series:
-    return titles.map(fold_title)
+    return titles.map(strict_title)
 
 
 @F.pandas_udf(StringType())
 def relaxed_key(titles: pd.Series) -> pd.Series:
-    return titles.map(lambda t: fold_title(t, relaxed=True))
+    return titles.map(relaxed_title)
 
 
 def clean(text: Column) -> Column:
@@ -73,25 +113,42 @@ def upper_clean(text: Column) -> Column:
     return F.upper(clean(text))
 
 
-def _known_regions(parts: Column) -> Column:
+def _spaced(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), "_", " ")
+
+
+def _codes(names: Column) -> Column:
+    """The codes of an array of upper-case region names; null for other names."""
     table = F.create_map(*(F.lit(x) for kv in REGIONS.items() for x in kv))
-    return F.transform(parts, lambda p: F.try_element_at(table, F.trim(p)))
+    return F.transform(names, lambda n: F.try_element_at(table, F.trim(n)))
+
+
+def _sorted_set(codes: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(codes)))
 
 
 def parse_regions(text: Column) -> Column:
-    """Sorted distinct codes of a delimited list."""
-    parts = F.split(F.upper(F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(" "))), r"\s*[,/|+&;]\s*")
-    return F.array_sort(F.array_distinct(F.array_compact(_known_regions(parts))))
+    """Sorted distinct codes of a list with any of the delimiters , / | + & ; between."""
+    return _sorted_set(_codes(F.split(F.translate(F.upper(_spaced(text)), "/|+&;", ",,,,,"), ",")))
 
 
 def region_tokens(text: Column) -> Column:
-    """Sorted distinct codes in running text: long upper-case codes, bracketed lists, tagged lists."""
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(" "))
-    found = [
-        F.regexp_extract_all(plain, F.lit(r"\b(USA|EUR|JPN|ASIA|KOR|CHN|AUS|NZL)\b"), F.lit(1)),
-        *(F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(p), F.lit(1)), parse_regions)) for p in (r"[\[({]([^\])}]+)[\])}]", r"(?i)\bRegion\s*[:=-]\s*([a-z /,+&|]+?)(?=\s{2}|[;\]\n()]|$)")),
-    ]
-    return F.array_sort(F.array_distinct(reduce(lambda a, b: F.concat(a, b), found)))
+    """Sorted distinct codes in running text: long upper-case codes, bracketed lists, lists after Region.
+
+    Short codes count in lists only, so that the word us is no region.
+    """
+    plain = _spaced(text)
+    words = F.filter(F.split(plain, "[^A-Za-z0-9]+"), lambda w: w.isin(*PLAIN_CODES))
+    # What stands before a closing bracket, from the first opening one on.
+    closed = F.split(plain, r"[\])}]")
+    bracketed = F.transform(F.slice(closed, 1, F.size(closed) - 1), lambda s: F.regexp_replace(s, r"^[^\[({]*[\[({]?", ""))
+    after = F.split(plain, r"(?i)\bregion\s*[:=-]\s*")
+    # A list that the next Region cuts off has not ended.
+    rests = F.transform(F.slice(after, 2, F.size(after)), lambda s, i: F.when(i < F.size(after) - 2, F.concat(s, F.lit("\x01"))).otherwise(s))
+    named = F.transform(rests, lambda s: F.struct(s.alias("rest"), F.split(F.regexp_extract(s, "^[A-Za-z /,+&|]*", 0), r"\s{2}")[0].alias("names")))
+    ended = F.filter(named, lambda x: F.substr(x["rest"], F.char_length(x["names"]) + 1).rlike(r"^(?:\s{2}|[;\]\n()]|$)"))
+    lists = F.concat(bracketed, F.transform(ended, lambda x: x["names"]))
+    return _sorted_set(F.concat(words, F.flatten(F.transform(lists, parse_regions))))
 
 
 def region_alias(code: Column) -> Column:
@@ -106,22 +163,109 @@ def section_key(title: Column) -> Column:
     return F.when(first.rlike("^[A-Z]$"), first).otherwise(F.lit("#"))
 
 
-def label_details(label: Column) -> dict[str, Column]:
-    """kind, version, variant and requirement stated by a release label; only explicit markers count."""
-    text = F.replace(label, F.lit("_"), F.lit(" "))
-    has = lambda p: F.coalesce(text.rlike("(?i)" + p), F.lit(False))
-    base, update, dlc = has(r"\bbase(\s+game)?\b|^\s*game\b"), has(r"\bupdate\b|\bpatch\b"), has(r"\bdlc(pack|s)?\b")
-    n = base.cast("int") + update.cast("int") + dlc.cast("int")
-    fix_first = has(r"^\s*(fix|backport)\b")
-    patch = update & has(r"\bpatch\b") & ~has(r"^\s*(update|patch)\b")
-    kind = (
-        F.when(n > 1, F.lit("bundle")).when(base, F.lit("base")).when(dlc, F.lit("dlc"))
-        .when(patch, F.when(fix_first, F.lit("fix")).otherwise(F.lit("patch"))).when(update, F.lit("update")).when(fix_first, F.lit("fix"))
-    )
-    versions = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)(?:\bv(?:ersion)?\s*|\bupdate\s*v?\s*)(\d{1,3}\.\d{1,3}(?:\.\d+)?)"), F.lit(1)))
-    requirement = F.nullif(F.regexp_extract(text, r"(?i)\((?:fix\s*|fw\s*|firmware\s*)?(\d+\.(?:\d+|xx)(?:\s*[/+\x{2013}-]\s*\d+\.(?:\d+|xx))*\+?)\)", 1), F.lit(""))
+def _only(values: Column) -> Column:
+    """The single distinct value of an array, else null."""
+    distinct = F.array_distinct(values)
+    return F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0)))
+
+
+def label_words(label: Column) -> Column:
+    """The lower-case words of a label, without empty ones."""
+    return F.filter(F.split(F.lower(_spaced(label)), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def stated_version(label: Column, whole_numbers: bool = False) -> Column:
+    """The only dotted version that v, version or update marks; with whole_numbers else the only v followed by a whole number."""
+    words = F.filter(F.split(F.lower(_spaced(label)), "[^a-z0-9.]+"), lambda w: w != "")
+    marks = ("v", "version", "update")
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get(words, i - 1)).alias("before")))
+    number = lambda w: F.regexp_extract(w, r"^(?:update)?(?:v|version)?(\d{1,3}\.\d{1,3}(?:\.\d+)?)", 1)
+    marked = F.filter(placed, lambda x: (number(x["word"]) != "") & (~x["word"].rlike(r"^\d") | x["before"].isin(*marks)))
+    dotted = F.transform(marked, lambda x: number(x["word"]))
+    whole = F.transform(F.filter(words, lambda w: w.rlike(r"^v\d+$")), lambda w: F.substr(w, F.lit(2)))
+    return F.when(F.size(dotted) > 0, _only(dotted)).otherwise(_only(whole)) if whole_numbers else _only(dotted)
+
+
+def product_code(label: Column) -> Column:
+    """The only product code in a label, upper case."""
+    return F.upper(_only(F.filter(F.split(_spaced(label), "[^A-Za-z0-9]+"), lambda w: w.rlike(r"(?i)^cusa\d{5}$"))))
+
+
+def stated_requirement(label: Column, brackets: str = "()") -> Column:
+    """What the first fitting bracket requires: numbers joined by /, + or a dash, as one text without spaces."""
+    opening, closing = brackets
+    closed = F.split(_spaced(label), "\\" + closing)
+    inner = F.transform(F.filter(F.slice(closed, 1, F.size(closed) - 1), lambda s: F.contains(s, F.lit(opening))), lambda s: F.lower(F.substring_index(s, opening, -1)))
+    bare = F.transform(inner, lambda s: F.regexp_replace(s, r"^(?:fix|fw|firmware)\s*", "")) if opening == "(" else inner
+    number, plus = r"\d+\.(?:\d+|xx)", F.lit("+")
+    parts = lambda s: F.split(F.rtrim(s, plus), r"\s*[/+\x{2013}-]\s*")
+    fits = F.filter(bare, lambda s: F.forall(parts(s), lambda x: x.rlike(f"^{number}$")) & ~F.endswith(s, F.lit("++")) & s.rlike(r"^\d"))
+    return F.translate(F.regexp_replace(F.get(fits, F.lit(0)), r"\s+", ""), "-", "/")
+
+
+def label_details(label: Column, of_file: bool = False) -> dict[str, Column]:
+    """kind, version, product_code, region, variant and requirement stated by a release label.
+
+    Only explicit markers count. A file name (of_file) states no region, and its requirement may be
+    in square brackets.
+    """
+    words = label_words(label)
+    says = lambda *any_of: F.exists(words, lambda w: w.isin(*any_of))
+    starts = lambda *any_of: F.coalesce(F.get(words, F.lit(0)).isin(*any_of), F.lit(False))
+    hits = {"base": says("base") | starts("game"), "update": says("update", "patch"), "dlc": says("dlc", "dlcpack", "dlcs")}
+    named = F.array_compact(F.array(*(F.when(hit, F.lit(kind)) for kind, hit in hits.items())))
+    of_patch = F.when(~says("patch") | starts("update", "patch"), F.lit("update")).when(starts("fix", "backport"), F.lit("fix")).otherwise(F.lit("patch"))
+    kind = F.when(F.size(named) > 1, F.lit("bundle")).when(F.get(named, F.lit(0)) == "update", of_patch).when(F.size(named) == 1, F.get(named, F.lit(0))).when(starts("fix", "backport"), F.lit("fix"))
+    numbered = F.exists(F.arrays_zip(words.alias("w"), F.slice(words, 2, F.size(words)).alias("next")), lambda x: (x["w"] == "fix") & F.coalesce(x["next"].rlike(r"^\d"), F.lit(False)))
+    region = _only(F.filter(F.split(F.upper(F.coalesce(label, F.lit(""))), "[^A-Z0-9_]+"), lambda w: w.isin(*LABEL_CODES)))
+    requirement = stated_requirement(label)
     return {
-        "kind": kind, "version": F.when(F.size(versions) == 1, versions[0]),
-        "variant": F.when(has(r"\bbackport\b|\bfix\s+\d"), F.lit("Backport / fix")),
-        "requirement": F.replace(F.regexp_replace(requirement, r"\s+", ""), F.lit("-"), F.lit("/")),
+        "kind": kind, "version": stated_version(label), "product_code": product_code(label), "region": F.lit(None).cast("string") if of_file else region,
+        "variant": F.when(says("backport") | numbered, F.lit("Backport / fix")), "requirement": F.coalesce(requirement, stated_requirement(label, "[]")) if of_file else requirement,
     }
+
+
+def file_details(name: Column) -> dict[str, Column]:
+    """What a catalogue page reads off a file name; narrower than label_details: a kind only from how the name begins, or DLC in it."""
+    plain, words = _spaced(name), label_words(name)
+    says = lambda *any_of: F.exists(words, lambda w: w.isin(*any_of))
+    begins = lambda word: F.coalesce(F.lower(plain).startswith(word + " ") | F.lower(plain).startswith(word + "-"), F.lit(False))
+    only_v = F.filter(F.split(F.lower(plain), r"\b(?=v(?:ersion)?\s*\d)"), lambda s: s.startswith("v"))
+    version = _only(F.filter(F.transform(only_v, lambda s: F.regexp_extract(s, r"^v(?:ersion)?\s*(\d{1,3}\.\d{1,3}(?:\.\d+)?)", 1)), lambda v: v != ""))
+    kind = F.when(begins("base"), F.lit("base")).when(begins("update"), F.lit("update")).when(says("dlc", "dlcpack", "dlcs"), F.lit("dlc"))
+    return {"kind": kind, "version": version, "product_code": product_code(name), "variant": F.when(says("backport"), F.lit("Backport / fix")), "requirement": stated_requirement(name, "[]")}
+
+
+#: Parts of labels that name no release, and parts of status names that mean not yet or never released.
+NO_RELEASE = ("guide", "changelog", "dlc content", "content list")
+UNRELEASED = ("cancel", "alpha", "beta", "early_access", "advanced_access", "rumor", "rumour", "unreleased")
+
+
+def _holds(text: Column, parts: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, parts)), lambda part: F.contains(text, part))
+
+
+def is_listed_label(kind: Column, label: Column) -> Column:
+    """A row is a release only if it has a kind and its label names no guide, change log or content list."""
+    return F.coalesce(kind, F.lit("")).__ne__("") & ~_holds(F.lower(clean(F.coalesce(label, F.lit("")))), NO_RELEASE)
+
+
+def is_unreleased(status: Column) -> Column:
+    """Whether a status name says that a title is not out: the words count anywhere in it."""
+    return _holds(slug(F.coalesce(status, F.lit(""))), UNRELEASED)
+
+
+def names_platform(text: Column, word: str = "ps4") -> Column:
+    """Whether a text has the platform as a word of its own, in any letter case."""
+    return F.array_contains(label_words(text), word)
+
+
+def item_count(label: Column) -> Column:
+    """The number in ``DLC (n)``; null without one."""
+    found = F.regexp_extract(label, r"(?i)\bdlc\s*\((\d{1,9})\)", 1)
+    return F.nullif(found, F.lit("")).cast("int")
+
+
+def with_thousands(n: Column) -> Column:
+    """A count with thousands separators."""
+    return F.format_number(n, 0)

@@ -59,3 +59,43 @@ def multipart(name: Column) -> tuple[Column, Column]:
     p = r"(?i)^(.*?)(?:\.part0*(\d+)\.rar|\.7z\.0*(\d+))$"
     number = F.coalesce(F.nullif(F.regexp_extract(name, p, 2), F.lit("")), F.nullif(F.regexp_extract(name, p, 3), F.lit("")))
     return F.nullif(F.regexp_extract(name, p, 1), F.lit("")), number.cast("int")
+
+
+#: Where the id of a hosted file stands in its address.
+PATH, QUERY = "path", "query"
+
+
+def asset_key(url: Column, hosts: list[tuple[tuple[str, ...], str, str, str, bool]]) -> Column:
+    """Key of a hosted file: known hosts keep the file's id only, under one of their domains; others the canonical key.
+
+    hosts: (domains, where, pattern with one group for the id, prefix of the key, whether ids ignore
+    letter case). Alias domains of a host come in one tuple. Where an address of a known host has no
+    id, its canonical key holds.
+    """
+    full = with_scheme(url)
+    query = F.coalesce(F.try_parse_url(full, F.lit("QUERY")), F.lit(""))
+    path = F.coalesce(F.try_parse_url(full, F.lit("PATH")), F.lit(""))
+    kept = []
+    for domains, where, pattern, prefix, any_case in hosts:
+        ident = F.regexp_extract(path if where == PATH else query, pattern, 1)
+        of_host = in_any_domain(host(url), domains)
+        kept.append(F.when(of_host & (ident != ""), F.concat(F.lit(prefix), F.lower(ident) if any_case else ident)))
+    return F.when(is_valid(url), F.coalesce(*kept, canonical_key(url)))
+
+
+def in_any_domain(name: Column, domains: tuple[str, ...] | list[str]) -> Column:
+    found = F.lit(False)
+    for d in domains:
+        found = found | F.coalesce(in_domain(name, d), F.lit(False))
+    return found
+
+
+def path_of(url: Column) -> Column:
+    """The path without final slashes; empty for none."""
+    return F.regexp_replace(F.coalesce(F.try_parse_url(with_scheme(url), F.lit("PATH")), F.lit("")), "/+$", "")
+
+
+def is_catalogue_page(url: Column, domains: list[str]) -> Column:
+    """Whether an address is an https page of exactly these hosts, without user data."""
+    full = with_scheme(url)
+    return F.coalesce(full.startswith("https://") & host(url).isin(*domains) & is_valid(url), F.lit(False))
