@@ -42,3 +42,36 @@ def region_rollup(links: DataFrame, region: str, link: str, listing: str, entity
         F.count_distinct(link).alias("n_links"), F.count_distinct(listing).alias("n_listings"), F.count_distinct(entity).alias("n_entities"),
         F.count_distinct(F.when(is_base, F.col(entity))).alias("n_base_entities"),
     )
+
+
+def eligible(games: DataFrame, roots: DataFrame, dates: DataFrame, in_scope: Column, unreleased: Column) -> tuple[DataFrame, DataFrame]:
+    """Reference titles by root, and how many games each reason excludes; the first reason that holds counts.
+
+    games: id and what in_scope and unreleased read. roots: node, root. dates: id, day, label; only
+    qualifying days. A game needs a root, a type in scope for itself and for its root, a status that
+    is not unreleased, and a day of its own. It is credited to its root: root, reference_ids,
+    first_release and the label of that day (of equal days the first label).
+    """
+    own = games.withColumns({"_scope": F.coalesce(in_scope, F.lit(False)), "_unreleased": F.coalesce(unreleased, F.lit(False))}).select("id", "_scope", "_unreleased")
+    first = dates.groupBy("id").agg(F.min(F.struct("day", "label")).alias("_first"))
+    of_root = own.select(F.col("id").alias("root"), F.col("_scope").alias("_root_scope"))
+    rows = own.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(of_root, "root", "left").join(first, "id", "left")
+    reason = first_reason([
+        ("unresolved parent", F.col("root").isNull()), ("type out of scope", ~(F.col("_scope") & F.coalesce("_root_scope", F.lit(False)))),
+        ("unreleased status", F.col("_unreleased")), ("no qualifying date", F.col("_first").isNull()),
+    ])
+    judged = rows.withColumn("reason", reason)
+    kept = judged.filter("reason IS NULL").groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("reference_ids"), F.min("_first").alias("_first"))
+    reasons = judged.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    return kept.select("root", "reference_ids", F.col("_first.day").alias("first_release"), F.col("_first.label").alias("label")), reasons
+
+
+def dates_of(games: DataFrame, dates: DataFrame) -> DataFrame:
+    """Each game's dates, one row each; games without one have a row without a date."""
+    return games.join(dates, "id", "left")
+
+
+def titles_per_region(reference: DataFrame, regions: DataFrame) -> DataFrame:
+    """region and n_titles: reference titles (root) that the catalogue has with that region (root, region); each counts once in a region."""
+    pairs = regions.select("root", "region").distinct()
+    return pairs.join(reference.select("root").distinct(), "root", "left_semi").groupBy("region").agg(F.count("*").alias("n_titles"))

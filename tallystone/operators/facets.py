@@ -28,6 +28,43 @@ def region_facet(regions: Column, conflict: Column, wanted: str) -> Column:
     return F.coalesce(F.array_contains(regions, wanted) & ~F.coalesce(conflict, F.lit(False)), F.lit(False))
 
 
+def recommendation_context(releases: DataFrame, source: Column, region: Column, kind: Column) -> DataFrame:
+    """releases with in_view (all facets) and in_context (all but kind), which bases of a family keep while updates alone are viewed.
+
+    Entities without a release in view go; the rest of their releases stays for the recommendation.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    marked = releases.withColumns({"in_context": yes(source) & yes(region), "in_view": yes(source) & yes(region) & yes(kind)})
+    return marked.filter("in_context")
+
+
+def scope_filter(rows: DataFrame, scope: str, query: str = "", market: str = "") -> DataFrame:
+    """Rows (name, listings, catalogued, outside, regions) of one scope: gaps, matched, all or outside.
+
+    query is looked for in the name and the listings' names. A market holds for reference rows only.
+    """
+    wanted = {"outside": F.col("outside"), "gaps": ~F.col("outside") & ~F.col("catalogued"), "matched": ~F.col("outside") & F.col("catalogued")}.get(scope, ~F.col("outside"))
+    hit = search([F.col("name"), F.array_join("listings", " ")], query) if query.strip() else F.lit(True)
+    of_market = F.array_contains("regions", market) if market and scope != "outside" else F.lit(True)
+    return rows.filter(F.coalesce(wanted & hit & of_market, F.lit(False)))
+
+
+def name_order(name: Column | str, descending: bool = False) -> Column:
+    """The order of names that readers expect: accents and letter case decide last (the root locale's collation)."""
+    collated = F.collate(name, "UNICODE")
+    return collated.desc() if descending else collated.asc()
+
+
+def folded(name: Column) -> Column:
+    """Lower case in which spellings of one letter are one: ß is ss, a final sigma a sigma."""
+    return F.translate(F.replace(F.lower(name), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
+def section_order(section: Column) -> list[Column]:
+    """Sections with # first, then in the order of names."""
+    return [F.when(section == "#", 0).otherwise(1).asc(), name_order(section)]
+
+
 def search(fields: list[Column], query: str) -> Column:
     """Case-insensitive substring over the joined fields."""
     return F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(query.strip().lower()))
@@ -39,6 +76,23 @@ def unknown_last(column: str, descending: bool) -> Column:
 
 
 def paginate(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page, clamped to the pages that exist. order must be total."""
+    """One page, clamped to the pages that exist. order must be total.
+
+    Each task keeps offset + size rows, so this is for pages near the front; ``page_after`` takes
+    any page at the cost of the first.
+    """
     pages = max(1, -(-rows.count() // size))
     return rows.orderBy(*order).offset(min(max(page, 0), pages - 1) * size).limit(size)
+
+
+def page_after(rows: DataFrame, keys: list[tuple[str, bool]], last: tuple | None, size: int) -> DataFrame:
+    """The page that follows the row with the key values last (the first page for None).
+
+    keys: (column, descending), together total and without nulls. The filter reaches the scan, and
+    each task keeps size rows, however deep the page lies.
+    """
+    beyond, equal = F.lit(last is None), F.lit(True)
+    for (name, descending), value in zip(keys, last or (), strict=False):
+        beyond = beyond | equal & (F.col(name) < F.lit(value) if descending else F.col(name) > F.lit(value))
+        equal = equal & (F.col(name) == F.lit(value))
+    return rows.filter(beyond).orderBy(*(F.desc(n) if d else F.asc(n) for n, d in keys)).limit(size)

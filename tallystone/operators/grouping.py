@@ -30,10 +30,34 @@ def _one(rows: DataFrame, keys: list[str], order: list[Column | str], pick: obje
     return best.select(*keys, "_row.*").select(*rows.columns)
 
 
-def release_groups(assets: DataFrame, keys: list[str], pos: str, url: str) -> DataFrame:
-    """One row per release: null keys count as empty, n_assets, and its assets in order."""
+def valid_listings(listings: DataFrame) -> DataFrame:
+    """Listings whose name is a text of its own: not blank and no address."""
+    name = F.trim(F.coalesce("name", F.lit("")))
+    return listings.filter((name != "") & ~name.rlike(r"(?i)^(?:https?:)?//"))
+
+
+def claims(listings: DataFrame, links: DataFrame, ident: str, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """The first listing of each key among those that still have a link; a listing without one claims no key.
+
+    links: ident of each surviving link.
+    """
+    return first_wins(listings.join(links.select(ident).distinct(), ident, "left_semi"), keys, order)
+
+
+def release_rows(assets: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """assets with their place among those of one release, and its first position; no release is gathered."""
+    normal = assets.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys})
+    along = Window.partitionBy(*keys).orderBy(pos)
+    return normal.withColumns({"place": F.row_number().over(along), "first_pos": F.first(pos).over(along)})
+
+
+def release_groups(assets: DataFrame, keys: list[str], pos: str, url: str, metadata: list[str] = ()) -> DataFrame:
+    """One row per release: null keys count as empty, n_assets, metadata as first seen, and its assets in order.
+
+    The assets of one release are one array; ``release_rows`` gives them as rows, where releases may be large.
+    """
     normal = assets.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys})
-    grouped = normal.groupBy(*keys).agg(F.count("*").alias("n_assets"), F.min(pos).alias("first_pos"), F.sort_array(F.collect_list(F.struct(pos, url))).alias("_assets"))
+    grouped = normal.groupBy(*keys).agg(F.count("*").alias("n_assets"), F.min(pos).alias("first_pos"), F.sort_array(F.collect_list(F.struct(pos, url))).alias("_assets"), *(F.min_by(c, pos).alias(c) for c in metadata))
     return grouped.withColumn("assets", F.col("_assets")[url]).drop("_assets")
 
 

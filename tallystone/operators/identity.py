@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.sources.tables import working_dir, written
+from tallystone.sources.tables import delete_path, working_dir, written
+
 
 def unique_match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """name_id, ref_id, status: matched only if a key has exactly one candidate id.
@@ -18,42 +19,80 @@ def unique_match(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return found.select("name_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("ref_id"), status.alias("status"))
 
 
+#: How many candidates an undecided name lists, the smallest ids first.
+MOST_LISTED = 20
+
+
 def candidate_index(reference: DataFrame, key: str) -> DataFrame:
     """What a tier needs to know about a key's candidates, one row per key.
 
     reference: the key, ref_id, root_id, on_platform. pick is the candidate that is a root, else the
-    one with the smallest id.
+    one with the smallest id. A candidate without a root makes its key ambiguous. ids are the
+    smallest candidates; ranks are cut before the shuffle, so that a common key is never gathered.
     """
     on = F.coalesce("on_platform", F.lit(False))
-    return reference.groupBy(F.col(key).alias("key")).agg(
-        F.min("root_id").alias("lo"), F.max("root_id").alias("hi"), F.min(F.struct((F.col("root_id") != F.col("ref_id")).alias("below"), "ref_id")).alias("pick"),
-        F.min(F.when(on, F.col("root_id"))).alias("plo"), F.max(F.when(on, F.col("root_id"))).alias("phi"), F.min(F.when(on, F.col("ref_id"))).alias("pid"),
+    facts = reference.groupBy(F.col(key).alias("key")).agg(
+        F.min("root_id").alias("lo"), F.max("root_id").alias("hi"), F.bool_or(F.col("root_id").isNull()).alias("loose"),
+        F.min(F.struct((F.col("root_id") != F.col("ref_id")).alias("below"), "ref_id")).alias("pick"),
+        F.min(F.when(on, F.col("root_id"))).alias("plo"), F.max(F.when(on, F.col("root_id"))).alias("phi"), F.bool_or(on & F.col("root_id").isNull()).alias("ploose"), F.min(F.when(on, F.col("ref_id"))).alias("pid"),
     )
+    smallest = reference.select(F.col(key).alias("key"), "ref_id").distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("ref_id"))).filter(F.col("_rank") <= MOST_LISTED)
+    return facts.join(smallest.groupBy("key").agg(F.array_sort(F.collect_list("ref_id")).alias("ids")), "key")
 
 
-def tiered_match(names: DataFrame, tiers: list[tuple[str, DataFrame]]) -> DataFrame:
-    """name_id, tier, ref_id, status of names (name_id, has_codes and one key column per tier).
+def tiered_match(names: DataFrame, tiers: list[tuple[str, DataFrame]], known: DataFrame | None = None, pairs: list[tuple[str, str]] = ()) -> DataFrame:
+    """name_id, tier, ref_id, status and candidates of names (name_id, has_codes and one key column per tier).
 
-    tiers: (key column, candidate_index) from strict to loose. The first tier with any candidate
-    decides: one root gives its pick; several give the one root on the platform, if the name has
-    product codes; else the name is ambiguous, and looser tiers are not asked. A name may have
-    several rows (aliases); their candidates count together.
+    tiers: (key column, candidate_index) from strict to loose. Tier 0 is an id that the name carries
+    (column known_id) and that known (ref_id) holds. Then the first tier with any candidate decides:
+    one root gives its pick; several give the one root on the platform, if the name has product
+    codes; else the name is ambiguous, and looser tiers are not asked. Names without any candidate
+    come to the pair tier: pairs has the key columns of both halves of ``left (right)`` names per tier, and the
+    first tier in which each half has one root, the same one, gives the left half's smallest id. A
+    name may have several rows (aliases); their candidates count together. Undecided names list
+    their smallest candidates.
     """
     rows = names
     for n, (key, index) in enumerate(tiers):
         rest = [c for c in index.columns if c != "key"]
         rows = rows.join(index.select(F.col("key").alias(key), F.struct(*rest).alias(f"_t{n}")), key, "left")
     merged = [
-        F.when(F.max(F.col(f"_t{n}.lo")).isNotNull(), F.struct(
-            F.lit(n + 1).alias("tier"), F.min(f"_t{n}.lo").alias("lo"), F.max(f"_t{n}.hi").alias("hi"), F.min(f"_t{n}.pick").alias("pick"),
-            F.min(f"_t{n}.plo").alias("plo"), F.max(f"_t{n}.phi").alias("phi"), F.min(f"_t{n}.pid").alias("pid"),
+        F.when(F.max(F.col(f"_t{n}.pick")).isNotNull(), F.struct(
+            F.lit(n + 1).alias("tier"), F.min(f"_t{n}.lo").alias("lo"), F.max(f"_t{n}.hi").alias("hi"), F.bool_or(f"_t{n}.loose").alias("loose"), F.min(f"_t{n}.pick").alias("pick"),
+            F.min(f"_t{n}.plo").alias("plo"), F.max(f"_t{n}.phi").alias("phi"), F.bool_or(f"_t{n}.ploose").alias("ploose"), F.min(f"_t{n}.pid").alias("pid"),
+            F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"_t{n}.ids")))), 1, MOST_LISTED).alias("ids"),
         )) for n in range(len(tiers))
     ]
-    one_row = rows.groupBy("name_id").agg(F.bool_or("has_codes").alias("codes"), F.coalesce(*merged).alias("t"))
-    one, platform = F.col("t.lo") == F.col("t.hi"), F.coalesce(F.col("codes"), F.lit(False)) & (F.col("t.plo") == F.col("t.phi"))
-    ref = F.when(one, F.col("t.pick.ref_id")).when(platform, F.col("t.pid"))
-    status = F.when(F.col("t").isNull(), "unmatched").when(ref.isNotNull(), "matched").otherwise("ambiguous")
-    return one_row.select("name_id", F.col("t.tier").alias("tier"), ref.alias("ref_id"), status.alias("status"))
+    found = [F.bool_or("has_codes").alias("codes"), F.coalesce(*merged).alias("t")]
+    if known is not None:
+        rows = rows.join(known.select(F.col("ref_id").alias("known_id")).distinct().withColumn("_known", F.col("known_id")), "known_id", "left")
+        found.append(F.min("_known").alias("_known"))
+    one_row = rows.groupBy("name_id").agg(*found)
+    if known is None:
+        one_row = one_row.withColumn("_known", F.lit(None).cast("long"))
+    one_row = one_row.withColumn("_pair", F.lit(None).cast("long")) if not pairs else one_row.join(_paired(names, tiers, pairs), "name_id", "left")
+    one = (F.col("t.lo") == F.col("t.hi")) & ~F.col("t.loose")
+    platform = F.coalesce(F.col("codes"), F.lit(False)) & (F.col("t.plo") == F.col("t.phi")) & ~F.col("t.ploose")
+    pair = F.when(F.col("t").isNull(), F.col("_pair"))
+    ref = F.coalesce("_known", F.when(one, F.col("t.pick.ref_id")).when(platform, F.col("t.pid")), pair)
+    tier = F.when(F.col("_known").isNotNull(), 0).when(F.col("t").isNotNull(), F.col("t.tier")).when(pair.isNotNull(), len(tiers) + 1)
+    status = F.when(ref.isNotNull(), "matched").when(F.col("t").isNull(), "unmatched").otherwise("ambiguous")
+    listed = F.when(ref.isNull(), F.coalesce("t.ids", F.array().cast("array<long>"))).otherwise(F.array().cast("array<long>"))
+    return one_row.select("name_id", tier.alias("tier"), ref.alias("ref_id"), status.alias("status"), listed.cast("array<long>").alias("candidates"))
+
+
+def _paired(names: DataFrame, tiers: list[tuple[str, DataFrame]], pairs: list[tuple[str, str]]) -> DataFrame:
+    """name_id and _pair, the id that the first deciding tier's pairs give."""
+    rows = names
+    for n, ((left, right), (_, index)) in enumerate(zip(pairs, tiers, strict=True)):
+        for side, key in (("l", left), ("r", right)):
+            facts = F.struct("lo", "hi", "loose", F.element_at("ids", 1).alias("id")).alias(f"_{side}{n}")
+            rows = rows.join(index.select(F.col("key").alias(key), facts), key, "left")
+    agree = [
+        F.when((F.col(f"_l{n}.lo") == F.col(f"_l{n}.hi")) & (F.col(f"_r{n}.lo") == F.col(f"_r{n}.hi")) & (F.col(f"_l{n}.lo") == F.col(f"_r{n}.lo")) & ~F.col(f"_l{n}.loose") & ~F.col(f"_r{n}.loose"), F.col(f"_l{n}.id"))
+        for n in range(len(pairs))
+    ]
+    return rows.groupBy("name_id").agg(F.min(F.coalesce(*agree)).alias("_pair"))
 
 
 def paired_match(pairs: DataFrame) -> DataFrame:
@@ -65,22 +104,37 @@ def paired_match(pairs: DataFrame) -> DataFrame:
     return one.filter("lo = hi AND sides = 2").select("name_id", "ref_id")
 
 
-def hierarchy_roots(edges: DataFrame, most_depth: int = 40) -> DataFrame:
+def name_halves(name: Column) -> tuple[Column, Column]:
+    """The halves of a ``left (right)`` name; null for other names."""
+    pattern = r"^(.+?)\s*\(([^()]+)\)\s*$"
+    half = lambda n: F.nullif(F.regexp_extract(name, pattern, n), F.lit(""))
+    return half(1), half(2)
+
+
+def hierarchy_roots(edges: DataFrame) -> DataFrame:
     """node, root of every node of edges (node, parent; parent null for roots).
 
-    Pointer doubling: each round replaces a node's pointer by its pointer's pointer, so a chain of
-    length n takes log2(n) joins. Roots point at themselves; a dangling parent or a cycle gives null.
-    Each round joins a table with itself, so it is written first; else plans would double too.
+    Pointer doubling: each round replaces an open node's pointer by its pointer's pointer, so a
+    chain of any length n is settled after log2(n) rounds, and only open nodes are joined. A
+    dangling parent gives null. While open nodes lead to a root, each round settles some; once one
+    settles none, the rest lead to cycles, and get null too. Each round joins a table with itself, so it
+    is written first; else plans would double too. The rounds before are removed.
     """
-    folder = working_dir(edges.sparkSession)
-    step = edges.select("node", F.coalesce("parent", "node").alias("up"))
-    for n in range(max(1, (most_depth - 1).bit_length())):
-        step = written(step, f"{folder}/pointers-{n}")
-        above = step.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        # A dangling pointer has no row and becomes null; a null stays null.
-        step = step.join(above, "up", "left").select("node", F.col("next").alias("up"))
-    roots = edges.filter("parent IS NULL").select(F.col("node").alias("root"))
-    return step.join(roots, step["up"] == roots["root"], "left").select("node", "root")
+    spark, folder = edges.sparkSession, working_dir(edges.sparkSession)
+    step = written(edges.select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNull().alias("done")), f"{folder}/pointers-0")
+    n, still_open = 0, step.filter("NOT done").count()
+    while still_open:
+        above = step.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"))
+        # A dangling pointer has no row above it, and is settled as null.
+        moved = step.filter("NOT done").join(above, "up", "left").select("node", F.col("_up").alias("up"), F.coalesce("_done", F.lit(True)).alias("done"))
+        n += 1
+        step = written(step.filter("done").unionByName(moved), f"{folder}/pointers-{n}")
+        delete_path(spark, f"{folder}/pointers-{n - 1}")
+        left = step.filter("NOT done").count()
+        if left == still_open:
+            break
+        still_open = left
+    return step.select("node", F.when(F.col("done"), F.col("up")).alias("root"))
 
 
 def with_aliases(parents: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -117,3 +171,31 @@ def identity_summary(decided: DataFrame) -> DataFrame:
         n("ambiguous").alias("ambiguous"), n("unmatched").alias("unmatched"),
         (n("matched") - F.count_distinct("ref_id")).alias("duplicates"),
     )
+
+
+def resolve(matches: DataFrame, roots: DataFrame, types: DataFrame, in_scope: list[str], out_of_scope: list[str]) -> DataFrame:
+    """matches (name_id, ref_id and more) with canonical_id and outcome: identified, non_game or review.
+
+    roots: node, root. types: id, type. The root's type decides; without a match, a root or a known
+    type the name is for review.
+    """
+    rows = matches.join(roots.select(F.col("node").alias("ref_id"), F.col("root").alias("canonical_id")), "ref_id", "left")
+    typed = rows.join(types.select(F.col("id").alias("canonical_id"), F.col("type").alias("_type")), "canonical_id", "left")
+    outcome = F.when(F.col("_type").isin(*in_scope), "identified").when(F.col("_type").isin(*out_of_scope), "non_game").otherwise("review")
+    return typed.withColumn("outcome", outcome).drop("_type").select(*matches.columns, "canonical_id", "outcome")
+
+
+def outcome_summary(resolved: DataFrame) -> DataFrame:
+    """One row over resolved names (outcome, canonical_id as text, ref_id, reviewed_at): how many of each outcome, distinct and local identities, editions, reviews and duplicates.
+
+    An identity that no reference holds has a canonical_id that begins with ``local:``. An edition is
+    an identified name whose own id is not its root. Duplicates are identified names beyond the first of an identity.
+    """
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    identified, canonical = F.col("outcome") == "identified", F.col("canonical_id").cast("string")
+    unique = F.count_distinct(F.when(identified, canonical))
+    return resolved.agg(
+        F.count("*").alias("listings"), n(identified).alias("identified"), unique.alias("unique_games"), n(F.col("outcome") == "non_game").alias("non_game"), n(F.col("outcome") == "review").alias("unresolved"),
+        n(F.col("reviewed_at").isNotNull()).alias("reviewed"), F.count_distinct(F.when(identified & canonical.startswith("local:"), canonical)).alias("local_games"),
+        n(identified & (F.col("ref_id").cast("string") != canonical)).alias("editions"), (n(identified) - unique).alias("duplicates"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,39 @@ def enqueue(queue: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def invalidate(state: DataFrame, revision: int, affected: Column) -> DataFrame:
     """Drops affected results of older revisions, so that they are made again."""
     return state.filter(~((F.col("revision") < revision) & F.coalesce(affected, F.lit(False))))
+
+
+def runnable(queue: DataFrame, holds: DataFrame, source: str) -> DataFrame:
+    """Pending items of sources that are not held. A held source keeps its queue; only an operator's release resumes it."""
+    return queue.filter("status = 'pending'").join(holds.select(source), source, "left_anti")
+
+
+def hold_sources(holds: DataFrame, failures: DataFrame, source: str) -> DataFrame:
+    """holds (source, at, reason) with those sources added that failures name; a source that is held keeps its first reason."""
+    first = failures.groupBy(source).agg(F.min(F.struct("at", "reason")).alias("_f")).select(source, "_f.at", "_f.reason")
+    return holds.unionByName(first.join(holds.select(source), source, "left_anti"))
+
+
+def retry_once(state: DataFrame, holds: DataFrame, markers: DataFrame, marker: str, source: str, name: str, reason: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Releases one source's hold and drops its held results, the first time that marker is seen.
+
+    The marker is added to markers (marker), to be written with the rest, so that the same request
+    never runs twice. A hold for another reason stays, and so do its results.
+    """
+    seen = not markers.filter(F.col("marker") == marker).isEmpty()
+    if seen:
+        return state, holds, markers
+    hit = (F.col(source) == name) & (F.col("reason") == reason)
+    released = not holds.filter(hit).isEmpty()
+    again = state.filter(~((F.col(source) == name) & (F.col("status") == "held"))) if released else state
+    added = markers.sparkSession.createDataFrame([(marker,)], "marker string")
+    return again, holds.filter(~F.coalesce(hit, F.lit(False))), markers.unionByName(added)
+
+
+def run_batches(step: Callable[[int], tuple[int, int]], most: int = 120) -> int:
+    """Runs step(number) -> (still runnable, progress made) until nothing is left or moves; at most ``most`` times. Returns how often."""
+    for n in range(most):
+        left, progress = step(n)
+        if left <= 0 or progress <= 0:
+            return n + 1
+    return most

@@ -26,6 +26,19 @@ def allowed(url: Column, domains: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [urls.in_domain(host, d) for d in domains], F.lit(False))
 
 
+def is_navigation(url: Column, closed: list[str], pages: list[tuple[str, str]] = (), only: list[tuple[str, str]] = ()) -> Column:
+    """Links that lead to no file: hosts that are closed or for sharing, named pages of a host, and all of a host but some paths.
+
+    pages: (domain, path). only: (domain, pattern of the paths that do lead to files). The path is
+    compared without final slashes.
+    """
+    host, path = F.coalesce(urls.domain(url), F.lit("")), urls.path_of(url)
+    rules = [urls.in_any_domain(host, closed)]
+    rules += [urls.in_domain(host, d) & (path == p.rstrip("/")) for d, p in pages]
+    rules += [urls.in_domain(host, d) & ~path.rlike(pattern) for d, pattern in only]
+    return reduce(lambda a, b: a | b, rules)
+
+
 def surviving(links: DataFrame, key: str, missing: list[DataFrame], excluded: DataFrame | None = None) -> DataFrame:
     """Links without those that any evidence table calls missing, and without excluded ones."""
     rows = links
@@ -68,6 +81,11 @@ def kind_rank(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.coalesce(kind, F.lit(""))), F.lit(6))
 
 
-def release_order(kind: Column, suggested: Column, version_key: Column, pos: str) -> list[Column]:
-    """Suggested releases first, then by kind, newer versions before older ones, then by position."""
-    return [F.when(suggested, 0).otherwise(1).asc(), kind_rank(kind).asc(), version_key.desc_nulls_last(), F.asc(pos)]
+def release_order(kind: Column, suggested: Column, version_key: Column, pos: str, product: Column | None = None, region: Column | None = None) -> list[Column]:
+    """Suggested releases first, then by kind, newer versions before older ones, then by position.
+
+    Versions are compared within one product and region only: with these given, they come before
+    the version, so that rows of different products never trade places for their versions.
+    """
+    within = [F.coalesce(c, F.lit("")).asc() for c in (product, region) if c is not None]
+    return [F.when(suggested, 0).otherwise(1).asc(), kind_rank(kind).asc(), *within, version_key.desc_nulls_last(), F.asc(pos)]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.functions.versions import version_key
+
 
 def newest_flag(rows: DataFrame, family: list[str], version: str, eligible: Column) -> DataFrame:
     """Adds newest: eligible, the family has more than one version, and this is the largest.
@@ -18,7 +20,11 @@ def newest_flag(rows: DataFrame, family: list[str], version: str, eligible: Colu
 
 
 def best_per_family(rows: DataFrame, family: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each family. Ends with a position: ties are never left to chance."""
+    """The first row of each family. Ends with a position: ties are never left to chance.
+
+    Spark's window group limit keeps one row per family and task before the shuffle, so a large
+    family is not gathered.
+    """
     w = Window.partitionBy(*family).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
@@ -43,3 +49,36 @@ def family_key(product: Column, region: Column, edition: Column, page: Column, s
     ok = product.rlike(r"^[A-Z]{4}\d{5}$") & (F.coalesce(n_regions, F.lit(1)) == 1) & ~F.coalesce(conflict, F.lit(False)) & (F.coalesce(page, F.lit("")) != "")
     parts = [F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in (product, region, edition)] + [page, F.upper(F.trim(F.coalesce(section, F.lit(""))))]
     return F.when(ok, F.to_json(F.array(*parts)))
+
+
+def choose_families(releases: DataFrame, fits: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """One family per game: game, family, base and update (positions of the releases chosen), n_dlc.
+
+    releases: game, family (family_key, rows without one are left out), kind, version, variant,
+    host_rank, pos. Of a family's bases that fit: versioned first, newest first, those without a
+    variant first, best host, first position. Its update is chosen alike among those newer than the
+    base, or all versioned ones if the base has no version. Families need a base, fitting or not.
+    They are ranked by the base's host (100 without a chosen base), those with an update first, then
+    by position; a family that wanted (game, family) names comes before all. DLC count only with a base.
+    """
+    key = ["game", "family"]
+    rows = releases.filter(F.col("family").isNotNull() & F.col("kind").isin("base", "update", "dlc")).withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_v": version_key(F.col("version"))})
+    better = F.struct(
+        F.col("_v").isNull().alias("a"), F.transform("_v", lambda x: -x).alias("b"), (F.coalesce("variant", F.lit("")) != "").alias("c"), F.col("host_rank").alias("d"), F.col("pos").alias("e")
+    )
+    is_base = F.col("kind") == "base"
+    families = rows.groupBy(*key).agg(
+        F.min("pos").alias("_first"), F.count_if(is_base).alias("_bases"), F.count_if(F.col("kind") == "dlc").alias("_dlc"),
+        F.min_by(F.struct("pos", "host_rank", "_v"), F.when(is_base & F.col("_fits"), better)).alias("_base"),
+    ).filter("_bases > 0")
+    newer = F.col("_base").isNotNull() & F.col("_v").isNotNull() & (F.col("_base._v").isNull() | (F.col("_v") > F.col("_base._v")))
+    updates = rows.filter("kind = 'update' AND _fits").join(families.select(*key, "_base"), key).filter(newer).groupBy(*key).agg(F.min_by("pos", better).alias("_update"))
+    scored = families.join(updates, key, "left")
+    if wanted is not None:
+        scored = scored.join(wanted.select(*key).distinct().withColumn("_wanted", F.lit(True)), key, "left")
+    order = F.struct(
+        (F.lit(True) if wanted is None else F.col("_wanted").isNull()).alias("a"), F.coalesce("_base.host_rank", F.lit(100)).alias("b"), F.col("_update").isNull().alias("c"), F.col("_first").alias("d")
+    )
+    best = scored.groupBy("game").agg(F.min_by(F.struct("family", "_base", "_update", "_dlc"), order).alias("f"))
+    n_dlc = F.when(F.col("f._base").isNotNull(), F.col("f._dlc")).otherwise(F.lit(0))
+    return best.select("game", "f.family", F.col("f._base.pos").alias("base"), F.col("f._update").alias("update"), n_dlc.alias("n_dlc"))

@@ -46,6 +46,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder in whichever file system holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str = LISTING) -> DataFrame:
     """A JSON array of records; a file that is no array of objects fails."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
