@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import random
+import re
+import unicodedata
+from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,10 +19,24 @@ def values(spark, rows, schema, column):
 
 
 def test_title_keys_differ():
-    assert text.fold_title("Pokémon&#39;s Quest II FPKG", strict=False) == "pokemon s quest ii"
-    assert text.fold_title("Pokémon's Quest II PKG Download") == "pokemons quest ii"
-    assert text.fold_title("Quest  VII × Straße", relaxed=True) == "quest7xstrasse"
-    assert text.fold_title("Mega v X", relaxed=True) == "megavx" and text.fold_title(None) is None
+    assert text.import_title("Pokémon&#39;s Quest II FPKG") == "pokemon s quest ii"
+    assert text.strict_title("Pokémon's Quest II PKG Download") == "pokemons quest ii"
+    assert text.relaxed_title("Quest  VII × Straße") == "quest7xstrasse"
+    assert text.relaxed_title("Mega v X") == "megavx" and text.strict_title(None) is None
+    assert text.import_title("Big&amp;Small download") == "big and small download" and text.strict_title("PKG") == "pkg" and text.strict_title("a PS4 download pkg") == "a"
+
+
+def test_title_keys_equal_plain_rules():
+    """The keys again by substitutions over the whole text, on random titles."""
+    rng = random.Random(9)
+    parts = ["Été", "PS4", "pkg", "FPKG", "download", "II", "x", "&", "&amp;", "×", "it's", "ﬁn", "a-b", "_", "Straße", "(2)", "İ", "ǅ", "  "]
+    for _ in range(3000):
+        title = rng.choice(["", " "]) + rng.choice([" ", "", "-"]).join(rng.choice(parts) for _ in range(rng.randint(1, 6)))
+        for dropped in ("", text.DROPPED):
+            want = re.sub(r"\s+(ps4|fpkg|pkg)(\s+(ps4|fpkg|pkg|download))*\s*$", "", unescape(title).casefold())
+            want = want.replace("×", "x") if dropped else want
+            want = "".join(c for c in unicodedata.normalize("NFKD", want.replace("&", " and ")) if not unicodedata.combining(c) and c not in dropped)
+            assert " ".join(text.title_words(title, dropped)) == " ".join(re.sub(r"\W+", " ", want).split()), title
 
 
 def test_group_key(spark):
@@ -84,6 +102,52 @@ def test_regions(spark):
     assert values(spark, rows[:1], "t string", join(text.parse_regions(F.col("t")))) == ["EUR/USA"]
 
 
+def test_region_tokens_on_random_text(spark):
+    """Against a scan by hand: words, what brackets close, and lists after Region."""
+    rng = random.Random(4)
+    parts = ["USA", "EUR", "us", "[", "]", "(", ")", "{", "Region:", "region = ", "Japan", "Asia/JP", ",", ";", "of", "  ", "_", "KOR1", "UK & EU", "North America", "\n"]
+    rows = [("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 9))),) for _ in range(400)]
+
+    def listed(s):
+        return {text.REGIONS[x.strip()] for x in re.split(r"[,/|+&;]", s.upper()) if x.strip() in text.REGIONS}
+
+    def want(t):
+        t = t.replace("_", " ")
+        found = set(re.findall(r"\b(?:" + "|".join(text.PLAIN_CODES) + r")\b", t, re.A))
+        for m in re.finditer(r"[\[({]([^\])}]+)[\])}]", t):
+            found |= listed(m[1])
+        for m in re.finditer(r"(?i)\bregion\s*[:=-]\s*([a-z /,+&|]*?)(?=\s{2}|[;\]\n()]|$)", t):
+            found |= listed(m[1])
+        return "/".join(sorted(found))
+
+    got = values(spark, rows, "t string", F.array_join(text.region_tokens(F.col("t")), "/"))
+    assert got == [want(t) for (t,) in rows] and len(set(got)) > 8
+
+
+def details(spark, labels, of_file=False, made=None):
+    made = made or (lambda c: text.label_details(c, of_file))
+    df = spark.createDataFrame([(x,) for x in labels], "t string").coalesce(1)
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in df.select(*(c.alias(n) for n, c in made(F.col("t")).items())).collect()]
+
+
+def test_label_details(spark):
+    labels = ["Game (v1.00) CUSA12345 EUR", "Update v1.05 / update 1.05 [9.00]", "Update 1.05 and v1.06", "Base game + DLCs", "patch 1.2", "Some patch v1.10.2", "Fix patch 3", "Backport (fix 5.05 – 9.xx)", "dlcpack usa EUR", None, "Version 2.50 CUSA00001 cusa00002", "fix update (FW 5.05-6.72+)", "updates"]
+    want = [
+        {"kind": "base", "version": "1.00", "product_code": "CUSA12345", "region": "EUR"}, {"kind": "update", "version": "1.05"}, {"kind": "update"}, {"kind": "bundle"}, {"kind": "update"},
+        {"kind": "patch", "version": "1.10.2"}, {"kind": "fix"}, {"kind": "fix", "variant": "Backport / fix", "requirement": "5.05–9.xx"}, {"kind": "dlc"}, {}, {"version": "2.50"}, {"kind": "update", "requirement": "5.05/6.72+"}, {},
+    ]
+    assert details(spark, labels) == want
+    assert details(spark, ["Update_v1.05_[5.05-9.00]_EUR"], of_file=True) == [{"kind": "update", "version": "1.05", "requirement": "5.05/9.00"}]
+    files = details(spark, ["Base-game v1.00 [9.00] CUSA12345", "my_base v1.0 v1.0", "UPDATE v1.0 v1.1 BACKPORT", "x DLCs"], made=text.file_details)
+    assert files == [{"kind": "base", "version": "1.00", "product_code": "CUSA12345", "requirement": "9.00"}, {"version": "1.0"}, {"kind": "update", "variant": "Backport / fix"}, {"kind": "dlc"}]
+    listed = values(spark, [("base", "Game"), (None, "Game"), ("dlc", "DLC  content"), ("update", "Install guide"), ("base", None)], "k string, l string", text.is_listed_label(F.col("k"), F.col("l")))
+    assert listed == [True, False, False, False, True]
+    assert values(spark, [("DLC (12) pack",), ("12 dlc",), (None,)], "t string", text.item_count(F.col("t"))) == [12, None, None]
+    assert values(spark, [("v7 release",), ("v1.05 v7",), ("v2.",)], "t string", text.stated_version(F.col("t"), whole_numbers=True)) == ["7", "1.05", None]
+    assert values(spark, [("A PS4 game",), ("ps45",)], "t string", text.names_platform(F.col("t"))) == [True, False]
+    assert values(spark, [("https://a.example.org/x",), ("http://a.example.org/x",), ("https://b.a.example.org/",), (None,)], "u string", urls.is_catalogue_page(F.col("u"), ["a.example.org"])) == [True, False, False, False]
+
+
 def test_response_states_and_json(spark):
     rows = [(429, ""), (200, "Access denied: file not found"), (404, ""), (404, "file was removed"), (200, "ok"), (None, "x"), (503, "file not found")]
     assert values(spark, rows, "c int, b string", html.response_state(F.col("c"), F.col("b"))) == ["limited", "restricted", "unknown", "missing", "present", "unknown", "unknown"]
@@ -96,3 +160,20 @@ def test_links_and_text(spark):
     df = spark.createDataFrame([(1, "https://example.org/a", page), (2, None, None)], "page_id long, url string, html string")
     assert [(r.pos, r.url, r.label) for r in html.links(df).collect()] == [(0, "https://example.org/b?x=1", "B link")]
     assert {r.page_id: r.text for r in html.visible_text(df).collect()} == {1: "Hi there B link again m", 2: ""}
+
+
+def test_page_rules(spark):
+    """The tree's rules, redirects, data scripts, stated sizes and access errors."""
+    page = html.Page("<title>t</title><p>a<div>b</div></i>c<br>d<script>no</script><script type='application/ld+json'>{\"@type\": 1}</script>")
+    assert [t for t in page.texts] == [("title", "t"), ("p", "a"), ("div", "b"), ("", "c"), ("", "d")] and page.data == ['{"@type": 1}']
+    assert html.target("https://x.example.org/a", "/go?url=https%3A%2F%2Ff.example.org%2F1") == "https://f.example.org/1" and html.target("https://x.example.org/a", "https://y.example.org/?url=https://z.example.org/") == "https://y.example.org/?url=https://z.example.org/"
+    bodies = [
+        "<b>File size</b><i>: 1.5 GB</i><script type='application/ld+json'>{\"@type\":\"MediaObject\",\"name\":\"a.pkg\",\"contentSize\":\"5 MB\"}</script>", "<p>File size: 1 GB</p><p>File Size 2 GB</p>", "<p>limit 5 GB</p>",
+        "<title>Just a moment...</title><div class='entry-content'>x</div>", "<div class='x entry-content'>they wrote: too many requests</div>", "too many requests", None, "<script type='application/ld+json'>{bad</script>",
+    ]
+    df = spark.createDataFrame([(n, "https://example.org/", b) for n, b in enumerate(bodies)], "page_id long, url string, html string")
+    assert [tuple(r) for r in html.labelled_sizes(html.text_lines(df)).collect()] == [(0, 1_500_000_000, "estimated")]
+    assert [tuple(r) for r in html.described_files(html.data_blocks(df)).collect()] == [(0, "a.pkg", "5 MB")]
+    assert {r.page_id for r in html.access_errors(df).filter("is_error").collect()} == {3, 5}
+    deep = spark.createDataFrame([(1, None, "<div><a href=/x>" * 3000)], "page_id long, url string, html string")
+    assert html.links(deep).count() == 0 and html.events(deep).count() == 3000

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,10 @@ def test_hierarchy(spark):
     edges = [(1, None), (2, 1), (3, 2), (4, 5), (5, 4), (6, 99), (7, 7), (8, 3)] + [(100 + i, 100 + i - 1 if i else None) for i in range(35)]
     got = by(identity.hierarchy_roots(spark.createDataFrame(edges, "node long, parent long")), "node", "root")
     assert {k: got[k] for k in range(1, 9)} == {1: 1, 2: 1, 3: 1, 4: None, 5: None, 6: None, 7: None, 8: 1} and got[134] == 100
+    chain = [(i, i - 1 if i % 1001 else None) for i in range(1, 3003)] + [(5000, 5001), (5001, 5002), (5002, 5000), (5003, 5002)]
+    got = by(identity.hierarchy_roots(spark.createDataFrame([(n, None if n in (1, 1001, 2002) else up) for n, up in chain], "node long, parent long")), "node", "root")
+    assert all(got[n] == (1 if n < 1001 else 1001 if n < 2002 else 2002) for n in range(1, 3003)) and {got[n] for n in range(5000, 5004)} == {None}
+    assert identity.hierarchy_roots(spark.createDataFrame([], "node long, parent long")).count() == 0
     aliased = identity.with_aliases(spark.createDataFrame([(2, 1), (3, 1)], "node long, parent long"), spark.createDataFrame([(2, 3)], "node long, target long"))
     assert by(aliased, "node", "parent") == {2: 3, 3: 1}
 
@@ -63,10 +69,30 @@ def test_tiers_stop_at_the_first_with_candidates(spark):
     names = spark.createDataFrame([("one", "x", "rx", False), ("amb", "y", "rx", False), ("plat", "y", "rx", True), ("root", "z", "-", False), ("loose", "-", "rz", False), ("none", "-", "-", False), ("two", "-", "rx", False)], "name_id string, strict string, relaxed string, has_codes boolean")
     out = {r.name_id: (r.tier, r.ref_id, r.status) for r in identity.tiered_match(names, [(k, identity.candidate_index(ref, k)) for k in ("strict", "relaxed")]).collect()}
     assert out == {"one": (1, 1, "matched"), "amb": (1, None, "ambiguous"), "plat": (1, 3, "matched"), "root": (1, 4, "matched"), "loose": (2, 4, "matched"), "none": (None, None, "unmatched"), "two": (2, None, "ambiguous")}
+    known = names.withColumn("known_id", F.when(F.col("name_id") == "amb", 3).when(F.col("name_id") == "one", 77).cast("long"))
+    halves = known.withColumns({"ls": F.when(F.col("name_id") == "none", "x").otherwise("-"), "rs": F.when(F.col("name_id") == "none", "x"), "lr": F.lit("-"), "rr": F.lit(None).cast("string")})
+    out = {r.name_id: (r.tier, r.ref_id, r.candidates) for r in identity.tiered_match(halves, [(k, identity.candidate_index(ref, k)) for k in ("strict", "relaxed")], ref.select("ref_id"), [("ls", "rs"), ("lr", "rr")]).collect()}
+    assert out["amb"] == (0, 3, []) and out["one"] == (1, 1, []) and out["none"] == (3, 1, []) and out["two"] == (2, None, [1, 9])
+    loose = spark.createDataFrame([("x", 1, None, False), ("x", 2, 2, False)] + [("many", i, i, False) for i in range(30)], "strict string, ref_id long, root_id long, on_platform boolean")
+    out = {r.name_id: (r.status, r.candidates) for r in identity.tiered_match(names.withColumn("strict", F.when(F.col("name_id") == "two", "many").otherwise(F.col("strict"))), [("strict", identity.candidate_index(loose, "strict"))]).collect()}
+    assert out["one"] == ("ambiguous", [1, 2]) and out["two"] == ("ambiguous", list(range(20)))
+    left, right = identity.name_halves(F.col("t"))
+    assert [tuple(r) for r in spark.createDataFrame([("A b (C d) ",), ("A (b) c",), (None,)], "t string").select(left, right).collect()] == [("A b", "C d"), (None, None), (None, None)]
     pairs = spark.createDataFrame([("p", "left", 1, 7), ("p", "right", 2, 7), ("q", "left", 1, 7), ("q", "right", 3, 8)], "name_id string, side string, ref_id long, root_id long")
     assert by(identity.paired_match(pairs), "name_id", "ref_id") == {"p": 1}
 
 
+def test_resolve_and_summary(spark):
+    matches = spark.createDataFrame([("a", 1, None), ("b", 2, "2024"), ("c", 3, None), ("d", None, None), ("e", 4, None)], "name_id string, ref_id long, reviewed_at string")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, None)], "node long, root long")
+    done = identity.resolve(matches, roots, spark.createDataFrame([(1, "game"), (3, "dlc")], "id long, type string"), ["game"], ["dlc"])
+    assert by(done, "name_id", "outcome") == {"a": "identified", "b": "identified", "c": "non_game", "d": "review", "e": "review"}
+    local = done.withColumn("canonical_id", F.col("canonical_id").cast("string")).unionByName(spark.createDataFrame([("f", None, "2024", "local:x", "identified")], "name_id string, ref_id long, reviewed_at string, canonical_id string, outcome string"))
+    row = identity.outcome_summary(local).first()
+    assert row.asDict() == {"listings": 6, "identified": 3, "unique_games": 2, "non_game": 1, "unresolved": 2, "reviewed": 2, "local_games": 1, "editions": 1, "duplicates": 1}
+    assert row.identified + row.non_game + row.unresolved == row.listings
+
+
 def test_reconcile(spark):
     ref, cat = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,), (3,), (None,)], "k int")
     out = coverage.reconcile(ref, cat, "k")
@@ -84,6 +110,73 @@ def test_recommend(spark):
     assert spark.range(1).select(key).first()[0] == '["ABCD12345","EUR","","https://example.org","S"]'
 
 
+def test_family_choice_equals_the_plain_rule(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("gh"), rng.choice(["f1", "f2", "f3", None]), rng.choice(["base", "update", "dlc", "fix"]), rng.choice([None, "1.0", "1.1", "1.10", "x"]), rng.choice([None, "v"]), rng.randint(0, 2), n, rng.random() < 0.7) for n in range(120)]
+    rows += [("solo", "f", "update", "1.0", None, 0, 200, True), ("none", "f", "base", "1.0", None, 0, 201, False)]
+    version = lambda v: tuple(map(int, v.split("."))) if v and v != "x" else None
+
+    def choose(of):
+        return min((r for r in of if r[7]), key=lambda r: (version(r[3]) is None, [-x for x in version(r[3]) or ()] + [0] * 4, r[4] is not None, r[5], r[6]), default=None)
+
+    def plain(game, wanted):
+        families = {}
+        for r in rows:
+            if r[0] == game and r[1] and r[2] in ("base", "update", "dlc"):
+                families.setdefault(r[1], []).append(r)
+        found = []
+        for name, of in families.items():
+            if not any(r[2] == "base" for r in of):
+                continue
+            base = choose([r for r in of if r[2] == "base"])
+            update = base and choose([r for r in of if r[2] == "update" and version(r[3]) and (not version(base[3]) or [*version(r[3]), 0, 0][:3] > [*version(base[3]), 0, 0][:3])])
+            found.append(((name != wanted, base[5] if base else 100, update is None, of[0][6]), (name, base and base[6], update and update[6], sum(r[2] == "dlc" for r in of) if base else 0)))
+        return min(found)[1] if found else None
+
+    df = spark.createDataFrame(rows, "game string, family string, kind string, version string, variant string, host_rank int, pos int, fits boolean").repartition(3)
+    for wanted in (None, "f2", "gone"):
+        choice = None if wanted is None else spark.createDataFrame([("g", wanted), ("h", wanted)], "game string, family string")
+        out = {r.game: tuple(r)[1:] for r in recommend.choose_families(df, F.col("fits"), choice).collect()}
+        assert out == {g: plain(g, wanted) for g in ("g", "h", "none")}
+
+
+def test_views_and_orders(spark):
+    rows = spark.createDataFrame([("a", "s", "EUR", "base"), ("a", "s", "EUR", "dlc"), ("a", "t", "EUR", "dlc")], "game string, source string, region string, kind string")
+    out = facets.recommendation_context(rows, F.col("source") == "s", F.lit(True), F.col("kind") == "dlc")
+    assert sorted((r.kind, r.in_view) for r in out.collect()) == [("base", False), ("dlc", True)]
+    names = spark.createDataFrame([("b",), ("Á",), ("a",), ("A",), ("#",)], "n string")
+    assert [r.n for r in names.orderBy(facets.name_order("n")).collect()] == ["#", "a", "A", "Á", "b"]
+    assert [r.n for r in names.orderBy(*facets.section_order(F.col("n"))).collect()][0] == "#"
+    assert spark.range(1).select(facets.folded(F.lit("Straße ΟΔΟΣ"))).first()[0] == "strasse οδοσ"
+    df, seen, last = spark.range(23).withColumn("k", F.col("id") % 4), [], None
+    while page := facets.page_after(df, [("k", True), ("id", False)], last, 5).collect():
+        seen += [(r.k, r.id) for r in page]
+        last = seen[-1]
+    assert seen == sorted(((i % 4, i) for i in range(23)), key=lambda x: (-x[0], x[1]))
+
+
+def test_listings(spark):
+    listings = grouping.valid_listings(spark.createDataFrame([(1, "A"), (2, " "), (3, None), (4, "https://x.example.org"), (5, "A"), (6, "//y")], "id int, name string"))
+    assert {r.id for r in listings.collect()} == {1, 5}
+    alive = spark.createDataFrame([(5,), (5,)], "id int")
+    assert [tuple(r) for r in grouping.claims(listings, alive, "id", ["name"], ["id"]).collect()] == [(5, "A")]
+    assets = spark.createDataFrame([("k", None, 2, "b", "m2"), ("k", None, 1, "a", "m1")], "x string, y string, pos int, url string, meta string")
+    row = grouping.release_groups(assets, ["x", "y"], "pos", "url", ["meta"]).first()
+    assert (row.assets, row.meta, row.n_assets) == (["a", "b"], "m1", 2)
+    assert by(grouping.release_rows(assets, ["x", "y"], "pos"), "url", "place") == {"a": 1, "b": 2}
+
+
+def test_eligible_titles_in_reference_order(spark):
+    games = spark.createDataFrame([(1, "game", "", 1), (2, "game", "", 1), (3, "dlc", "", 1), (4, "game", "Cancelled", 1), (5, "game", "", None), (6, "game", "", 6), (7, "game", "", 3)], "id long, type string, status string, r long")
+    dates = spark.createDataFrame([(1, "2014-01-01", "b"), (2, "2013-05-05", "x"), (2, "2013-05-05", "a"), (3, "2014-01-01", "c")], "id long, day string, label string")
+    from tallystone.functions import text
+
+    kept, reasons = coverage.eligible(games, games.select(F.col("id").alias("node"), F.col("r").alias("root")), dates, F.col("type") == "game", text.is_unreleased(F.col("status")))
+    assert [tuple(r) for r in kept.collect()] == [(1, [1, 2], "2013-05-05", "a")]
+    assert by(reasons, "reason", "n") == {"unresolved parent": 1, "type out of scope": 2, "unreleased status": 1, "no qualifying date": 1}
+    assert coverage.dates_of(games.select("id"), dates).count() == 8
+
+
 def test_pages_are_clamped(spark):
     df = spark.range(70)
     pick = lambda p: [r.id for r in facets.paginate(df, [F.asc("id")], p, 50).collect()]
@@ -113,16 +206,76 @@ def test_incremental(spark):
     assert incremental.budget_per_key(100, 7) == 14 and incremental.budget_per_key(3, 7) == 1
 
 
+def test_holds_retries_and_batches(spark):
+    holds = spark.createDataFrame([("a", 1, "x")], "source string, at long, reason string")
+    more = incremental.hold_sources(holds, spark.createDataFrame([("a", 5, "y"), ("b", 7, "z"), ("b", 6, "w")], "source string, at long, reason string"), "source")
+    assert by(more, "source", "reason") == {"a": "x", "b": "w"}
+    queue = spark.createDataFrame([("a", "pending"), ("c", "pending"), ("c", "done")], "source string, status string")
+    assert [tuple(r) for r in incremental.runnable(queue, more, "source").collect()] == [("c", "pending")]
+    state = spark.createDataFrame([("a", "held"), ("a", "known"), ("b", "held")], "source string, status string")
+    markers = spark.createDataFrame([], "marker string")
+    for reason, left in (("other", 3), ("x", 2)):
+        kept, now, marked = incremental.retry_once(state, more, markers, "m1", "source", "a", reason)
+        assert kept.count() == left and now.count() == left - 1 and [r.marker for r in marked.collect()] == ["m1"]
+    again = incremental.retry_once(state, more, marked, "m1", "source", "a", "x")
+    assert again == (state, more, marked)
+    steps = iter([(5, 2), (3, 1), (3, 0), (9, 9)])
+    assert incremental.run_batches(lambda n: next(steps)) == 3 and incremental.run_batches(lambda n: (1, 1), most=7) == 7
+
+
+def test_sticky_states_take_frames_in_any_order(spark, tmp_path):
+    import pandas as pd
+
+    from tallystone.streaming import states
+
+    rng = random.Random(3)
+    rows = [(n, datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 40)), rng.choice([1, 1, 1, 2]), rng.choice(["error", "signup", "view"])) for n in range(300)]
+    folder = str(tmp_path / "ev")
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([(999, datetime(2025, 1, 1), 1, "view")], "event_id long, ts timestamp, user_id long, event_type string").write.parquet(folder + ".bak")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    got = by(states.sticky_from_files(spark, folder), "user_id", "state")
+    assert got == by(incremental.sticky_fold(spark.read.parquet(folder), "user_id", ["ts", "event_id"], "event_type", "error", "signup"), "user_id", "state")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+    frame = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type"])
+    assert len(states.deciding(frame, "error", "signup")) <= 6
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+            master = "spark://host:7077"
+
+    with pytest.raises(tables.NoSharedFolder):
+        tables.working_dir(Session)
+
+
 def test_checks_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (1, ""), (2, None)], "id int, name string")
     assert by(checks.violations(df, {"named": F.col("name") != "", "positive": F.col("id") > 0}), "rule", "n") == {"named": 2}
     with pytest.raises(checks.BrokenInvariant):
         checks.require_none(checks.duplicates(df, ["id"]), "id is a key")
     path = str(tmp_path / "t")
-    assert sinks.replace_guarded(df, path, least_rows=2) == 2
+    assert sinks.replace_guarded(df, path, least_rows=2) == 3
     with pytest.raises(sinks.TooFewRows):
         sinks.replace_guarded(df.limit(1), path, least_rows=2)
     assert spark.read.parquet(path).count() == 3
+    failing = df.select(F.raise_error(F.lit("broken")).cast("int").alias("id"))
+    for bad in (failing, df.limit(1)):
+        with pytest.raises(Exception, match="broken|fewer"):
+            sinks.replace_guarded(bad, path, least_rows=2)
+    assert spark.read.parquet(path).count() == 3 and [x.name for x in tmp_path.iterdir()] == ["t"]
+    sinks.replace_guarded(spark.read.parquet(path).unionByName(df), path, least_rows=2)
+    assert spark.read.parquet(path).count() == 6 and [x.name for x in tmp_path.iterdir()] == ["t"]
+    stamp = spark.createDataFrame([("abc",), (None,)], "t string").select(sinks.content_stamp(F.col("t")).alias("s"), sinks.surrogate_id("p", F.col("t"), F.lit("x")).alias("i")).collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert stamp[0].s == sha(b"abc")[:16] and stamp[1].s is None and stamp[0].i == "p-" + sha(b"abc\nx")[:20]
+    assert sinks.markdown_table([{"a": 1, "b": "x"}], ["a", "b"]) == "| a | b |\n| - | - |\n| 1 | x |"
     assert sinks.fingerprint(df).first() == sinks.fingerprint(df.repartition(3).orderBy(F.desc("id"))).first() != sinks.fingerprint(df.union(df)).first()
     assert tables.read_optional(spark, str(tmp_path / "none"), "a int, b string").count() == 0
 
