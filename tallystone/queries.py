@@ -109,10 +109,10 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality ASC NULLS LAST, doc_id LIMIT 200")
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality ASC NULLS LAST, doc_id")
 def sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents", "doc_id").join(table(spark, d, "labels", "doc_id", "quality"), "doc_id", "left")
-    return rows.orderBy(facets.unknown_last("quality", descending=False), "doc_id").limit(200)
+    return rows.orderBy(facets.unknown_last("quality", descending=False), "doc_id")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 150 LIMIT 50")
@@ -305,18 +305,18 @@ def override_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT p_name || p_brand AS key, count(DISTINCT p_partkey) AS n, min(p_partkey) AS ref FROM part WHERE p_partkey % 4 = 0 GROUP BY 1)
+WITH a AS (SELECT p_name || p_brand AS key, count(DISTINCT p_partkey) AS n, min(p_partkey) AS ref FROM part GROUP BY 1)
 SELECT p_partkey AS name_id, CASE WHEN n = 1 THEN ref END AS ref_id, CASE WHEN n IS NULL THEN 'unmatched' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS status
 FROM part LEFT JOIN a ON key = p_name || p_brand
 """)
 def alias_unique_match(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part", F.col("p_partkey").alias("name_id"), F.concat("p_name", "p_brand").alias("key"))
-    return identity.unique_match(part, part.filter("name_id % 4 = 0").select("key", F.col("name_id").alias("ref_id")))
+    return identity.unique_match(part, part.select("key", F.col("name_id").alias("ref_id")))
 
 
 _TIERS = """
 WITH p AS (SELECT p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_type) AS k1, lower(p_name || p_brand) AS k2, p_size % 3 = 0 AS codes, p_size % 2 = 0 AS plat, p_partkey - p_partkey % 8 AS root FROM part),
-r AS (SELECT * FROM p WHERE p_partkey % 4 = 0),
+r AS (SELECT * FROM p),
 c AS (SELECT p.p_partkey AS name_id, p.codes, 1 AS tier, r.p_partkey AS ref, r.root, r.plat FROM p JOIN r ON p.k1 = r.k1
   UNION ALL SELECT p.p_partkey, p.codes, 2, r.p_partkey, r.root, r.plat FROM p JOIN r ON p.k2 = r.k2),
 f AS (SELECT * FROM c QUALIFY tier = min(tier) OVER (PARTITION BY name_id)),
@@ -334,8 +334,8 @@ def tiered_match(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_partkey").alias("name_id"), F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("strict"), F.lower(F.concat("p_name", "p_brand")).alias("relaxed"),
         (F.col("p_size") % 3 == 0).alias("has_codes"), (F.col("p_size") % 2 == 0).alias("on_platform"), (F.col("p_partkey") - F.col("p_partkey") % 8).alias("root_id"),
     )
-    reference = keys.filter("name_id % 4 = 0").withColumnRenamed("name_id", "ref_id")
-    return identity.tiered_match(keys.select("name_id", "strict", "relaxed", "has_codes"), [(k, identity.candidate_index(reference, k)) for k in ("strict", "relaxed")])
+    reference = keys.withColumnRenamed("name_id", "ref_id")
+    return identity.tiered_match(keys.select("name_id", "strict", "relaxed", "has_codes"), [(k, identity.candidate_index(reference, k)) for k in ("strict", "relaxed")]).drop("candidates")
 
 
 @query(_TIERS + """
@@ -460,11 +460,15 @@ def size_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "n_chars").select("doc_id", size.alias("bytes"), precision.alias("precision"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN n_chars < 1000 THEN n_chars || ' B' ELSE regexp_replace(round(n_chars * 0.001, 2)::DECIMAL(18, 2)::VARCHAR, '\\.?0+$', '') || ' KB' END AS shown FROM documents WHERE n_chars < 900000
+@query(r"""
+WITH d AS (SELECT doc_id, n_chars, CASE WHEN n_chars < 1000 THEN 1 WHEN n_chars < 1000000 THEN 2 ELSE 3 END AS unit FROM documents),
+c AS (SELECT *, CASE unit WHEN 2 THEN (n_chars + 5) // 10 WHEN 3 THEN (n_chars + 5000) // 10000 END AS cents FROM d),
+n AS (SELECT doc_id, unit + doc_id % 3 AS unit, CASE unit WHEN 1 THEN n_chars::VARCHAR ELSE regexp_replace((cents // 100) || '.' || printf('%02d', cents % 100), '\.?0+$', '') END AS number FROM c)
+SELECT doc_id, number || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][unit] AS shown FROM n
 """)
 def size_format(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "n_chars").filter("n_chars < 900000").select("doc_id", versions.format_size(F.col("n_chars")).alias("shown"))
+    n = F.col("n_chars") * F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 1000).otherwise(1_000_000)
+    return table(spark, d, "documents", "doc_id", "n_chars").select("doc_id", versions.format_size(n).alias("shown"))
 
 
 @query("""
@@ -569,14 +573,15 @@ def sticky_status_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1), c AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 1 AND event_type = 'view' GROUP BY 1)
+WITH s AS (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1), c AS (SELECT user_id, -count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1 HAVING user_id % 3 > 0)
 SELECT user_id, coalesce(c.n, s.n) AS n FROM s FULL OUTER JOIN c USING (user_id) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')
 """)
 def state_upsert(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events", "event_id", "user_id", "event_type")
-    count = lambda rows: rows.groupBy("user_id").agg(F.count("*").alias("n"))
-    merged = incremental.upsert(count(events.filter("event_id % 3 = 0")), count(events.filter("event_id % 3 = 1 AND event_type = 'view'")), "user_id")
-    return incremental.retain(merged, events.filter("event_type = 'purchase'"), "user_id")
+    events = table(spark, d, "events", "ts", "user_id", "event_type")
+    old = F.expr("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    state = events.filter(old).groupBy("user_id").agg(F.count("*").alias("n"))
+    changes = events.filter(~old).groupBy("user_id").agg((-F.count("*")).alias("n")).filter("user_id % 3 > 0")
+    return incremental.retain(incremental.upsert(state, changes, "user_id"), events.filter("event_type = 'purchase'"), "user_id")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events GROUP BY 1")
@@ -625,19 +630,38 @@ def region_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'base' WHEN 1 THEN 'update' WHEN 2 THEN 'bundle' WHEN 3 THEN 'dlc' WHEN 4 THEN 'fix' END AS kind,
-  CASE WHEN p_partkey % 6 IN (1, 2) THEN '1.' || (p_size + 10) END AS version, CASE p_partkey % 6 WHEN 1 THEN '5.05/6.72' WHEN 4 THEN '9.00+' END AS requirement,
-  CASE WHEN p_partkey % 6 = 4 THEN 'Backport / fix' END AS variant FROM part
+WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size, p_partkey % 5 AS r, printf('CUSA%05d', p_partkey) AS code FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'base' WHEN 1 THEN 'update' WHEN 2 THEN 'bundle' WHEN 3 THEN 'dlc' WHEN 4 THEN 'fix' END AS kind,
+  CASE WHEN k IN (1, 2) THEN '1.' || (p_size + 10) END AS version, CASE k WHEN 1 THEN '5.05/6.72' WHEN 4 THEN '9.00+' END AS requirement,
+  CASE WHEN k = 4 THEN 'Backport / fix' END AS variant, CASE WHEN r < 3 THEN code END AS product_code, CASE r WHEN 0 THEN 'EUR' WHEN 1 THEN 'USA' WHEN 4 THEN 'JP' END AS region,
+  k <> 5 AND r <> 2 AS listed, CASE WHEN k = 3 THEN p_size::INT END AS n_items FROM p
 """)
 def label_details(spark: SparkSession, d: str) -> DataFrame:
-    k, v = F.col("p_partkey") % 6, (F.col("p_size") + 10).cast("string")
-    label = (
+    k, v, r = F.col("p_partkey") % 6, (F.col("p_size") + 10).cast("string"), F.col("p_partkey") % 5
+    stem = (
         F.when(k == 0, F.lit("Game_base")).when(k == 1, F.concat(F.lit("Update v1."), v, F.lit(" (5.05 / 6.72)"))).when(k == 2, F.concat(F.lit("Base game + update 1."), v))
-        .when(k == 3, F.lit("DLCs pack")).when(k == 4, F.lit("Backport fix 5 (fw 9.00+)")).otherwise(F.lit("readme v2.0 and v3.0"))
+        .when(k == 3, F.concat(F.lit("DLC ("), F.col("p_size").cast("string"), F.lit(") pack"))).when(k == 4, F.lit("Backport fix 5 (fw 9.00+)")).otherwise(F.lit("readme v2.0 and v3.0"))
+    )
+    code = F.format_string("cusa%05d", "p_partkey")
+    rest = (
+        F.when(r == 0, F.concat(F.lit(" "), code, F.lit(" EUR"))).when(r == 1, F.concat(F.lit(" ["), code, F.lit("] usa USA"))).when(r == 2, F.concat(F.lit(" EUR/USA guide "), code))
+        .when(r == 3, F.concat(code, F.lit(" CUSA00001 CUSA99999"))).otherwise(F.concat(F.lit(" JP "), F.lit("CUSA1234")))
     )
-    rows = table(spark, d, "part", "p_partkey", label.alias("label"))
+    rows = table(spark, d, "part", "p_partkey", F.concat(stem, rest).alias("label"))
     found = text.label_details(F.col("label"))
-    return rows.select("p_partkey", *(c.alias(n) for n, c in found.items()))
+    listed = text.is_listed_label(found["kind"], F.col("label"))
+    return rows.select("p_partkey", *(c.alias(n) for n, c in found.items()), listed.alias("listed"), text.item_count(F.col("label")).alias("n_items"))
+
+
+@query("""
+SELECT doc_id, CASE source WHEN 'src0' THEN 'Early Access ' || lang WHEN 'src1' THEN 'Rumoured' WHEN 'src2' THEN 'Released' ELSE upper(source) END AS status,
+  source IN ('src0', 'src1') AS unreleased, CASE WHEN n_chars < 1000 THEN n_chars::VARCHAR ELSE (n_chars // 1000) || ',' || printf('%03d', n_chars % 1000) END AS shown FROM documents
+""")
+def unreleased_status(spark: SparkSession, d: str) -> DataFrame:
+    source = F.col("source")
+    status = F.when(source == "src0", F.concat(F.lit("Early Access "), "lang")).when(source == "src1", "Rumoured").when(source == "src2", "Released").otherwise(F.upper("source"))
+    rows = table(spark, d, "documents", "doc_id", "source", "lang", "n_chars").select("doc_id", status.alias("status"), "n_chars")
+    return rows.select("doc_id", "status", text.is_unreleased(F.col("status")).alias("unreleased"), text.with_thousands(F.col("n_chars")).alias("shown"))
 
 
 @query("""
@@ -753,7 +777,11 @@ def html_context(spark: SparkSession, d: str) -> DataFrame:
     return evidence.carry_forward(html.events(table(spark, d, "pages")), "page_id", ["pos"], F.col("kind") == "break", F.when(F.col("kind") == "heading", F.col("value"))).filter("kind = 'link'").select("page_id", "pos", "value", "context")
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, p_name, p_partkey % 2 = 0 AS even, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS words FROM part)
+SELECT p_partkey, 'el dorado ' || words || CASE WHEN even THEN ' ii' ELSE ' and strasse' END AS import_key, 'eldorado ' || words || CASE WHEN even THEN ' ii' ELSE ' and strasse' END AS strict_key,
+  'eldorado' || replace(words, ' ', '') || CASE WHEN even THEN '2' ELSE 'andstrasse' END AS relaxed_key, 'l_39_dorado_' || replace(words, ' ', '_') || CASE WHEN even THEN '_ii_fpkg' ELSE '_stra_e' END AS slug FROM p
+""")
 def title_keys(spark: SparkSession, d: str) -> DataFrame:
     title = F.concat(F.lit("Él&#39;Dorado "), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, " II FPKG").otherwise(" & Straße"))
     return table(spark, d, "part", "p_partkey", title.alias("title")).select("p_partkey", text.import_key("title").alias("import_key"), text.strict_key("title").alias("strict_key"), text.relaxed_key("title").alias("relaxed_key"), text.slug(F.col("title")).alias("slug"))
@@ -762,3 +790,135 @@ def title_keys(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint(table(spark, d, "orders"))
+
+
+# Listing, order, scope, families
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.05 AND l_shipdate > TIMESTAMP '1996-01-01 00:00:00'),
+p AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN ' ' WHEN p_partkey % 13 = 0 THEN 'HTTP://x.example.org/' || p_name WHEN p_partkey % 17 = 0 THEN NULL ELSE p_name END AS name FROM part)
+SELECT name, min(p_partkey) AS p_partkey FROM p SEMI JOIN l ON l_partkey = p_partkey WHERE trim(name) <> '' AND lower(name) NOT LIKE 'http://%' GROUP BY name
+""")
+def listing_claims(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.when(k % 11 == 0, " ").when(k % 13 == 0, F.concat(F.lit("HTTP://x.example.org/"), "p_name")).when(k % 17 == 0, F.lit(None)).otherwise(F.col("p_name"))
+    listings = grouping.valid_listings(table(spark, d, "part", "p_partkey", name.alias("name")))
+    alive = table(spark, d, "lineitem", F.col("l_partkey").alias("p_partkey"), "l_discount", "l_shipdate").filter("l_discount > 0.05 AND l_shipdate > TIMESTAMP_NTZ '1996-01-01 00:00:00'")
+    return grouping.claims(listings, alive, "p_partkey", ["name"], ["p_partkey"]).select("name", "p_partkey")
+
+
+@query("""
+WITH n AS (SELECT p_partkey, ['ab', 'áb', 'AB', 'zeta', 'Äb', 'b'][1 + p_partkey % 6] AS name, [1, 3, 2, 6, 4, 5][1 + p_partkey % 6] AS place FROM part)
+SELECT p_partkey, name, row_number() OVER (ORDER BY place, p_partkey) AS up, row_number() OVER (ORDER BY place DESC, p_partkey) AS down FROM n
+""")
+def name_order(spark: SparkSession, d: str) -> DataFrame:
+    """Places within the six names are counts of the names before, not one window over the table."""
+    names = F.array(*map(F.lit, ("ab", "áb", "AB", "zeta", "Äb", "b")))
+    rows = table(spark, d, "part", "p_partkey").withColumn("name", F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")))
+    counts = rows.groupBy("name").agg(F.count("*").alias("n"))
+    everything = Window.rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda down: F.coalesce(F.sum("n").over(everything.orderBy(facets.name_order("name", down))), F.lit(0))
+    starts = counts.select("name", before(False).alias("_up"), before(True).alias("_down"))
+    within = F.row_number().over(Window.partitionBy("name").orderBy("p_partkey"))
+    return rows.withColumn("_n", within).join(starts, "name").select("p_partkey", "name", (F.col("_up") + F.col("_n")).alias("up"), (F.col("_down") + F.col("_n")).alias("down"))
+
+
+@query("""
+WITH r AS (SELECT c_custkey, c_name, c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AS catalogued, c_acctbal < 0 AS outside, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, 'gaps' AS scope FROM r WHERE NOT outside AND NOT catalogued AND lower(c_name || ' ' || c_mktsegment) LIKE '%build%'
+UNION ALL SELECT c_custkey, 'matched' FROM r WHERE NOT outside AND catalogued AND n_name LIKE '%A%' UNION ALL SELECT c_custkey, 'outside' FROM r WHERE outside
+""")
+def coverage_scopes(spark: SparkSession, d: str) -> DataFrame:
+    rich = table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("catalogued")).distinct()
+    nation = table(spark, d, "nation", F.col("n_nationkey").alias("c_nationkey"), F.array(F.when(F.contains("n_name", F.lit("A")), "A").otherwise("-")).alias("regions"))
+    rows = table(spark, d, "customer").join(rich, "c_custkey", "left").join(nation, "c_nationkey").select(
+        "c_custkey", F.col("c_name").alias("name"), F.array("c_mktsegment").alias("listings"), F.coalesce("catalogued", F.lit(False)).alias("catalogued"), (F.col("c_acctbal") < 0).alias("outside"), "regions"
+    )
+    parts = [facets.scope_filter(rows, "gaps", " Build"), facets.scope_filter(rows, "matched", market="A"), facets.scope_filter(rows, "outside", market="none")]
+    gaps, matched, outside = (p.select("c_custkey", F.lit(n).alias("scope")) for p, n in zip(parts, ("gaps", "matched", "outside"), strict=True))
+    return gaps.unionByName(matched).unionByName(outside)
+
+
+@query("""
+WITH l AS (SELECT l_partkey AS game, l_suppkey::VARCHAR AS family, CASE l_returnflag WHEN 'A' THEN 'base' WHEN 'R' THEN 'update' ELSE 'dlc' END AS kind, l_tax * 100 AS major,
+    CASE WHEN l_discount >= 0.02 THEN l_linenumber END AS minor, CASE WHEN l_linestatus = 'F' THEN 'x' END AS variant, l_suppkey % 12 AS host_rank, l_orderkey * 10 + l_linenumber AS pos, l_quantity > 10 AS fits FROM lineitem),
+v AS (SELECT *, CASE WHEN minor IS NOT NULL THEN round(major)::INT * 100 + minor END AS v FROM l),
+f AS (SELECT game, family, min(pos) AS first_pos, count(*) FILTER (WHERE kind = 'base') AS bases, count(*) FILTER (WHERE kind = 'dlc') AS dlc FROM v GROUP BY ALL HAVING bases > 0),
+b AS (SELECT game, family, pos AS base, host_rank, v AS base_v FROM v WHERE kind = 'base' AND fits
+  QUALIFY row_number() OVER (PARTITION BY game, family ORDER BY v DESC NULLS LAST, variant IS NOT NULL, host_rank, pos) = 1),
+u AS (SELECT v.game, v.family, v.pos AS update FROM v JOIN b USING (game, family) WHERE kind = 'update' AND fits AND v.v IS NOT NULL AND (base_v IS NULL OR v.v > base_v)
+  QUALIFY row_number() OVER (PARTITION BY v.game, v.family ORDER BY v.v DESC, variant IS NOT NULL, v.host_rank, v.pos) = 1)
+SELECT f.game, f.family, base, update, CASE WHEN base IS NULL THEN 0 ELSE dlc END AS n_dlc FROM f LEFT JOIN b USING (game, family) LEFT JOIN u USING (game, family)
+QUALIFY row_number() OVER (PARTITION BY f.game ORDER BY NOT (f.game % 4 = 0 AND f.family::BIGINT % 3 = 0), coalesce(host_rank, 100), update IS NULL, first_pos) = 1
+""")
+def family_choice(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "A", "base").when(F.col("l_returnflag") == "R", "update").otherwise("dlc")
+    version = F.when(F.col("l_discount") >= 0.02, F.concat_ws(".", F.round(F.col("l_tax") * 100).cast("int").cast("string"), F.col("l_linenumber").cast("string")))
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("game"), F.col("l_suppkey").cast("string").alias("family"), kind.alias("kind"), version.alias("version"), F.when(F.col("l_linestatus") == "F", "x").alias("variant"),
+        (F.col("l_suppkey") % 12).alias("host_rank"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "l_quantity",
+    )
+    wanted = rows.filter("game % 4 = 0 AND CAST(family AS BIGINT) % 3 = 0").select("game", "family")
+    return recommend.choose_families(rows, F.col("l_quantity") > 10, wanted)
+
+
+@query("""
+WITH g AS (SELECT p_partkey AS id, p_partkey - p_partkey % 4 AS root, p_size % 7 > 0 AS in_scope, p_size % 5 = 0 AS unreleased FROM part),
+r AS (SELECT id, CASE WHEN root = 0 OR root % 20 = 8 THEN NULL ELSE root END AS root, in_scope, unreleased FROM g),
+d AS (SELECT l_partkey AS id, min(l_shipdate::DATE::VARCHAR) AS day FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1),
+j AS (SELECT r.id, r.root, day, CASE WHEN r.root IS NULL THEN 'unresolved parent' WHEN NOT (r.in_scope AND coalesce(o.in_scope, false)) THEN 'type out of scope' WHEN r.unreleased THEN 'unreleased status' WHEN day IS NULL THEN 'no qualifying date' END AS reason
+  FROM r LEFT JOIN r o ON o.id = r.root LEFT JOIN d ON d.id = r.id)
+SELECT 'root ' || root AS item, count(*) AS n, min(day) AS first_release FROM j WHERE reason IS NULL GROUP BY root UNION ALL SELECT reason, count(*), NULL FROM j WHERE reason IS NOT NULL GROUP BY reason
+""")
+def eligible_titles(spark: SparkSession, d: str) -> DataFrame:
+    games = table(spark, d, "part", F.col("p_partkey").alias("id"), "p_size")
+    root = F.col("id") - F.col("id") % 4
+    roots = games.select(F.col("id").alias("node"), F.when((root != 0) & (root % 20 != 8), root).alias("root"))
+    dates = table(spark, d, "lineitem", F.col("l_partkey").alias("id"), F.to_date("l_shipdate").cast("string").alias("day"), F.lit("").alias("label"), "l_returnflag", "l_quantity").filter("l_returnflag = 'R' AND l_quantity > 45")
+    kept, reasons = coverage.eligible(games, roots, dates, F.col("p_size") % 7 > 0, F.col("p_size") % 5 == 0)
+    found = kept.select(F.concat(F.lit("root "), F.col("root").cast("string")).alias("item"), F.size("reference_ids").cast("long").alias("n"), F.col("first_release"))
+    return found.unionByName(reasons.select(F.col("reason").alias("item"), "n", F.lit(None).cast("string").alias("first_release")))
+
+
+@query("""
+WITH p AS (SELECT l_suppkey AS root, n_name AS region FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT region, count(DISTINCT root) AS n_titles FROM p WHERE root IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY region
+""")
+def titles_per_region(spark: SparkSession, d: str) -> DataFrame:
+    customer = table(spark, d, "customer", F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(table(spark, d, "nation", F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region")), "c_nationkey")
+    orders = table(spark, d, "orders", F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(customer, "o_custkey").select("l_orderkey", "region")
+    regions = table(spark, d, "lineitem", "l_orderkey", F.col("l_suppkey").alias("root")).join(orders, "l_orderkey")
+    return coverage.titles_per_region(table(spark, d, "supplier", F.col("s_suppkey").alias("root"), "s_acctbal").filter("s_acctbal > 0"), regions)
+
+
+@query("""
+WITH q AS (SELECT p_partkey AS item, p_brand AS source, CASE WHEN p_size > 25 THEN 'pending' ELSE 'done' END AS status FROM part), h AS (SELECT DISTINCT p_brand AS source FROM part WHERE p_retailprice > 1900)
+SELECT item, source FROM q WHERE status = 'pending' AND source NOT IN (SELECT source FROM h)
+""")
+def runnable_queue(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    queue = part.select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("source"), F.when(F.col("p_size") > 25, "pending").otherwise("done").alias("status"))
+    failures = part.filter("p_retailprice > 1900").select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("at"), F.lit("refused").alias("reason"))
+    holds = incremental.hold_sources(spark.createDataFrame([], "source string, at long, reason string"), failures, "source")
+    return incremental.runnable(queue, holds, "source").select("item", "source")
+
+
+@query(r"""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'file:' || lower('Ab' || page_id) WHEN page_id % 3 = 1 THEN 'q:X' || page_id ELSE 'o.example.org/d/' || page_id || '/x' END AS key, page_id % 3 = 2 OR page_id % 2 = 0 AS navigation FROM pages
+""")
+def asset_keys(spark: SparkSession, d: str) -> DataFrame:
+    k, i = F.col("page_id") % 3, F.col("page_id").cast("string")
+    alias = F.when(F.col("page_id") % 2 == 0, "f.example.org").otherwise("www.f.example.net")
+    url = (
+        F.when(k == 0, F.concat(F.lit("https://"), alias, F.lit("/File/Ab"), i, F.lit("/name.zip?af=1"))).when(k == 1, F.concat(F.lit("http://q.example.org/?X"), i, F.lit("&af=7#top")))
+        .otherwise(F.concat(F.lit("https://www.o.example.org/d/"), i, F.lit("/x/?ref=a")))
+    )
+    hosts = [(("f.example.org", "f.example.net"), urls.PATH, "^/(?i:file)/([A-Za-z0-9]+)", "file:", True), (("q.example.org",), urls.QUERY, "^([A-Za-z0-9]+)", "q:", False)]
+    closed = F.when(F.col("page_id") % 2 == 0, F.lit(True)).otherwise(links.is_navigation(F.col("u"), ["closed.example.org"], [("q.example.org", "/guide/")], [("o.example.org", "^/download/")]))
+    return table(spark, d, "pages", "page_id").withColumn("u", url).select("page_id", urls.asset_key(F.col("u"), hosts).alias("key"), closed.alias("navigation"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events WHERE (event_type, event_id) > ('error', 500) ORDER BY event_type, event_id LIMIT 50")
+def page_after(spark: SparkSession, d: str) -> DataFrame:
+    return facets.page_after(table(spark, d, "events", "user_id", "event_id", "event_type"), [("event_type", False), ("event_id", False)], ("error", 500), 50)
