@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.llm.common import shared_dir, written
+
 _word = re.compile(r"\w+")
 _quote = re.compile(r"[\"“”„«»‹›]")
 #: Words of reporting in the corpus's languages.
@@ -44,6 +46,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: In place of a letter that is due: the word goes on after a stem.
+AFTER = "*"
+
+
 class FuzzyLexicon:
     """Weighted terms and stems; finds the best one within the edits that its length allows.
 
@@ -59,7 +65,7 @@ class FuzzyLexicon:
         self.best: list[tuple[float, ...]] = [(0.0, 0.0, 0.0)]  # weight of what ends at a node, with no, one and two edits
         self.entry: list[str] = [""]
         self.most: list[int] = [0]  # edits that any entry through a node allows
-        self.stays: list[bool] = [False]  # whether a stem ends here, so that any letters may follow
+        self.stem: list[tuple[float, ...]] = [(0.0, 0.0, 0.0)]  # of these the weight of a stem, which any letters may follow
         for entry, is_stem in sorted([(t, False) for t in weights] + [(t, True) for t in stems]):
             at, edits = 0, 0 if len(entry) < long_word or entry + "*" * is_stem in as_spelled else 1 if is_stem or len(entry) < two_edits else 2
             self.most[0] = max(edits, self.most[0])
@@ -70,12 +76,14 @@ class FuzzyLexicon:
                     self.best.append((0.0, 0.0, 0.0))
                     self.most.append(0)
                     self.entry.append(self.entry[at] + c)
-                    self.stays.append(False)
+                    self.stem.append((0.0, 0.0, 0.0))
                 at = self.next[at][c]
                 self.most[at] = max(edits, self.most[at])
             w = stems[entry] if is_stem else weights[entry]
-            self.best[at] = tuple(max(w * discount**e if e <= edits else 0.0, x) for e, x in enumerate(self.best[at]))
-            self.stays[at] |= is_stem
+            worth = tuple(w * discount**e if e <= edits else 0.0 for e in range(3))
+            self.best[at] = tuple(map(max, worth, self.best[at]))
+            if is_stem:
+                self.stem[at] = worth
         self._reset()
 
     def _reset(self) -> None:
@@ -105,23 +113,27 @@ class FuzzyLexicon:
             self._number[states] = len(self._sets)
             self._sets.append(states)
             self._steps.append({})
-            plain = max((self.best[n][0] for n, due, e in states if e == 0 and not due), default=0.0)
-            edited = max((self.best[n][e] for n, due, e in states if e and not due), default=0.0)
+            ends = [(e, (self.stem if due else self.best)[n][e]) for n, due, e in states if due in ("", AFTER)]
+            plain = max((w for e, w in ends if e == 0), default=0.0)
+            edited = max((w for e, w in ends if e), default=0.0)
             self._ends.append((plain, False) if plain else (edited, edited > 0))
         return self._number[states]
 
     def _step(self, state: int, c: str) -> int:
-        """States are (trie node, letter due, edits): a letter is due in the middle of a swap."""
+        """States are (trie node, letter due, edits): a letter is due in the middle of a swap, AFTER marks letters that follow a stem."""
         new: set[tuple[int, str, int]] = set()
         for node, due, e in self._sets[state]:
+            if due == AFTER:
+                new.add((node, AFTER, e))
+                continue
             if due:
                 if c == due:
                     new.add((node, "", e))
                 continue
             if c in self.next[node]:
                 new.add((self.next[node][c], "", e))
-            if self.stays[node]:
-                new.add((node, "", e))
+            if self.stem[node][e]:
+                new.add((node, AFTER, e))
             if e < self.most[node]:
                 new.add((node, "", e + 1))  # a letter too many
                 new.update((child, "", e + 1) for x, child in self.next[node].items() if x != c)  # another letter
@@ -153,7 +165,11 @@ class FuzzyLexicon:
         for c in word:
             known = self._steps[at].get(c)
             at = self._step(at, c) if known is None else known
-        return {self.entry[n] + "*" * self.stays[n] for n, due, e in self._sets[at] if e and not due and self.best[n][e]}
+        found = set()
+        for n, due, e in self._sets[at]:
+            if e and due in ("", AFTER):
+                found |= {self.entry[n] + "*"} if self.stem[n][e] else {self.entry[n]} if not due and self.best[n][e] else set()
+        return found
 
 
 class Scorer:
@@ -219,13 +235,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 5
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_docs: int = 4, most_terms: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_docs: int = 4) -> Model:
     """Learns from about sample_rows labelled rows outside the held-out third (all if there are fewer).
 
     The sample is a hash threshold on the id, so it is the same however the table is split, and
     sample_rows bounds the (id, label) pairs that are broadcast to pick the texts without a shuffle.
-    Word counts are made on the executors; at most most_terms terms and one feature pair per
-    sampled row reach the driver.
+    Word counts are made on the executors. What reaches the driver is bounded by the sample alone: the
+    words of at least least_docs toxic texts that few clean ones hold, the words of clean texts
+    that such terms are near to, and three features per text of half of the sample.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         "doc_id IS NOT NULL AND toxic IS NOT NULL"
@@ -236,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
     rows = rows.filter("text IS NOT NULL")
     words = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))  # copies count once
+    words = written(words, f"{shared_dir(docs.sparkSession)}/sample")
     split = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1)))
     stems_of = F.flatten(F.transform(split, lambda w: F.transform(F.filter(F.array(*map(F.lit, STEM_LETTERS)), lambda k: F.char_length(w) > k), lambda k: F.concat(F.substr(w, F.lit(1), k), F.lit("*")))))
     entries = F.array_distinct(F.concat(split, stems_of))
@@ -243,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
     tally = [F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.sum(F.when(~F.col("half"), F.col("toxic"))).alias("first_bad"), F.sum(F.when(~F.col("half"), 1 - F.col("toxic"))).alias("first_good")]
     counts = halved.select("toxic", "half", F.explode(entries).alias("entry")).groupBy("entry").agg(*tally).filter(F.col("bad") >= least_docs).na.fill(0)
     totals = halved.agg(*tally).na.fill(0).first()
-    rows_of = counts.filter("good * 20 < bad OR first_good * 20 < first_bad").orderBy(F.desc("bad"), "entry").limit(most_terms).collect()
+    rows_of = counts.filter("good * 20 < bad OR first_good * 20 < first_bad").collect()
 
     def lexicon_of(bad_name: str, good_name: str, least: int) -> tuple[dict[str, float], dict[str, float]]:
         all_bad, all_good = max(1, totals[bad_name]), max(1, totals[good_name])
@@ -268,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
     # are worth is learned from half of the sample, with terms and such words from the other half.
     # Entries among many such words get no edits.
     near = halved.filter("toxic = 0").select("text", "half").mapInArrow(clean_neighbours, "word string, half boolean")
-    seen = near.groupBy("word").agg(F.bool_or(~F.col("half")).alias("first_half")).orderBy("word").limit(10 * most_terms).collect()
+    seen = near.groupBy("word").agg(F.bool_or(~F.col("half")).alias("first_half")).collect()
     whole = Model(weights, stems, set(), (0.0,) * 4, 0.0).lexicon()
     close = [(r, e) for r in seen for e in whole.near(r.word)]
     crowded = lambda n: frozenset(e for e, k in n.items() if k > MOST_NEAR)
@@ -294,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_d
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
