@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import SPACE_CHARS, WORD
+from tallystone.llm.common import SPACE_CHARS, WORD, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 
@@ -87,6 +87,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("fail_bits", sum(bits[1:], bits[0]).cast("long"))
 
 
+def written_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger of docs (doc_id, text), stored at a shared path. Policies and ablations read it from there, never the texts."""
+    return written(ledger(docs), path)
+
+
 def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
@@ -103,9 +108,10 @@ def ablations(rows: DataFrame, policies: dict[str, tuple[str, ...]] | None = Non
     grid = [(p, r, mask(rules), mask(rules) & ~(1 << names.index(r))) for p, rules in policies.items() for r in rules]
     cases = rows.sparkSession.createDataFrame(grid, "policy string, rule string, all_mask long, less_mask long")
     hit = lambda m: F.col("fail_bits").bitwiseAND(F.col(m)) != 0
-    # Both sides are small by construction: 2 ** rules patterns and policies x rules cases.
+    # One row per policy and rule even for an empty ledger. Both sides are small by construction:
+    # 2 ** rules patterns and policies x rules cases, whatever the corpus.
     return (
-        F.broadcast(cases).join(patterns, F.expr("fail_bits >= 0 OR all_mask IS NULL"), "left")
+        cases.crossJoin(F.broadcast(patterns.unionByName(rows.sparkSession.createDataFrame([(0, 0)], "fail_bits long, n long"))))
         .groupBy("policy", "rule")
         .agg(
             F.coalesce(F.sum(F.when(hit("all_mask"), F.col("n"))), F.lit(0)).alias("n_rejected"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm import bpe, decontamination, line_dedup, pii, quality_rules, sharding, simhash, toxicity, warc, wrapper
-from tallystone.llm.common import table
+from tallystone.llm.common import shared_dir, table
 
 
 def default_vocabulary() -> str:
@@ -19,14 +19,18 @@ def default_vocabulary() -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text"))
+    rows = quality_rules.written_ledger(table(spark, sf_dir, "documents", "doc_id", "text"), f"{shared_dir(spark)}/ledger")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v2").alias("kept"), "fail_bits",
     )
 
 
-OP1_SQL = r"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.written_ledger(table(spark, sf_dir, "documents", "doc_id", "text"), f"{shared_dir(spark)}/ledger"))
+
+
+_LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
 pos AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
@@ -44,11 +48,22 @@ m AS (SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(w
 f AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
         + 8 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT + 16 * (2 * n_dup_lines > n_lines)::INT
         + 32 * (2 * n_upper > n_letters)::INT + 64 * (5 * n_marks > n_words)::INT AS fail_bits FROM m)
+"""
+OP1_SQL = _LEDGER + """
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (fail_bits & 3) != 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits
 FROM f
 """
 
+#: Every policy and rule, each pattern of bits against the policy's mask with and without the rule.
+ABLATION_SQL = _LEDGER + """
+, p AS (SELECT * FROM (VALUES ('base', 3), ('v1', 31), ('v2', 127)) t(policy, all_mask)),
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('many_symbols', 4), ('odd_word_length', 8), ('repeated_lines', 16), ('shouting', 32), ('exclaiming', 64)) t(rule, bit))
+SELECT policy, rule, count(*) FILTER (WHERE fail_bits & all_mask <> 0) AS n_rejected, count(*) FILTER (WHERE fail_bits & (all_mask - bit) <> 0) AS n_rejected_without,
+  coalesce(bit_or(fail_bits & all_mask), 0)::BIGINT AS rules_that_fired
+FROM p JOIN r ON all_mask & bit <> 0 LEFT JOIN f ON true GROUP BY policy, rule
+"""
+
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), default_vocabulary())
@@ -132,9 +147,9 @@ FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_bpe, op3_sharding, op4_toxicity, op5_line_dedup, op6_decontamination,
+        op1_quality_rules, quality_ablations, op2_bpe, op3_sharding, op4_toxicity, op5_line_dedup, op6_decontamination,
         op7_pii, op8_simhash, op9_wrapper, op10_warc,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op3_sharding": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATION_SQL, "op3_sharding": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
