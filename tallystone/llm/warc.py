@@ -3,23 +3,27 @@
 An archive is a skippable frame that holds the dictionary, then one independent frame per record.
 Archives are rows of a table in the shared folder, each of bounded size, so that any task can read
 any of them and a lost executor costs only the archives it was working on. ``save_files`` writes
-them out as .warc.zst files.
+them out as .warc.zst files, and ``read_files`` reads such files, this module's or others'. Records of
+any type are read; of those that carry no page (warcinfo, request, metadata) the whole block is the
+payload. Whatever breaks the format raises ArchiveError, and so fails the job.
 
 Defined cases: a null html is an empty payload, a null url gives the record a urn as its target. A
 null page_id is kept as null; such a record is a revisit where a row with an id has its payload.
-Rows that repeat a page_id and payload are alike. Extra input columns are not read.
+Rows that repeat a page_id and payload make equal records with one id. A record whose id names no page
+has a null page_id. Extra input columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import shared_dir, written
@@ -53,34 +57,67 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+_page = re.compile(r"<?urn:page:(-?\d+)>?")
+
+
+def _number(fields: dict[str, str], name: str) -> int:
+    if not re.fullmatch(r"\d{1,18}", fields[name]):
+        raise ArchiveError(f"{name} is no length: {fields[name]!r}")
+    return int(fields[name])
+
+
+def _page_id(fields: dict[str, str], name: str) -> int | None:
+    found = _page.fullmatch(fields.get(name, ""))
+    return int(found[1]) if found else None
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    fields: dict[str, str] = {}
+    for line in lines:
+        try:
+            text = line.decode("utf-8")
+        except UnicodeDecodeError as e:
+            raise ArchiveError(f"a header is not UTF-8: {e}") from e
+        if text[:1] in (" ", "\t") and fields:  # a folded line goes on with the one before
+            fields[next(reversed(fields))] += " " + text.strip()
+            continue
+        key, colon, value = text.partition(":")
+        if not colon or key.lower() in fields and key.lower() != "warc-concurrent-to":
+            raise ArchiveError(f"bad or repeated header {key!r}")
+        fields[key.lower()] = value.strip()
+    return fields
+
+
 def parse_record(data: bytes) -> dict:
     """The fields of one record, after checks of its version, headers, lengths and digest."""
     head, found, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    if not found or not lines[0].startswith(b"WARC/1."):
+    if not found or not re.fullmatch(rb"WARC/[01]\.\d+", lines[0]):
         raise ArchiveError("no WARC version line or no end of headers")
-    fields: dict[str, str] = {}
-    for line in lines[1:]:
-        key, colon, value = line.decode("utf-8").partition(":")
-        if not colon or key.lower() in fields:
-            raise ArchiveError(f"bad or repeated header {key!r}")
-        fields[key.lower()] = value.strip()
+    fields = _headers(lines[1:])
     if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - fields.keys():
         raise ArchiveError(f"headers missing: {sorted(missing)}")
-    length = int(fields["content-length"])
+    length = _number(fields, "content-length")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ArchiveError(f"Content-Length {length} does not fit the record")
-    http, _, payload = rest[:length].partition(b"\r\n\r\n")
-    page = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
-    kind, size = fields["warc-type"], int(fields["x-payload-length"])
-    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    if f"Content-Length: {size}".encode() not in http.split(b"\r\n"):
+    kind, block = fields["warc-type"], rest[:length]
+    is_page = kind in ("response", "revisit") and fields.get("content-type", "").startswith("application/http")
+    http, _, payload = block.partition(b"\r\n\r\n") if is_page else (b"", b"", block)
+    size = _number(fields, "x-payload-length") if "x-payload-length" in fields else len(payload)
+    algorithm, _, digest = fields.get("warc-payload-digest", "").partition(":")
+    if is_page and "x-payload-length" in fields and f"Content-Length: {size}".encode() not in http.split(b"\r\n"):
         raise ArchiveError("the response's length differs from the payload's")
-    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ArchiveError("the payload differs from its length or digest")
-    if kind == "revisit" and payload:
+    if kind == "revisit" and payload and is_page:
         raise ArchiveError("a revisit carries a payload")
-    return {"page_id": page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": kind, "payload": payload, "payload_bytes": size, "payload_digest": digest, "refers_to": page(fields["warc-refers-to"]) if kind == "revisit" else None}
+    if kind != "revisit":
+        own = hashlib.sha256(payload).hexdigest()
+        if len(payload) != size or algorithm == "sha256" and is_page and own != digest:
+            raise ArchiveError("the payload differs from its length or digest")
+        digest = own  # other algorithms are not checked
+    return {
+        "page_id": _page_id(fields, "warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "payload": payload, "payload_bytes": size,
+        "payload_digest": digest or None, "refers_to": _page_id(fields, "warc-refers-to") if kind == "revisit" else None,
+    }
 
 
 def open_archive(dictionary: bytes) -> bytes:
@@ -92,8 +129,13 @@ def frame_end(data: bytes, at: int) -> int:
     """Where the frame that starts at a position ends, found from its block headers."""
     if data[at : at + 4] != FRAME_MAGIC:
         raise ArchiveError(f"no frame at {at}")
+    if at + 6 > len(data):
+        raise ArchiveError("a frame is cut short")
     checksum = data[at + 4] >> 2 & 1
-    at += zstandard.frame_header_size(data[at : at + 18])
+    try:
+        at += zstandard.frame_header_size(data[at : at + 18])
+    except zstandard.ZstdError as e:
+        raise ArchiveError(f"bad frame header: {e}") from e
     last = 0
     while not last:
         if at + 3 > len(data):
@@ -106,19 +148,34 @@ def frame_end(data: bytes, at: int) -> int:
     return at + 4 * checksum
 
 
+def _unpacked(decoder: zstandard.ZstdDecompressor, frame: bytes) -> bytes:
+    """A frame's content, whether or not its header states the size."""
+    try:
+        return decoder.decompressobj().decompress(frame)
+    except zstandard.ZstdError as e:
+        raise ArchiveError(f"a frame does not decode: {e}") from e
+
+
 def read_archive(data: bytes) -> Iterator[dict]:
-    """The records of an archive, one frame each. A dictionary may itself be a frame."""
+    """The records of an archive, one frame each. A dictionary may itself be a frame; other skippable frames are passed over."""
+    if len(data) < 8:
+        raise ArchiveError("no dictionary frame at the start")
     magic, size = struct.unpack_from("<II", data)
     if magic != DICTIONARY_MAGIC or 8 + size > len(data):
         raise ArchiveError("no dictionary frame at the start")
     raw = data[8 : 8 + size]
     if raw[:4] == FRAME_MAGIC:
-        raw = zstandard.ZstdDecompressor().decompress(raw)
+        raw = _unpacked(zstandard.ZstdDecompressor(), raw)
     decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdDecompressor()
     at = 8 + size
     while at < len(data):
+        if at + 8 <= len(data) and int.from_bytes(data[at : at + 4], "little") >> 4 == DICTIONARY_MAGIC >> 4:
+            at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+            if at > len(data):
+                raise ArchiveError("a skippable frame is cut short")
+            continue
         end = frame_end(data, at)
-        yield parse_record(decoder.decompress(data[at:end]))
+        yield parse_record(_unpacked(decoder, data[at:end]))
         at = end
 
 
@@ -183,7 +240,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         for b in batches:
             for data, expected in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 records = list(read_archive(data.as_py()))
-                if len(records) != expected:
+                if expected is not None and len(records) != expected:
                     raise ArchiveError(f"{len(records)} records where {expected} were written")
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in records], types.get(n, pa.int64())) for n in names], names)
 
@@ -192,16 +249,27 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def save_files(archives: DataFrame, folder: str) -> None:
-    """Writes each archive to a .warc.zst file in a folder that all executors have mounted."""
+    """Writes each archive to a .warc.zst file in a folder that all executors have mounted, under a name made from its content.
+
+    A file appears whole or not at all, and a task that runs again writes the same files.
+    """
 
     def run(rows: Iterator) -> None:
         for r in rows:
-            with open(f"{folder}/{hashlib.sha256(r.data).hexdigest()[:32]}.warc.zst", "wb") as f:
+            path = f"{folder}/{hashlib.sha256(r.data).hexdigest()[:32]}.warc.zst"
+            with open(f"{path}.{os.getpid()}", "wb") as f:
                 f.write(r.data)
+            os.replace(f.name, path)
 
     archives.select("data").foreachPartition(run)
 
 
+def read_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """The records of the .warc.zst files at a path; a file is read by one task, and has under 2 GB."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    return read_archives(files.select(F.col("content").alias("data"), F.lit(None).cast("int").alias("n_records")), with_payload)
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 100, with_payload: bool = False) -> DataFrame:
     """Writes pages (page_id, url, html) as archives and returns the records read back from them."""
     archives = write_archives(marked(pages, least_bytes), f"{shared_dir(pages.sparkSession)}/warc", train_dictionary(pages))
