@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.sources.tables import working_dir
+from tallystone.sources.tables import delete_path, working_dir
+
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "delete_path", "shared_dir", "table", "written"]
 
 #: White space of the contracts, as the body of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -28,10 +30,3 @@ def written(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Dat
     """Cuts lineage: writes df as Parquet at a shared path and rereads it with its schema."""
     (df.write.mode("overwrite").partitionBy(*partition_by) if partition_by else df.write.mode("overwrite")).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Removes a folder in whichever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
