@@ -244,8 +244,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int =
 #: 64-bit lanes of a wide fingerprint, and odd numbers that spread a hash over them (fixed).
 LANES = 4
 _SPREAD = (np.arange(1, 2 * LANES, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Bits of a block. A wide fingerprint has 16 such blocks, each of them a key.
-BLOCK_BITS = 16
+#: Bits of a block. Each lane has as many blocks as fit, 16 in all, each of them a key. Longer blocks
+#: part more texts and find fewer pairs: of n texts about n / 2 ** BLOCK_BITS share one by chance.
+BLOCK_BITS = 13
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -266,55 +267,74 @@ class WideHasher:
         h = self.known[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
         return h
 
-    def read(self, text: str | None) -> tuple[bytes, np.ndarray]:
-        """A 128-bit digest of the lower-cased words, and the lanes of their fingerprint."""
-        words = shingle_source(text)
-        digest = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+    def _words(self, words: list[str]) -> np.ndarray:
         if len(self.known) > self.most_words:
             self.known.clear()
         known = self.known.get
-        h = np.array([known(w) or self._word(w) for w in words], np.uint64)
+        return np.array([known(w) or self._word(w) for w in words], np.uint64)
+
+    @staticmethod
+    def _runs(h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n words; of the whole sequence if there are fewer."""
+        n = min(n, len(h))
+        out = np.zeros(len(h) - n + 1 if n else 0, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                out = _mixed(out * np.uint64(31) + h[k : len(h) - n + 1 + k])
+        return out
+
+    def read(self, text: str | None) -> tuple[bytes, np.ndarray]:
+        """A 128-bit digest of the lower-cased words, and the lanes of their fingerprint."""
+        words = shingle_source(text)
+        pairs = self._runs(self._words(words), 2)
+        ones = np.zeros(64 * LANES, np.int64)
         with np.errstate(over="ignore"):
-            pairs = _mixed(h[:-1] * np.uint64(31) + h[1:]) if len(h) > 1 else h
-            ones = np.zeros(64 * LANES, np.int64)
             for at in range(0, len(pairs), _BATCH):
                 lanes = _mixed(pairs[at : at + _BATCH, None] * _SPREAD[None, :])
                 ones += np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(-1, 8 * LANES), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        return digest, np.packbits(2 * ones > len(pairs), bitorder="little").view("<u8")
+        return word_digest(words), np.packbits(2 * ones > len(pairs), bitorder="little").view("<u8")
+
+    def shingles(self, words: list[str], n: int) -> np.ndarray:
+        """The distinct 64-bit hashes of the runs of n words."""
+        return np.unique(self._runs(self._words(words), n)).view(np.int64)
+
+
+def word_digest(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
 def shingle_source(text: str | None) -> list[str]:
     return _word.findall((text or "").translate(_lower))
 
 
-def shingles(text: str | None, n_words: int) -> set[tuple[str, ...]]:
-    """The distinct runs of n_words words; the whole sequence if there are fewer; none without words."""
-    words = shingle_source(text)
-    return set(zip(*(words[i:] for i in range(n_words)), strict=False)) if len(words) >= n_words else {tuple(words)} - {()}
+#: Links up to so many bits leave no doubt; a node whose link in the tree is longer gets so many more.
+SURE, MORE = 10, 8
 
 
 def nearest_links(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """The minimum spanning tree by Hamming distance (Prim), without links longer than radius.
 
     Whatever threshold a later check sets, closest texts are linked first, so that cutting links
-    there leaves the groups that the threshold gives.
+    there leaves the groups that the threshold gives. As distances tell similarities only roughly,
+    nodes that hang on a longer link are linked to their next nearest as well.
     """
-    rest = np.arange(1, len(lanes))
-    best = np.bitwise_count(lanes[rest] ^ lanes[0]).sum(1, dtype=np.int32)
-    parent = np.zeros(len(rest), np.int64)
-    links = []
-    while len(rest):
-        k = int(best.argmin())
-        at = int(rest[k])
-        if best[k] <= radius:
-            links.append((int(parent[k]), at))
-        keep = np.ones(len(rest), bool)
-        keep[k] = False
-        rest, best, parent = rest[keep], best[keep], parent[keep]
-        d = np.bitwise_count(lanes[rest] ^ lanes[at]).sum(1, dtype=np.int32)
-        nearer = d < best
+    n = len(lanes)
+    free = np.ones(n, bool)
+    best, parent = np.full(n, 64 * LANES + 1, np.int32), np.zeros(n, np.int64)
+    at, links = 0, set()
+    for _ in range(n):
+        free[at] = False
+        d = np.bitwise_count(lanes ^ lanes[at]).sum(1, dtype=np.int32)
+        if best[at] <= radius:
+            links.add((int(parent[at]), at))
+        if best[at] > SURE:
+            d[at] = 64 * LANES + 1
+            near = np.argpartition(d, MORE)[: MORE + 1] if n > MORE + 1 else np.arange(n)
+            links.update((int(x), at) for x in near if d[x] <= radius)
+        nearer = free & (d < best)
         best[nearer], parent[nearer] = d[nearer], at
-    return links
+        at = int(np.where(free, best, 64 * LANES + 2).argmin())
+    return list({(min(x), max(x)): x for x in links}.values())
 
 
 _WIDE = "node binary, " + ", ".join(f"w{i} long" for i in range(LANES))
@@ -376,7 +396,7 @@ def _linked_runs(keyed: DataFrame, keys: list[str], radius: int) -> DataFrame:
 def wide_links(prints: DataFrame, folder: str, radius: int, max_group: int = 4096) -> DataFrame:
     """Links (a, b) between nodes of prints (node and lanes; one row per node) that share a block.
 
-    Each of the 16 blocks is a key. A key with more than max_group nodes is cut into parts, and
+    Each block is a key. A key with more than max_group nodes is cut into parts, and
     each pair of parts meets in a task of its own: the trees of all pairs together hold the tree of
     the whole key, so nothing is lost and no task holds more than two parts.
     """
@@ -394,33 +414,21 @@ def wide_links(prints: DataFrame, folder: str, radius: int, max_group: int = 409
     return written(_linked_runs(spread, ["t", "key", "lo", "hi"], radius).distinct(), f"{folder}/candidates")
 
 
-def similar(links: DataFrame, texts: DataFrame, n_words: int, least: float) -> DataFrame:
-    """The links (a, b) whose texts (node, text) have that share of their n_words-word shingles in common."""
-    from_a = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = from_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) whose sets of shingles (node, shingles) have that share of their union in common."""
+    with_a = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("shared"), (F.size("of_a") + F.size("of_b")).alias("both"))
+    return counted.filter(F.col("shared") >= F.lit(least) * (F.col("both") - F.col("shared"))).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, set] | None = None
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last is None or last[0] != y:
-                    last = y, shingles(y, n_words)
-                one, two = shingles(x, n_words), last[1]
-                shared = len(one & two)
-                ok.append(shared >= least * (len(one) + len(two) - shared))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(run, "a binary, b binary")
 
-
-def keep_one(docs: DataFrame, n_words: int = 5, least: float = 0.8, radius: int = 36, most_bytes: int = 16_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, n_words: int = 5, least: float = 0.8, radius: int = 40, most_bytes: int = 16_000_000) -> DataFrame:
     """The rows of docs whose document is the smallest of its group of similar texts; all columns stay.
 
     Texts are linked if they share at least least of their distinct n_words-word shingles, which is
-    checked on the whole texts. Candidates are pairs of wide fingerprints (256 bits over word
+    checked on the whole texts by 64-bit hashes of the shingles. Candidates are pairs of wide fingerprints (256 bits over word
     pairs) that share one of 16 blocks and differ in at most radius bits: all pairs with up to 15
-    differing bits do, and of pairs at a similarity of 0.8 (21 bits on average) about 99 in 100.
+    differing bits do, and of pairs at a similarity of 0.8 (21 to 24 bits on average) 99 in 100.
     Rows that repeat a doc_id stay together; rows without a doc_id stay.
     """
     folder = shared_dir(docs.sparkSession)
@@ -433,8 +441,8 @@ def keep_one(docs: DataFrame, n_words: int = 5, least: float = 0.8, radius: int
     n_bytes = 24 * ids.count()
     # Rows that repeat a doc_id with another text are told apart by their node.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if n_bytes <= most_bytes else ids, "doc_id")
-    texts = written(_of_node(found), f"{folder}/texts")
-    groups = components(written(similar(links, texts, n_words, least), f"{folder}/similar"), folder)
+    sets = written(shingle_sets(found, n_words), f"{folder}/sets")
+    groups = components(written(similar(links, sets, least), f"{folder}/similar"), folder)
     grouped = nodes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     first = grouped.groupBy("component").agg(F.min("rep").alias("first_id"))
     placed = rows.select("doc_id", "node").join(grouped.join(first, "component").select("node", "first_id"), "node")
@@ -444,12 +452,13 @@ def keep_one(docs: DataFrame, n_words: int = 5, least: float = 0.8, radius: int
     return docs.join(small, docs["doc_id"].cast("long") == small["__gone"], "left_anti")
 
 
-def _of_node(rows: DataFrame) -> DataFrame:
-    """node and text of the rows (doc_id, text, node) whose words have the node's digest."""
+def shingle_sets(rows: DataFrame, n_words: int) -> DataFrame:
+    """node and shingles (distinct hashes) of the rows (doc_id, text, node) whose words have the node's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WideHasher()
         for b in batches:
-            ok = [xxhash.xxh3_128_digest(" ".join(shingle_source(t)).encode("utf-8", "surrogatepass")) == n for t, n in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)]
-            yield b.filter(pa.array(ok, pa.bool_()))
+            found = [(n, hasher.shingles(words, n_words)) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if word_digest(words := shingle_source(t)) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return rows.select("node", "text").mapInArrow(run, "node binary, text string")
+    return rows.select("node", "text").mapInArrow(run, "node binary, shingles array<bigint>")

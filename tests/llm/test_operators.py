@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import random
 import re
 import time
@@ -222,6 +223,44 @@ def test_toxicity_finds_misspelled_abuse(spark):
     assert {r.doc_id: r.predicted for r in found.collect()} == {1: 1, 2: 1, 3: 0}
 
 
+def test_toxicity_equals_plain_scoring(spark, docs, texts):
+    """Every score again from the model's tables alone: dynamic programming per word and entry, no automaton."""
+    sf = "/root/testdata/sf0.01"
+    read = lambda t, *c: spark.read.parquet(f"{sf}/{t}.parquet").select(*c)
+    model = toxicity.train(read("documents", "doc_id", "text"), read("labels", "doc_id", "toxic"))
+    entries = [(t, w, False) for t, w in model.weights.items()] + [(t, w, True) for t, w in model.stems.items()]
+    letters = {t: Counter(t) for t, _, _ in entries}
+    known = {}
+
+    def weight(word):
+        if word in model.weights or word in model.allowed:
+            return model.weights.get(word, 0.0), False
+        own, plain, edited = Counter(word), 0.0, 0.0
+        for t, w, stem in entries:
+            free = 0 if len(t) < 4 or t + "*" * stem in model.as_spelled else 1 if stem or len(t) < 9 else 2
+            if (letters[t] - own).total() <= free and (stem or abs(len(t) - len(word)) <= free):
+                n = min(edits_with_swaps(word[:k], t) for k in range(len(word) + 1)) if stem else edits_with_swaps(word, t)
+                plain, edited = (max(plain, w), edited) if n == 0 else (plain, max(edited, w * 0.5**n if n <= free else 0.0))
+        return (plain, False) if plain else (edited, edited > 0)
+
+    def score(text):
+        text = (text or "").lower()
+        total, n = [0.0, 0.0], 0
+        for m in re.finditer(r"\w+", text):
+            n += 1
+            w, fuzzy = known.setdefault(m[0], None) or known.__setitem__(m[0], weight(m[0])) or known[m[0]]
+            before, after = text[max(0, m.start() - 48) : m.start()], text[m.end() : m.end() + 48]
+            quoted = w and (sum(c in "\"“”„«»‹›" for c in before) % 2 and any(c in "\"“”„«»‹›" for c in after) or toxicity._report.search(before))
+            total[fuzzy] += w * (0.35 if quoted else 1.0)
+        x = [math.log1p(total[0]), math.log1p(total[1]), math.log1p(100 * total[0] / max(1, n))]
+        z = model.coefficients[0] + sum(c * v for c, v in zip(model.coefficients[1:], x, strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if any(x) else min(model.base_rate, 0.05)
+
+    out = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert len(entries) > 3 and any(x > 0.7 for x in out.values())
+    assert all(math.isclose(score(t), out[i], abs_tol=1e-9) for i, t in texts.items())
+
+
 def test_toxicity_odd_input(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (99, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
@@ -333,6 +372,13 @@ def test_decontamination(spark, empty):
     assert decontamination.overlaps(empty, b).count() == 0 and decontamination.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_rows_without_id_are_judged_alone(spark):
+    item = " ".join(f"item{k}" for k in range(20))
+    data = [(None, "x " + item), (None, "clean text"), (7, item), (7, "other clean text"), (8, "words")]
+    out = decontamination.remove_contaminated(spark.createDataFrame(data, DOC), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert rows(out) == sorted([(None, "clean text"), (7, "other clean text"), (8, "words")], key=repr)
+
+
 def test_decontamination_masks_are_proven():
     """Wherever a fifth of the tokens is substituted, a mask fits between; 20 and 25 follow from 10 and 15."""
     for w, k in [(5, 1), (6, 1), (9, 1), (10, 2), (15, 3), (20, 4)]:
@@ -493,6 +539,70 @@ def test_simhash(spark, sf, texts, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 4, 5, 5, 6]
+    assert kept.filter("doc_id IS NULL").count() == 1
+
+
+def similar_groups(data, n_words=5, least=0.8):
+    """Smallest id reachable over pairs with that share of their distinct shingles in common."""
+    sets = {}
+    for i, t in data:
+        w = WORDS.findall(lower(t or ""))
+        sets[i] = frozenset(zip(*(w[k:] for k in range(n_words)), strict=False)) if len(w) >= n_words else frozenset([tuple(w)])
+    root, by, ids = {i: i for i in sets}, defaultdict(list), sorted(sets)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in ids:  # pairs that share a shingle, counted from an index of all
+        shared = Counter(a for g in sets[b] for a in by[g])
+        for a, n in shared.items():
+            if n >= least * (len(sets[a]) + len(sets[b]) - n) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+        for g in sets[b]:
+            by[g].append(b)
+    return {i: find(i) for i in ids}
+
+
+def near_copies(rng, n, vocab, edits):
+    base = [rng.choice(vocab) for _ in range(200)]
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice(([], ["new"], [w[k], "new"]))
+        yield " ".join(w)
+
+
+def test_keep_one_finds_similar_texts(spark):
+    """Against all pairs: nothing else goes, and at most a thirtieth of what should go stays; also where a block is hot."""
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(900)]
+    data = list(enumerate(t for n in (2, 3, 5, 120) for _ in range(6 if n < 100 else 1) for t in near_copies(rng, n, vocab, 5)))
+    data += [(1000 + i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(2000, None), (2001, " \n"), (2002, "One two"), (2003, "one TWO"), (2004, data[0][1])]
+    groups = similar_groups(data)
+    want = {i for i, g in groups.items() if i == g}
+    df = clash(spark.createDataFrame(data + [(None, data[0][1]), (5, "another text of a repeated id")], DOC))
+    kept = simhash.keep_one(df)
+    got = {r.doc_id for r in kept.collect()}
+    assert kept.columns == df.columns and want <= got - {None, 5} | {5} & want and None in got
+    assert len(got - want - {None, 5}) <= (len(data) - len(want)) // 30 and len(data) - len(want) > 100
+    assert {2000, 2002} <= got and not {2001, 2003, 2004} & got and 5 in got and kept.filter("doc_id = 5").count() == 2
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_wide_links_of_hot_blocks(spark, tmp_path):
+    """Blocks that are cut into parts give the groups of whole ones."""
+    rng = random.Random(4)
+    data = list(enumerate(t for _ in range(3) for t in near_copies(rng, 40, [f"w{k}" for k in range(300)], 4)))
+    nodes = simhash.wide_prints(spark.createDataFrame(data, DOC)).drop("doc_id").dropDuplicates(["node"])
+    groups = []
+    for size in (4096, 7):
+        folder = str(tmp_path / str(size))
+        found = simhash.components(simhash.wide_links(nodes, folder, 36, size), folder).collect()
+        groups.append({frozenset(bytes(r.node) for r in found if r.component == c) for c in {r.component for r in found}})
+    assert groups[0] == groups[1] and len(groups[0]) == 3
 
 
 @pytest.mark.parametrize("max_group", [40_000, 12])
@@ -544,12 +654,63 @@ def test_wrapper_learns_template(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_wrapper_needs_no_names(spark):
+    """Constants, menus and misleading names are told by the host's pages alone; every class is neutral or wrong."""
+    menu = lambda i: "".join(f"<div class='b{k}'><a href='/{i}/{k}'>link {i} {k}</a></div>" for k in range(4))
+    frame = "Long words of a frame that every page of the host repeats. " * 40
+    page = lambda i: f"<body class='has-sidebar'><div class='x1'>{menu(i)}</div><div class='x2'>{frame}</div><div class='sidebar'><h2>Head {i}</h2><p>Own words {i} of this page, which differ.</p></div><div class='x3'>Terms</div></body>"
+    data = [(i, f"https://h.example.org/{i}", page(i)) for i in range(12)] + [(50, "https://h.example.org/50", None)]
+    out = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Head {i}\nOwn words {i} of this page, which differ." for i in range(12)} | {50: ""}
+    names_alone = wrapper.main_text(wrapper.parse(page(3)), set())
+    assert "link" in names_alone and "frame" in names_alone and "Own words" not in names_alone
+
+
+def test_names_spare_the_only_article():
+    text = lambda html: wrapper.main_text(wrapper.parse(html), set())
+    assert text("<body class='search-results'><form><article class='social'><p>one</p></article></form></body>") == "one"
+    assert text("<div class='content-sidebar'><main><p>one</p></main><nav>n</nav></div>") == "one"
+    assert text("<article><p>one</p><div id='comments'><article class='comment'>two</article></div></article>") == "one"
+
+
+def test_wrapper_takes_deep_and_wide_pages(spark):
+    deep = lambda word, n=5000: "<div>" * n + f"<p>{word}</p>" + "</div>" * n
+    wide = lambda word: "".join(f"<p class='c{k % 7}'>{word} {k}</p>" if k % 3 else f"<ul><li>{word} {k}<li>x</ul>" for k in range(20_000))
+    data = [(1, "https://d.example.org/1", deep("one")), (2, "https://d.example.org/2", deep("two <b>x</b>", 4900)), (3, "https://w.example.org/3", wide("a")), (4, "https://w.example.org/4", "<h1>t</h1>" + wide("b"))]
+    began = time.monotonic()
+    out = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(4)).collect()}
+    assert out[1] == "one" and out[2] == "two x" and out[3].count("\n") == 26_666 and out[4].startswith("t\n") and time.monotonic() - began < 60
+
+
 def test_tree_matching_is_maximal():
     matcher = wrapper.Matcher()
     a, b = wrapper.parse("<ul><li>1<li><b>2</b><li>3</ul><p>x"), wrapper.parse("<p>y</p><ul><li><b>2</b><li>3</ul><p>x")
     matcher.shape(a)
     matcher.shape(b)
     assert matcher.weight(a, b) == 1 + 6 + 2 and matcher.weight(a, a) == a.size
+    rng = random.Random(3)
+
+    def grown(depth):
+        node = wrapper.Node(rng.choice("xy"))
+        node.kids = [grown(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        return node
+
+    def plain(x, y):
+        if x.tag != y.tag:
+            return 0
+        best = [[0] * (len(y.kids) + 1) for _ in range(len(x.kids) + 1)]
+        for i, p in enumerate(x.kids):
+            for j, q in enumerate(y.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain(p, q))
+        return 1 + best[-1][-1]
+
+    for _ in range(200):
+        x, y = grown(3), grown(3)
+        matcher.shape(x)
+        matcher.shape(y)
+        assert matcher.weight(x, y) == plain(x, y)
+        if x.tag == y.tag:
+            assert sum(1 for _ in matcher.pairs(x, y)) == plain(x, y)
 
 
 # 10 WARC
@@ -587,3 +748,49 @@ def test_warc_checks():
         list(warc.read_archive(archive[:-3]))
     with pytest.raises(warc.ArchiveError):
         list(warc.read_archive(packer.compress(record)))
+
+
+def test_warc_standard_records():
+    """Records as other writers make them, and every way to break one."""
+    import zstandard
+
+    def record(kind, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:00000000-0000-0000-0000-000000000001>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Length": len(block)} | {k.replace("_", "-"): v for k, v in more.items()}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    records = [
+        record("warcinfo", b"software: y\r\n", Content_Type="application/warc-fields"), record("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        record("response", http, Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:ABC", WARC_Target_URI="https://x.example.org/"),
+        record("revisit", http[:-8], Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:ABC"), record("resource", b"raw"),
+    ]
+    got = [warc.parse_record(r) for r in records]
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "revisit", "resource"] and all(r["page_id"] is None for r in got)
+    assert [r["payload"] for r in got] == [b"software: y\r\n", b"GET / HTTP/1.1\r\n\r\n", b"<p>x</p>", b"", b"raw"] and got[2]["url"] == "https://x.example.org/"
+    packer = zstandard.ZstdCompressor(write_content_size=False)  # frames that do not state their size
+    other = (0x184D2A50).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"abc"
+    archive = warc.open_archive(b"") + other + b"".join(packer.compress(r) for r in records)
+    assert len(list(warc.read_archive(archive))) == 5
+    rng = random.Random(5)
+    for n in range(300):  # cut or changed anywhere, an archive reads as before or raises ArchiveError
+        at = rng.randrange(len(archive))
+        broken = archive[:at] if n % 2 else archive[:at] + bytes([archive[at] ^ 1 << rng.randrange(8)]) + archive[at + 1 :]
+        try:
+            list(warc.read_archive(broken))
+        except warc.ArchiveError:
+            pass
+    for bad in (records[2].replace(b"Content-Length: ", b"Content-Length: x"), records[0].replace(b"WARC-Type", b"\xff\xfe"), b"", records[0].replace(b"\r\n\r\n", b"\r\n", 1)):
+        with pytest.raises(warc.ArchiveError):
+            warc.parse_record(bad)
+
+
+def test_warc_files(spark, tmp_path):
+    data = [(i, f"https://x.example.org/{i}", "<p>" + f"text {i % 3} " * 30) for i in range(9)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    archives = warc.write_archives(warc.marked(df), str(tmp_path / "table"), b"", archive_bytes=300)
+    (tmp_path / "files").mkdir()
+    for _ in range(2):
+        warc.save_files(archives, str(tmp_path / "files"))
+    out = warc.read_files(spark, str(tmp_path / "files")).collect()
+    assert sorted(r.page_id for r in out) == list(range(9)) and {r.page_id for r in out if r.record_type == "response"} == {0, 1, 2}
+    assert all(r.refers_to == r.page_id % 3 for r in out if r.record_type == "revisit")

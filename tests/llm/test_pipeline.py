@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import classes, contaminated, dedup_lines
+from tests.llm.test_operators import contaminated, dedup_lines, similar_groups
 
 
 def test_pipeline(spark, sf):
@@ -19,8 +19,8 @@ def test_pipeline(spark, sf):
     toxic = {r.doc_id for r in queries.op4_toxicity(spark, sf).filter("predicted = 1").collect()}
     data = [(i, t) for i, t in data if i not in toxic]
     data = [(i, t) for i, _, t in dedup_lines(data)]
-    groups = classes(data)
-    data = [(i, t) for i, t in data if groups[i][1] == i]
+    groups = similar_groups(data)
+    data = [(i, t) for i, t in data if groups[i] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaks = {i for i, _ in contaminated(data, items)}
     data = [(i, t) for i, t in data if i not in leaks]
