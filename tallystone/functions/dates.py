@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallystone.functions.text import is_unreleased
+
 FIRST_YEAR = 2013
 
 
@@ -17,6 +19,11 @@ def start_of_period(y: Column, m: Column, d: Column, as_of: Column) -> tuple[Col
     return F.when(ok, date), F.when(ok, label)
 
 
+def qualifies(platform: Column, platforms: list[int], status: Column) -> Column:
+    """Whether a date counts at all: on one of the platforms, and not of a status that means no release."""
+    return F.coalesce(platform.isin(*platforms), F.lit(False)) & ~is_unreleased(status)
+
+
 def end_of_period(human: Column, precision: Column, epoch: Column, y: Column, m: Column, as_of: Column, first_year: int = FIRST_YEAR) -> Column:
     """The last day a stated date can mean: exact text, epoch, quarter, year, then month. Null if in the future."""
     text = F.trim(F.coalesce(human, F.lit("")))

@@ -54,6 +54,13 @@ def safe_integer(text: Column) -> Column:
     return F.when(n.between(0, LARGEST), n)
 
 
+def finite(number: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """The number where it is finite and within the bounds, else null."""
+    ok = ~F.isnan(number.cast("double")) & (F.abs(number.cast("double")) != float("inf"))
+    ok = ok & (number >= lo) if lo is not None else ok
+    return F.when(ok & (number <= hi) if hi is not None else ok, number)
+
+
 def parse_size(text: Column) -> tuple[Column, Column]:
     """Bytes and precision (exact only for whole bytes) of a text that is a size and nothing else."""
     pattern = r"(?i)^\s*([0-9]{1,12})(\.[0-9]{1,6})?\s*(bytes?|b|[kmgt]i?b)\s*$"

@@ -66,6 +66,11 @@ def eligible(games: DataFrame, roots: DataFrame, dates: DataFrame, in_scope: Col
     return kept.select("root", "reference_ids", F.col("_first.day").alias("first_release"), F.col("_first.label").alias("label")), reasons
 
 
+def totals(listings: DataFrame, links: str) -> DataFrame:
+    """n_listings and n_links of listings with an array column of links."""
+    return listings.agg(F.count("*").alias("n_listings"), F.coalesce(F.sum(F.greatest(F.size(links), F.lit(0))), F.lit(0)).alias("n_links"))
+
+
 def dates_of(games: DataFrame, dates: DataFrame) -> DataFrame:
     """Each game's dates, one row each; games without one have a row without a date."""
     return games.join(dates, "id", "left")

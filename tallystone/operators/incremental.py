@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +99,20 @@ def retry_once(state: DataFrame, holds: DataFrame, markers: DataFrame, marker: s
     return again, holds.filter(~F.coalesce(hit, F.lit(False))), markers.unionByName(added)
 
 
-def run_batches(step: Callable[[int], tuple[int, int]], most: int = 120) -> int:
-    """Runs step(number) -> (still runnable, progress made) until nothing is left or moves; at most ``most`` times. Returns how often."""
+def stale(checked_at: Column, now: Column, hours: int = 24) -> Column:
+    """Whether a result is to be checked again: never checked, or so many hours ago."""
+    return F.coalesce(checked_at <= now - F.make_dt_interval(hours=F.lit(hours)), F.lit(True))
+
+
+def run_batches(step: Callable[[int], tuple[int, int]], most: int = 120, minutes: float = math.inf) -> int:
+    """Runs step(number) -> (still runnable, progress made) until nothing is left or moves; at most ``most`` times.
+
+    No step begins after ``minutes``; what is left then stays pending. Returns how many ran.
+    """
+    began = time.monotonic()
     for n in range(most):
+        if time.monotonic() - began >= 60 * minutes:
+            return n
         left, progress = step(n)
         if left <= 0 or progress <= 0:
             return n + 1

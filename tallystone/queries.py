@@ -787,9 +787,22 @@ def title_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part", "p_partkey", title.alias("title")).select("p_partkey", text.import_key("title").alias("import_key"), text.strict_key("title").alias("strict_key"), text.relaxed_key("title").alias("relaxed_key"), text.slug(F.col("title")).alias("slug"))
 
 
-@query()
+@query("""
+WITH h AS (SELECT sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS h FROM customer),
+w AS (SELECT i, sum(('0x' || substr(h, 8 * i + 1, 8))::BIGINT)::VARCHAR AS s FROM h, range(8) r(i) GROUP BY i), n AS (SELECT count(*) AS n FROM h)
+SELECT n AS n_rows, sha256(n || ':' || string_agg(s, ':' ORDER BY i)) AS fingerprint FROM w, n GROUP BY n
+""")
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return fingerprint(table(spark, d, "orders"))
+    return fingerprint(table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@query("""
+SELECT user_id, max(ts) AS last_ts, max(ts) <= TIMESTAMP '2024-01-29 20:00:00' AS stale, CASE WHEN max(value) BETWEEN 5 AND 60 THEN max(value) END AS value FROM events GROUP BY user_id
+""")
+def stale_states(spark: SparkSession, d: str) -> DataFrame:
+    last = table(spark, d, "events", "user_id", "ts", "value").groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.max("value").alias("value"))
+    now = F.lit("2024-01-30 20:00:00").cast("timestamp_ntz")
+    return last.select("user_id", "last_ts", incremental.stale(F.col("last_ts"), now).alias("stale"), versions.finite(F.col("value"), 5, 60).alias("value"))
 
 
 # Listing, order, scope, families

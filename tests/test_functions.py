@@ -6,6 +6,7 @@ import json
 import random
 import re
 import unicodedata
+from fractions import Fraction
 from html import unescape
 
 import pytest
@@ -85,6 +86,13 @@ def test_partial_dates(spark):
     assert [x and str(x) for x in values(spark, ends, "h string, p string, e long, y int, m int", end)] == ["2020-03-05", "2020-03-31", "2020-12-31", "2020-02-29", "2020-03-05", None, None, None]
 
 
+def test_what_qualifies(spark):
+    rows = [(48, ""), (48, "Cancelled"), (9, ""), (None, None)]
+    assert values(spark, rows, "p int, s string", dates.qualifies(F.col("p"), [48, 49], F.col("s"))) == [True, False, False, False]
+    numbers = [(1.5,), (float("nan"),), (float("inf"),), (None,), (-1.0,), (11.0,)]
+    assert values(spark, numbers, "n double", versions.finite(F.col("n"), 0, 10)) == [1.5, None, None, None, None, None]
+
+
 def test_urls(spark):
     rows = [("HTTPS://WWW.Example.org/a/?utm_source=x&b=2&a=1#top",), ("//example.org/x",), ("ftp://example.org",), ("http://u:p@example.org/",), (None,), ("https://example.org.evil.test/",)]
     assert values(spark, rows, "u string", urls.canonical_key(F.col("u"))) == ["example.org/a?a=1&b=2", "example.org/x", None, None, None, "example.org.evil.test"]
@@ -177,3 +185,71 @@ def test_page_rules(spark):
     assert {r.page_id for r in html.access_errors(df).filter("is_error").collect()} == {3, 5}
     deep = spark.createDataFrame([(1, None, "<div><a href=/x>" * 3000)], "page_id long, url string, html string")
     assert html.links(deep).count() == 0 and html.events(deep).count() == 3000
+
+
+def test_requirements_equal_the_card(spark):
+    """The rules again, one after another, on random labels."""
+    rng = random.Random(11)
+    token = lambda: rng.choice(["5.05", "6.72", "9.00", "7.xx", "9.xx+", "5.05+", "5.05-9.00", " 9.00 ", "x", ""])
+    rows = [(rng.choice(["", "9", "9.00", "7.55", "5.05", "10.50", None]), rng.choice([None, "/".join(token() for _ in range(rng.randint(1, 3)))]), rng.choice([None, "", "fix"]), rng.choice([None, False, False, True])) for _ in range(600)]
+
+    def want(target, label, variant, conflict):
+        if not target:
+            return "unchecked"
+        if not re.fullmatch(r"\d{1,2}\.\d{2}", target):
+            return "invalid"
+        if conflict or not label:
+            return "unknown"
+        parts, said = label.split("/"), []
+        for part in parts:
+            m = re.fullmatch(r"(\d{1,2})\.(\d{2}|xx)(\+)?", part.strip())
+            if not m or m[2] == "xx" and m[3]:
+                said.append(None)
+            elif m[2] == "xx":
+                said.append(target.split(".")[0] == m[1])
+            else:
+                a, b = (int(x.replace(".", "")) for x in (target, m[1] + m[2]))
+                said.append(a >= b if m[3] or len(parts) == 1 and not variant else a == b)
+        return "fits" if True in said else "unknown" if None in said else "not-listed"
+
+    got = values(spark, rows, "t string, l string, v string, c boolean", versions.requirement_state(F.col("t"), F.col("l"), F.col("v"), F.col("c")))
+    assert got == [want(*r) for r in rows] and set(got) == {"unchecked", "invalid", "unknown", "fits", "not-listed"}
+
+
+def test_parts_and_sizes_on_random_names(spark):
+    rng = random.Random(12)
+    names = [(rng.choice(["a", "b.c", ""]) + rng.choice([".part1.rar", ".PART012.rar", ".7z.001", ".7z.", ".part.rar", ".rar", ".part3.zip"]),) for _ in range(200)]
+
+    def parts(n):
+        m = re.fullmatch(r"(?i)(.*?)(?:\.part0*(\d+)\.rar|\.7z\.0*(\d+))", n)
+        return (m[1] or None, int(m[2] or m[3])) if m else (None, None)
+
+    group, number = urls.multipart(F.col("u"))
+    assert list(zip(values(spark, names, "u string", group), values(spark, names, "u string", number), strict=True)) == [parts(n) for (n,) in names]
+    sizes = [(f"{rng.randint(0, 9999)}{rng.choice(['', '.5', '.25'])} {rng.choice(['B', 'bytes', 'KB', 'MiB', 'GB', 'TiB', 'XB', ''])}",) for _ in range(200)]
+    unit = {"B": 1, "bytes": 1, "KB": 1000, "MiB": 2**20, "GB": 10**9, "TiB": 2**40}
+
+    def size(t):
+        n, u = t.split(" ")
+        n_bytes = int(Fraction(n) * unit[u]) if u in unit else 2**53
+        return n_bytes if n_bytes < 2**53 else None
+
+    assert values(spark, sizes, "t string", versions.parse_size(F.col("t"))[0]) == [size(t) for (t,) in sizes]
+
+
+def test_response_states_in_their_order(spark):
+    """Every pair of code and text: limits before restrictions, these before gateways, codes before texts."""
+    says = {"too many requests": "limited", "captcha": "restricted", "bad gateway": "unknown", "file not found": "missing", "hello": None}
+    rows = [(code, f"{a} and {b}") for code in (200, 404, 410, 429, 403, 503, 500, None) for a in says for b in says]
+
+    def want(code, body):
+        found = {says[x] for x in says if x in body}
+        if code == 429 or "limited" in found:
+            return "limited"
+        if code == 403 or "restricted" in found:
+            return "restricted"
+        if code not in (200, 404, 410) or "bad gateway" in body:
+            return "unknown"
+        return "missing" if "missing" in found else "present" if code == 200 else "unknown"
+
+    assert values(spark, rows, "c int, b string", html.response_state(F.col("c"), F.col("b"))) == [want(*r) for r in rows]

@@ -155,6 +155,25 @@ def test_views_and_orders(spark):
     assert seen == sorted(((i % 4, i) for i in range(23)), key=lambda x: (-x[0], x[1]))
 
 
+def test_facets_of_regions_and_hosts(spark):
+    rows = spark.createDataFrame([(["EUR"], False), (["EUR", "USA"], True), ([], False), (None, None), ([], True)], "r array<string>, c boolean")
+    want = {"": [True] * 5, "EUR": [True, False, False, False, False], "unknown": [False, False, True, True, False]}
+    for facet, hits in want.items():
+        assert [r[0] for r in rows.coalesce(1).select(facets.region_facet(F.col("r"), F.col("c"), facet)).collect()] == hits
+    hosts = spark.createDataFrame([("p",), ("t1",), ("t2",), ("x",), (None,)], "d string").coalesce(1)
+    assert [r[0] for r in hosts.select(recommend.domain_rank(F.col("d"), "p", ["t1", "p", "t2"])).collect()] == [0, 1, 3, 10, 10]
+    assert [r[0] for r in hosts.select(recommend.domain_rank(F.col("d"), None, ["t2"])).collect()] == [10, 10, 1, 10, 10]
+    scopes = spark.createDataFrame([("A one", ["x"], True, False, ["EUR"]), ("B two", ["ONE"], False, False, []), ("C", [], True, True, [])], "name string, listings array<string>, catalogued boolean, outside boolean, regions array<string>")
+    pick = lambda *a: {r.name[0] for r in facets.scope_filter(scopes, *a).collect()}
+    assert (pick("all"), pick("gaps"), pick("matched"), pick("outside", "", "EUR"), pick("all", " one "), pick("all", "", "EUR")) == ({"A", "B"}, {"B"}, {"A"}, {"C"}, {"A", "B"}, {"A"})
+
+
+def test_totals_and_sizes(spark):
+    rows = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "links array<string>")
+    assert tuple(coverage.totals(rows, "links").first()) == (3, 2) and tuple(coverage.totals(rows.limit(0), "links").first()) == (0, 0)
+    assert sizing.known_bytes(spark.createDataFrame([(5,), (5,), (None,)], "size_bytes long")).first()[0] == 10
+
+
 def test_listings(spark):
     listings = grouping.valid_listings(spark.createDataFrame([(1, "A"), (2, " "), (3, None), (4, "https://x.example.org"), (5, "A"), (6, "//y")], "id int, name string"))
     assert {r.id for r in listings.collect()} == {1, 5}
@@ -219,6 +238,7 @@ def test_holds_retries_and_batches(spark):
         assert kept.count() == left and now.count() == left - 1 and [r.marker for r in marked.collect()] == ["m1"]
     again = incremental.retry_once(state, more, marked, "m1", "source", "a", "x")
     assert again == (state, more, marked)
+    assert incremental.run_batches(lambda n: (1, 1), minutes=0) == 0
     steps = iter([(5, 2), (3, 1), (3, 0), (9, 9)])
     assert incremental.run_batches(lambda n: next(steps)) == 3 and incremental.run_batches(lambda n: (1, 1), most=7) == 7
 
