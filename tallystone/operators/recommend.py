@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.functions.text import region_alias, upper_clean
 from tallystone.functions.versions import version_key
 
 
@@ -44,11 +45,15 @@ def domain_rank(domain: Column, preferred: str | None, tested: list[str]) -> Col
     return out.otherwise(10)
 
 
-def family_key(product: Column, region: Column, edition: Column, page: Column, section: Column, conflict: Column, n_regions: Column) -> Column:
-    """JSON of the five fields; null for a conflict, a missing page, a bad product code or several regions."""
-    ok = product.rlike(r"^[A-Z]{4}\d{5}$") & (F.coalesce(n_regions, F.lit(1)) == 1) & ~F.coalesce(conflict, F.lit(False)) & (F.coalesce(page, F.lit("")) != "")
-    parts = [F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in (product, region, edition)] + [page, F.upper(F.trim(F.coalesce(section, F.lit(""))))]
-    return F.when(ok, F.to_json(F.array(*parts)))
+def family_key(product: Column, region: Column, edition: Column, page: Column, section: Column, conflict: Column, n_regions: Column, codes: str = "CUSA") -> Column:
+    """JSON of the five fields; null for a conflict, a missing page or region, a product code of another kind, or not exactly one region.
+
+    n_regions is null where a release carries no list of regions.
+    """
+    said = lambda c: upper_clean(F.coalesce(c, F.lit("")))
+    area = region_alias(F.coalesce(region, F.lit("")))
+    ok = said(product).rlike(rf"^{codes}\d{{5}}$") & (F.coalesce(n_regions, F.lit(1)) == 1) & ~F.coalesce(conflict, F.lit(False)) & (F.coalesce(page, F.lit("")) != "") & (area != "")
+    return F.when(ok, F.to_json(F.array(said(product), area, said(edition), page, said(section))))
 
 
 def choose_families(releases: DataFrame, fits: Column, wanted: DataFrame | None = None) -> DataFrame:

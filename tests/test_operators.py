@@ -106,8 +106,10 @@ def test_recommend(spark):
     df = spark.createDataFrame(rows, "fam string, v string, pos int")
     assert by(recommend.newest_flag(df, ["fam"], "v", F.lit(True)), "pos", "newest") == {1: False, 2: True, 3: False, 4: False}
     assert by(recommend.best_per_family(df, ["fam"], [F.desc_nulls_last("v"), F.asc("pos")]), "fam", "pos") == {"f": 2, "g": 3, "h": 4}
-    key = recommend.family_key(*(F.lit(x) for x in ("ABCD12345", "eur", None, "https://example.org", " s ", False, 1)))
-    assert spark.range(1).select(key).first()[0] == '["ABCD12345","EUR","","https://example.org","S"]'
+    good = ("cusa12345", "eu", None, "https://example.org", " s  t ", False, None)
+    keys = [good, *(good[:i] + (x,) + good[i + 1 :] for i, x in ((0, "ABCD12345"), (0, None), (1, None), (1, " "), (3, ""), (5, True), (6, 2), (6, 0)))]
+    df = spark.createDataFrame(keys, "p string, r string, e string, u string, s string, c boolean, n int").coalesce(1)
+    assert [r[0] for r in df.select(recommend.family_key(*(F.col(c) for c in df.columns))).collect()] == ['["CUSA12345","EUR","","https://example.org","S T"]'] + [None] * 8
 
 
 def test_family_choice_equals_the_plain_rule(spark):
