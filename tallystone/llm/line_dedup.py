@@ -29,6 +29,10 @@ from tallystone.llm.common import SPACE_CHARS, delete_path, shared_dir, written
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Document keys for each of which a run has a bucket at least.
+BUCKET_KEYS = 4_000
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -140,7 +144,9 @@ def rewrite(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: in
     bounds = (docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, F.lit(1000))).first()[0] or []) if shares else []
     keyed = document_keys(docs, min_chars).withColumn("batch", falling_batches(F.col("doc_id"), bounds))
     keys = written(keyed, f"{folder}/keys", ("batch",))
-    runs = LineRuns(spark, folder)
+    # A small corpus needs fewer buckets than the session has shuffle partitions; a large one takes all of them.
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-keys.count() // BUCKET_KEYS)))
+    runs = LineRuns(spark, folder, buckets=buckets)
     for n in range(len(bounds) + 1):
         runs.add(keys.filter(F.col("batch") == n).select("doc_id", "key"))
     # Written first: its size is then known, and a join that shuffles can split a common line's rows.
