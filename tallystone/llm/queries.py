@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, decontamination, line_dedup, pii, quality_rules, sharding, simhash, toxicity, warc, wrapper
+from tallystone.llm import bpe, decontamination, divergence, line_dedup, pii, quality_rules, sharding, simhash, toxicity, warc, wrapper
 from tallystone.llm.common import shared_dir, table
 
 
@@ -144,12 +144,39 @@ SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN first_id <>
 FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(terms) AS term FROM d) GROUP BY id, lang, source, term),
+kept AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING count(*) >= 30),
+own AS (SELECT t.lang, t.source, t.term, sum(t.n) AS n FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term GROUP BY t.lang, t.source, t.term),
+g AS (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+total AS (SELECT lang, source, sum(n) AS n FROM own GROUP BY lang, source),
+cell AS (SELECT g.lang, g.source, kept.term, coalesce(own.n, 0) AS own_n,
+    1 + (1000000000::HUGEINT * (coalesce(own.n, 0) + 5)) // (coalesce(total.n, 0) + 5 * size.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.n + 5)) // (size.n + 5 * size.v) AS q
+  FROM g JOIN kept ON g.lang = kept.lang JOIN size ON g.lang = size.lang LEFT JOIN total ON g.lang = total.lang AND g.source = total.source
+  LEFT JOIN own ON g.lang = own.lang AND g.source = own.source AND kept.term = own.term),
+gap AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(gap.value, 0)::BIGINT AS value
+      FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN gap ON gap.lang = g.lang AND gap.source = g.source AND gap.item = h.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM cell WHERE own_n > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, quality_ablations, op2_bpe, op3_sharding, op4_toxicity, op5_line_dedup, op6_decontamination,
-        op7_pii, op8_simhash, op9_wrapper, op10_warc,
+        op7_pii, op8_simhash, op9_wrapper, op10_warc, op13_divergence,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATION_SQL, "op3_sharding": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATION_SQL, "op3_sharding": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op13_divergence": OP13_SQL}
