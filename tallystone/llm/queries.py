@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, decontamination, divergence, line_dedup, pii, quality_rules, sharding, simhash, toxicity, warc, wrapper
+from tallystone.llm import bpe, decontamination, divergence, line_dedup, manifest, pii, quality_rules, sharding, simhash, toxicity, warc, wrapper
 from tallystone.llm.common import shared_dir, table
 
 
@@ -145,6 +145,41 @@ FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents", *manifest.FIELDS))
+
+
+#: The checksum is op3's; a level's nodes are one list, hashed in slices, and a proof's steps are folded in order.
+OP11_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+e AS (SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS fields,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc FROM documents, tab),
+l AS (SELECT doc_id, source, sha256(fields || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(fields || coalesce(strlen(text) || ':' || CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS bad FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+t AS (SELECT source, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM r GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, list_transform(range((len(nodes) + 15) // 16), lambda i: sha256(array_to_string(nodes[16 * i + 1:16 * i + 16], ''))) FROM t WHERE len(nodes) > 1),
+s AS (SELECT source, level AS h, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM t WHERE len(nodes) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM s
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 15) // 16), lambda i: sha256(array_to_string(nodes[16 * i + 1:16 * i + 16], ''))) FROM u WHERE len(nodes) > 1),
+step AS (
+  SELECT r.source, r.idx, t.level, t.nodes, (r.idx // (16 ** t.level)::BIGINT)::BIGINT AS k FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source WHERE len(t.nodes) > 1
+  UNION ALL
+  SELECT r.source, r.idx, s.h + u.level, u.nodes, (s.place // (16 ** u.level)::BIGINT)::BIGINT FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source, u WHERE len(u.nodes) > 1),
+side AS (SELECT source, idx, level, array_to_string(nodes[k // 16 * 16 + 1:k], '') AS a, array_to_string(nodes[k + 2:k // 16 * 16 + 16], '') AS b FROM step),
+path AS (SELECT source, idx, list(a || '|' || b ORDER BY level) AS steps, sha256(string_agg(a || b, '' ORDER BY level)) AS proof FROM side GROUP BY source, idx),
+f AS (SELECT r.doc_id, r.leaf, s.subroot, u.nodes[1] AS root, coalesce(proof, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend(r.bad, coalesce(steps, [])), lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2))) AS folded_root
+  FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source JOIN u ON len(u.nodes) = 1 LEFT JOIN path ON r.source IS NOT DISTINCT FROM path.source AND r.idx = path.idx)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
 
@@ -175,8 +210,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, quality_ablations, op2_bpe, op3_sharding, op4_toxicity, op5_line_dedup, op6_decontamination,
-        op7_pii, op8_simhash, op9_wrapper, op10_warc, op13_divergence,
+        op7_pii, op8_simhash, op9_wrapper, op10_warc, op11_manifest, op13_divergence,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATION_SQL, "op3_sharding": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op13_divergence": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATION_SQL, "op3_sharding": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op11_manifest": OP11_SQL, "op13_divergence": OP13_SQL}
