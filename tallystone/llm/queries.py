@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm import bpe, decontamination, divergence, line_dedup, manifest, pii, quality_rules, sharding, simhash, toxicity, warc, wrapper
+from tallystone.llm import bpe, decontamination, divergence, line_dedup, manifest, pii, quality_rules, sharding, simhash, suffixes, toxicity, warc, wrapper
 from tallystone.llm.common import shared_dir, table
 
 
@@ -180,6 +180,10 @@ SELECT *, folded_root = root AS verified FROM f
 """
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
 
@@ -210,7 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, quality_ablations, op2_bpe, op3_sharding, op4_toxicity, op5_line_dedup, op6_decontamination,
-        op7_pii, op8_simhash, op9_wrapper, op10_warc, op11_manifest, op13_divergence,
+        op7_pii, op8_simhash, op9_wrapper, op10_warc, op11_manifest, op12_suffix_dedup, op13_divergence,
     )
 }
 
