@@ -6,10 +6,12 @@ itself. The same unit gets the same surrogate everywhere, so that ``Mr Smith`` a
 Smith`` keep one surname and the addresses of one domain keep one domain (coreference); different
 units of a kind get different ones (distinctness). A surrogate keeps its unit's type and format:
 punctuation, letter case, digit groups, script, the gender of a name, and how far a card's or an
-IBAN's check digits are off (not at all, for valid ones). It depends on the key, the unit and a
-try number; units whose surrogates collide, with one another or with a real unit, take the next
-try until none do. Later tries of words are longer, so that short ones do not run out. Only the few
-units that moved have a try number other than 0, kept in a table.
+IBAN's check digits are off (not at all, for valid ones). It is drawn from an HMAC of the unit and a
+try number under the caller's key, so that who has not the key cannot find units by trial. Units whose
+surrogates collide, with one another or with a real unit, take the next try until none do. Later
+tries of words and secrets have more letters, and much later ones of numbers more digits, so that no kind
+runs out of values, not even secrets of symbols alone. Only the few units that moved have a try
+number other than 0, kept in a table.
 
 Found are: secrets after a word that names them; e-mail addresses; IPv4 addresses; IBANs; card
 numbers whose check digit holds; social security numbers; telephone numbers with a country code, in
@@ -24,6 +26,8 @@ that a column n_entities is replaced.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +37,8 @@ from tallystone.llm.common import shared_dir, written
 
 #: Titles by the gender they state; the last ones state none.
 TITLES = {
-    "m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "Господин", "г-н"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mademoiselle", "Doña", "Госпожа", "г-жа"),
+    "m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "Господин", "г-н", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Mademoiselle", "Doña", "Госпожа", "г-жа", "Κυρία"),
     "": ("Dr", "Prof", "Professor", "Доктор"),
 }
 #: Given names that stand in for others, by script and gender.
@@ -56,7 +60,12 @@ KNOWN = {
 _by_gender = {g: tuple(dict.fromkeys(n for by in GIVEN.values() for n in by[g])) + KNOWN[g] for g in "mf"}
 _titles = "|".join(t for g in TITLES.values() for t in g)
 _given = "|".join(dict.fromkeys(n for g in _by_gender.values() for n in g))
+#: Sixteen letters of each script for the digits of a digest, by the script's name in patterns; Latin stands for all others.
+LETTERS = {"Cyrillic": "бвгдзклмнпрстфхш", "Greek": "βγδζθκλμνξπρστφχ", "Armenian": "բգդզթժլխծկհձղճմյ", "Hebrew": "אבגדהוזחטילמנסעפ", "Arabic": "ابتثجحخدذرزسشصضط"}
+_LATIN, _HEX = "bcdfghjklmnprstv", "0123456789abcdef"
 _start, _end = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: A name does not begin after a hyphen inside a word.
+_alone = r"(?<![\p{L}\p{N}]|[\p{L}\p{N}]-)"
 _word = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
 _head = r"(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,9}[=:]\s{0,9}\"?)"
 
@@ -73,14 +82,14 @@ PATTERNS: dict[str, str] = {
         r"|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|(?<=(?i:tel|phone|mobile|cell|fax|call|telefon|teléfono|téléphone)[:. ]{1,3})[2-9]\d{9})(?!\d)"
     ),
     "name": (
-        rf"{_start}(?:(?:{_titles})\.? ){{1,2}}{_word}(?: {_word}){{0,2}}{_end}"
-        rf"|{_start}(?=\p{{Lu}})(?:{_given})(?: (?:{_given})){{0,1}} {_word}{_end}"
+        rf"{_alone}(?:(?:{_titles})\.? ){{1,2}}{_word}(?: {_word}){{0,2}}{_end}"
+        rf"|{_alone}(?=\p{{Lu}})(?:{_given})(?:-\p{{Lu}}\p{{Ll}}++)?(?: (?:{_given})(?:-\p{{Lu}}\p{{Ll}}++)?){{0,1}} {_word}{_end}"
     ),
 }
 ANY = "|".join(PATTERNS.values())
 #: A cheap first look: no pattern can match a text without one of these.
 HINT = rf"@|\d{{3}}|\d\.\d|\d[ -]\d|(?i:password|passwd|pwd|token|secret|api[_-]?key)|{_start}(?:(?=\p{{Lu}})(?:{_given}|{_titles})|г-)"
-#: Tries of a given name that take one from the list; later ones make a word up.
+#: Tries of a given name that take one from the list, and of a number that keep its length; later ones make a word up or add digits.
 LISTED = 6
 
 
@@ -114,7 +123,7 @@ def _units(entity: Column, kind: Column, title: Column) -> Column:
     words = F.split(F.substr(entity, F.char_length(title) + 1), " ")
     # A title that states a gender decides it, else the given name; else it is taken as male.
     stated = F.when(title.rlike(rf"{_start}(?:{'|'.join(TITLES['f'])})\.? "), F.lit("given-f")).when(title.rlike(rf"{_start}(?:{'|'.join(TITLES['m'])})\.? "), F.lit("given-m"))
-    given = lambda w: F.coalesce(stated, F.when(w.isin(*_by_gender["f"]), F.lit("given-f")), F.lit("given-m"))
+    given = lambda w: F.coalesce(stated, F.when(F.substring_index(w, "-", 1).isin(*_by_gender["f"]), F.lit("given-f")), F.lit("given-m"))
     name = F.transform(words, lambda w, i: F.when(i == F.size(words) - 1, unit(F.lit("surname"), F.lower(w), w)).otherwise(unit(given(w), F.lower(w), w)))
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     email = F.array(unit(F.lit("local"), F.lower(entity), local), unit(F.lit("domain"), F.lower(domain), domain))
@@ -127,22 +136,34 @@ def parts_of(found: Column) -> Column:
     return F.transform(typed, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), x["title"].alias("title"), _units(x["entity"], x["kind"], x["title"]).alias("units")))
 
 
+def _keyed(message: Column, key: str) -> Column:
+    """HMAC-SHA-512 of a text, as hex digits."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 512))), 512)
+
+
 def _drawn(digest: Column) -> Column:
-    """A digest with the digits and letters that it stands for, so that each is made once."""
-    hexes = "0123456789abcdef"
-    return F.struct(
-        digest.alias("digest"), F.translate(digest, "abcdef", "258147").alias("digits"),
-        F.translate(digest, hexes, "bcdfghjklmnprstv").alias("low"), F.translate(digest, hexes, "бвгдзклмнпрстфхш").alias("cyrillic"),
-    )
+    """A digest with the digits and Latin letters that it stands for, so that each is made once."""
+    return F.struct(digest.alias("digest"), F.translate(digest, "abcdef", "258147").alias("digits"), F.translate(digest, _HEX, _LATIN).alias("low"))
+
+
+def _is(script: str, text: Column, whole: bool = False) -> Column:
+    return text.rlike(rf"^\p{{Is{script}}}$" if whole else rf"\p{{Is{script}}}")
 
 
 def _masked(text: Column, draw: Column) -> Column:
-    """text with each digit and letter replaced by one of its kind, drawn from a digest."""
+    """text with each digit and letter replaced by one of its kind and script, drawn from a digest."""
     at = lambda source, i: F.substring(draw[source], (i % 128) + 1, 1)
-    one = lambda c, i: (
-        F.when(c.rlike(r"^\d$"), at("digits", i)).when(c.rlike(r"^\p{IsCyrillic}$"), F.when(c == F.upper(c), F.upper(at("cyrillic", i))).otherwise(at("cyrillic", i)))
-        .when(c.rlike(r"^\p{Lu}$"), F.upper(at("low", i))).when(c.rlike(r"^\p{L}$"), at("low", i)).otherwise(c)
-    )
+
+    def one(c: Column, i: Column) -> Column:
+        out = F.when(c.rlike(r"^\d$"), at("digits", i)).when(c.rlike(r"^[A-Z]$"), F.upper(at("low", i))).when(c.rlike(r"^[a-z]$"), at("low", i)).when(~c.rlike(r"^\p{L}$"), c)
+        for script, letters in LETTERS.items():
+            letter = F.translate(at("digest", i), _HEX, letters)
+            out = out.when(_is(script, c, True), F.when(c == F.lower(c), letter).otherwise(F.upper(letter)))
+        return out.when(c.rlike(r"^\p{Lu}$"), F.upper(at("low", i))).otherwise(at("low", i))
+
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
 
@@ -177,36 +198,43 @@ def iban_rest(iban: Column) -> Column:
 def made(units: Column, key: str, tries: Callable[[Column], Column]) -> Column:
     """The surrogates of an array of units, at the try number that tries gives for each id."""
     seeded = F.transform(units, lambda u: F.struct(u["kind"].alias("kind"), u["text"].alias("text"), u["id"].alias("id"), tries(u["id"]).alias("n")))
-    drawn = F.transform(seeded, lambda u: F.struct(u["kind"].alias("kind"), u["text"].alias("text"), u["n"].alias("n"), _drawn(F.sha2(F.concat_ws("|", F.lit(key), u["id"], u["n"].cast("string")), 512)).alias("draw")))
+    drawn = F.transform(seeded, lambda u: F.struct(u["kind"].alias("kind"), u["text"].alias("text"), u["n"].alias("n"), _drawn(_keyed(F.concat_ws("|", u["id"], u["n"].cast("string")), key)).alias("draw")))
     return F.transform(drawn, lambda u: _surrogate(u["text"], u["kind"], u["draw"], u["n"]))
 
 
 def _surrogate(text: Column, kind: Column, draw: Column, n: Column) -> Column:
-    digest, cyrillic = draw["digest"], text.rlike(r"\p{IsCyrillic}")
-    # From the third try on words grow by a letter per try.
-    more = F.when(n > 1, F.substring(F.when(cyrillic, draw["cyrillic"]).otherwise(draw["low"]), 100, n - 1)).otherwise(F.lit(""))
+    digest, cyrillic = draw["digest"], _is("Cyrillic", text)
+    other = text.rlike("|".join(rf"\p{{Is{x}}}" for x in LETTERS if x != "Cyrillic"))  # scripts without listed names
+    # From the third try on words and secrets grow by a letter per try, and numbers by a digit once they kept colliding.
+    added = F.substring(digest, F.lit(65), F.least(n - 1, F.lit(60)))
+    more = F.translate(added, _HEX, _LATIN)
+    for script, letters in LETTERS.items():
+        more = F.when(_is(script, text), F.translate(added, _HEX, letters)).otherwise(more)
+    more = F.when(n > 1, more).otherwise(F.lit(""))
+    digits = F.when(n >= LISTED, F.substring(draw["digits"], F.lit(65), F.least(n - LISTED + 1, F.lit(60)))).otherwise(F.lit(""))
     word = F.concat(_masked(text, draw), more)
     label, last = F.regexp_extract(text, r"^([^.]+)", 1), F.lower(F.regexp_extract(text, r"([^.]+)$", 1))
     domain = F.concat(F.lower(_masked(label, draw)), more, F.lit(".example."), last)
     secret_head = F.regexp_extract(text, "^" + _head, 0)
-    secret = F.concat(secret_head, _masked(F.substr(text, F.char_length(secret_head) + 1), draw))
+    secret = F.concat(secret_head, _masked(F.substr(text, F.char_length(secret_head) + 1), draw), more)
     octet = lambda i: F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int")
-    ip = F.concat_ws(".", (1 + octet(0) % 223).cast("string"), *((octet(i) % 256).cast("string") for i in (1, 2, 3)))
+    ip = F.concat(F.concat_ws(".", (1 + octet(0) % 223).cast("string"), *((octet(i) % 256).cast("string") for i in (1, 2, 3))), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(""))
     # A card keeps its first digit. The last one is set so that a valid number stays valid and
     # another stays as far off as it was.
-    card = F.transform(F.array(_over_digits(text, draw, 1)), lambda c: F.concat(F.substr(c, F.lit(1), F.char_length(c) - 1), F.pmod(F.right(c, F.lit(1)).cast("int") - luhn(c) + luhn(text), F.lit(10)).cast("string")))[0]
-    blank = F.concat(F.left(text, F.lit(2)), F.lit("00"), _masked(F.substr(text, F.lit(5)), draw))
+    card = F.transform(F.array(F.concat(_over_digits(text, draw, 1), digits)), lambda c: F.concat(F.substr(c, F.lit(1), F.char_length(c) - 1), F.pmod(F.right(c, F.lit(1)).cast("int") - luhn(c) + luhn(text), F.lit(10)).cast("string")))[0]
+    blank = F.concat(F.left(text, F.lit(2)), F.lit("00"), _masked(F.substr(text, F.lit(5)), draw), digits)
     check = lambda x: F.pmod(iban_rest(text) - iban_rest(x), F.lit(97))
     iban = F.transform(F.array(blank), lambda x: F.concat(F.left(x, F.lit(2)), F.lpad((check(x) + F.when(check(x) < 2, 97).otherwise(0)).cast("string"), 2, "0"), F.substr(x, F.lit(5))))[0]
     # A telephone number keeps its country code: all digits before a separator, else one for +1 and +7, two for others.
     code = F.regexp_extract(text, r"^\+(\d{1,3})(?=[ .(-])", 1)
     skip = F.when(~text.startswith("+"), 0).when(code != "", F.char_length(code)).when(text.rlike(r"^\+[17]"), 1).otherwise(2)
-    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % len(names) + 1)
+    nth = lambda names, at: F.element_at(F.array(*map(F.lit, names)), F.conv(F.substring(digest, at, 6), 16, 10).cast("int") % len(names) + 1)
+    pick = lambda names: F.when(text.contains("-"), F.concat(nth(names, 1), F.lit("-"), nth(names, 7))).otherwise(nth(names, 1))
     listed = F.coalesce(*(F.when((kind == f"given-{g}") & (cyrillic if s == "cyrillic" else ~cyrillic), pick(names)) for s, by in GIVEN.items() for g, names in by.items()))
     return (
-        F.when(kind == "local", F.lower(word)).when(kind == "surname", word).when(kind == "domain", domain).when(kind.startswith("given"), F.when(n < LISTED, listed).otherwise(word))
-        .when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", _over_digits(text, draw, skip))
-        .when(kind == "ssn", _over_digits(text, draw, 0)).when(kind == "iban", iban).otherwise(text)
+        F.when(kind == "local", F.lower(word)).when(kind == "surname", word).when(kind == "domain", domain).when(kind.startswith("given"), F.when((n < LISTED) & ~other, listed).otherwise(word))
+        .when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", F.concat(_over_digits(text, draw, skip), digits))
+        .when(kind == "ssn", F.concat(_over_digits(text, draw, 0), digits)).when(kind == "iban", iban).otherwise(text)
     )
 
 
@@ -221,16 +249,17 @@ def units(docs: DataFrame) -> DataFrame:
     return parts.groupBy("u.id", "u.kind").agg(F.min("u.text").alias("text"))
 
 
-def collisions(known: DataFrame, key: str, folder: str, most_rounds: int = 40) -> DataFrame | None:
+def collisions(known: DataFrame, key: str, folder: str) -> DataFrame | None:
     """id and tries of the units that need a try number above 0; None if there are none.
 
     Surrogates are compared in normal form, local parts within their domain. Of the units that share
     one the smallest id keeps it; one that equals a real unit moves on, but for given names, whose
-    surrogates are meant to be usual ones. Each round moves only those.
+    surrogates are meant to be usual ones. Each round moves only those. Surrogates grow with the try
+    number, so the rounds come to an end whatever the units are.
     """
     moved: DataFrame | None = None
     real = known.filter("NOT kind LIKE 'given%'").select(F.col("id").alias("made"), F.lit(True).alias("is_real"))
-    for n in range(most_rounds):
+    for n in itertools.count():
         rows = known.withColumn("tries", F.lit(0)) if moved is None else known.join(moved, "id", "left").withColumn("tries", F.coalesce("tries", F.lit(0)))
         one = F.array(F.struct("kind", "text", "id"))
         new = rows.select("id", "kind", "tries", made(one, key, lambda _: F.col("tries"))[0].alias("new"))
@@ -242,12 +271,14 @@ def collisions(known: DataFrame, key: str, folder: str, most_rounds: int = 40) -
         if bad.isEmpty():
             return moved
         moved = bad if moved is None else written(moved.join(bad.select("id"), "id", "left_anti").unionByName(bad), f"{folder}/moved-{n}")
-    raise RuntimeError("surrogates kept colliding: a kind of number has fewer possible values than this corpus needs")
+    return moved
 
 
-def replace_entities(docs: DataFrame, key: str = "tallystone") -> DataFrame:
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """docs with entities in text replaced, and n_entities (long) added.
 
+    key is a secret; with it surrogates stay the same from run to run. Spark shows it in plans and event logs.
+
     Texts are cut at the entities and joined again with the surrogates between, so a replacement
     never touches another part of the text.
     """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,7 +125,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """Under the session's key in tallystone.pii.key; without one, under a new key that is kept for the session."""
+    if not spark.conf.get("tallystone.pii.key", None):
+        spark.conf.set("tallystone.pii.key", secrets.token_hex(32))
+    return pii.replace_entities(table(spark, sf_dir, "documents", "doc_id", "text"), spark.conf.get("tallystone.pii.key"))
 
 
 def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
