@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallystone.sources.tables import delete_path, working_dir
 
-__all__ = ["SPACE", "SPACE_CHARS", "WORD", "delete_path", "shared_dir", "table", "written"]
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "delete_path", "shared_dir", "table", "unused", "written"]
 
 #: White space of the contracts, as the body of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -30,3 +30,14 @@ def written(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> Dat
     """Cuts lineage: writes df as Parquet at a shared path and rereads it with its schema."""
     (df.write.mode("overwrite").partitionBy(*partition_by) if partition_by else df.write.mode("overwrite")).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

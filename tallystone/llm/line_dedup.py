@@ -11,9 +11,10 @@ and no owner. When a level has ``fanout`` runs they are merged into one of the n
 state is in the shared folder; a run is written once and removed after it was merged.
 
 Defined cases: a null or empty text is one empty line. A document counts once for each key,
-however often it repeats the line. Rows that repeat a doc_id count each, and are cut alike. Rows
-without a doc_id come last, count, never own a line unless no row has an id, and are cut like others.
-Extra input columns are kept by ``rewrite`` and not read otherwise.
+however often it repeats the line. Rows that repeat a doc_id are one document when keys are counted,
+and each row is cut by its own lines. Rows without a doc_id count one by one, never own a line unless
+no row that holds it has an id, and are cut like others. Extra input columns are kept by ``rewrite``,
+whatever their names, and not read otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import SPACE_CHARS, delete_path, shared_dir, written
+from tallystone.llm.common import SPACE_CHARS, delete_path, shared_dir, unused, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,14 +45,17 @@ def line_key(line: Column, min_chars: int) -> Column:
 
 
 def document_keys(docs: DataFrame, min_chars: int = 40) -> DataFrame:
-    """doc_id, part and key, once for each row of docs (doc_id, text) and distinct key in it.
+    """doc_id, part and key, once for each document of docs (doc_id, text) and distinct key in it.
 
     part is 0 for rows with an id; rows without one are dealt into many parts by their text, so
     that no later grouping by document gathers all of them.
     """
     keys = F.array_distinct(F.array_compact(F.transform(lines_of(F.col("text")), lambda x: line_key(x, min_chars))))
     part = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), F.explode(keys).alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), F.explode(keys).alias("key"))
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "key"]).unionByName(rows.filter("doc_id IS NULL"))
 
 
 def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -147,23 +151,26 @@ def rewrite(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: in
     # A small corpus needs fewer buckets than the session has shuffle partitions; a large one takes all of them.
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-keys.count() // BUCKET_KEYS)))
     runs = LineRuns(spark, folder, buckets=buckets)
-    for n in range(len(bounds) + 1):
-        runs.add(keys.filter(F.col("batch") == n).select("doc_id", "key"))
-    # Written first: its size is then known, and a join that shuffles can split a common line's rows.
-    common = written(runs.merged().filter(F.col("n_docs") >= min_docs).select("key", "owner"), f"{folder}/common")
-    runs.close()
-    lost = keys.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("doc_id", "part").agg(F.collect_set("key").alias("__lost"))
-    lost = lost.withColumnsRenamed({"doc_id": "__lost_id", "part": "__lost_part"})
+    try:
+        for n in range(len(bounds) + 1):
+            runs.add(keys.filter(F.col("batch") == n).select("doc_id", "key"))
+        # Written first: its size is then known, and a join that shuffles can split a common line's rows.
+        common = written(runs.merged().filter(F.col("n_docs") >= min_docs).select("key", "owner"), f"{folder}/common")
+    finally:
+        runs.close()
+    c_id, c_part, c_own, c_lost, c_kept = unused([*docs.columns, into], "_id", "_part", "_own", "_lost", "_kept")
+    lost = keys.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("doc_id", "part").agg(F.collect_set("key").alias(c_lost))
+    lost = lost.withColumnsRenamed({"doc_id": c_id, "part": c_part})
     part = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
-    joined = docs.withColumn("__part", part).join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__lost_id")) & (F.col("__part") == F.col("__lost_part")), "left")
-    gone = lambda x: F.coalesce(F.array_contains(F.col("__lost"), line_key(x, min_chars)), F.lit(False))
+    joined = docs.withColumn(c_own, part).join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(c_id)) & (F.col(c_own) == F.col(c_part)), "left")
+    gone = lambda x: F.coalesce(F.array_contains(F.col(c_lost), line_key(x, min_chars)), F.lit(False))
     lines = lines_of(F.col("text"))
     # Texts that lose no line are not taken apart again.
-    kept = F.when(F.col("__lost").isNotNull(), F.filter(lines, lambda x: ~gone(x)))
+    kept = F.when(F.col(c_lost).isNotNull(), F.filter(lines, lambda x: ~gone(x)))
     n_lines = F.size(lines).cast("long")
     result = F.struct(
         n_lines.alias("n_lines"),
-        F.coalesce(n_lines - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.array_join("__kept", "\n"), F.col("text"), F.lit("")).alias("kept_text"),
+        F.coalesce(n_lines - F.size(c_kept), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join(c_kept, "\n"), F.col("text"), F.lit("")).alias("kept_text"),
     )
-    return joined.withColumn("__kept", kept).withColumn(into, result).drop("__kept", "__lost", "__lost_id", "__lost_part", "__part")
+    return joined.withColumn(c_kept, kept).withColumn(into, result).drop(c_kept, c_lost, c_id, c_part, c_own)

@@ -103,15 +103,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Rows that repeat an id are one document in the counts; rows without one count each.
 OP5_SQL = r"""
-WITH line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
-k AS (SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
-c AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-j AS (SELECT k.*, coalesce(c.owner <> k.doc_id, false) AS dropped FROM k LEFT JOIN c ON k.key = c.key)
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT n, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+k AS (SELECT n, doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+c AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 40 GROUP BY key
+      HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN n END) >= 5),
+j AS (SELECT k.*, c.key IS NOT NULL AND c.owner IS DISTINCT FROM k.doc_id AS dropped FROM k LEFT JOIN c ON k.key = c.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM j GROUP BY doc_id
+FROM j GROUP BY n, doc_id
 """
 
 

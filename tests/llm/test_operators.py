@@ -23,7 +23,7 @@ from tallystone.llm import bpe, decontamination, line_dedup, pii, quality_rules,
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string"
 #: Extra columns whose names are also used inside the operators.
-CLASH = ("key", "fp", "rep", "batch", "line", "lines", "tokens", "host", "seed", "n", "shard", "bucket", "toxic", "drop", "tries", "entity", "payload", "n_chars")
+CLASH = ("key", "fp", "rep", "batch", "line", "lines", "tokens", "host", "seed", "n", "shard", "bucket", "toxic", "drop", "tries", "entity", "payload", "n_chars", "_bad", "_lost", "_kept", "_own", "_part", "_id", "__kept", "__part", "__lost")
 
 
 def clash(df, without=()):
@@ -298,6 +298,40 @@ def test_line_dedup(spark, docs, texts, odd, empty):
     assert line_dedup.rewrite(empty).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    """Repeated ids are one document, rows without an id one each; Spark, SQL and brute force agree."""
+    hot, warm, cool = (f"{w} line that is far more than forty characters long" for w in ("hot", "warm", "cool"))
+    data = [(1, hot)] * 4 + [(2, hot)] + [(i, warm) for i in (3, 3, 4, 5, 6, 7)] + [(None, f"{cool}\nx")] * 3 + [(8, cool), (9, f"{cool}\n{warm}")] + [(None, "all without an id, but in more than five rows of these")] * 6
+    docs = spark.createDataFrame(data, DOC)
+    held = defaultdict(set)
+    for n, (i, t) in enumerate(data):
+        for line in t.split("\n"):
+            held[line].add((i, n if i is None else 0))
+    owner = {x: max((i for i, _ in of if i is not None), default=None) for x, of in held.items()}
+    want = []
+    for i, t in data:
+        kept = [x for x in t.split("\n") if not (len(x) >= 40 and len(held[x]) >= 5 and owner[x] != i)]
+        want.append((i, t.count("\n") + 1, t.count("\n") + 1 - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    got = line_dedup.rewrite(docs).select("doc_id", "__line_dedup.*")
+    assert rows(got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))) == sorted(want, key=repr)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    assert sorted(con.execute(queries.OP5_SQL).fetchall(), key=repr) == sorted(want, key=repr)
+    assert [w[2] for w in want[:5]] == [0] * 5 and sum(w[2] for w in want) == 10
+
+
+def test_line_dedup_keeps_columns_and_removes_its_tables(spark, monkeypatch):
+    names = {"_lost": 1, "_kept": 2, "_own": 3, "_part": 4, "_id": 5, "__lost": 6}
+    docs = spark.createDataFrame([(i, "a line of more than forty characters, again and again") for i in range(6)], DOC).withColumns({k: F.lit(v) for k, v in names.items()})
+    out = line_dedup.rewrite(docs).orderBy("doc_id").collect()
+    assert [r["__line_dedup"].n_dropped for r in out] == [1] * 5 + [0] and all(r[k] == v for r in out for k, v in names.items())
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(line_dedup.LineRuns, "merged", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup.rewrite(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_line_runs_compact(spark, tmp_path):
     """Levels fill and merge; owners come from the first batch that holds a key, counts from all."""
     runs = line_dedup.LineRuns(spark, str(tmp_path), fanout=2, buckets=3)
@@ -339,7 +373,11 @@ def contaminated(data, items, window=25, share=0.8):
         for k, x in items:
             b = WORDS.findall(lower(x or ""))
             n = min(window, len(b))
-            if len(b) < decontamination.SPAN or len(w) < n:
+            if len(b) < decontamination.SPAN:
+                if b and w == b:
+                    out.add((i, k))
+                continue
+            if len(w) < n:
                 continue
             for s in range(len(b) - n + 1):
                 if any(sum(p == q for p, q in zip(w[at : at + n], b[s : s + n], strict=True)) >= share * n for at in range(len(w) - n + 1)):
@@ -379,6 +417,35 @@ def test_rows_without_id_are_judged_alone(spark):
     assert rows(out) == sorted([(None, "clean text"), (7, "other clean text"), (8, "words")], key=repr)
 
 
+def test_short_items_are_whole_texts(spark):
+    """An item of a word or two takes no document that only holds it."""
+    items = spark.createDataFrame([(1, "the"), (2, "two words"), (3, "The four word item"), (4, " "), (5, None)], "item_id long, text string")
+    data = [(1, "the cat"), (2, "THE"), (3, "two  words\n"), (4, "two words more"), (5, "the four word item"), (6, ""), (None, "the")]
+    got = decontamination.overlaps(spark.createDataFrame(data, DOC), items)
+    assert rows(got) == sorted([(2, 1, 1, 1), (3, 2, 2, 2), (5, 3, 4, 4), (None, 1, 1, 1)], key=repr)
+    assert {r.doc_id for r in decontamination.remove_contaminated(spark.createDataFrame(data, DOC), items).collect()} == {1, 4, 6}
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """Texts and items of one or two words over and over: as many hits as places in one times places in the other."""
+    items = [(1, "na " * 300), (2, "na ba " * 150), (3, "ba na na " * 20 + "x"), (4, ("na " * 4 + "q ") * 12)]
+    data = [(1, "na " * 20_000), (2, "na ba " * 700), (3, "na " * 24), (4, "na " * 25), (5, "x " + "ba na na " * 30), (6, "na " * 10 + "ba " * 10 + "na " * 10)]
+    began = time.monotonic()
+    got = decontamination.overlaps(spark.createDataFrame(data, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert time.monotonic() - began < 90
+    small = [(i, " ".join(t.split()[:400])) for i, t in data]  # the same windows, as the texts repeat
+    assert found == contaminated(small, items)
+
+
+def test_shifts_between(spark):
+    cases = [([3], [1]), ([1, 5, 9], [2, 4]), (list(range(50)), list(range(30))), ([7] * 1, [0, 7])]
+    df = spark.createDataFrame([(n, a, p) for n, (a, p) in enumerate(cases)], "n int, at array<int>, pos array<int>").select("n", decontamination.shifts_between(F.col("at"), F.col("pos")).alias("s"))
+    for r in df.collect():
+        at, pos = cases[r.n]
+        assert {a - p for a in at for p in pos} <= set(r.s) and len(r.s) <= max(at) - min(at) + max(pos) - min(pos) + 1
+
+
 def test_decontamination_masks_are_proven():
     """Wherever a fifth of the tokens is substituted, a mask fits between; 20 and 25 follow from 10 and 15."""
     for w, k in [(5, 1), (6, 1), (9, 1), (10, 2), (15, 3), (20, 4)]:
@@ -398,7 +465,10 @@ def test_decontamination_at_random_places(spark):
             part, lost = item[start : start + w], set(rng.sample(range(w), w // 5))
             around = [[f"d{rng.random()}" for _ in range(rng.randint(0, 9))] for _ in range(2)]
             data.append((100 * n + copy, " ".join(around[0] + ["zz" if p in lost else x for p, x in enumerate(part)] + around[1])))
-            if w // 5 < w - 1:  # one more substitution than allowed
+            if n < decontamination.SPAN:  # only the whole text counts
+                data[-1] = (100 * n + copy, " ".join(item))
+                data.append((10_000 + 100 * n + copy, " ".join([*item, "more"])))
+            elif w // 5 < w - 1:  # one more substitution than allowed
                 lost |= {next(p for p in range(w) if p not in lost)}
                 data.append((10_000 + 100 * n + copy, " ".join("zz" if p in lost else x for p, x in enumerate(part))))
     got = decontamination.overlaps(spark.createDataFrame(data, DOC), spark.createDataFrame(items, "item_id long, text string"))
