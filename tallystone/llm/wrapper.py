@@ -6,11 +6,12 @@ of matched nodes. What the aligned pages have in common makes the host's wrapper
 
 - a reference text that is the same nearly everywhere is template and goes, whatever its name;
 - the others are slots. A block whose slots hold link texts nearly only is a menu and goes;
-- a block that holds most of the varying text is content and stays, whatever its name.
+- a block that holds most of the varying text is content and stays, unless it is named an advert, a notice or comments.
 
 Tags and names (nav, footer, class="ad") break the tie that alignment leaves open: slots that
 vary as the article does but are adverts, notices or comments. They never apply to body, main or
-article, nor to what surrounds the page's only article.
+article, nor to what surrounds the page's only article. A class or id counts as a whole word, and one
+that names a place (sidebar, search, header) never takes most of a page's own text.
 
 Defined cases: a null html is empty and has no text. Pages without a host share one group. A host
 with too few differing pages has no wrapper, and its pages rely on names alone. A page that
@@ -48,11 +49,15 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Regions that are not the article, by tag.
 APART = frozenset("nav footer aside form button select option dialog menu head".split())
-#: And by a word of class, id or role.
-_apart = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|notices?|alert|popup|modal|menu|nav(?:bar|igation)?|"
-    r"sidebar|side|footer|header|masthead|breadcrumbs?|comments?|replies|respond|disqus|share|social|related|newsletter|subscribe|login|search|complementary|contentinfo)(?:$|[\s_-])"
-)
+#: And by a class, id or role that is one of these words, or made of one and the words around it below; has-sidebar or social-history are not.
+_firm = r"ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|notices?|alert|popup|modal|comments?|replies|respond|disqus"
+_place = r"menu|nav(?:bar|igation)?|sidebar|side|footer|header|masthead|breadcrumbs?|share|social|related|newsletter|subscribe|login|search|complementary|contentinfo"
+_before = r"site|page|main|global|top|bottom|left|right|primary|secondary|sticky|mobile|user|reader|cookie|ad|post|entry"
+_after = r"bar|box|area|block|wrap(?:per)?|container|inner|list|links?|widget|section|panel|slot|unit|form|thread|posts|notice|consent|banner|menu|nav"
+_named = rf"(?i)(?:(?:{_before})[-_])?(?:{{}})(?:[-_](?:{_after}))*"
+_apart = re.compile(_named.format(f"{_firm}|{_place}"))
+#: Adverts, notices and comments may well be longer than the article; only words of a place are void around most of a text.
+_always = re.compile(_named.format(_firm))
 
 
 #: Elements to which names never apply.
@@ -62,12 +67,12 @@ WHOLE = frozenset(("html", "body", "main", "article"))
 class Node:
     """An element, or a ``#text`` leaf. named: its own tag or class says that it is not the article."""
 
-    __slots__ = ("tag", "mark", "kids", "text", "shape", "size", "named", "main", "link")
+    __slots__ = ("tag", "mark", "kids", "text", "shape", "size", "named", "main", "link", "by_mark", "firm")
 
     def __init__(self, tag: str, mark: str = "") -> None:
         self.tag, self.mark, self.kids, self.text = tag, mark, [], ""
         self.shape = self.size = 0
-        self.named = self.main = self.link = False
+        self.named = self.main = self.link = self.by_mark = self.firm = False
 
 
 def parse(html: str | None) -> Node:
@@ -113,16 +118,39 @@ def parse(html: str | None) -> Node:
             node = Node(tag, mark)
             parent = stack[-1]
             node.main, node.link = parent.main or tag in ("article", "main"), parent.link or tag == "a"
-            by_mark = bool(mark and _apart.search(mark))
-            node.named = by_mark and tag not in ("html", "body") or tag in APART or tag == "header" and not parent.main
+            by_tag = tag in APART or tag == "header" and not parent.main
+            node.by_mark = bool(mark) and not by_tag and tag not in ("html", "body") and any(_apart.fullmatch(x) for x in mark.split())
+            node.firm = node.by_mark and any(_always.fullmatch(x) for x in mark.split())
+            node.named = by_tag or node.by_mark
             parent.kids.append(node)
             if tag not in VOID and not attributes.endswith("/"):
                 stack.append(node)
                 opened[tag] += 1
     _free_the_article(root)
+    _free_most_of_the_text(root)
     return root
 
 
+def _free_most_of_the_text(root: Node) -> None:
+    """A class or id that names a place is void where it would take over two thirds of the page's own text."""
+    order, marked = [(root, False)], []
+    for node, apart in order:
+        apart = apart or node.named and not node.by_mark
+        if not apart:
+            if node.by_mark and node.named:
+                marked.append(node)
+            order += [(k, apart) for k in node.kids]
+    if not marked:
+        return
+    own: dict[int, int] = {}
+    for node, _ in reversed(order):
+        plain = node.tag == "#text" and not node.link
+        own[id(node)] = len(node.text.strip()) if plain else sum(own.get(id(k), 0) for k in node.kids)
+    for node in marked:
+        if 3 * own[id(node)] > 2 * own[id(root)] and not node.firm:
+            node.named = False
+
+
 def _free_the_article(root: Node) -> None:
     """If all articles lie in named regions, the names around the first one are void."""
     stack: list[tuple[Node, tuple]] = [(root, ())]
@@ -394,7 +422,7 @@ def learn(pages: DataFrame, most_bytes: int = 32_000_000, least_pages: int = 8,
                         c[2 if near else 0] += 1
                         c[3 if near else 1] += id(y) in same
                     elif x.named or x.tag not in INLINE:
-                        c = counts[host, ref.number[id(x)], NAMED if x.named else BLOCK, False]
+                        c = counts[host, ref.number[id(x)], NAMED if x.named and not x.firm else BLOCK, False]
                         c[0] += 1
                         c[4], c[5], c[6] = (m + n for m, n in zip(c[4:], mass[id(y)], strict=True))
             if len(counts) > 200_000:
