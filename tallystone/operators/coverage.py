@@ -36,14 +36,6 @@ def invariant(reconciled: DataFrame, reference: DataFrame, catalogue: DataFrame,
     )
 
 
-def region_rollup(links: DataFrame, region: str, link: str, listing: str, entity: str, is_base: Column) -> DataFrame:
-    """Distinct links, listings, entities and base entities per region; a link counts in each of its regions."""
-    return links.groupBy(region).agg(
-        F.count_distinct(link).alias("n_links"), F.count_distinct(listing).alias("n_listings"), F.count_distinct(entity).alias("n_entities"),
-        F.count_distinct(F.when(is_base, F.col(entity))).alias("n_base_entities"),
-    )
-
-
 def eligible(games: DataFrame, roots: DataFrame, dates: DataFrame, in_scope: Column, unreleased: Column) -> tuple[DataFrame, DataFrame]:
     """Reference titles by root, and how many games each reason excludes; the first reason that holds counts.
 

@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import dates, html, text, urls, versions
-from tallystone.operators import coverage, evidence, facets, grouping, identity, incremental, links, recommend, sizing
+from tallystone.operators import bitmaps, coverage, evidence, facets, grouping, identity, incremental, links, rankindex, recommend, sizing
+from tallystone.registry import ORACLE_SQL, QUERIES, query
 from tallystone.sources.sinks import fingerprint
-from tallystone.sources.tables import table
+from tallystone.sources.tables import table, working_dir
 from tallystone.streaming import states
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a query under its function's name."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Selection per family
 
 
@@ -427,7 +410,8 @@ def region_rollup(spark: SparkSession, d: str) -> DataFrame:
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
     supplier = table(spark, d, "supplier", "s_suppkey", "s_nationkey").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "region")
     links = _lines(spark, d).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return coverage.region_rollup(links, "region", "l_orderkey", "l_partkey", "l_suppkey", F.col("l_returnflag") == "R")
+    base = F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))
+    return bitmaps.rollup(links, "region", {"n_links": "l_orderkey", "n_listings": "l_partkey", "n_entities": "l_suppkey", "n_base_entities": base})
 
 
 # Sizes, versions, requirements, dates
@@ -826,15 +810,12 @@ WITH n AS (SELECT p_partkey, ['ab', 'áb', 'AB', 'zeta', 'Äb', 'b'][1 + p_partk
 SELECT p_partkey, name, row_number() OVER (ORDER BY place, p_partkey) AS up, row_number() OVER (ORDER BY place DESC, p_partkey) AS down FROM n
 """)
 def name_order(spark: SparkSession, d: str) -> DataFrame:
-    """Places within the six names are counts of the names before, not one window over the table."""
+    """Ranks from ranges of the order, counted before, in both directions."""
     names = F.array(*map(F.lit, ("ab", "áb", "AB", "zeta", "Äb", "b")))
-    rows = table(spark, d, "part", "p_partkey").withColumn("name", F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")))
-    counts = rows.groupBy("name").agg(F.count("*").alias("n"))
-    everything = Window.rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda down: F.coalesce(F.sum("n").over(everything.orderBy(facets.name_order("name", down))), F.lit(0))
-    starts = counts.select("name", before(False).alias("_up"), before(True).alias("_down"))
-    within = F.row_number().over(Window.partitionBy("name").orderBy("p_partkey"))
-    return rows.withColumn("_n", within).join(starts, "name").select("p_partkey", "name", (F.col("_up") + F.col("_n")).alias("up"), (F.col("_down") + F.col("_n")).alias("down"))
+    rows, folder = table(spark, d, "part", "p_partkey").withColumn("name", F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int"))), working_dir(spark)
+    for side, down in (("up", False), ("down", True)):
+        rows = rankindex.ranked(rows, [facets.name_order("name", down), F.asc("p_partkey")], f"{folder}/{side}", side)
+    return rows
 
 
 @query("""
@@ -935,3 +916,9 @@ def asset_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, event_id, event_type FROM events WHERE (event_type, event_id) > ('error', 500) ORDER BY event_type, event_id LIMIT 50")
 def page_after(spark: SparkSession, d: str) -> DataFrame:
     return facets.page_after(table(spark, d, "events", "user_id", "event_id", "event_type"), [("event_type", False), ("event_id", False)], ("error", 500), 50)
+
+
+# The other queries register themselves.
+from tallystone import index_queries  # noqa: E402, F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,46 +1,11 @@
-"""Writes: guarded replacement, content stamps and fingerprints."""
+"""Content stamps, fingerprints and reports; ``generations`` replaces whole tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-class TooFewRows(RuntimeError):
-    """A result so small that the last output is kept instead."""
-
-
-def replace_guarded(df: DataFrame, path: str, least_rows: int = 1000) -> int:
-    """Replaces a table with df unless that has too few rows or fails; the last output stays until the new one is whole.
-
-    df is written once, beside the table; its rows are counted there, and two renames swap the
-    folders. If the second fails, the first is taken back. Returns the number of rows.
-    """
-    spark = df.sparkSession
-    new, old = (f"{path.rstrip('/')}.{name}-{uuid.uuid4().hex}" for name in ("new", "old"))
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        df.write.mode("errorifexists").parquet(new)
-        n = spark.read.schema(df.schema).parquet(new).count()
-        if n < least_rows:
-            raise TooFewRows(f"{n} rows, fewer than {least_rows}: the last output stays")
-        had = fs.exists(at(path))
-        if had and not fs.rename(at(path), at(old)):
-            raise OSError(f"cannot move {path} aside")
-        if not fs.rename(at(new), at(path)):
-            if had:
-                fs.rename(at(old), at(path))
-            raise OSError(f"cannot move the new output to {path}")
-    finally:
-        fs.delete(at(new), True)
-    fs.delete(at(old), True)
-    return n
-
-
 def content_stamp(content: Column) -> Column:
     """First 16 hex digits of the content's SHA-256."""
     return F.left(F.sha2(content.cast("binary"), 256), F.lit(16))

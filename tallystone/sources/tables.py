@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 RELEASE = (
@@ -52,6 +54,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def keep_schema(df: DataFrame, path: str) -> None:
+    """Writes the schema of a table beside it, since an empty table in folders has no file that says it."""
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def kept_schema(spark: SparkSession, path: str) -> StructType:
+    return StructType.fromJson(json.loads(spark.read.text(path).first().value))
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str = LISTING) -> DataFrame:
     """A JSON array of records; a file that is no array of objects fails."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
