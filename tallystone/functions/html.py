@@ -212,17 +212,42 @@ def labelled_sizes(lines: DataFrame) -> DataFrame:
     return one.filter("lo = hi").select("page_id", F.col("lo").alias("size_bytes"), "precision")
 
 
-def response_state(code: Column, body: Column) -> Column:
-    """present, missing, restricted, limited or unknown. A bare 404 says nothing; restriction beats missing."""
-    text = F.lower(F.coalesce(body, F.lit("")))
-    gone = text.rlike(r"file (was )?(deleted|removed)|no longer available|file not found")
-    return (
-        F.when((code == 429) | text.rlike("too many requests|rate limit"), F.lit("limited"))
-        .when(code.isin(401, 403) | text.rlike("access denied|captcha|permission required"), F.lit("restricted"))
-        .when(code.isin(502, 503, 504) | text.rlike("bad gateway|service unavailable"), F.lit("unknown"))
-        .when(code.isNull() | ~code.isin(200, 404, 410), F.lit("unknown"))
-        .when(gone, F.lit("missing")).when(code == 200, F.lit("present")).otherwise(F.lit("unknown"))
+#: What pages say when a host asks for fewer requests, restricts access, or cannot be reached.
+LIMITED = ("too many requests",)
+RESTRICTED = (
+    "professional infrastructure", "premium status must not be used", "access restricted", "accès restreint", "use cdn credits",
+    "captcha", "verify you are human", "checking your browser", "access denied",
+)
+UNREACHED = ("site unavailable", "unable to access this site")
+
+
+def response_states(responses: DataFrame, rules: DataFrame) -> DataFrame:
+    """responses (url, code, text, body) with state: limited, restricted, unknown, missing or present.
+
+    text is the page's visible text, body its source. rules say what a host's own pages look like: domain,
+    missing (texts that say a file is gone) and present (a pattern in the body of a page that offers one).
+    A rule holds for its domain and those below it. In this order: a host that limits requests; one that
+    restricts access, whatever else the page says; a gateway that did not reach the host; a code other
+    than 200, 404 and 410; the host's own word that the file is gone; and with code 200 the host's own
+    evidence that it is there. All else is unknown: no code alone says that a file is there or gone.
+    """
+    host = F.expr("lower(try_parse_url(url, 'HOST'))")
+    labels = F.split(host, r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # The rule of the longest domain; a join on domains, so rules may be a large table.
+    ruled = responses.select("url").distinct().select("url", F.posexplode(F.when(host.isNotNull(), domains)).alias("_at", "domain")).join(rules, "domain")
+    ruled = ruled.groupBy("url").agg(F.min_by(F.struct("missing", "present"), "_at").alias("_rule"))
+    text = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    says = lambda phrases: F.lit(False) if not phrases else F.exists(F.array(*map(F.lit, phrases)), lambda x: F.contains(text, x))
+    code = F.coalesce("code", F.lit(0))
+    gone = F.coalesce(F.exists("_rule.missing", lambda x: F.contains(text, x)), F.lit(False))
+    there = F.coalesce(F.regexp_like(F.coalesce("body", F.lit("")), F.col("_rule.present")), F.lit(False))
+    state = (
+        F.when((code == 429) | F.contains("url", F.lit("/429.html")) | says(LIMITED), F.lit("limited"))
+        .when(code.isin(401, 403) | says(RESTRICTED), F.lit("restricted")).when(says(UNREACHED), F.lit("unknown"))
+        .when(~code.isin(200, 404, 410), F.lit("unknown")).when(gone, F.lit("missing")).when((code == 200) & there, F.lit("present")).otherwise(F.lit("unknown"))
     )
+    return responses.join(ruled, "url", "left").withColumn("state", state).select(*responses.columns, "state")
 
 
 def embedded_json(text: Column, path: str) -> Column:

@@ -32,10 +32,21 @@ LABEL_CODES = ("EUR", "USA", "JPN", "ASIA", "KOR", "UK", "EU", "US", "JP")
 
 
 def group_key(title: Column) -> Column:
-    """Key that groups listings: native, keeps letters from U+00C0 up, drops packaging words at the end."""
-    packaging = "|".join(PACKAGING)
-    bare = F.trim(F.regexp_replace(title, rf"(?i)\s+(?:{packaging})(?:\s+(?:{packaging}|{AFTER_PACKAGING}))*\s*$", ""))
-    return F.trim(F.regexp_replace(F.replace(F.lower(bare), F.lit("&"), F.lit(" and ")), r"[^a-z0-9\x{c0}-\x{10ffff}]+", " "))
+    """Key that groups listings: native, keeps letters from U+00C0 up, drops packaging words at the end.
+
+    A title keeps its first word, unless white space stands before it. The word that may follow packaging
+    belongs to the title where no packaging stands before it.
+    """
+    words = F.filter(F.split(title, r"\s+"), lambda w: w != "")
+    packed = lambda w: F.lower(w).isin(*PACKAGING)
+    after = lambda w: F.lower(w) == AFTER_PACKAGING
+    keep = lambda w, i: ~(packed(w) | after(w)) | ((i == 0) & ~title.rlike(r"^\s"))
+    # The place after the last word of the title, then after the words that only packaging would take along.
+    last = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(keep(w, i), i + 1).otherwise(0))), F.lit(0))
+    rest = F.slice(words, last + 1, F.size(words))
+    alone = F.coalesce(F.array_min(F.transform(rest, lambda w, i: F.when(after(w), F.size(rest)).otherwise(i))), F.lit(0))
+    name = F.array_join(F.slice(words, F.lit(1), last + alone), " ")
+    return F.trim(F.regexp_replace(F.replace(F.lower(name), F.lit("&"), F.lit(" and ")), r"[^a-z0-9\x{c0}-\x{10ffff}]+", " "))
 
 
 def _without_packaging(text: str) -> list[str]:
@@ -133,22 +144,21 @@ def parse_regions(text: Column) -> Column:
 
 
 def region_tokens(text: Column) -> Column:
-    """Sorted distinct codes in running text: long upper-case codes, bracketed lists, lists after Region.
+    """Sorted distinct codes in running text: long upper-case codes, codes in brackets, and lists tagged Region.
 
-    Short codes count in lists only, so that the word us is no region.
+    Codes are read as written, in upper case. Short ones count in brackets and tagged lists only, so that the
+    word us is no region. A tagged list has letters and list marks only, up to two spaces, a line's end, a
+    semicolon or a bracket.
     """
     plain = _spaced(text)
     words = F.filter(F.split(plain, "[^A-Za-z0-9]+"), lambda w: w.isin(*PLAIN_CODES))
-    # What stands before a closing bracket, from the first opening one on.
-    closed = F.split(plain, r"[\])}]")
-    bracketed = F.transform(F.slice(closed, 1, F.size(closed) - 1), lambda s: F.regexp_replace(s, r"^[^\[({]*[\[({]?", ""))
-    after = F.split(plain, r"(?i)\bregion\s*[:=-]\s*")
-    # A list that the next Region cuts off has not ended.
-    rests = F.transform(F.slice(after, 2, F.size(after)), lambda s, i: F.when(i < F.size(after) - 2, F.concat(s, F.lit("\x01"))).otherwise(s))
-    named = F.transform(rests, lambda s: F.struct(s.alias("rest"), F.split(F.regexp_extract(s, "^[A-Za-z /,+&|]*", 0), r"\s{2}")[0].alias("names")))
-    ended = F.filter(named, lambda x: F.substr(x["rest"], F.char_length(x["names"]) + 1).rlike(r"^(?:\s{2}|[;\]\n()]|$)"))
-    lists = F.concat(bracketed, F.transform(ended, lambda x: x["names"]))
-    return _sorted_set(F.concat(words, F.flatten(F.transform(lists, parse_regions))))
+    closed = F.split(F.translate(plain, "({", "[["), r"[\])}]")
+    bracketed = F.transform(F.slice(closed, 1, F.size(closed) - 1), lambda s: F.get(F.split(s, r"\[", 2), F.lit(1)))
+    tagged = F.split(plain, r"(?i)\bregion\s*[:=-]\s*")
+    # What follows each tag, to the end of the text; a tag within is no list mark.
+    follows = F.transform(F.slice(tagged, 2, F.size(tagged)), lambda _, i: F.array_join(F.slice(tagged, i + 2, F.size(tagged)), ":"))
+    lists = F.filter(F.transform(follows, lambda s: F.split(s, r"\s{2}|[;\]\n()]", 2)[0]), lambda s: s.rlike("^[A-Za-z /,+&|]*$"))
+    return _sorted_set(F.concat(words, F.flatten(F.transform(F.concat(F.array_compact(bracketed), lists), parse_regions))))
 
 
 def region_alias(code: Column) -> Column:
@@ -192,15 +202,17 @@ def product_code(label: Column) -> Column:
 
 
 def stated_requirement(label: Column, brackets: str = "()") -> Column:
-    """What the first fitting bracket requires: numbers joined by /, + or a dash, as one text without spaces."""
+    """The first bracket that holds requirement versions and nothing else: versions with / between, as one text without spaces.
+
+    A version is 9.00 or 7.xx; words for firmware before it and a plus after it may stand. Dashes and plus signs between versions read as they are, but for hyphens, which are slashes.
+    """
     opening, closing = brackets
-    closed = F.split(_spaced(label), "\\" + closing)
-    inner = F.transform(F.filter(F.slice(closed, 1, F.size(closed) - 1), lambda s: F.contains(s, F.lit(opening))), lambda s: F.lower(F.substring_index(s, opening, -1)))
-    bare = F.transform(inner, lambda s: F.regexp_replace(s, r"^(?:fix|fw|firmware)\s*", "")) if opening == "(" else inner
-    number, plus = r"\d+\.(?:\d+|xx)", F.lit("+")
-    parts = lambda s: F.split(F.rtrim(s, plus), r"\s*[/+\x{2013}-]\s*")
-    fits = F.filter(bare, lambda s: F.forall(parts(s), lambda x: x.rlike(f"^{number}$")) & ~F.endswith(s, F.lit("++")) & s.rlike(r"^\d"))
-    return F.translate(F.regexp_replace(F.get(fits, F.lit(0)), r"\s+", ""), "-", "/")
+    closed = F.slice(F.split(_spaced(label), "\\" + closing), 1, F.greatest(F.size(F.split(_spaced(label), "\\" + closing)) - 1, F.lit(0)))
+    inside = F.transform(F.filter(closed, lambda s: F.contains(s, F.lit(opening))), lambda s: F.lower(F.regexp_replace(F.substring_index(s, opening, -1), r"\s+", "")))
+    bare = F.transform(inside, lambda s: F.regexp_replace(s, "^(?:fix|fw|firmware)", "")) if brackets == "()" else inside
+    version = lambda x: x.rlike(r"^\d+\.(?:\d+|xx)$")
+    listed = lambda s: F.split(F.when(s.endswith("+"), F.substr(s, F.lit(1), F.char_length(s) - 1)).otherwise(s), r"[/+\x{2013}-]")
+    return F.translate(F.get(F.filter(bare, lambda s: F.forall(listed(s), version)), F.lit(0)), "-", "/")
 
 
 def label_details(label: Column, of_file: bool = False) -> dict[str, Column]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WIDTH = 6
 #: Bytes of each unit.
 UNITS = {"B": 1, "KB": 10**3, "MB": 10**6, "GB": 10**9, "TB": 10**12, "KIB": 2**10, "MIB": 2**20, "GIB": 2**30, "TIB": 2**40}
 #: Checksums from strongest to weakest, with their hex lengths.
@@ -14,10 +13,14 @@ LARGEST = 2**53 - 1
 
 
 def version_key(version: Column) -> Column:
-    """Zero-padded array of numbers that compares as versions do; null if not dotted numbers."""
-    parts = F.transform(F.split(version, r"\."), lambda p: p.cast("bigint"))
-    padded = F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), WIDTH)), 1, WIDTH)
-    return F.when(version.rlike(r"^[0-9]{1,15}(\.[0-9]{1,15}){0,%d}$" % (WIDTH - 1)), padded)
+    """An array that compares as versions do, whatever their length; null if not dotted numbers.
+
+    A number is its count of digits and the digits themselves, without leading zeros, so that numbers
+    of any size compare. Numbers 0 at the end are left out, since 1.0 is 1.
+    """
+    bare = F.regexp_replace(version, r"(?:\.0+)+$", "")
+    part = lambda p: F.regexp_replace(p, r"^0+(?=[0-9])", "")
+    return F.when(version.rlike(r"^[0-9]+(?:\.[0-9]+)*$"), F.transform(F.split(bare, r"\."), lambda p: F.struct(F.length(part(p)).alias("digits"), part(p).alias("number"))))
 
 
 def compare_versions(a: Column, b: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.sources.tables import delete_path, working_dir, written
+from tallystone.sources.tables import working_dir, written
 
 
 def unique_match(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -24,24 +26,29 @@ MOST_LISTED = 20
 
 
 def candidate_index(reference: DataFrame, key: str) -> DataFrame:
-    """What a tier needs to know about a key's candidates, one row per key.
+    """What a tier needs to know about a key's candidates, one row per key, from one aggregate.
 
     reference: the key, ref_id, root_id, on_platform. pick is the candidate that is a root, else the
-    one with the smallest id. A candidate without a root makes its key ambiguous. ids are the
-    smallest candidates; ranks are cut before the shuffle, so that a common key is never gathered.
+    one with the smallest id; least is the smallest id. A candidate without a root makes its key ambiguous.
     """
     on = F.coalesce("on_platform", F.lit(False))
-    facts = reference.groupBy(F.col(key).alias("key")).agg(
+    return reference.groupBy(F.col(key).alias("key")).agg(
         F.min("root_id").alias("lo"), F.max("root_id").alias("hi"), F.bool_or(F.col("root_id").isNull()).alias("loose"),
-        F.min(F.struct((F.col("root_id") != F.col("ref_id")).alias("below"), "ref_id")).alias("pick"),
+        F.min(F.when(F.col("root_id") == F.col("ref_id"), F.col("ref_id"))).alias("top"), F.min("ref_id").alias("least"),
         F.min(F.when(on, F.col("root_id"))).alias("plo"), F.max(F.when(on, F.col("root_id"))).alias("phi"), F.bool_or(on & F.col("root_id").isNull()).alias("ploose"), F.min(F.when(on, F.col("ref_id"))).alias("pid"),
     )
-    smallest = reference.select(F.col(key).alias("key"), "ref_id").distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("ref_id"))).filter(F.col("_rank") <= MOST_LISTED)
-    return facts.join(smallest.groupBy("key").agg(F.array_sort(F.collect_list("ref_id")).alias("ids")), "key")
 
 
-def tiered_match(names: DataFrame, tiers: list[tuple[str, DataFrame]], known: DataFrame | None = None, pairs: list[tuple[str, str]] = ()) -> DataFrame:
-    """name_id, tier, ref_id, status and candidates of names (name_id, has_codes and one key column per tier).
+def candidate_lists(reference: DataFrame, key: str) -> DataFrame:
+    """key and ids, the smallest candidates of a key; ranks are cut before the shuffle, so that a common key is never gathered."""
+    ranked = reference.select(F.col(key).alias("key"), "ref_id").distinct().withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("ref_id")))
+    return ranked.filter(F.col("_rank") <= MOST_LISTED).groupBy("key").agg(F.array_sort(F.collect_list("ref_id")).alias("ids"))
+
+
+def tiered_match(
+    names: DataFrame, tiers: list[tuple[str, DataFrame]], known: DataFrame | None = None, pairs: list[tuple[str, str]] = (), lists: list[DataFrame] = ()
+) -> DataFrame:
+    """name_id, tier, ref_id and status of names (name_id, has_codes and one key column per tier).
 
     tiers: (key column, candidate_index) from strict to loose. Tier 0 is an id that the name carries
     (column known_id) and that known (ref_id) holds. Then the first tier with any candidate decides:
@@ -49,21 +56,16 @@ def tiered_match(names: DataFrame, tiers: list[tuple[str, DataFrame]], known: Da
     codes; else the name is ambiguous, and looser tiers are not asked. Names without any candidate
     come to the pair tier: pairs has the key columns of both halves of ``left (right)`` names per tier, and the
     first tier in which each half has one root, the same one, gives the left half's smallest id. A
-    name may have several rows (aliases); their candidates count together. Undecided names list
-    their smallest candidates.
+    name may have several rows (aliases); their candidates count together. With lists, the
+    candidate_lists of the tiers, undecided names list the smallest candidates of the tier that failed them.
     """
     rows = names
     for n, (key, index) in enumerate(tiers):
         rest = [c for c in index.columns if c != "key"]
-        rows = rows.join(index.select(F.col("key").alias(key), F.struct(*rest).alias(f"_t{n}")), key, "left")
-    merged = [
-        F.when(F.max(F.col(f"_t{n}.pick")).isNotNull(), F.struct(
-            F.lit(n + 1).alias("tier"), F.min(f"_t{n}.lo").alias("lo"), F.max(f"_t{n}.hi").alias("hi"), F.bool_or(f"_t{n}.loose").alias("loose"), F.min(f"_t{n}.pick").alias("pick"),
-            F.min(f"_t{n}.plo").alias("plo"), F.max(f"_t{n}.phi").alias("phi"), F.bool_or(f"_t{n}.ploose").alias("ploose"), F.min(f"_t{n}.pid").alias("pid"),
-            F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"_t{n}.ids")))), 1, MOST_LISTED).alias("ids"),
-        )) for n in range(len(tiers))
-    ]
-    found = [F.bool_or("has_codes").alias("codes"), F.coalesce(*merged).alias("t")]
+        rows = rows.join(index.select(F.col("key").alias(key), *(F.col(c).alias(f"_t{n}_{c}") for c in rest)), key, "left")
+    low, high, any_of = ("lo", "top", "least", "plo", "pid"), ("hi", "phi"), ("loose", "ploose")
+    found = [f(f"_t{n}_{c}").alias(f"_t{n}_{c}") for n in range(len(tiers)) for f, columns in ((F.min, low), (F.max, high), (F.bool_or, any_of)) for c in columns]
+    found.append(F.bool_or("has_codes").alias("codes"))
     if known is not None:
         rows = rows.join(known.select(F.col("ref_id").alias("known_id")).distinct().withColumn("_known", F.col("known_id")), "known_id", "left")
         found.append(F.min("_known").alias("_known"))
@@ -71,14 +73,34 @@ def tiered_match(names: DataFrame, tiers: list[tuple[str, DataFrame]], known: Da
     if known is None:
         one_row = one_row.withColumn("_known", F.lit(None).cast("long"))
     one_row = one_row.withColumn("_pair", F.lit(None).cast("long")) if not pairs else one_row.join(_paired(names, tiers, pairs), "name_id", "left")
-    one = (F.col("t.lo") == F.col("t.hi")) & ~F.col("t.loose")
-    platform = F.coalesce(F.col("codes"), F.lit(False)) & (F.col("t.plo") == F.col("t.phi")) & ~F.col("t.ploose")
-    pair = F.when(F.col("t").isNull(), F.col("_pair"))
-    ref = F.coalesce("_known", F.when(one, F.col("t.pick.ref_id")).when(platform, F.col("t.pid")), pair)
-    tier = F.when(F.col("_known").isNotNull(), 0).when(F.col("t").isNotNull(), F.col("t.tier")).when(pair.isNotNull(), len(tiers) + 1)
-    status = F.when(ref.isNotNull(), "matched").when(F.col("t").isNull(), "unmatched").otherwise("ambiguous")
-    listed = F.when(ref.isNull(), F.coalesce("t.ids", F.array().cast("array<long>"))).otherwise(F.array().cast("array<long>"))
-    return one_row.select("name_id", tier.alias("tier"), ref.alias("ref_id"), status.alias("status"), listed.cast("array<long>").alias("candidates"))
+    has = [F.col(f"_t{n}_least").isNotNull() for n in range(len(tiers))]
+    decides = F.coalesce(*(F.when(h, F.lit(n + 1)) for n, h in enumerate(has)))
+
+    def of_tier(n: int) -> Column:
+        t = lambda c: F.col(f"_t{n}_{c}")
+        one = (t("lo") == t("hi")) & ~t("loose")
+        platform = F.coalesce(F.col("codes"), F.lit(False)) & (t("plo") == t("phi")) & ~t("ploose")
+        return F.when(one, F.coalesce(t("top"), t("least"))).when(platform, t("pid"))
+
+    chosen = F.lit(None).cast("long")
+    for n in reversed(range(len(tiers))):
+        chosen = F.when(has[n], of_tier(n)).otherwise(chosen)
+    pair = F.when(decides.isNull(), F.col("_pair"))
+    ref = F.coalesce("_known", chosen, pair)
+    tier = F.when(F.col("_known").isNotNull(), 0).when(decides.isNotNull(), decides).when(pair.isNotNull(), len(tiers) + 1)
+    status = F.when(ref.isNotNull(), "matched").when(decides.isNull(), "unmatched").otherwise("ambiguous")
+    out = one_row.select("name_id", tier.alias("tier"), ref.alias("ref_id"), status.alias("status"))
+    return _listed(out, names, tiers, lists) if lists else out
+
+
+def _listed(decided: DataFrame, names: DataFrame, tiers: list[tuple[str, DataFrame]], lists: list[DataFrame]) -> DataFrame:
+    """decided with candidates: of undecided names those of their tier, of others none."""
+    parts = []
+    for n, ((key, _), ids) in enumerate(zip(tiers, lists, strict=True)):
+        open_names = decided.filter((F.col("status") == "ambiguous") & (F.col("tier") == n + 1)).select("name_id")
+        parts.append(names.select("name_id", F.col(key).alias("key")).join(open_names, "name_id", "left_semi").join(ids, "key").select("name_id", "ids"))
+    each = reduce(DataFrame.unionByName, parts).groupBy("name_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, MOST_LISTED).alias("candidates"))
+    return decided.join(each, "name_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<long>")))
 
 
 def _paired(names: DataFrame, tiers: list[tuple[str, DataFrame]], pairs: list[tuple[str, str]]) -> DataFrame:
@@ -86,7 +108,7 @@ def _paired(names: DataFrame, tiers: list[tuple[str, DataFrame]], pairs: list[tu
     rows = names
     for n, ((left, right), (_, index)) in enumerate(zip(pairs, tiers, strict=True)):
         for side, key in (("l", left), ("r", right)):
-            facts = F.struct("lo", "hi", "loose", F.element_at("ids", 1).alias("id")).alias(f"_{side}{n}")
+            facts = F.struct("lo", "hi", "loose", F.col("least").alias("id")).alias(f"_{side}{n}")
             rows = rows.join(index.select(F.col("key").alias(key), facts), key, "left")
     agree = [
         F.when((F.col(f"_l{n}.lo") == F.col(f"_l{n}.hi")) & (F.col(f"_r{n}.lo") == F.col(f"_r{n}.hi")) & (F.col(f"_l{n}.lo") == F.col(f"_r{n}.lo")) & ~F.col(f"_l{n}.loose") & ~F.col(f"_r{n}.loose"), F.col(f"_l{n}.id"))
@@ -95,15 +117,6 @@ def _paired(names: DataFrame, tiers: list[tuple[str, DataFrame]], pairs: list[tu
     return rows.groupBy("name_id").agg(F.min(F.coalesce(*agree)).alias("_pair"))
 
 
-def paired_match(pairs: DataFrame) -> DataFrame:
-    """name_id, ref_id for ``left (right)`` names whose halves each have one root, the same one.
-
-    pairs: name_id, side (left or right), ref_id, root_id.
-    """
-    one = pairs.groupBy("name_id").agg(F.min("root_id").alias("lo"), F.max("root_id").alias("hi"), F.count_distinct("side").alias("sides"), F.min(F.when(F.col("side") == "left", F.col("ref_id"))).alias("ref_id"))
-    return one.filter("lo = hi AND sides = 2").select("name_id", "ref_id")
-
-
 def name_halves(name: Column) -> tuple[Column, Column]:
     """The halves of a ``left (right)`` name; null for other names."""
     pattern = r"^(.+?)\s*\(([^()]+)\)\s*$"
@@ -111,30 +124,36 @@ def name_halves(name: Column) -> tuple[Column, Column]:
     return half(1), half(2)
 
 
-def hierarchy_roots(edges: DataFrame) -> DataFrame:
-    """node, root of every node of edges (node, parent; parent null for roots).
+def hierarchy_roots(edges: DataFrame, hops: int = 3) -> DataFrame:
+    """node, root of every node of edges (node, parent; parent null for roots), one row per node.
 
-    Pointer doubling: each round replaces an open node's pointer by its pointer's pointer, so a
-    chain of any length n is settled after log2(n) rounds, and only open nodes are joined. A
-    dangling parent gives null. While open nodes lead to a root, each round settles some; once one
-    settles none, the rest lead to cycles, and get null too. Each round joins a table with itself, so it
-    is written first; else plans would double too. The rounds before are removed.
+    Pointers are lengthened round by round: each round replaces an open node's pointer by the pointer
+    hops steps on, so that a chain of any length n is settled after about log(n) / log(hops + 1) rounds.
+    Settled nodes are written once and stay; only open nodes are written again. A dangling parent gives
+    null. While open nodes lead to a root, each round settles some; once one settles none, the rest lead
+    to cycles, and get null too. Equal rows are one edge, and of several parents of a node the smallest
+    counts. Each round joins a table with itself, so it is written first; else plans would grow too.
     """
     spark, folder = edges.sparkSession, working_dir(edges.sparkSession)
-    step = written(edges.select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNull().alias("done")), f"{folder}/pointers-0")
-    n, still_open = 0, step.filter("NOT done").count()
+    one = edges.groupBy("node").agg(F.min("parent").alias("parent"))
+    step = written(one.select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNull().alias("done")), f"{folder}/pointers-0")
+    settled, n, still_open = [step.filter("done")], 0, step.filter("NOT done").count()
+    rest = step.filter("NOT done")
     while still_open:
-        above = step.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"))
-        # A dangling pointer has no row above it, and is settled as null.
-        moved = step.filter("NOT done").join(above, "up", "left").select("node", F.col("_up").alias("up"), F.coalesce("_done", F.lit(True)).alias("done"))
+        above = reduce(DataFrame.unionByName, [*settled, rest]).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"))
+        moved = rest
+        for _ in range(hops):
+            # A dangling pointer has no row above it, and is settled as null; a settled one stays where it is.
+            moved = moved.join(above, "up", "left").select("node", F.when(F.col("up").isNotNull(), F.col("_up")).alias("up"), (F.col("done") | F.coalesce("_done", F.lit(True))).alias("done"))
         n += 1
-        step = written(step.filter("done").unionByName(moved), f"{folder}/pointers-{n}")
-        delete_path(spark, f"{folder}/pointers-{n - 1}")
-        left = step.filter("NOT done").count()
+        step = written(moved, f"{folder}/pointers-{n}")
+        rest, left = step.filter("NOT done"), step.filter("NOT done").count()
+        settled.append(step.filter("done"))
         if left == still_open:
             break
         still_open = left
-    return step.select("node", F.when(F.col("done"), F.col("up")).alias("root"))
+    out = reduce(DataFrame.unionByName, settled).select("node", F.col("up").alias("root"))
+    return out.unionByName(rest.select("node", F.lit(None).cast(out.schema["root"].dataType).alias("root"))) if still_open else out
 
 
 def with_aliases(parents: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -143,17 +162,38 @@ def with_aliases(parents: DataFrame, aliases: DataFrame) -> DataFrame:
     return parents.join(a, "node", "left").select("node", F.coalesce("target", "parent").alias("parent"))
 
 
-def guarded_override(entries: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Applies reviewed decisions whose sources still overlap the entry's; others go to review.
+def guarded_override(entries: DataFrame, overrides: DataFrame, reference: DataFrame | None = None, types: tuple[str, ...] = ()) -> DataFrame:
+    """name, ref_id, canonical_id, status and reason: reviewed decisions, where they still hold; other entries keep their own id.
 
-    entries: name, sources, ref_id. overrides: name, sources, ref_id.
+    entries: name, sources, ref_id. overrides: name, sources, and one decision of three: a status (review or
+    non_game); a ref_id; or a local identity, with canonical_id ``local:...``, canonical_name and a type of
+    types. A decision whose sources are no more the entry's goes to review, and so does an id that
+    reference (ref_id) does not hold: it is not replaced by a guess. A decision that is none of the
+    three raises, as soon as an entry meets it.
     """
-    o = overrides.select("name", F.col("sources").alias("_sources"), F.col("ref_id").alias("_ref"))
-    valid = F.arrays_overlap("sources", "_sources")
-    return entries.join(o, "name", "left").select(
-        "name", F.when(F.col("_sources").isNull(), F.col("ref_id")).when(F.coalesce(valid, F.lit(False)), F.col("_ref")).alias("ref_id"),
-        F.when(F.col("_sources").isNull(), "unreviewed").when(F.coalesce(valid, F.lit(False)), "override").otherwise("review").alias("status"),
+    for column, kind in (("status", "string"), ("canonical_id", "string"), ("canonical_name", "string"), ("type", "string")):
+        if column not in overrides.columns:
+            overrides = overrides.withColumn(column, F.lit(None).cast(kind))
+    o = overrides.select(
+        "name", F.struct("sources", "ref_id", "status", "canonical_id", "canonical_name", "type").alias("_o"),
+    ).dropDuplicates(["name"])
+    rows = entries.join(o, "name", "left")
+    if reference is not None:
+        held = reference.select(F.col("ref_id").alias("_held")).distinct()
+        rows = rows.join(held, F.col("_o.ref_id") == F.col("_held"), "left")
+    else:
+        rows = rows.withColumn("_held", F.col("_o.ref_id"))
+    same = F.coalesce(F.arrays_overlap("sources", "_o.sources"), F.lit(False))
+    local = F.coalesce(F.col("_o.canonical_id").rlike("^local:[a-z0-9-]+$") & (F.col("_o.canonical_name") != "") & F.col("_o.type").isin(*types), F.lit(False)) if types else F.lit(False)
+    broken = F.raise_error(F.concat(F.lit("malformed reviewed identity for "), F.col("name").cast("string"))).cast("string")
+    status = (
+        F.when(F.col("_o").isNull(), "unreviewed").when(~same, "review").when(F.col("_o.status").isin("review", "non_game"), F.col("_o.status"))
+        .when(F.col("_o.ref_id").isNotNull(), F.when(F.col("_held").isNull(), "review").otherwise("override")).when(local, "local").otherwise(broken)
     )
+    reason = F.when(F.col("_o").isNull(), F.lit(None).cast("string")).when(~same, "sources changed").when(F.col("_o.status").isNull() & F.col("_o.ref_id").isNotNull() & F.col("_held").isNull(), "reviewed id unavailable")
+    judged = rows.select("name", "ref_id", "_o", status.alias("status"), reason.alias("reason"))
+    ref = F.when(F.col("status") == "unreviewed", F.col("ref_id")).when(F.col("status") == "override", F.col("_o.ref_id"))
+    return judged.select("name", ref.alias("ref_id"), F.when(F.col("status") == "local", F.col("_o.canonical_id")).alias("canonical_id"), "status", "reason")
 
 
 def fresh_identity(listings: DataFrame, identities: DataFrame, key: str) -> DataFrame:

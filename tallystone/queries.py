@@ -284,7 +284,7 @@ def override_guard(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part", F.col("p_partkey").alias("name"), "p_brand", "p_type", "p_size")
     entries = part.select("name", F.array("p_brand", "p_type").alias("sources"), F.col("p_size").cast("bigint").alias("ref_id"))
     overrides = part.filter("name % 3 = 0").select("name", F.array(F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise("moved")).alias("sources"), (F.col("name") + 1).alias("ref_id"))
-    return identity.guarded_override(entries, overrides)
+    return identity.guarded_override(entries, overrides).select("name", "ref_id", "status")
 
 
 @query("""
@@ -318,7 +318,7 @@ def tiered_match(spark: SparkSession, d: str) -> DataFrame:
         (F.col("p_size") % 3 == 0).alias("has_codes"), (F.col("p_size") % 2 == 0).alias("on_platform"), (F.col("p_partkey") - F.col("p_partkey") % 8).alias("root_id"),
     )
     reference = keys.withColumnRenamed("name_id", "ref_id")
-    return identity.tiered_match(keys.select("name_id", "strict", "relaxed", "has_codes"), [(k, identity.candidate_index(reference, k)) for k in ("strict", "relaxed")]).drop("candidates")
+    return identity.tiered_match(keys.select("name_id", "strict", "relaxed", "has_codes"), [(k, identity.candidate_index(reference, k)) for k in ("strict", "relaxed")])
 
 
 @query(_TIERS + """
@@ -648,14 +648,30 @@ def unreleased_status(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "status", text.is_unreleased(F.col("status")).alias("unreleased"), text.with_thousands(F.col("n_chars")).alias("shown"))
 
 
-@query("""
-SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'limited' WHEN p_partkey % 7 = 1 THEN 'restricted' WHEN p_partkey % 7 = 2 THEN 'unknown' WHEN p_partkey % 7 = 3 THEN 'missing' WHEN p_partkey % 7 = 4 THEN 'present' WHEN p_partkey % 7 = 5 THEN 'unknown' ELSE 'restricted' END AS state FROM part
+_PHRASES = (
+    "", "Too Many  Requests", "Please complete the CAPTCHA", "Access denied, file deleted by owner", "Site unavailable", "The file was  deleted by its owner", "No such item",
+    "<script>the file was deleted by its owner</script>ok", "<a id='get'>Get it</a>", "<a id='get'>Get it</a> the file was deleted by its owner",
+)
+_CODES, _HOSTS = (200, 404, 410, 403, 429, 500, 301), ("files.example.org", "example.net", "cdn.example.net", "badexample.net", "example.com")
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {list(_CODES)}[1 + p_size % 7] AS code, {list(_HOSTS)}[1 + p_partkey % 5] AS host, p_name, {[x.replace("'", "") for x in _PHRASES]}[1 + (p_partkey // 5) % 10] AS phrase FROM part),
+t AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(p_name || ' ' || phrase, '<script>.*</script>', ' '), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM p),
+r AS (SELECT *, CASE WHEN host = 'files.example.org' THEN contains(text, 'the file was deleted by its owner') WHEN host IN ('example.net', 'cdn.example.net') THEN contains(text, 'no such item') ELSE false END AS gone,
+  host = 'files.example.org' AND contains(phrase, 'id=get') AS there FROM t)
+SELECT p_partkey, CASE WHEN code = 429 OR contains(text, 'too many requests') THEN 'limited' WHEN code = 403 OR contains(text, 'captcha') OR contains(text, 'access denied') THEN 'restricted'
+  WHEN contains(text, 'site unavailable') OR code NOT IN (200, 404, 410) THEN 'unknown' WHEN gone THEN 'missing' WHEN code = 200 AND there THEN 'present' ELSE 'unknown' END AS state FROM r
 """)
 def response_states(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 7
-    code = F.when(k == 0, 429).when(k == 1, 403).when(k == 2, 404).when(k.isin(3, 4, 6), 200).otherwise(503)
-    body = F.when(k == 3, "File not found").when(k == 6, "Captcha: file deleted").when(k == 4, "Download").otherwise("")
-    return table(spark, d, "part", "p_partkey").select("p_partkey", html.response_state(code, body).alias("state"))
+    """Responses of five hosts, two of them with rules of their own, one only named like them."""
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    part = table(spark, d, "part", F.col("p_partkey").alias("page_id"), "p_name", "p_size")
+    body = F.concat(F.col("p_name"), F.lit(" "), pick(_PHRASES, F.floor(F.col("page_id") / 5) % 10))
+    rows = part.select("page_id", F.concat(F.lit("https://"), pick(_HOSTS, F.col("page_id") % 5), F.lit("/f/"), F.col("page_id").cast("string")).alias("url"), pick(_CODES, F.col("p_size") % 7).alias("code"), body.alias("body"))
+    texts = html.visible_text(rows.select("page_id", F.col("body").alias("html")))
+    rules = spark.createDataFrame([("files.example.org", ["the file was deleted by its owner"], r"id=[\"']get[\"']"), ("example.net", ["no such item"], None)], "domain string, missing array<string>, present string")
+    return html.response_states(rows.join(texts, "page_id"), rules).select(F.col("page_id").alias("p_partkey"), "state")
 
 
 @query("SELECT p_partkey, 'archive' AS grp, (p_size)::INT AS part FROM part")

@@ -5,9 +5,7 @@ from __future__ import annotations
 import json
 import random
 import re
-import unicodedata
 from fractions import Fraction
-from html import unescape
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,26 +25,27 @@ def test_title_keys_differ():
     assert text.import_title("Big&amp;Small download") == "big and small download" and text.strict_title("PKG") == "pkg" and text.strict_title("a PS4 download pkg") == "a"
 
 
-def test_title_keys_equal_plain_rules():
-    """The keys again by substitutions over the whole text, on random titles."""
-    rng = random.Random(9)
-    parts = ["Été", "PS4", "pkg", "FPKG", "download", "II", "x", "&", "&amp;", "×", "it's", "ﬁn", "a-b", "_", "Straße", "(2)", "İ", "ǅ", "  "]
-    for _ in range(3000):
-        title = rng.choice(["", " "]) + rng.choice([" ", "", "-"]).join(rng.choice(parts) for _ in range(rng.randint(1, 6)))
-        for dropped in ("", text.DROPPED):
-            want = re.sub(r"\s+(ps4|fpkg|pkg)(\s+(ps4|fpkg|pkg|download))*\s*$", "", unescape(title).casefold())
-            want = want.replace("×", "x") if dropped else want
-            want = "".join(c for c in unicodedata.normalize("NFKD", want.replace("&", " and ")) if not unicodedata.combining(c) and c not in dropped)
-            assert " ".join(text.title_words(title, dropped)) == " ".join(re.sub(r"\W+", " ", want).split()), title
+#: Titles with their words for the import key, and for the strict key where that differs.
+TITLES = [
+    ("Été PS4 pkg", "ete", None), ("FPKG", "fpkg", None), (" FPKG", "", None), ("Big download", "big download", None), ("Big PS4 download", "big", None), ("Big pkg download pkg", "big", None),
+    ("II &amp; x", "ii and x", None), ("a & b", "a and b", None), ("it's", "it s", "its"), ("4×4", "4 4", "4x4"), ("ﬁn", "fin", None), ("a-b_c", "a b_c", None), ("Straße (2)", "strasse 2", None),
+    ("ǅ İ", "dz i", None), ("download PS4", "download", None), ("  ", "", None), ("pkg x pkg", "pkg x", None), ("Big download x", "big download x", None),
+]
+
+
+@pytest.mark.parametrize(("title", "words", "strict"), TITLES)
+def test_title_keys(title, words, strict):
+    assert " ".join(text.title_words(title, "")) == words and " ".join(text.title_words(title, text.DROPPED)) == (words if strict is None else strict)
 
 
 def test_group_key(spark):
-    got = values(spark, [("Big & Small FPKG",), ("Été: 2 pkg download",), (None,), ("  ",)], "t string", text.group_key(F.col("t")))
-    assert got == ["big and small", "été 2", None, ""]
+    cases = [("Big & Small FPKG", "big and small"), ("Été: 2 pkg download", "été 2"), (None, None), ("  ", ""), ("PKG", "pkg"), (" PKG", ""), ("Big download", "big download"), ("Big PS4 Download pkg", "big"), ("a-b×c", "a b×c"), ("pkg x", "pkg x"), ("日本 ps4", "日本")]
+    assert values(spark, [(t,) for t, _ in cases], "t string", text.group_key(F.col("t"))) == [want for _, want in cases]
 
 
 def test_versions(spark):
-    cases = [("1.10", "1.9", 1), ("1", "1.0", 0), ("1.0.1", "1.0", 1), ("x", "1", 0), (None, "1", 0), ("2", "10", -1)]
+    cases = [("1.10", "1.9", 1), ("1", "1.0", 0), ("1.0.1", "1.0", 1), ("x", "1", 0), (None, "1", 0), ("2", "10", -1), ("1.0.0.0.0.0.0.1", "1", 1), ("1.2.3.4.5.6.7", "1.2.3.4.5.6.8", -1), ("0.0", "0", 0), ("007", "7.0", 0)]
+    cases += [("1" + "0" * 30, "9" * 30, 1), ("2." + "9" * 40, "2." + "9" * 39 + "8", 1), ("1.", "1", 0), ("", "1", 0), ("0", "0.1", -1), ("10.0", "1", 1)]
     got = values(spark, [(a, b) for a, b, _ in cases], "a string, b string", versions.compare_versions(F.col("a"), F.col("b")))
     assert got == [c[2] for c in cases]
 
@@ -110,27 +109,28 @@ def test_regions(spark):
     assert values(spark, rows[:1], "t string", join(text.parse_regions(F.col("t")))) == ["EUR/USA"]
 
 
-def test_region_tokens_on_random_text(spark):
-    """Against a scan by hand: words, what brackets close, and lists after Region."""
-    rng = random.Random(4)
-    parts = ["USA", "EUR", "us", "[", "]", "(", ")", "{", "Region:", "region = ", "Japan", "Asia/JP", ",", ";", "of", "  ", "_", "KOR1", "UK & EU", "North America", "\n"]
-    rows = [("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 9))),) for _ in range(400)]
+#: Texts and the codes in them.
+REGION_TEXTS = [
+    ("for us and USA", "USA"), ("usa eur", ""), ("KOR1 KOR", "KOR"), ("(us)", "USA"), ("[Japan, UK & EU]", "EUR/JPN/UK"), ("{us", ""), ("us}", ""), ("] us (", ""), ("(a] [us)", "USA"),
+    ("Region: us", "USA"), ("region = Japan; us", "JPN"), ("REGION-Asia/JP", "ASIA/JPN"), ("Region: us  EU", "USA"), ("Region: us.", ""), ("Region: us\nEU", "USA"), ("Region: us Region: Japan", "JPN"),
+    ("my_region_:_us", "USA"), ("regional: us", ""), ("Region: us (EU)", "EUR/USA"), ("EUR_USA", "EUR/USA"), (None, ""), ("", ""),
+]
+
+
+def test_region_tokens(spark):
+    got = values(spark, [(t,) for t, _ in REGION_TEXTS], "t string", F.array_join(text.region_tokens(F.col("t")), "/"))
+    assert [x or "" for x in got] == [want for _, want in REGION_TEXTS]
 
-    def listed(s):
-        return {text.REGIONS[x.strip()] for x in re.split(r"[,/|+&;]", s.upper()) if x.strip() in text.REGIONS}
 
-    def want(t):
-        t = t.replace("_", " ")
-        found = set(re.findall(r"\b(?:" + "|".join(text.PLAIN_CODES) + r")\b", t, re.A))
-        for m in re.finditer(r"[\[({]([^\])}]+)[\])}]", t):
-            found |= listed(m[1])
-        for m in re.finditer(r"(?i)\bregion\s*[:=-]\s*([a-z /,+&|]*?)(?=\s{2}|[;\]\n()]|$)", t):
-            found |= listed(m[1])
-        return "/".join(sorted(found))
+#: Labels and what their brackets require.
+REQUIREMENT_LABELS = [
+    ("Update (9.00)", "9.00"), ("(FW 5.05 / 6.72 / 7.xx)", "5.05/6.72/7.xx"), ("(firmware9.00+)", "9.00+"), ("(5.05-9.00)", "5.05/9.00"), ("(5.05 – 9.00)", "5.05–9.00"), ("(5.05+6.72)", "5.05+6.72"),
+    ("(v1.05) (fix 9.00)", "9.00"), ("(9.00) (5.05)", "9.00"), ("(9.00++)", None), ("(9)", None), ("[9.00]", None), ("(x (9.00))", "9.00"), ("9.00)", None), ("(9.00", None), ("(/9.00)", None), ("", None), (None, None),
+]
 
-    got = values(spark, rows, "t string", F.array_join(text.region_tokens(F.col("t")), "/"))
-    assert got == [want(t) for (t,) in rows] and len(set(got)) > 8
 
+def test_stated_requirements(spark):
+    assert values(spark, [(t,) for t, _ in REQUIREMENT_LABELS], "t string", text.stated_requirement(F.col("t"))) == [want for _, want in REQUIREMENT_LABELS]
 
 def details(spark, labels, of_file=False, made=None):
     made = made or (lambda c: text.label_details(c, of_file))
@@ -156,9 +156,7 @@ def test_label_details(spark):
     assert values(spark, [("https://a.example.org/x",), ("http://a.example.org/x",), ("https://b.a.example.org/",), (None,)], "u string", urls.is_catalogue_page(F.col("u"), ["a.example.org"])) == [True, False, False, False]
 
 
-def test_response_states_and_json(spark):
-    rows = [(429, ""), (200, "Access denied: file not found"), (404, ""), (404, "file was removed"), (200, "ok"), (None, "x"), (503, "file not found")]
-    assert values(spark, rows, "c int, b string", html.response_state(F.col("c"), F.col("b"))) == ["limited", "restricted", "unknown", "missing", "present", "unknown", "unknown"]
+def test_embedded_json_and_base64(spark):
     assert values(spark, [(json.dumps({"k": 5}),), ("{bad",), (None,)], "t string", html.embedded_json(F.col("t"), "$.k")) == ["5", None, None]
     assert values(spark, [("aMOpbGxv",), ("%%%",), (None,)], "t string", html.expand_base64(F.col("t"))) == ["héllo", "", ""]
 
@@ -237,19 +235,26 @@ def test_parts_and_sizes_on_random_names(spark):
     assert values(spark, sizes, "t string", versions.parse_size(F.col("t"))[0]) == [size(t) for (t,) in sizes]
 
 
-def test_response_states_in_their_order(spark):
-    """Every pair of code and text: limits before restrictions, these before gateways, codes before texts."""
-    says = {"too many requests": "limited", "captcha": "restricted", "bad gateway": "unknown", "file not found": "missing", "hello": None}
-    rows = [(code, f"{a} and {b}") for code in (200, 404, 410, 429, 403, 503, 500, None) for a in says for b in says]
+GONE, RULES = "the requested thing is gone", "domain string, missing array<string>, present string"
+
+
+@pytest.mark.parametrize(("url", "code", "text", "body", "want"), [
+    ("https://a.example.org/x", 200, GONE.upper(), "", "missing"), ("https://a.example.org/x", 404, f"Sorry,  {GONE}.", "", "missing"), ("https://a.example.org/x", 410, GONE, "", "missing"),
+    ("https://b.a.example.org/x", 410, GONE, "", "missing"), ("https://a.example.org.evil.test/x", 404, GONE, "", "unknown"), ("https://example.net/x", 404, GONE, "", "unknown"),
+    ("https://a.example.org/x", 404, "not found", "", "unknown"), ("https://a.example.org/x", 500, GONE, "", "unknown"), ("https://a.example.org/x", 200, "hello", GONE, "unknown"),
+    ("https://a.example.org/x", 200, "Site Unavailable. " + GONE, "", "unknown"), ("https://a.example.org/x", 429, GONE, "", "limited"), ("https://a.example.org/429.html", 200, "", "", "limited"),
+    ("https://a.example.org/x", 200, "Too many\n requests", "", "limited"), ("https://a.example.org/x", 403, GONE, "", "restricted"), ("https://a.example.org/x", 200, "complete the CAPTCHA, " + GONE, "", "restricted"),
+    ("https://example.net/x", 200, "get it", "<a id='get'>", "present"), ("https://example.net/x", 404, "get it", "<a id='get'>", "unknown"), ("https://a.example.org/x", 200, "get it", "<a id='get'>", "unknown"),
+    ("https://example.net/x", 200, "removed by its owner", "<a id='get'>", "missing"), (None, 200, "x", "", "unknown"), ("https://example.net/x", None, None, None, "unknown"), ("no url", 200, None, None, "unknown"),
+])
+def test_response_states(spark, url, code, text, body, want):
+    """A host's own words and marks count for it and its subdomains only; no code decides alone; restriction beats missing."""
+    rules = spark.createDataFrame([("a.example.org", [GONE], None), ("example.net", ["removed by its owner"], "id='get'"), ("example.org", ["never asked"], None)], RULES)
+    df = spark.createDataFrame([(url, code, text, body, 7)], "url string, code int, text string, body string, state_of int")
+    out = html.response_states(df, rules)
+    assert out.first().state == want and out.columns == ["url", "code", "text", "body", "state_of", "state"]
 
-    def want(code, body):
-        found = {says[x] for x in says if x in body}
-        if code == 429 or "limited" in found:
-            return "limited"
-        if code == 403 or "restricted" in found:
-            return "restricted"
-        if code not in (200, 404, 410) or "bad gateway" in body:
-            return "unknown"
-        return "missing" if "missing" in found else "present" if code == 200 else "unknown"
 
-    assert values(spark, rows, "c int, b string", html.response_state(F.col("c"), F.col("b"))) == [want(*r) for r in rows]
+def test_response_states_without_rules(spark):
+    df = spark.createDataFrame([("https://example.net/x", 200, GONE, "")] * 2, "url string, code int, text string, body string")
+    assert [r.state for r in html.response_states(df, spark.createDataFrame([], RULES)).collect()] == ["unknown", "unknown"]

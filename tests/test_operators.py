@@ -60,6 +60,10 @@ def test_hierarchy(spark):
     got = by(identity.hierarchy_roots(spark.createDataFrame([(n, None if n in (1, 1001, 2002) else up) for n, up in chain], "node long, parent long")), "node", "root")
     assert all(got[n] == (1 if n < 1001 else 1001 if n < 2002 else 2002) for n in range(1, 3003)) and {got[n] for n in range(5000, 5004)} == {None}
     assert identity.hierarchy_roots(spark.createDataFrame([], "node long, parent long")).count() == 0
+    # Repeated rows are one edge, and of several parents the smallest counts.
+    twice = [(1, None)] + [(n, n - 1) for n in range(2, 20)] * 2 + [(30, 9), (30, 5), (31, None), (31, 30), (32, 99)] * 2
+    got = identity.hierarchy_roots(spark.createDataFrame(twice, "node long, parent long"))
+    assert got.count() == 22 and by(got, "node", "root") == {**dict.fromkeys(range(1, 20), 1), 30: 1, 31: 1, 32: None}
     aliased = identity.with_aliases(spark.createDataFrame([(2, 1), (3, 1)], "node long, parent long"), spark.createDataFrame([(2, 3)], "node long, target long"))
     assert by(aliased, "node", "parent") == {2: 3, 3: 1}
 
@@ -71,15 +75,34 @@ def test_tiers_stop_at_the_first_with_candidates(spark):
     assert out == {"one": (1, 1, "matched"), "amb": (1, None, "ambiguous"), "plat": (1, 3, "matched"), "root": (1, 4, "matched"), "loose": (2, 4, "matched"), "none": (None, None, "unmatched"), "two": (2, None, "ambiguous")}
     known = names.withColumn("known_id", F.when(F.col("name_id") == "amb", 3).when(F.col("name_id") == "one", 77).cast("long"))
     halves = known.withColumns({"ls": F.when(F.col("name_id") == "none", "x").otherwise("-"), "rs": F.when(F.col("name_id") == "none", "x"), "lr": F.lit("-"), "rr": F.lit(None).cast("string")})
-    out = {r.name_id: (r.tier, r.ref_id, r.candidates) for r in identity.tiered_match(halves, [(k, identity.candidate_index(ref, k)) for k in ("strict", "relaxed")], ref.select("ref_id"), [("ls", "rs"), ("lr", "rr")]).collect()}
+    keys = ("strict", "relaxed")
+    full = identity.tiered_match(halves, [(k, identity.candidate_index(ref, k)) for k in keys], ref.select("ref_id"), [("ls", "rs"), ("lr", "rr")], [identity.candidate_lists(ref, k) for k in keys])
+    out = {r.name_id: (r.tier, r.ref_id, r.candidates) for r in full.collect()}
     assert out["amb"] == (0, 3, []) and out["one"] == (1, 1, []) and out["none"] == (3, 1, []) and out["two"] == (2, None, [1, 9])
     loose = spark.createDataFrame([("x", 1, None, False), ("x", 2, 2, False)] + [("many", i, i, False) for i in range(30)], "strict string, ref_id long, root_id long, on_platform boolean")
-    out = {r.name_id: (r.status, r.candidates) for r in identity.tiered_match(names.withColumn("strict", F.when(F.col("name_id") == "two", "many").otherwise(F.col("strict"))), [("strict", identity.candidate_index(loose, "strict"))]).collect()}
+    out = {r.name_id: (r.status, r.candidates) for r in identity.tiered_match(names.withColumn("strict", F.when(F.col("name_id") == "two", "many").otherwise(F.col("strict"))), [("strict", identity.candidate_index(loose, "strict"))], lists=[identity.candidate_lists(loose, "strict")]).collect()}
     assert out["one"] == ("ambiguous", [1, 2]) and out["two"] == ("ambiguous", list(range(20)))
     left, right = identity.name_halves(F.col("t"))
     assert [tuple(r) for r in spark.createDataFrame([("A b (C d) ",), ("A (b) c",), (None,)], "t string").select(left, right).collect()] == [("A b", "C d"), (None, None), (None, None)]
-    pairs = spark.createDataFrame([("p", "left", 1, 7), ("p", "right", 2, 7), ("q", "left", 1, 7), ("q", "right", 3, 8)], "name_id string, side string, ref_id long, root_id long")
-    assert by(identity.paired_match(pairs), "name_id", "ref_id") == {"p": 1}
+
+
+def test_overrides(spark):
+    """Each decision, with sources that still overlap and with others; unavailable ids; malformed decisions raise once they are met."""
+    entries = spark.createDataFrame([(n, ["p1", "p2"], 1) for n in "abcdefg"] + [("h", None, 4)], "name string, sources array<string>, ref_id long")
+    schema = "name string, sources array<string>, ref_id long, status string, canonical_id string, canonical_name string, type string"
+    rows = [
+        ("a", ["p2"], 7, None, None, None, None), ("b", ["moved"], 7, None, None, None, None), ("c", ["p1"], 99, None, None, None, None), ("d", ["p1"], None, "non_game", None, None, None),
+        ("e", ["p1"], None, "identified", "local:a-1", "Name", "main"), ("f", ["p1"], 7, "review", None, None, None), ("h", ["p1"], 7, None, None, None, None), ("z", ["p1"], None, None, None, None, None),
+    ]
+    ref = spark.createDataFrame([(7,), (7,), (1,)], "ref_id long")
+    out = {r.name: tuple(r)[1:] for r in identity.guarded_override(entries, spark.createDataFrame(rows, schema), ref, ("main",)).collect()}
+    assert out == {
+        "a": (7, None, "override", None), "b": (None, None, "review", "sources changed"), "c": (None, None, "review", "reviewed id unavailable"), "d": (None, None, "non_game", None),
+        "e": (None, "local:a-1", "local", None), "f": (None, None, "review", None), "g": (1, None, "unreviewed", None), "h": (None, None, "review", "sources changed"),
+    }
+    for bad in (("a", ["p1"], None, None, None, None, None), ("a", ["p1"], None, "identified", "local:A", "Name", "main"), ("a", ["p1"], None, "identified", "local:a", "", "main"), ("a", ["p1"], None, "identified", "local:a", "Name", "other")):
+        with pytest.raises(Exception, match="malformed reviewed identity for a"):
+            identity.guarded_override(entries, spark.createDataFrame([bad], schema), ref, ("main",)).collect()
 
 
 def test_resolve_and_summary(spark):
