@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.versions import parse_size
@@ -148,18 +148,20 @@ def target(base: str | None, href: str) -> str:
         return ""
 
 
+def distinct_links(page: Page, base: str | None) -> Iterator[tuple[int, str, str]]:
+    """pos, url and label of a page's web links, each address once."""
+    seen: set[str] = set()
+    for href, label in page.links:
+        url = target(base, href)
+        if url.startswith(("http://", "https://")) and url not in seen:
+            seen.add(url)
+            yield len(seen) - 1, url, squeeze("".join(label))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id, pos, url (resolved against the page, redirects followed in their text) and label of each distinct link, in page order."""
 
-    def make(page: Page, page_id: int, base: str | None) -> Iterator[tuple]:
-        seen: set[str] = set()
-        for href, label in page.links:
-            url = target(base, href)
-            if url.startswith(("http://", "https://")) and url not in seen:
-                seen.add(url)
-                yield page_id, len(seen) - 1, url, squeeze("".join(label))
-
-    return _rows(pages, ["html", "page_id", "url"], "page_id long, pos int, url string, label string", make)
+    return _rows(pages, ["html", "page_id", "url"], "page_id long, pos int, url string, label string", lambda page, i, base: ((i, *link) for link in distinct_links(page, base)))
 
 
 def events(pages: DataFrame) -> DataFrame:
@@ -259,3 +261,26 @@ def expand_base64(text: Column, most: int = 500_000) -> Column:
     """Strictly decoded UTF-8; empty for invalid or overlong input."""
     raw = F.try_to_binary(F.when(F.length(text) <= most, text), F.lit("base64"))
     return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.lit(""))
+
+
+class PageLinks:
+    """The links of one page as a table: pos, url and label, in page order and each address once."""
+
+    def eval(self, html: str | None, url: str | None) -> Iterator[tuple[int, str, str]]:
+        yield from distinct_links(Page(html), url)
+
+
+class PageLines:
+    """The visible texts of one page as a table: pos and line."""
+
+    def eval(self, html: str | None) -> Iterator[tuple[int, str]]:
+        yield from enumerate(Page(html).lines())
+
+
+def register_page_functions(spark: SparkSession) -> None:
+    """Makes page_links(html, url) and page_lines(html) table functions of the session's SQL, to be called for each row by LATERAL.
+
+    Rows go to and from Python as Arrow batches.
+    """
+    spark.udtf.register("page_links", F.udtf(PageLinks, returnType="pos int, url string, label string", useArrow=True))
+    spark.udtf.register("page_lines", F.udtf(PageLines, returnType="pos int, line string", useArrow=True))

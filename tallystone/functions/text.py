@@ -204,12 +204,12 @@ def product_code(label: Column) -> Column:
 def stated_requirement(label: Column, brackets: str = "()") -> Column:
     """The first bracket that holds requirement versions and nothing else: versions with / between, as one text without spaces.
 
-    A version is 9.00 or 7.xx; words for firmware before it and a plus after it may stand. Dashes and plus signs between versions read as they are, but for hyphens, which are slashes.
+    A version is 9.00 or 7.xx; in round brackets words for firmware before it and blanks, in all a plus after it may stand. Dashes and plus signs between versions read as they are, but for hyphens, which are slashes.
     """
     opening, closing = brackets
     closed = F.slice(F.split(_spaced(label), "\\" + closing), 1, F.greatest(F.size(F.split(_spaced(label), "\\" + closing)) - 1, F.lit(0)))
-    inside = F.transform(F.filter(closed, lambda s: F.contains(s, F.lit(opening))), lambda s: F.lower(F.regexp_replace(F.substring_index(s, opening, -1), r"\s+", "")))
-    bare = F.transform(inside, lambda s: F.regexp_replace(s, "^(?:fix|fw|firmware)", "")) if brackets == "()" else inside
+    inside = F.transform(F.filter(closed, lambda s: F.contains(s, F.lit(opening))), lambda s: F.lower(F.substring_index(s, opening, -1)))
+    bare = inside if opening == "[" else F.transform(inside, lambda s: F.regexp_replace(F.regexp_replace(s, r"\s+", ""), "^(?:fix|fw|firmware)", ""))
     version = lambda x: x.rlike(r"^\d+\.(?:\d+|xx)$")
     listed = lambda s: F.split(F.when(s.endswith("+"), F.substr(s, F.lit(1), F.char_length(s) - 1)).otherwise(s), r"[/+\x{2013}-]")
     return F.translate(F.get(F.filter(bare, lambda s: F.forall(listed(s), version)), F.lit(0)), "-", "/")

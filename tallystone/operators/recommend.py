@@ -68,16 +68,15 @@ def choose_families(releases: DataFrame, fits: Column, wanted: DataFrame | None
     """
     key = ["game", "family"]
     rows = releases.filter(F.col("family").isNotNull() & F.col("kind").isin("base", "update", "dlc")).withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_v": version_key(F.col("version"))})
-    better = F.struct(
-        F.col("_v").isNull().alias("a"), F.transform("_v", lambda x: -x).alias("b"), (F.coalesce("variant", F.lit("")) != "").alias("c"), F.col("host_rank").alias("d"), F.col("pos").alias("e")
-    )
+    # The larger, the better.
+    better = F.struct(F.col("_v").isNotNull().alias("a"), F.col("_v").alias("b"), (F.coalesce("variant", F.lit("")) == "").alias("c"), (-F.col("host_rank")).alias("d"), (-F.col("pos")).alias("e"))
     is_base = F.col("kind") == "base"
     families = rows.groupBy(*key).agg(
         F.min("pos").alias("_first"), F.count_if(is_base).alias("_bases"), F.count_if(F.col("kind") == "dlc").alias("_dlc"),
-        F.min_by(F.struct("pos", "host_rank", "_v"), F.when(is_base & F.col("_fits"), better)).alias("_base"),
+        F.max_by(F.struct("pos", "host_rank", "_v"), F.when(is_base & F.col("_fits"), better)).alias("_base"),
     ).filter("_bases > 0")
     newer = F.col("_base").isNotNull() & F.col("_v").isNotNull() & (F.col("_base._v").isNull() | (F.col("_v") > F.col("_base._v")))
-    updates = rows.filter("kind = 'update' AND _fits").join(families.select(*key, "_base"), key).filter(newer).groupBy(*key).agg(F.min_by("pos", better).alias("_update"))
+    updates = rows.filter("kind = 'update' AND _fits").join(families.select(*key, "_base"), key).filter(newer).groupBy(*key).agg(F.max_by("pos", better).alias("_update"))
     scored = families.join(updates, key, "left")
     if wanted is not None:
         scored = scored.join(wanted.select(*key).distinct().withColumn("_wanted", F.lit(True)), key, "left")

@@ -655,7 +655,7 @@ _PHRASES = (
 _CODES, _HOSTS = (200, 404, 410, 403, 429, 500, 301), ("files.example.org", "example.net", "cdn.example.net", "badexample.net", "example.com")
 
 
-@query(f"""
+@query(rf"""
 WITH p AS (SELECT p_partkey, {list(_CODES)}[1 + p_size % 7] AS code, {list(_HOSTS)}[1 + p_partkey % 5] AS host, p_name, {[x.replace("'", "") for x in _PHRASES]}[1 + (p_partkey // 5) % 10] AS phrase FROM part),
 t AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(p_name || ' ' || phrase, '<script>.*</script>', ' '), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM p),
 r AS (SELECT *, CASE WHEN host = 'files.example.org' THEN contains(text, 'the file was deleted by its owner') WHEN host IN ('example.net', 'cdn.example.net') THEN contains(text, 'no such item') ELSE false END AS gone,
@@ -935,6 +935,6 @@ def page_after(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other queries register themselves.
-from tallystone import index_queries  # noqa: E402, F401
+from tallystone import index_queries, rule_queries  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
