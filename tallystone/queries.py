@@ -585,12 +585,28 @@ def url_domain_stats(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(urls.in_domain(F.col("domain"), "example.com")).alias("n_com"), F.count_if(urls.is_valid(F.col("url"))).alias("n_valid"))
 
 
-@query()
+#: A page without comments, scripts and styles, and a text with the pages' character references decoded.
+_BODY = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)>', '', 'g')"
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_SQUEEZED = r"trim(regexp_replace({}, '[\s\x{{a0}}]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_SQUEEZED.format(_DECODED.format(f"regexp_replace({_BODY}, '<[^>]*>', ' ', 'g')"))} AS text FROM pages")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return html.visible_text(table(spark, d, "pages"))
 
 
-@query()
+#: Links as they stand, joined with the page's host; each address once.
+LINKS_SQL = rf"""
+WITH h AS (SELECT page_id, url, {_BODY} AS h FROM pages),
+a AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+', 0) AS host, unnest(regexp_extract_all(h, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(h, '<a href="[^"]*">([^<]*)</a>', 1)) AS label,
+    unnest(range(len(regexp_extract_all(h, '<a href="([^"]*)">', 1)))) AS i FROM h),
+f AS (SELECT page_id, host || {_DECODED.format("href")} AS url, trim({_DECODED.format("label")}) AS label, i FROM a)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, url, label FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY i) = 1)
+"""
+
+
+@query(LINKS_SQL)
 def html_links(spark: SparkSession, d: str) -> DataFrame:
     return html.links(table(spark, d, "pages"))
 
@@ -772,7 +788,13 @@ def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(rf"""
+WITH h AS (SELECT page_id, regexp_extract_all({_BODY}, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>|<hr\b[^>]*>|<a href="[^"]*">') AS found FROM pages),
+e AS (SELECT page_id, unnest(found) AS e, unnest(range(len(found))) AS pos FROM h),
+v AS (SELECT page_id, pos, e LIKE '<a %' AS is_link, CASE WHEN e LIKE '<a %' THEN {_DECODED.format("""regexp_extract(e, '"([^"]*)"', 1)""")} WHEN e NOT LIKE '<hr%' THEN {_SQUEEZED.format(_DECODED.format("regexp_replace(e, '<[^>]*>', '', 'g')"))} END AS value FROM e),
+w AS (SELECT *, max(CASE WHEN NOT is_link THEN pos END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS said FROM v)
+SELECT w.page_id, w.pos::INT AS pos, w.value, c.value AS context FROM w LEFT JOIN v c ON c.page_id = w.page_id AND c.pos = w.said WHERE w.is_link
+""")
 def html_context(spark: SparkSession, d: str) -> DataFrame:
     return evidence.carry_forward(html.events(table(spark, d, "pages")), "page_id", ["pos"], F.col("kind") == "break", F.when(F.col("kind") == "heading", F.col("value"))).filter("kind = 'link'").select("page_id", "pos", "value", "context")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallystone.functions import html, text
 from tallystone.operators import identity, incremental, recommend, versioned
 from tallystone.operators.versioned import Migration
-from tallystone.registry import query
+from tallystone.registry import ORACLE_SQL, query
 from tallystone.sources import variants
 from tallystone.sources.tables import table
 
@@ -189,15 +189,7 @@ def mixed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 # Pages from SQL
 
-_HTML = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)>', '', 'g')"
-
-
-@query(rf"""
-WITH a AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+', 0) AS host, unnest(regexp_extract_all(h, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(h, '<a href="[^"]*">([^<]*)</a>', 1)) AS label,
-    unnest(range(len(regexp_extract_all(h, '<a href="([^"]*)">', 1)))) AS i FROM (SELECT page_id, url, {_HTML} AS h FROM pages)),
-f AS (SELECT page_id, host || href AS url, trim(label) AS label, i FROM a QUALIFY row_number() OVER (PARTITION BY page_id, host || href ORDER BY i) = 1)
-SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, url, label FROM f
-""")
+@query(ORACLE_SQL["html_links"])
 def html_links_sql(spark: SparkSession, d: str) -> DataFrame:
     """The links of all pages by a table function in SQL, for each page its own."""
     html.register_page_functions(spark)
