@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.functions import html, text
-from tallystone.operators import identity, incremental, recommend, versioned
+from tallystone.functions import api, dates, html, text, versions
+from tallystone.functions.api import ApiRule
+from tallystone.operators import coverage, facets, identity, incremental, recommend, sizing, versioned
 from tallystone.operators.versioned import Migration
 from tallystone.registry import ORACLE_SQL, query
-from tallystone.sources import variants
-from tallystone.sources.tables import table
+from tallystone.sources import sinks, variants
+from tallystone.sources.tables import explode_links, table
 
 # Identities in full
 
@@ -238,3 +239,121 @@ def queue_after_retry(spark: SparkSession, d: str) -> DataFrame:
     sources = queue.select("event_id", "source").unionByName(found)
     open_holds = holds.filter(~((F.col("source") % 3 == 1) & (F.col("reason") == "refused")))
     return incremental.runnable(grown.join(sources, "event_id"), open_holds, "source").select("event_id", "status")
+
+
+# Small rules on whole tables
+
+_API = [
+    ApiRule("a.example.org", missing=("$.message", r"(?i)not found #\d+"), restricted=("$.message", r"(?i)not allowed #\d+"), checksum="whirlpool"),
+    ApiRule("b.example.org", missing=("$.exist", "false"), ok=("$.exist", "true")),
+]
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 3 AS h, p_size % 6 AS k, p_size, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS name, sha256(p_name) AS sha, md5(p_name) AS md FROM part)
+SELECT p_partkey, CASE WHEN k = 0 AND h < 2 THEN 'missing' WHEN k = 1 AND h = 0 THEN 'restricted_file' WHEN k IN (2, 3) THEN 'known' ELSE 'unknown' END AS status,
+  CASE WHEN k IN (2, 3) THEN p_size END::BIGINT AS size_bytes, CASE WHEN k IN (2, 3) OR k = 4 AND h = 1 THEN name END AS filename,
+  CASE WHEN k = 2 THEN 'sha256=' || sha WHEN k = 3 THEN 'md5=' || md WHEN k = 4 AND h = 1 THEN '' END AS checksums FROM p
+""")
+def api_file_states(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of three hosts: files gone, restricted, stated in full, without a size, and no objects."""
+    h, k, size = F.col("p_partkey") % 3, F.col("p_size") % 6, F.col("p_size")
+    exist = F.when(k == 0, F.lit(False)).when(k.isin(2, 3, 4), F.lit(True))
+    message = F.when(k == 0, F.lit("Not found #12")).when(k == 1, F.lit("NOT ALLOWED #7"))
+    answer = F.to_json(F.struct(
+        F.when(h == 0, message).alias("message"), F.when(h == 1, exist).alias("exist"), F.when(k.isin(2, 3, 4), F.concat(F.lit(" "), F.col("p_name"), F.lit(" "))).alias("filename"),
+        F.when(k.isin(2, 3), size.cast("string")).when(k == 4, F.lit("12 MB")).alias("size"), F.when(k == 2, F.upper(F.sha2("p_name", 256))).when(k == 3, F.left(F.sha2("p_name", 256), F.lit(63))).alias("sha256"),
+        F.when(k == 3, F.md5(F.col("p_name").cast("binary"))).alias("md5"),
+    ))
+    document = F.try_parse_json(F.when(k == 5, F.lit("[1]")).otherwise(answer))
+    host = F.element_at(F.array(*map(F.lit, ("a", "b", "c"))), (h + 1).cast("int"))
+    said = api.file_state(F.concat(F.lit("https://"), host, F.lit(".example.org/f")), document, _API)
+    sums = F.array_join(F.transform(F.map_entries(said["checksums"]), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return table(spark, d, "part", "p_partkey", "p_size", "p_name").select("p_partkey", said["status"].alias("status"), said["size_bytes"].alias("size_bytes"), said["filename"].alias("filename"), sums.alias("checksums"))
+
+
+@query("""
+SELECT l_partkey, grp, i - 1 AS pos, 'https://x.example.org/' || l_orderkey AS url FROM (
+  SELECT l_partkey, l_returnflag AS grp, l_orderkey, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem)
+""")
+def exploded_links(spark: SparkSession, d: str) -> DataFrame:
+    """Grouped links of listings, one row each, in their order."""
+    url = F.concat(F.lit("https://x.example.org/"), F.col("l_orderkey").cast("string"))
+    groups = table(spark, d, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", url.alias("url")))), lambda x: x["url"]).alias("urls"))
+    listings = groups.groupBy("l_partkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "urls"))).alias("download_links"))
+    rows = explode_links(listings.select(F.col("l_partkey").cast("string").alias("name"), F.lit(None).cast("string").alias("page_url"), "download_links"))
+    return rows.select(F.col("name").cast("bigint").alias("l_partkey"), "grp", F.col("pos").cast("bigint").alias("pos"), "url")
+
+
+@query("""
+SELECT p_partkey, 'p-' || left(sha256(lower(p_name) || chr(10) || p_brand), 20) AS id, left(sha256(p_type), 16) AS stamp, regexp_replace(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') AS slug,
+  upper(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS shown FROM part
+""")
+def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(
+        "p_partkey", sinks.surrogate_id("p", F.lower("p_name"), F.col("p_brand")).alias("id"), sinks.content_stamp(F.col("p_type")).alias("stamp"), text.slug(F.col("p_type")).alias("slug"), text.upper_clean(F.col("p_name")).alias("shown")
+    )
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 = 0 AS of_source, l_returnflag = 'A' AS of_kind, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_linestatus END AS region, l_discount > 0.09 AS conflict FROM lineitem)
+SELECT l_orderkey, l_linenumber, of_kind AS in_view FROM l WHERE of_source AND coalesce(region = 'F', false) AND NOT conflict
+""")
+def context_releases(spark: SparkSession, d: str) -> DataFrame:
+    """Releases of a source and region: in view if of the kind too, else kept for the recommendation."""
+    regions = F.when(F.col("l_linenumber") % 5 != 0, F.array("l_linestatus"))
+    rows = table(spark, d, "lineitem").withColumn("regions", regions)
+    region = facets.region_facet(F.col("regions"), F.col("l_discount") > 0.09, "F")
+    return facets.recommendation_context(rows, F.col("l_suppkey") % 3 == 0, region, F.col("l_returnflag") == "A").select("l_orderkey", "l_linenumber", "in_view")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 300000 AND o_orderkey % 7 <> 0 THEN o_totalprice END AS price,
+  CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN NULL WHEN 2 THEN 9007199254740991 ELSE NULL END::BIGINT AS size FROM orders
+""")
+def numeric_guards(spark: SparkSession, d: str) -> DataFrame:
+    """Finite values within bounds, and whole numbers up to 2^53 - 1 from texts."""
+    k = F.col("o_orderkey")
+    price = F.when(k % 14 == 0, F.lit(float("nan"))).when(k % 7 == 0, F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
+    size = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.concat(k.cast("string"), F.lit(".0"))).when(k % 4 == 2, F.lit("9007199254740991")).otherwise("9007199254740992")
+    return table(spark, d, "orders").select("o_orderkey", versions.finite(price, 1000, 300000).alias("price"), versions.safe_integer(size).alias("size"))
+
+
+@query("""
+WITH e AS (SELECT o_orderkey, o_orderdate::DATE AS day, ['F', 'O', 'P'][1 + o_orderkey % 3] AS kind FROM orders)
+SELECT year(day)::INT AS year, count(*) FILTER (WHERE o_orderkey % 5 IN (1, 2) AND kind <> 'P') AS n, max(last_day(day)) FILTER (WHERE o_orderkey % 5 IN (1, 2) AND kind <> 'P' AND last_day(day) <= DATE '1998-06-30')::VARCHAR AS last
+FROM e GROUP BY 1
+""")
+def qualifying_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates on two platforms whose status is a release, and the last that lies in the past."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    status = F.element_at(F.array(F.lit("Full release"), F.lit("Offline"), F.lit("Cancelled early")), (k % 3 + 1).cast("int"))
+    ok = dates.qualifies((k % 5).cast("int"), [1, 2], status)
+    end = dates.end_of_period(F.lit(None).cast("string"), F.lit("YYYYMM"), F.lit(None).cast("bigint"), F.year(at), F.month(at), F.lit("1998-06-30").cast("date"), 1990)
+    rows = table(spark, d, "orders").select(F.year(at).alias("year"), ok.alias("ok"), end.alias("end"))
+    return rows.groupBy("year").agg(F.count_if("ok").alias("n"), F.max(F.when(F.col("ok"), F.col("end"))).cast("string").alias("last"))
+
+
+@query("""
+WITH l AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+b AS (SELECT sum(n_chars)::BIGINT AS known_bytes FROM documents)
+SELECT (SELECT count(*) FROM customer) AS n_listings, (SELECT sum(n) FROM l JOIN customer ON c_custkey = o_custkey)::BIGINT AS n_links, known_bytes FROM b
+""")
+def table_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Listings and their links, and bytes over all copies."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("links"))
+    counted = coverage.totals(table(spark, d, "customer", "c_custkey").join(orders, "c_custkey", "left"), "links")
+    return counted.withColumn("_one", F.lit(1)).join(sizing.known_bytes(table(spark, d, "documents", F.col("n_chars").alias("size_bytes"))).withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+@query("""
+SELECT event_id, user_id, event_type AS status FROM events WHERE NOT (user_id = 3 AND event_type = 'error')
+""")
+def retried_once(spark: SparkSession, d: str) -> DataFrame:
+    """One source's held results are dropped for a retry; the same request again changes nothing."""
+    state = table(spark, d, "events", "event_id", "user_id", F.when(F.col("event_type") == "error", "held").otherwise(F.col("event_type")).alias("status"))
+    holds = spark.createDataFrame([(3, "limit"), (4, "limit"), (5, "refused")], "user_id long, reason string")
+    markers = spark.createDataFrame([], "marker string")
+    for name, reason, marker in ((3, "limit", "first"), (4, "limit", "first"), (5, "limit", "second")):
+        state, holds, markers = incremental.retry_once(state, holds, markers, marker, "user_id", name, reason)
+    return state.withColumn("status", F.when(F.col("status") == "held", "error").otherwise(F.col("status")))
