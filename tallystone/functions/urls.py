@@ -54,11 +54,19 @@ def file_name(url: Column, extensions: str = "pkg|zip|rar|7z|iso|html|pdf") -> C
     return F.try_element_at(F.transform(parts, lenient_decode), F.lit(-1))
 
 
+#: Extensions of archives that a number of three digits follows when they are cut.
+NUMBERED = ("7z", "zip", "pkg")
+
+
 def multipart(name: Column) -> tuple[Column, Column]:
-    """Group and part number of names such as x.part2.rar and x.7z.003; null for others."""
-    p = r"(?i)^(.*?)(?:\.part0*(\d+)\.rar|\.7z\.0*(\d+))$"
-    number = F.coalesce(F.nullif(F.regexp_extract(name, p, 2), F.lit("")), F.nullif(F.regexp_extract(name, p, 3), F.lit("")))
-    return F.nullif(F.regexp_extract(name, p, 1), F.lit("")), number.cast("int")
+    """Group and part number of names such as x.part2.rar (group x) and x.7z.003 (group x.7z); null for others."""
+    parts = F.split(name, r"\.")
+    last, before, n = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2)), F.size(parts)
+    of_rar = (F.lower(last) == "rar") & before.rlike(r"(?i)^part\d+$") & (n > 2)
+    cut = last.rlike(r"^\d{3}$") & F.lower(before).isin(*NUMBERED) & (n > 2)
+    group = F.when(of_rar, F.array_join(F.slice(parts, F.lit(1), n - 2), ".")).when(cut, F.array_join(F.slice(parts, F.lit(1), n - 1), "."))
+    number = F.when(of_rar, F.substr(before, F.lit(5))).when(cut, last)
+    return group, number.cast("int")
 
 
 #: Where the id of a hosted file stands in its address.
@@ -99,3 +107,9 @@ def is_catalogue_page(url: Column, domains: list[str]) -> Column:
     """Whether an address is an https page of exactly these hosts, without user data."""
     full = with_scheme(url)
     return F.coalesce(full.startswith("https://") & host(url).isin(*domains) & is_valid(url), F.lit(False))
+
+
+def enclosing_domains(name: Column) -> Column:
+    """A domain and all that it lies in, the longest first: a.b.org, b.org, org."""
+    labels = F.split(name, r"\.")
+    return F.when(name != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))

@@ -21,6 +21,21 @@ def classify(url: Column, rules: list[tuple[str, str, str]], default: tuple[str,
     return (label.otherwise(F.lit(default[0])), group.otherwise(F.lit(default[1]))) if label is not None else (F.lit(default[0]), F.lit(default[1]))
 
 
+def classified(links: DataFrame, rules: DataFrame, default: tuple[str | None, str] = (None, "other")) -> DataFrame:
+    """links (url) with label and grp of the first rule that holds; without one the default, whose label is the bare domain if None.
+
+    rules: ord, domain, path (a pattern that is looked for in the path, or null for all paths), label,
+    grp. A rule holds for its domain and those below it. The rules are a table of any size: each
+    address is joined with those of the domains that it lies in, and addresses are classified once.
+    """
+    domain = F.coalesce(urls.domain(F.col("url")), F.lit(""))
+    each = links.select("url").filter("url IS NOT NULL").distinct().select("url", urls.path_of(F.col("url")).alias("_path"), F.explode(urls.enclosing_domains(domain)).alias("domain"))
+    held = each.join(rules.select("ord", "domain", "path", "label", "grp"), "domain").filter(F.col("path").isNull() | F.regexp_like("_path", "path"))
+    first = held.groupBy("url").agg(F.min_by(F.struct("label", "grp"), "ord").alias("_rule"))
+    label, grp = F.coalesce("_rule.label", domain if default[0] is None else F.lit(default[0])), F.coalesce("_rule.grp", F.lit(default[1]))
+    return links.join(first, "url", "left").withColumns({"label": label, "grp": grp}).select(*links.columns, "label", "grp")
+
+
 def allowed(url: Column, domains: list[str]) -> Column:
     host = F.coalesce(urls.domain(url), F.lit(""))
     return reduce(lambda a, b: a | b, [urls.in_domain(host, d) for d in domains], F.lit(False))

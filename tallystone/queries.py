@@ -690,13 +690,17 @@ def response_states(spark: SparkSession, d: str) -> DataFrame:
     return html.response_states(rows.join(texts, "page_id"), rules).select(F.col("page_id").alias("p_partkey"), "state")
 
 
-@query("SELECT p_partkey, 'archive' AS grp, (p_size)::INT AS part FROM part")
+@query("""
+WITH p AS (SELECT p_partkey, p_size, p_partkey % 5 AS k, lower(replace(p_brand, '#', '.')) AS stem FROM part)
+SELECT p_partkey, CASE WHEN k = 0 THEN stem WHEN k = 1 THEN stem || '.7z' WHEN k = 2 THEN stem || '.ZIP' END AS grp, CASE WHEN k < 3 THEN p_size END::INT AS part FROM p
+""")
 def multipart_names(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 2
-    url = F.concat(F.lit("https://files.example.org/d/archive"), F.when(k == 0, F.format_string(".part%02d.rar", "p_size")).otherwise(F.format_string(".7z.%03d", "p_size")), F.lit("?ref=x"))
-    name = urls.file_name(F.regexp_replace(url, r"\.7z\.(\d+)", ".7z.$1"), "rar|\\d{3}")
+    """Parts of three kinds of archives, two digits that are no part, and a whole file."""
+    k, stem = F.col("p_partkey") % 5, F.lower(F.replace("p_brand", F.lit("#"), F.lit(".")))
+    ending = F.when(k == 0, F.format_string(".part%02d.rar", "p_size")).when(k == 1, F.format_string(".7z.%03d", "p_size")).when(k == 2, F.format_string(".ZIP.%03d", "p_size")).when(k == 3, F.lit(".7z.01")).otherwise(".rar")
+    name = urls.file_name(F.concat(F.lit("https://files.example.org/d/"), stem, ending, F.lit("?ref=x")), "rar|\\d{2,3}")
     grp, number = urls.multipart(name)
-    return table(spark, d, "part", "p_partkey", "p_size").select("p_partkey", grp.alias("grp"), number.alias("part"))
+    return table(spark, d, "part", "p_partkey", "p_brand", "p_size").select("p_partkey", grp.alias("grp"), number.alias("part"))
 
 
 @query(f"""

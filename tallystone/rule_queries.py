@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import api, dates, html, text, versions
 from tallystone.functions.api import ApiRule
-from tallystone.operators import coverage, facets, identity, incremental, recommend, sizing, versioned
+from tallystone.operators import coverage, facets, identity, incremental, links, recommend, sizing, versioned
 from tallystone.operators.versioned import Migration
 from tallystone.registry import ORACLE_SQL, query
 from tallystone.sources import sinks, variants
@@ -357,3 +357,20 @@ def retried_once(spark: SparkSession, d: str) -> DataFrame:
     for name, reason, marker in ((3, "limit", "first"), (4, "limit", "first"), (5, "limit", "second")):
         state, holds, markers = incremental.retry_once(state, holds, markers, marker, "user_id", name, reason)
     return state.withColumn("status", F.when(F.col("status") == "held", "error").otherwise(F.col("status")))
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '')"
+_PATH = "regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+r AS (SELECT *, (host = 'example.org' OR host LIKE '%.example.org') AS org, (host = 'example.com' OR host LIKE '%.example.com') AS com FROM p)
+SELECT page_id, CASE WHEN org AND regexp_matches(path, '^/(es|fr)/') THEN 'translated' WHEN com THEN 'shop' WHEN org THEN 'community' WHEN host LIKE '%.net' THEN 'network' ELSE host END AS label,
+  CASE WHEN org AND regexp_matches(path, '^/(es|fr)/') THEN 'main' WHEN com THEN 'side' WHEN org THEN 'main' WHEN host LIKE '%.net' THEN 'side' ELSE 'other' END AS grp FROM r
+""")
+def link_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Pages classified by a table of rules: a path of a domain before the domain, and a rule for a whole top domain."""
+    rules = [(1, "example.org", "^/(es|fr)/", "translated", "main"), (2, "example.com", None, "shop", "side"), (3, "example.org", None, "community", "main"), (4, "example.org", "^/es/", "never", "never"), (5, "net", None, "network", "side")]
+    table_of = spark.createDataFrame(rules, "ord int, domain string, path string, label string, grp string")
+    return links.classified(table(spark, d, "pages", "page_id", "url"), table_of).select("page_id", "label", "grp")

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.operators import coverage, evidence, facets, grouping, identity, incremental, recommend, sizing
+from tallystone.operators import coverage, evidence, facets, grouping, identity, incremental, links, recommend, sizing
 from tallystone.plans import checks
 from tallystone.sources import sinks, tables
 
@@ -105,6 +105,19 @@ def test_overrides(spark):
             identity.guarded_override(entries, spark.createDataFrame([bad], schema), ref, ("main",)).collect()
 
 
+def test_link_rules(spark):
+    """First rule by its order, with and without a path; names that only end alike; addresses without a rule or a host."""
+    rules = spark.createDataFrame([(2, "example.org", None, "all", "g"), (1, "example.org", "^/f/", "files", "g"), (3, "a.example.org", None, "late", "g"), (4, "example.net", "[0-9]$", "ids", "n")], "ord int, domain string, path string, label string, grp string")
+    cases = {
+        "https://example.org/f/1": ("files", "g"), "https://a.example.org/x": ("all", "g"), "https://www.A.Example.org/f/": ("all", "g"), "https://example.org.evil.test/f/1": ("example.org.evil.test", "other"),
+        "https://badexample.org/": ("badexample.org", "other"), "https://x.example.net/a1": ("ids", "n"), "https://x.example.net/a": ("x.example.net", "other"), "nothing": ("", "other"),
+    }
+    df = spark.createDataFrame([(u, 1) for u in [*cases, "https://example.org/f/1"]] + [(None, 2)], "url string, ord int")
+    out = links.classified(df, rules)
+    assert {r.url: (r.label, r.grp) for r in out.collect()} == {**cases, None: ("", "other")} and out.count() == len(cases) + 2 and out.columns == ["url", "ord", "label", "grp"]
+    assert {r.label for r in links.classified(df, rules.limit(0), ("Other", "rest")).collect()} == {"Other"}
+
+
 def test_resolve_and_summary(spark):
     matches = spark.createDataFrame([("a", 1, None), ("b", 2, "2024"), ("c", 3, None), ("d", None, None), ("e", 4, None)], "name_id string, ref_id long, reviewed_at string")
     roots = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, None)], "node long, root long")
