@@ -79,7 +79,7 @@ class LineRuns:
         self._prefix, self._made = f"line_run_{uuid.uuid4().hex}", 0
 
     def _write(self, run: DataFrame, level: int) -> None:
-        """run is dealt by key into the buckets already, so that a bucket is written by one or two tasks."""
+        """run is dealt by key into the buckets already, so that a bucket is written by one task."""
         name = f"{self._prefix}_{self._made}"
         self._made += 1
         run.write.mode("overwrite").format("parquet").option("path", f"{self.folder}/{name}").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
@@ -107,12 +107,14 @@ class LineRuns:
         which keys are new, and only these get an owner from this batch.
         """
         own = keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner"))
-        own = own.repartition(self.buckets, "key")
         held = self.runs()
         if held:
+            own = own.repartition(self.buckets, "key")
             fresh = reduce(lambda left, run: left.join(run.select("key").hint("merge"), "key", "left_anti"), held, own)
             known = own.join(fresh.select("key").hint("merge"), "key", "left_anti").withColumn("owner", F.lit(None).cast("long"))
             own = fresh.unionByName(known)
+        # One task and one file for each bucket, however many partitions the joins had; a bucket is its rows' hash modulo the number of buckets.
+        own = own.repartitionById(self.buckets, F.pmod(F.hash("key"), F.lit(self.buckets)))
         self._write(own, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
