@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallystone.operators import bitmaps, entities, rankindex, textindex
 from tallystone.registry import query
@@ -126,11 +127,16 @@ def source_breaker(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("held_at", F.col("held_at").cast("timestamp_ntz"))
 
 
+#: Files of a batch. A user's events of one batch are in one file, so wherever a stream parts files into batches, it has them in their order.
+_FILES = 16
+
+
 def _in_files(events: DataFrame, batch: Column, most: int, folder: str) -> str:
-    """Writes events as one file for each batch number below most, in that order."""
-    numbered = events.withColumn("_batch", batch)
+    """Writes events as files of each batch number below most, in that order; by many tasks, and each row read once by its batch."""
+    events.withColumn("_batch", batch).write.partitionBy("_batch").parquet(f"{folder}-staged")
+    staged = events.sparkSession.read.schema(StructType([*events.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{folder}-staged")
     for n in range(most):
-        numbered.filter(F.col("_batch") == n).drop("_batch").coalesce(1).write.mode("append").parquet(folder)
+        staged.filter(F.col("_batch") == n).drop("_batch").repartition(_FILES, "user_id").write.mode("append").parquet(folder)
     return folder
 
 
@@ -139,7 +145,7 @@ def source_breaker_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same from a stream of six batches, the breaker carried in the state."""
     days = F.datediff("ts", F.lit("2024-01-01"))
     path = _in_files(_events(spark, d), F.least(F.greatest(F.floor(days / 5), F.lit(0)), F.lit(5)), 6, f"{working_dir(spark)}/batches")
-    rows = sources.streamed(spark, path, lambda events: sources.breaker_stream(events, length=2), sources.BREAKER, "user_id")
+    rows = sources.streamed(spark, path, lambda events: sources.breaker_stream(events, length=2), sources.BREAKER, "user_id", _FILES)
     return rows.withColumn("held_at", F.col("held_at").cast("timestamp_ntz"))
 
 
@@ -154,7 +160,7 @@ def latest_retained(spark: SparkSession, d: str) -> DataFrame:
     events = _events(spark, d).withColumn("user_id", F.col("user_id") * 100 + days)
     late = F.floor((days + F.col("event_id") % 2) / 6)
     path = _in_files(events, F.least(F.greatest(late, F.lit(0)), F.lit(5)), 6, f"{working_dir(spark)}/batches")
-    rows = sources.streamed(spark, path, lambda e: sources.latest_stream(e, "2 days", 5), "user_id long, ts timestamp, event_id long, value double, gone boolean", "user_id")
+    rows = sources.streamed(spark, path, lambda e: sources.latest_stream(e, "2 days", 5), "user_id long, ts timestamp, event_id long, value double, gone boolean", "user_id", _FILES)
     return rows.filter("NOT gone").select("user_id", "event_id", "value")
 
 

@@ -1,7 +1,7 @@
 """Stateful processing per source: a breaker that holds a source after a run of failures, and latest values with retention.
 
 Each operator has a batch form, which windows and aggregates express, and a stream form, whose state is a few
-values per key. Streamed in batches of any size, in the order of time for the breaker and in any order for
+values per key, kept for a group of keys together. Streamed in batches of any size, in the order of time for the breaker and in any order for
 the values, the result is that of the batch form.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,36 @@ def breaker_batch(events: DataFrame, key: str, order: list[str], failed: Column,
     return out.select(key, held.alias("held"), F.col(f"last.opened.{order[0]}").alias("held_at"), F.when(held, F.lit(length)).otherwise(F.col("last.run")).cast("long").alias("run"), "n_done", "n_waiting", "n_opened")
 
 
+#: Keys are dealt into so many groups. A group's keys are one value of the state, so that a batch reads and writes
+#: the state once for each group and not for each key; rows without a key are a group of their own.
+GROUPS = 256
+
+_VALUE = np.dtype([("user_id", "<i8"), ("us", "<i8"), ("event_id", "<i8"), ("value", "<f8")])
+
+
+def _grouped(key: str) -> Column:
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS))).cast("int").alias("_group")
+
+
+def _records(frame: pd.DataFrame, dtype: np.dtype) -> np.ndarray:
+    out = np.empty(len(frame), dtype)
+    for name in dtype.names:
+        out[name] = frame[name].to_numpy()
+    return out
+
+
+def _newest(parts: list[np.ndarray]) -> np.ndarray:
+    """Each user's record with the greatest time, and of these the greatest event_id."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows["event_id"], rows["us"], rows["user_id"]))]
+    return rows[np.append(rows["user_id"][1:] != rows["user_id"][:-1], True)] if len(rows) else rows
+
+
+def _ids(group: tuple, held: np.ndarray) -> pd.array:
+    """The keys of a group's rows; the rows of group -1 have none."""
+    return pd.array(held["user_id"], dtype="Int64") if group[0] >= 0 else pd.array([None] * len(held), dtype="Int64")
+
+
 class Breaker(StatefulProcessor):
     """The breaker of one source, carried from batch to batch.
 
@@ -87,39 +118,51 @@ class Breaker(StatefulProcessor):
 
 
 class Latest(StatefulProcessor):
-    """The value with the greatest time of one key, however late events come; a key without news for long leaves the state."""
+    """The value with the greatest time of each key of a group, however late events come; a key without news for long leaves the state."""
 
     def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("latest", "ts timestamp, event_id long, value double, timer long")
+        self.state = handle.getValueState("latest", "rows binary, timer long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        best = (pd.Timestamp(held[0]), held[1], held[2]) if held else None
-        for frame in rows:
-            for event in frame[["ts", "event_id", "value"]].itertuples(index=False, name=None):
-                if best is None or (event[0], event[1]) > best[:2]:
-                    best = event
-        timer = int(best[0].timestamp() * 1000) + self.keep_ms
-        if held and held[3] != timer:
-            self.handle.deleteTimer(held[3])
-        if not held or held[3] != timer:
-            self.handle.registerTimer(timer)
-        self.state.update((best[0].to_pydatetime(), int(best[1]), float(best[2]), timer))
-        yield self._row(key, best, False)
+        held, timer = self._held()
+        news = _newest([_records(frame, _VALUE) for frame in rows])
+        best = _newest([held, news])
+        self._hold(best, timer)
+        yield self._rows(key, best[np.isin(best["user_id"], news["user_id"])], False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            held = self.state.get()
+        held, _ = self._held()
+        gone = self._expiry(held) <= timerValues.getCurrentWatermarkInMs()
+        self._hold(held[~gone], None)  # the timer that ran out is no more
+        if gone.any():
+            yield self._rows(key, held[gone], True)
+
+    def _expiry(self, held: np.ndarray) -> np.ndarray:
+        return held["us"] // 1000 + self.keep_ms
+
+    def _held(self) -> tuple[np.ndarray, int | None]:
+        rows, timer = self.state.get() if self.state.exists() else (b"", None)
+        return np.frombuffer(rows, _VALUE), timer
+
+    def _hold(self, held: np.ndarray, timer: int | None) -> None:
+        """A group has one timer, that of the key which runs out first."""
+        first = int(self._expiry(held).min()) if len(held) else None
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
             self.state.clear()
-            yield self._row(key, (pd.Timestamp(held[0]), held[1], held[2]), True)
+            return
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.state.update((held.tobytes(), first))
 
     @staticmethod
-    def _row(key: tuple, best: tuple, gone: bool) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]], "ts": pd.Series([best[0]], dtype="datetime64[us]"), "event_id": [int(best[1])], "value": [float(best[2])], "gone": [gone]})
+    def _rows(key: tuple, held: np.ndarray, gone: bool) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": _ids(key, held), "us": held["us"], "event_id": held["event_id"], "value": held["value"], "gone": gone})
 
     def close(self) -> None:
         pass
@@ -136,9 +179,10 @@ def latest_stream(events: DataFrame, late: str, keep_days: float) -> DataFrame:
 
     late bounds how far events come out of order; a key leaves the state once the watermark has passed its last event by keep_days.
     """
-    rows = events.select("event_id", "ts", "user_id", "value").withWatermark("ts", late)
-    schema = "user_id long, ts timestamp, event_id long, value double, gone boolean"
-    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Latest(int(keep_days * 86_400_000)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    rows = events.filter("ts IS NOT NULL").select(_grouped("user_id"), F.coalesce("user_id", F.lit(0)).alias("user_id"), "ts", F.unix_micros("ts").alias("us"), "event_id", "value").withWatermark("ts", late)
+    schema = "user_id long, us long, event_id long, value double, gone boolean"
+    out = rows.groupBy("_group").transformWithStateInPandas(statefulProcessor=Latest(int(keep_days * 86_400_000)), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    return out.select("user_id", F.timestamp_micros("us").alias("ts"), "event_id", "value", "gone")
 
 
 def streamed(spark: SparkSession, batches: str, stream: object, schema: str, key: str, files_per_batch: int = 1) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,67 @@ def test_latest_keeps_the_newest_and_forgets(spark, tmp_path):
     schema = "user_id long, ts timestamp, event_id long, value double, gone boolean"
     rows = sources.streamed(spark, str(tmp_path / "in"), lambda e: sources.latest_stream(e, "2 days", 3), schema, "user_id")
     assert {(r.user_id, r.event_id, r.value, r.gone) for r in rows.collect()} == {(1, 8, 8.0, False), (2, 3, 3.0, True), (3, 7, 7.0, False)}
+
+
+class Held:
+    """A state and its timers in memory, with a count of how often the state is written."""
+
+    def __init__(self):
+        self.value, self.timers, self.n_updates = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.n_updates = value, self.n_updates + 1
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_latest_holds_a_group_of_keys_in_one_state():
+    """However many keys a batch has, their state is read and written once; of a group only the keys that ran out go."""
+    held, latest = Held(), sources.Latest(1000)
+    latest.init(held)
+    frame = pd.DataFrame({"user_id": [*range(500), 7, 7], "us": [*range(0, 5_000_000, 10_000), 9_000_000, 8_000_000], "event_id": range(502), "value": [*map(float, range(501)), None]})
+    first = pd.concat(latest.handleInputRows((0,), iter([frame[:250], frame[250:]]), None))
+    assert held.n_updates == 1 and len(held.timers) == 1 and len(first) == 500
+    assert first[first.user_id == 7][["us", "event_id", "value", "gone"]].values.tolist() == [[9_000_000, 500, 500.0, False]]
+    late = pd.concat(latest.handleInputRows((0,), iter([frame[7:8]]), None))
+    assert late[["user_id", "event_id"]].values.tolist() == [[7, 500]]
+    gone = pd.concat(latest.handleExpiredTimer((0,), Watermark(5980), None))
+    assert sorted(gone.user_id) == sorted({*range(499)} - {7}) and gone.gone.all()
+    held.timers.remove(1000)  # the engine takes away the timer that ran out
+    assert held.timers == [5990]
+
+
+def test_latest_of_many_keys_and_of_rows_without_one(spark, tmp_path, monkeypatch):
+    """All keys in one group, the greatest numbers too; rows without a key have a latest one of their own."""
+    monkeypatch.setattr(sources, "GROUPS", 1)
+    at = lambda n: datetime(2024, 1, 1) + timedelta(hours=n)
+    batches = [[(n, at(n), 2**62 + n % 5, "v", float(n)) for n in range(20)], [(100 + n, at(19 - n), None, "v", None if n else 0.5) for n in range(6)]]
+    for part in batches:
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "user_id long, ts timestamp, event_id long, value double, gone boolean"
+    rows = sources.streamed(spark, str(tmp_path / "in"), lambda e: sources.latest_stream(e, "2 days", 3), schema, "user_id")
+    assert {(r.user_id, r.ts, r.event_id, r.value, r.gone) for r in rows.collect()} == {(2**62 + n, at(15 + n), 15 + n, 15.0 + n, False) for n in range(5)} | {(None, at(19), 100, 0.5, False)}
