@@ -85,33 +85,52 @@ def _ids(group: tuple, held: np.ndarray) -> pd.array:
     return pd.array(held["user_id"], dtype="Int64") if group[0] >= 0 else pd.array([None] * len(held), dtype="Int64")
 
 
+_BREAKERS = np.dtype([("user_id", "<i8"), ("us", "<i8"), ("run", "<i8"), ("n_done", "<i8"), ("n_waiting", "<i8"), ("n_opened", "<i8")])
+#: The time of a breaker that is not open, which no event has.
+_CLOSED = np.iinfo(np.int64).min
+#: What an event does.
+_ENDS, _FAILS, _FREES = 0, 1, 2
+
+
 class Breaker(StatefulProcessor):
-    """The breaker of one source, carried from batch to batch.
+    """The breakers of a group of sources, carried from batch to batch.
 
-    Order decides, so a source's events of one batch are sorted together; how many files a batch has bounds them.
+    Order decides, so a group's events of one batch are sorted together; how many files a batch has bounds them.
     """
 
-    def __init__(self, failed: str, releases: str, length: int = 3) -> None:
-        self.failed, self.releases, self.length = failed, releases, length
+    def __init__(self, length: int = 3) -> None:
+        self.length = length
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("breaker", "held_at timestamp, run long, n_done long, n_waiting long, n_opened long")
+        self.state = handle.getValueState("breakers", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held_at, run, done, waiting, opened = self.state.get() if self.state.exists() else (None, 0, 0, 0, 0)
-        frames = pd.concat([f[["ts", "event_id", "event_type"]] for f in rows]).sort_values(["ts", "event_id"])
-        for ts, _, kind in frames.itertuples(index=False, name=None):
-            if kind == self.releases:
-                held_at, run, done = None, 0, done + 1
-            elif held_at is not None:
+        held = np.frombuffer(self.state.get()[0] if self.state.exists() else b"", _BREAKERS)
+        news = pd.concat([f[["user_id", "us", "event_id", "does"]] for f in rows]).sort_values(["user_id", "us", "event_id"])
+        users, starts = np.unique(news["user_id"].to_numpy(), return_index=True)
+        before = {r[0]: r[1:] for r in held[np.isin(held["user_id"], users)].tolist()}
+        times, does = news["us"].tolist(), news["does"].tolist()
+        changed = np.empty(len(users), _BREAKERS)
+        for n, (user, lo, hi) in enumerate(zip(users.tolist(), starts.tolist(), [*starts[1:].tolist(), len(times)], strict=True)):
+            changed[n] = user, *self._after(before.get(user, (_CLOSED, 0, 0, 0, 0)), times[lo:hi], does[lo:hi])
+        self.state.update((np.concatenate([held[~np.isin(held["user_id"], users)], changed]).tobytes(),))
+        is_held = changed["us"] != _CLOSED
+        yield pd.DataFrame({"user_id": _ids(key, changed), "held": is_held, "us": pd.Series(changed["us"]).astype("Int64").where(is_held), **{c: changed[c] for c in _BREAKERS.names[2:]}})
+
+    def _after(self, breaker: tuple, times: list[int], does: list[int]) -> tuple:
+        """A source's breaker after further events, in their order."""
+        held_at, run, done, waiting, opened = breaker
+        for at, what in zip(times, does, strict=True):
+            if what == _FREES:
+                held_at, run, done = _CLOSED, 0, done + 1
+            elif held_at != _CLOSED:
                 waiting += 1
             else:
                 done += 1
-                run = run + 1 if kind == self.failed else 0
+                run = run + 1 if what == _FAILS else 0
                 if run >= self.length:
-                    held_at, opened = ts.to_pydatetime(), opened + 1
-        self.state.update((held_at, run, done, waiting, opened))
-        yield pd.DataFrame({"user_id": [key[0]], "held": [held_at is not None], "held_at": pd.Series([held_at], dtype="datetime64[us]"), "run": [run], "n_done": [done], "n_waiting": [waiting], "n_opened": [opened]})
+                    held_at, opened = at, opened + 1
+        return held_at, run, done, waiting, opened
 
     def close(self) -> None:
         pass
@@ -170,8 +189,11 @@ class Latest(StatefulProcessor):
 
 def breaker_stream(events: DataFrame, failed: str = "error", releases: str = "signup", length: int = 3) -> DataFrame:
     """BREAKER rows of the sources that a batch of events (event_id, ts, user_id, event_type) changed."""
-    rows = events.select("event_id", "ts", "user_id", "event_type")
-    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Breaker(failed, releases, length), outputStructType=BREAKER, outputMode="Update", timeMode="None")
+    does = F.when(F.col("event_type") == releases, _FREES).when(F.col("event_type") == failed, _FAILS).otherwise(_ENDS).alias("does")
+    rows = events.select(_grouped("user_id"), F.coalesce("user_id", F.lit(0)).alias("user_id"), F.unix_micros("ts").alias("us"), "event_id", does)
+    schema = BREAKER.replace("held_at timestamp", "us long")
+    out = rows.groupBy("_group").transformWithStateInPandas(statefulProcessor=Breaker(length), outputStructType=schema, outputMode="Update", timeMode="None")
+    return out.select("user_id", "held", F.timestamp_micros("us").alias("held_at"), "run", "n_done", "n_waiting", "n_opened")
 
 
 def latest_stream(events: DataFrame, late: str, keep_days: float) -> DataFrame:

@@ -133,3 +133,16 @@ def test_latest_of_many_keys_and_of_rows_without_one(spark, tmp_path, monkeypatc
     schema = "user_id long, ts timestamp, event_id long, value double, gone boolean"
     rows = sources.streamed(spark, str(tmp_path / "in"), lambda e: sources.latest_stream(e, "2 days", 3), schema, "user_id")
     assert {(r.user_id, r.ts, r.event_id, r.value, r.gone) for r in rows.collect()} == {(2**62 + n, at(15 + n), 15 + n, 15.0 + n, False) for n in range(5)} | {(None, at(19), 100, 0.5, False)}
+
+
+def test_breaker_holds_a_group_of_sources_in_one_state():
+    """However many sources a batch has, their state is read and written once; sources without news stay as they were."""
+    held, breaker = Held(), sources.Breaker(2)
+    breaker.init(held)
+    frame = pd.DataFrame({"user_id": [*range(400)] * 2, "us": [5] * 400 + [9] * 400, "event_id": range(800), "does": [1] * 800})
+    first = pd.concat(breaker.handleInputRows((0,), iter([frame[300:], frame[:300]]), None))
+    assert held.n_updates == 1 and len(first) == 400 and first[["held", "us", "run", "n_done", "n_waiting", "n_opened"]].drop_duplicates().values.tolist() == [[True, 9, 2, 2, 0, 1]]
+    freed = pd.concat(breaker.handleInputRows((0,), iter([pd.DataFrame({"user_id": [3, 3, 900], "us": [11, 12, 1], "event_id": [1, 2, 3], "does": [0, 2, 1]})]), None))
+    assert freed[["user_id", "held", "run", "n_done", "n_waiting", "n_opened"]].values.tolist() == [[3, False, 0, 3, 1, 1], [900, False, 1, 1, 0, 0]] and freed.us.isna().all()
+    again = pd.concat(breaker.handleInputRows((0,), iter([pd.DataFrame({"user_id": [4], "us": [13], "event_id": [4], "does": [0]})]), None))
+    assert held.n_updates == 3 and again[["user_id", "us", "n_done", "n_waiting"]].values.tolist() == [[4, 9, 2, 1]]
