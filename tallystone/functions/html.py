@@ -21,6 +21,8 @@ UNSEEN = frozenset(("script", "style"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Types of structured data that describe one file.
 FILE_TYPES = ("MediaObject", "DigitalDocument", "DataDownload", "SoftwareApplication")
+#: The ampersand of a character reference that no semicolon ends.
+_UNENDED = re.compile(r"&(?=(?:[A-Za-z][A-Za-z0-9]*+|#[0-9]++|#[xX][0-9A-Fa-f]++)(?!;))")
 
 
 class Page(HTMLParser):
@@ -29,9 +31,10 @@ class Page(HTMLParser):
     Void elements are never open, a block closes an open paragraph with all in it, and end tags
     without an open element are ignored. Kept are texts with the path of elements around them,
     links with their texts, headings and separators, and the raw JSON of data scripts.
+    Browsers read some character references without their semicolon; with ended_only these stay as written.
     """
 
-    def __init__(self, html: str | None) -> None:
+    def __init__(self, html: str | None, ended_only: bool = False) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
         self.count: dict[str, int] = {}
@@ -44,7 +47,7 @@ class Page(HTMLParser):
         self._link: list[str] | None = None
         self._heading: list[str] | None = None
         self._is_data = False
-        self.feed(html or "")
+        self.feed(_UNENDED.sub("&amp;", html or "") if ended_only else html or "")
         self.close()
 
     def _leave(self, depth: int) -> None:
@@ -111,22 +114,22 @@ def squeeze(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def _rows(pages: DataFrame, columns: list[str], schema: str, make: Callable[..., Iterator[tuple]]) -> DataFrame:
+def _rows(pages: DataFrame, columns: list[str], schema: str, make: Callable[..., Iterator[tuple]], ended_only: bool = False) -> DataFrame:
     """Rows that make gives for each page; the first column named is the page's html."""
     types = [pa.field(f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in pages.sparkSession.createDataFrame([], schema).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [row for html, *rest in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True) for row in make(Page(html), *rest)]
+            rows = [row for html, *rest in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True) for row in make(Page(html, ended_only), *rest)]
             cells = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cells, types, strict=True)], [t.name for t in types])
 
     return pages.select(*columns).mapInArrow(run, schema)
 
 
-def visible_text(pages: DataFrame) -> DataFrame:
-    """page_id and the collapsed text outside script and style."""
-    return _rows(pages, ["html", "page_id"], "page_id long, text string", lambda page, i: [(i, squeeze(" ".join(t for _, t in page.texts)))])
+def visible_text(pages: DataFrame, ended_only: bool = False) -> DataFrame:
+    """page_id and the collapsed text outside script and style; with ended_only, character references count only with their semicolon."""
+    return _rows(pages, ["html", "page_id"], "page_id long, text string", lambda page, i: [(i, squeeze(" ".join(t for _, t in page.texts)))], ended_only)
 
 
 #: Parameters in which redirect addresses carry where they lead.
