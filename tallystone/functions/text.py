@@ -196,9 +196,9 @@ def stated_version(label: Column, whole_numbers: bool = False) -> Column:
     return F.when(F.size(dotted) > 0, _only(dotted)).otherwise(_only(whole)) if whole_numbers else _only(dotted)
 
 
-def product_code(label: Column) -> Column:
-    """The only product code in a label, upper case."""
-    return F.upper(_only(F.filter(F.split(_spaced(label), "[^A-Za-z0-9]+"), lambda w: w.rlike(r"(?i)^cusa\d{5}$"))))
+def product_code(label: Column, digits: str = "5") -> Column:
+    """The only product code in a label, upper case; digits says how many follow its letters, as in a pattern's braces."""
+    return F.upper(_only(F.filter(F.split(_spaced(label), "[^A-Za-z0-9]+"), lambda w: w.rlike(rf"(?i)^cusa\d{{{digits}}}$"))))
 
 
 def stated_requirement(label: Column, brackets: str = "()") -> Column:
@@ -215,11 +215,11 @@ def stated_requirement(label: Column, brackets: str = "()") -> Column:
     return F.translate(F.get(F.filter(bare, lambda s: F.forall(listed(s), version)), F.lit(0)), "-", "/")
 
 
-def label_details(label: Column, of_file: bool = False) -> dict[str, Column]:
+def label_details(label: Column, of_file: bool = False, digits: str = "5") -> dict[str, Column]:
     """kind, version, product_code, region, variant and requirement stated by a release label.
 
     Only explicit markers count. A file name (of_file) states no region, and its requirement may be
-    in square brackets.
+    in square brackets. A product code has as many digits as product_code is told.
     """
     words = label_words(label)
     says = lambda *any_of: F.exists(words, lambda w: w.isin(*any_of))
@@ -232,7 +232,7 @@ def label_details(label: Column, of_file: bool = False) -> dict[str, Column]:
     region = _only(F.filter(F.split(F.upper(F.coalesce(label, F.lit(""))), "[^A-Z0-9_]+"), lambda w: w.isin(*LABEL_CODES)))
     requirement = stated_requirement(label)
     return {
-        "kind": kind, "version": stated_version(label), "product_code": product_code(label), "region": F.lit(None).cast("string") if of_file else region,
+        "kind": kind, "version": stated_version(label), "product_code": product_code(label, digits), "region": F.lit(None).cast("string") if of_file else region,
         "variant": F.when(says("backport") | numbered, F.lit("Backport / fix")), "requirement": F.coalesce(requirement, stated_requirement(label, "[]")) if of_file else requirement,
     }
 
