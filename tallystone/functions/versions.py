@@ -19,8 +19,9 @@ def version_key(version: Column) -> Column:
     of any size compare. Numbers 0 at the end are left out, since 1.0 is 1.
     """
     bare = F.regexp_replace(version, r"(?:\.0+)+$", "")
-    part = lambda p: F.regexp_replace(p, r"^0+(?=[0-9])", "")
-    return F.when(version.rlike(r"^[0-9]+(?:\.[0-9]+)*$"), F.transform(F.split(bare, r"\."), lambda p: F.struct(F.length(part(p)).alias("digits"), part(p).alias("number"))))
+    part = lambda p: F.coalesce(F.nullif(F.ltrim(p, F.lit("0")), F.lit("")), F.lit("0"))
+    parts = F.transform(F.split(bare, r"\."), part)
+    return F.when(version.rlike(r"^[0-9]+(?:\.[0-9]+)*$"), F.transform(parts, lambda p: F.struct(F.length(p).alias("digits"), p.alias("number"))))
 
 
 def compare_versions(a: Column, b: Column) -> Column:

@@ -67,17 +67,18 @@ def choose_families(releases: DataFrame, fits: Column, wanted: DataFrame | None
     by position; a family that wanted (game, family) names comes before all. DLC count only with a base.
     """
     key = ["game", "family"]
-    rows = releases.filter(F.col("family").isNotNull() & F.col("kind").isin("base", "update", "dlc")).withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_v": version_key(F.col("version"))})
+    # Rows without a family are told by their count of bases; a filter would work every key out twice.
+    rows = releases.filter(F.col("kind").isin("base", "update", "dlc")).withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_v": version_key(F.col("version"))})
     # The larger, the better.
     better = F.struct(F.col("_v").isNotNull().alias("a"), F.col("_v").alias("b"), (F.coalesce("variant", F.lit("")) == "").alias("c"), (-F.col("host_rank")).alias("d"), (-F.col("pos")).alias("e"))
-    is_base = F.col("kind") == "base"
+    fitting = lambda kind: F.when((F.col("kind") == kind) & F.col("_fits"), better)
+    # An update has to be newer than the base only, and the newest is the first choice, so the best of all updates decides.
     families = rows.groupBy(*key).agg(
-        F.min("pos").alias("_first"), F.count_if(is_base).alias("_bases"), F.count_if(F.col("kind") == "dlc").alias("_dlc"),
-        F.max_by(F.struct("pos", "host_rank", "_v"), F.when(is_base & F.col("_fits"), better)).alias("_base"),
+        F.min("pos").alias("_first"), F.count_if((F.col("kind") == "base") & F.col("family").isNotNull()).alias("_bases"), F.count_if(F.col("kind") == "dlc").alias("_dlc"),
+        F.max_by(F.struct("pos", "host_rank", "_v"), fitting("base")).alias("_base"), F.max_by(F.struct("pos", "_v"), fitting("update")).alias("_new"),
     ).filter("_bases > 0")
-    newer = F.col("_base").isNotNull() & F.col("_v").isNotNull() & (F.col("_base._v").isNull() | (F.col("_v") > F.col("_base._v")))
-    updates = rows.filter("kind = 'update' AND _fits").join(families.select(*key, "_base"), key).filter(newer).groupBy(*key).agg(F.max_by("pos", better).alias("_update"))
-    scored = families.join(updates, key, "left")
+    newer = F.col("_base").isNotNull() & F.col("_new._v").isNotNull() & (F.col("_base._v").isNull() | (F.col("_new._v") > F.col("_base._v")))
+    scored = families.withColumn("_update", F.when(newer, F.col("_new.pos")))
     if wanted is not None:
         scored = scored.join(wanted.select(*key).distinct().withColumn("_wanted", F.lit(True)), key, "left")
     order = F.struct(

@@ -335,3 +335,29 @@ def test_sources(spark, tmp_path):
     assert tables.read_keyed(spark, str(tmp_path / "env.json"), "checked", "at: string").first().key == "u"
     (tmp_path / "map.xml").write_text("<urlset><url><loc>https://example.org/x</loc><lastmod>2020</lastmod></url></urlset>")
     assert tables.read_sitemap(spark, str(tmp_path / "map.xml")).first().url == "https://example.org/x"
+
+
+def test_families_are_chosen_in_one_pass(spark):
+    """Releases are read and their keys made once; the choice is that of a plain walk, bases and updates without a version too."""
+    import random
+
+    from tallystone.operators import recommend
+
+    rnd = random.Random(8)
+    pick = lambda pos: (rnd.randint(1, 40), rnd.choice(["f", "g", None]), rnd.choice(["base", "update", "update", "dlc", "note"]), rnd.choice(["1.0", "1.10", "1.9", "2", "02.00", None]), rnd.choice([None, "x"]), rnd.randint(0, 3), pos)
+    data = [pick(pos) for pos in range(600)]
+    rows = spark.createDataFrame(data, "game long, family string, kind string, version string, variant string, host_rank int, pos long")
+    chosen = recommend.choose_families(rows, F.lit(True))
+    assert chosen._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    v = lambda r: {"1.0": (1,), "1.10": (1, 10), "1.9": (1, 9), "2": (2,), "02.00": (2,), None: None}[r[3]]
+    better = lambda r: (v(r) is not None, v(r) or (), not r[4], -r[5], -r[6])
+    want = {}
+    for game, family in {r[:2] for r in data if r[1]}:
+        kinds = {k: [r for r in data if r[:3] == (game, family, k)] for k in ("base", "update", "dlc")}
+        if kinds["base"]:
+            base = max(kinds["base"], key=better)
+            newer = [r for r in kinds["update"] if v(r) is not None and (v(base) is None or v(r) > v(base))]
+            update = max(newer, key=better)[6] if newer else None
+            first = min(r[6] for part in kinds.values() for r in part)
+            want[game] = min(want.get(game, ((1000,),)), ((base[5], update is None, first), family, base[6], update, len(kinds["dlc"])))
+    assert {tuple(r) for r in chosen.collect()} == {(game, *w[1:]) for game, w in want.items()}
