@@ -316,7 +316,8 @@ def nearest_links(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
     Whatever threshold a later check sets, closest texts are linked first, so that cutting links
     there leaves the groups that the threshold gives. As distances tell similarities only roughly,
-    nodes that hang on a longer link are linked to their next nearest as well.
+    nodes that hang on a longer link are linked to their next nearest as well. These links are checked
+    first, since they join most of what belongs together; ``other_links`` are the rest.
     """
     n = len(lanes)
     free = np.ones(n, bool)
@@ -337,6 +338,13 @@ def nearest_links(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return list({(min(x), max(x)): x for x in links}.values())
 
 
+def other_links(lanes: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """All pairs within radius whose groups differ."""
+    for i in range(len(lanes) - 1):
+        near = (np.bitwise_count(lanes[i + 1 :] ^ lanes[i]).sum(1, dtype=np.int32) <= radius) & (groups[i + 1 :] != groups[i])
+        yield from ((i, i + 1 + int(x)) for x in np.flatnonzero(near))
+
+
 _WIDE = "node binary, " + ", ".join(f"w{i} long" for i in range(LANES))
 
 
@@ -356,22 +364,37 @@ def wide_prints(docs: DataFrame) -> DataFrame:
 
 
 def _linked_runs(keyed: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Links (a, b) within each run of the key columns, whose sizes the keys bound."""
-    n = len(keys)
+    """Links (a, b) within each run of the key columns, whose sizes the keys bound: the nearest, or with a column grp all between its values."""
+    n, by_group = len(keys), "grp" in keyed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         nodes: list[list] = []
         lanes: list[np.ndarray] = []
+        groups: list[list] = []
         a: list[bytes] = []
         b: list[bytes] = []
 
-        def close() -> None:
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            if len(a) > least:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                a.clear()
+                b.clear()
+
+        def close() -> Iterator[pa.RecordBatch]:
             held = [x for part in nodes for x in part.to_pylist()]
             if len(held) > 1:
-                for i, j in nearest_links(np.concatenate(lanes), radius):
+                wide = np.concatenate(lanes)
+                if by_group:
+                    numbers: dict[bytes, int] = {}
+                    of = np.array([numbers.setdefault(x, len(numbers)) for part in groups for x in part.to_pylist()])
+                    links = other_links(wide, of, radius) if len(numbers) > 1 else ()
+                else:
+                    links = nearest_links(wide, radius)
+                for i, j in links:
                     a.append(held[i])
                     b.append(held[j])
+                    yield from flush(50_000)
 
         for batch in batches:
             if not batch.num_rows:
@@ -380,21 +403,20 @@ def _linked_runs(keyed: DataFrame, keys: list[str], radius: int) -> DataFrame:
             wide = np.column_stack([batch.column(n + 1 + i).to_numpy(zero_copy_only=False) for i in range(LANES)]).view(np.uint64)
             for this, lo, hi in _runs(columns):
                 if this != now:
-                    close()
-                    now, nodes, lanes = this, [], []
+                    yield from close()
+                    now, nodes, lanes, groups = this, [], [], []
                 nodes.append(batch.column(n).slice(lo, hi - lo))
                 lanes.append(wide[lo:hi])
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                a, b = [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                if by_group:
+                    groups.append(batch.column(n + 1 + LANES).slice(lo, hi - lo))
+        yield from close()
+        yield from flush(-1)
 
     return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
 
 
 def wide_links(prints: DataFrame, folder: str, radius: int, max_group: int = 4096) -> DataFrame:
-    """Links (a, b) between nodes of prints (node and lanes; one row per node) that share a block.
+    """Links (a, b) between nodes of prints (node and lanes; one row per node) that share a block. With a column grp: all pairs of different groups.
 
     Each block is a key. A key with more than max_group nodes is cut into parts, and
     each pair of parts meets in a task of its own: the trees of all pairs together hold the tree of
@@ -402,7 +424,7 @@ def wide_links(prints: DataFrame, folder: str, radius: int, max_group: int = 409
     """
     blocks = [F.shiftrightunsigned(f"w{i}", BLOCK_BITS * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for i in range(LANES) for k in range(64 // BLOCK_BITS)]
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), c.alias("key")) for t, c in enumerate(blocks)))).alias("k")
-    wide = ["node", *(f"w{i}" for i in range(LANES))]
+    wide = ["node", *(f"w{i}" for i in range(LANES)), *(c for c in prints.columns if c == "grp")]
     keyed = prints.select(keys, *wide).select("k.t", "k.key", *wide)
     sizes = written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > max_group), f"{folder}/sizes")
     # A prints table of n rows has at most 16 * n / max_group such keys.
@@ -429,6 +451,7 @@ def keep_one(docs: DataFrame, n_words: int = 5, least: float = 0.8, radius: int
     checked on the whole texts by 64-bit hashes of the shingles. Candidates are pairs of wide fingerprints (256 bits over word
     pairs) that share one of 16 blocks and differ in at most radius bits: all pairs with up to 15
     differing bits do, and of pairs at a similarity of 0.8 (21 to 24 bits on average) 99 in 100.
+    Each candidate counts: the nearest ones are checked first, then all between texts that these left in different groups.
     Rows that repeat a doc_id stay together; rows without a doc_id stay.
     """
     folder = shared_dir(docs.sparkSession)
@@ -442,7 +465,12 @@ def keep_one(docs: DataFrame, n_words: int = 5, least: float = 0.8, radius: int
     # Rows that repeat a doc_id with another text are told apart by their node.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if n_bytes <= most_bytes else ids, "doc_id")
     sets = written(shingle_sets(found, n_words), f"{folder}/sets")
-    groups = components(written(similar(links, sets, least), f"{folder}/similar"), folder)
+    near = written(similar(links, sets, least), f"{folder}/similar")
+    # Whoever has a candidate has a nearest one, so no node beyond wanted is in a further pair.
+    first_groups = components(near, f"{folder}/near")
+    placed = nodes.join(wanted, "node").join(first_groups, "node", "left").select("node", *lanes, F.coalesce("component", "node").alias("grp"))
+    rest = wide_links(written(placed, f"{folder}/placed"), f"{folder}/rest", radius)
+    groups = components(near.unionByName(written(similar(rest, sets, least), f"{folder}/further")), folder)
     grouped = nodes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     first = grouped.groupBy("component").agg(F.min("rep").alias("first_id"))
     placed = rows.select("doc_id", "node").join(grouped.join(first, "component").select("node", "first_id"), "node")

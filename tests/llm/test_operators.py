@@ -927,3 +927,28 @@ def test_warc_files(spark, tmp_path):
     out = warc.read_files(spark, str(tmp_path / "files")).collect()
     assert sorted(r.page_id for r in out) == list(range(9)) and {r.page_id for r in out if r.record_type == "response"} == {0, 1, 2}
     assert all(r.refers_to == r.page_id % 3 for r in out if r.record_type == "revisit")
+
+
+@pytest.mark.parametrize("size", [4096, 7])
+def test_links_between_groups_are_all_candidates(spark, tmp_path, size):
+    """Where nearest links end, every pair of fingerprints in different groups that shares a block within the radius is a candidate."""
+    rnd = random.Random(17)
+    centre = rnd.getrandbits(256)
+    prints = []
+    for n in range(40):
+        bits = centre
+        for at in rnd.sample(range(256), rnd.randint(4, 20)):
+            bits ^= 1 << at
+        prints.append((n, bits))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(n.to_bytes(2, "big"), *(signed(bits >> 64 * i & (1 << 64) - 1) for i in range(4)), (n % 3).to_bytes(1, "big")) for n, bits in prints]
+    blocks = [(64 * i + 13 * k, (1 << 13) - 1) for i in range(4) for k in range(4)]
+    want = {
+        (a, b) for a, x in prints for b, y in prints
+        if a < b and a % 3 != b % 3 and (x ^ y).bit_count() <= 30 and any(x >> at & mask == y >> at & mask for at, mask in blocks)
+    }
+    found = simhash.wide_links(spark.createDataFrame(rows, "node binary, w0 long, w1 long, w2 long, w3 long, grp binary"), str(tmp_path), 30, size)
+    pairs = {tuple(sorted(int.from_bytes(x, "big") for x in r)) for r in found.collect()}
+    assert pairs == want and len(want) > 200
+    near = simhash.wide_links(spark.createDataFrame(rows, "node binary, w0 long, w1 long, w2 long, w3 long, grp binary").drop("grp"), str(tmp_path / "near"), 30, size)
+    assert {x for r in near.collect() for x in r} >= {x for r in found.collect() for x in r}
