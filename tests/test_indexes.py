@@ -83,6 +83,15 @@ def test_trigram_plan_reads_matching_postings(spark, texts, tmp_path):
     assert textindex.candidates(spark, str(tmp_path), "ab") is None and textindex.candidates(spark, str(tmp_path), "zzz").count() == 0
 
 
+def test_postings_are_one_row_for_many_texts(spark, tmp_path):
+    """A trigram of many texts is one row of postings for a batch of them; rows that repeat an id are found."""
+    rows = spark.createDataFrame([(n // 2, f"needle {n}" if n % 3 else "none") for n in range(400)], "id long, text string").coalesce(1)
+    textindex.build(rows, "id", "text", str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/postings").filter("gram = 'nee'").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/grams").filter("gram = 'nee'").first().n == sum(n % 3 > 0 for n in range(400))
+    assert textindex.search(rows, "id", "text", str(tmp_path), "Needle").count() == sum(n % 3 > 0 for n in range(400))
+
+
 def test_bitmaps_count_and_merge(spark):
     rnd = random.Random(3)
     data = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0, 5, 32767, 32768, 32769, 10**7 + rnd.randint(0, 50)]), rnd.choice([1, 2, None])) for _ in range(500)]
